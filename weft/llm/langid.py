@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import crc_fold, slices
 
 BITS, ORDERS, DIM = 15, (2, 3, 4), 12
-PER_LANG, EPOCHS, RATE, BATCH = 800, 8, 0.4, 32
+PER_LANG, EPOCHS, RATE, BATCH = 500, 10, 0.4, 32
 LETTER = re.compile(r"[^\W\d_]")
 _K, _M = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
@@ -63,19 +63,19 @@ def _texts(batch: pa.RecordBatch):
 
 def _histograms(batches):
     for batch in slices(batches):
-        keys, at, n = [], [], []
+        keys, n = [], []
         for text, raw in _texts(batch):
             if text is None or not LETTER.search(text):
-                keys.append([])
-                n.append([])
+                keys.append(b"")
+                n.append(b"")
                 continue
             got = np.bincount(buckets(raw), minlength=1 << BITS)
             nz = np.flatnonzero(got)
-            keys.append(nz.astype(np.int32))
-            n.append((got[nz] / got.sum()).astype(np.float32))
+            keys.append(nz.astype("<u2").tobytes())
+            n.append((got[nz] / got.sum()).astype("<f2").tobytes())
         at = batch.column(batch.schema.get_field_index("doc_id"))
         yield pa.RecordBatch.from_arrays(
-            [at, batch.column(batch.schema.get_field_index("lang")), pa.array(keys, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))],
+            [at, batch.column(batch.schema.get_field_index("lang")), pa.array(keys, pa.binary()), pa.array(n, pa.binary())],
             ["doc_id", "lang", "k", "v"],
         )
 
@@ -107,7 +107,7 @@ def _sums(rows, emb):
 
 
 def fit(rows: list[tuple], seed: int = 7) -> Model | None:
-    """``rows``: (lang, bucket array, weight array), in a fixed order."""
+    """``rows``: (lang, bucket array, weights that sum to 1), in a fixed order."""
     rows = [r for r in rows if len(r[1])]
     if not rows:
         return None
@@ -161,9 +161,10 @@ def train(docs: DataFrame, usable=None, per_lang: int = PER_LANG) -> Model | Non
     first = Window.partitionBy("lang").orderBy(key, "doc_id")
     some = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id").distinct()
     got = rows.select("doc_id", "lang", "text").join(F.broadcast(some), "doc_id", "left_semi")  # bounded: per_lang ids a language
-    got = got.mapInArrow(_histograms, "doc_id long, lang string, k array<int>, v array<float>").toPandas()
-    got = got.sort_values(["doc_id", "lang"], kind="stable")
-    return fit(list(zip(got["lang"], got["k"], got["v"], strict=True)))
+    got = got.mapInArrow(_histograms, "doc_id long, lang string, k binary, v binary").toArrow()  # a few KB a row
+    got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    lang, k, v = (got[c].to_pylist() for c in ("lang", "k", "v"))
+    return fit([(a, np.frombuffer(b, "<u2"), np.frombuffer(c, "<f2")) for a, b, c in zip(lang, k, v, strict=True)])
 
 
 def predict(docs: DataFrame, model: Model | None, extra: list[str] = ()) -> DataFrame:
