@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import langid, near_dup
 from .common import table
 
 
+def op3_near_duplicates(spark, sf_dir):
+    return near_dup.op3(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark, sf_dir):
     return langid.op8(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_near_duplicates": op3_near_duplicates,
     "op8_language_id": op8_language_id,
 }
 
