@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, near_dup
+from . import langid, near_dup, substring
 from .common import table
 
 
@@ -10,12 +10,17 @@ def op3_near_duplicates(spark, sf_dir):
     return near_dup.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring.op4(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark, sf_dir):
     return langid.op8(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_substring_dedup": op4_substring_dedup,
     "op8_language_id": op8_language_id,
 }
 
