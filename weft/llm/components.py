@@ -48,7 +48,8 @@ def _stars(parent, root):
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (u, v) with u > v."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Written first, so that the join deals out the edges anew and a busy node can be split.
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     linked = both.join(least, "u")
     if large:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
