@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, near_dup, substring
+from . import langid, mixing, near_dup, substring
 from .common import table
 
 
+def op1_source_mix(spark, sf_dir):
+    return mixing.op1(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark, sf_dir):
     return near_dup.op3(table(spark, sf_dir, "documents"))
 
@@ -19,6 +23,7 @@ def op8_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_source_mix": op1_source_mix,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_substring_dedup": op4_substring_dedup,
     "op8_language_id": op8_language_id,
