@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, near_dup, substring
+from . import html_extract, langid, mixing, near_dup, substring
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_source_mix(spark, sf_dir):
     return mixing.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark, sf_dir):
+    return html_extract.op2(table(spark, sf_dir, "pages"))
+
+
 def op3_near_duplicates(spark, sf_dir):
     return near_dup.op3(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,7 @@ def op8_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_main_text": op2_main_text,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_substring_dedup": op4_substring_dedup,
     "op8_language_id": op8_language_id,
