@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, langid, mixing, near_dup, substring
+from . import html_extract, langid, mixing, near_dup, quality, substring
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_substring_dedup(spark, sf_dir):
     return substring.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark, sf_dir):
+    return quality.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language_id(spark, sf_dir):
     return langid.op8(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ QUERIES = {
     "op2_main_text": op2_main_text,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality": op5_quality,
     "op8_language_id": op8_language_id,
 }
 
