@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, langid, mixing, near_dup, quality, substring
+from . import html_extract, langid, mixing, near_dup, quality, substring, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_quality(spark, sf_dir):
     return quality.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language_id(spark, sf_dir):
     return langid.op8(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op8_language_id": op8_language_id,
 }
 
