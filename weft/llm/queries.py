@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, langid, mixing, near_dup, quality, substring, toxicity
+from . import html_extract, langid, licences, mixing, near_dup, quality, substring, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return licences.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark, sf_dir):
     return langid.op8(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
 }
 
