@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, langid, licences, mixing, near_dup, quality, substring, toxicity
+from . import chat, html_extract, langid, licences, mixing, near_dup, quality, substring, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op8_language_id(spark, sf_dir):
     return langid.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_turns(spark, sf_dir):
+    return chat.op9(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_main_text": op2_main_text,
@@ -47,6 +51,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
+    "op9_chat_turns": op9_chat_turns,
 }
 
 ORACLE: dict[str, str] = {}
