@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_extract, langid, licences, mixing, near_dup, quality, substring, toxicity
+from . import chat, decontam, html_extract, langid, licences, mixing, near_dup, quality, substring, toxicity
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op9_chat_turns(spark, sf_dir):
     return chat.op9(table(spark, sf_dir, "conversations"))
 
 
+def op10_decontaminate(spark, sf_dir):
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_main_text": op2_main_text,
@@ -52,6 +56,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op9_chat_turns": op9_chat_turns,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {}
