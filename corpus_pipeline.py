@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through the training-data operators in turn."""
+"""The corpus pipeline: documents through five of the training-data operators.
+
+Every stage takes (spark, docs, sf_dir) and returns documents; its rows are
+written as Parquet to the shared folder and read again by the next one.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import langid
+from weft.llm import decontam, langid, mixing, near_dup, substring
 from weft.llm.common import shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go."""
     return langid.keep_identified(docs)
 
 
-STAGES = [("language_id", language_id)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return near_dup.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated spans leave the texts."""
+    return substring.cut_repeats(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a copy of a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("decontaminate", decontaminate),
+    ("source_mix", source_mix),
+]
 
 #: SQL can express neither the trained classifier nor the sampling.
 ORACLE_SQL = None
