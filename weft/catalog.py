@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from weft.plans import conversation_queries, memory_queries, security_queries, task_queries  # noqa: F401
+from weft.plans.registry import ORACLE, QUERIES  # noqa: F401
