@@ -7,7 +7,6 @@ null ``doc_id`` is carried through and sorts after every other id.
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -99,9 +98,30 @@ class Memo(dict):
         return value
 
 
-def near_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def even_keys(n: int) -> list[int]:
+    """An int for each of ``n`` partitions that Spark's hash partitioning sends there.
+
+    Dealing out ``range(n)`` by hash leaves some partitions empty and others with
+    several keys. Spark hashes an int by Murmur3 (x86, 32 bits) with seed 42.
+    """
+    keys, k = {}, 0
+    while len(keys) < n:
+        keys.setdefault(_murmur3(k) % n, k)
+        k += 1
+    return [keys[i] for i in range(n)]
 
 
-def local_master(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local[") or os.environ.get("WEFT_LOCAL") == "1"
+def _murmur3(k: int) -> int:
+    """The signed hash of a 32-bit int."""
+    mask = 0xFFFFFFFF
+    roll = lambda x, r: ((x << r) | (x >> (32 - r))) & mask
+    h = 42 ^ (roll((k * 0xCC9E2D51) & mask, 15) * 0x1B873593) & mask
+    h = (roll(h, 13) * 5 + 0xE6546B64) & mask ^ 4
+    h = ((h ^ (h >> 16)) * 0x85EBCA6B) & mask
+    h = ((h ^ (h >> 13)) * 0xC2B2AE35) & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def near_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

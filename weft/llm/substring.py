@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Memo, blobs, ids, near_partitions, slices
+from .common import NO_ID, Memo, blobs, even_keys, ids, near_partitions, slices
 
 WINDOW, GRAM, BATCH_BYTES = 13, 5, 6 << 20
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -69,7 +69,9 @@ def _stretches(doc: np.ndarray, pos: np.ndarray):
     return first, np.diff(np.append(first, len(doc)))
 
 
-def _explore(n_blocks: int, width: int):
+def _explore(keys: list[int], width: int):
+    n_blocks = len(keys)
+
     def run(batches):
         memo = Memo(xxhash.xxh64_intdigest)
         for turn, batch in enumerate(slices(batches, most=BATCH_BYTES)):
@@ -104,7 +106,7 @@ def _explore(n_blocks: int, width: int):
             if gone.any():
                 r, p = row[gone], at[gone]
                 first, length = _stretches(r, p)
-                yield _pass_on(int(turn * 7919 + len(r)) % n_blocks, 1, doc_ids[r[first]], tags[r[first]], p[first], length)
+                yield _pass_on(keys[int(turn * 7919 + len(r)) % n_blocks], 1, doc_ids[r[first]], tags[r[first]], p[first], length)
             keep = ~gone
             row, at, win, anchor = row[keep], at[keep], win[keep], anchor[keep]
             if not len(row):
@@ -125,7 +127,7 @@ def _explore(n_blocks: int, width: int):
                 docs, ref = np.unique(row[f], return_inverse=True)
                 each = np.repeat(f - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())
                 head = np.array([len(docs), len(f)], "<u4").tobytes()
-                yield _row(int(b), 0, b"".join([head, doc_ids[docs].astype("<i8").tobytes(), tags[docs].astype("<i4").tobytes(), ref.astype("<u4").tobytes(), at[f].astype("<u4").tobytes(), ln.astype(np.uint8).tobytes(), _packed(anchor[f], 6), _packed(win[each], 5)]))
+                yield _row(keys[b], 0, b"".join([head, doc_ids[docs].astype("<i8").tobytes(), tags[docs].astype("<i4").tobytes(), ref.astype("<u4").tobytes(), at[f].astype("<u4").tobytes(), ln.astype(np.uint8).tobytes(), _packed(anchor[f], 6), _packed(win[each], 5)]))
 
     return run
 
@@ -207,7 +209,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, tag (of the text) and runs: starts and numbers of windows that a smaller id has."""
     blocks = near_partitions(docs.sparkSession)
     text = docs.select("doc_id", "text", _tag())
-    sent = text.mapInArrow(_explore(blocks, window), "block int, kind int, blob binary")
+    sent = text.mapInArrow(_explore(even_keys(blocks), window), "block int, kind int, blob binary")
     met = sent.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_match, "id long, tag int, start long, n long")
     return met.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
