@@ -139,8 +139,8 @@ class Prompts:
                 raise KeyError(f"no prompt {name}")
         return self.cache[name]
 
-    def fill(self, name: str, **values) -> str:
-        text = self.load(name)
+    def fill(self, template: str, /, **values) -> str:
+        text = self.load(template)
         try:
             return text.format(**values)
         except (KeyError, IndexError) as e:
