@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 STRUCTURE, CONTENT, BOILER = 0, 1, 2
-N_PAGES, SEED = 400, 11
+N_PAGES, SEED = 600, 11
 
 # Element names by what HTML makes of them.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -368,8 +368,8 @@ class _Writer:
                 self.block("table", CONTENT, lambda: [self.block("tr", CONTENT, lambda: [self.block("td", CONTENT, self.text(1, 4)) for _ in range(3)]) for _ in range(self.r.randint(1, 4))])
             else:
                 self.block(self.pick("section", "div", "figure"), CONTENT, lambda: [self.block(self.pick("p", "figcaption"), CONTENT, self.text(3, 60)) for _ in range(self.r.randint(1, 3))])
-            if self.chance(0.06):
-                self.r.choice((self.ad, self.share, self.sidebar, self.notice))()
+            if self.chance(0.1):
+                self.r.choice((self.ad, self.share, self.sidebar, self.notice, self.nav, self.footer, self.comments, self.header))()
 
     def article(self):
         def inside():
@@ -436,13 +436,15 @@ def trained(n: int = N_PAGES, seed: int = SEED) -> Model:
     x = np.zeros((len(rows), len(names)))
     for i, r in enumerate(rows):
         x[i, r] = 1
-    w = np.zeros((len(names), 3))
-    for step in range(300):
+    w, seen = np.zeros((len(names), 3)), np.full((len(names), 3), 1e-12)
+    for _ in range(500):
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        w -= 2.0 * (x.T @ p / len(y) + 1e-4 * w)
+        g = x.T @ p / len(y) + 1e-5 * w
+        seen += g * g
+        w -= 0.5 * g / np.sqrt(seen)  # rare looks get long steps
     prior = np.bincount(y, minlength=3) / len(y)
     joint = pair / pair.sum()
     ratio = joint / joint.sum(axis=1, keepdims=True) / prior  # the looks already hold the child's prior
