@@ -1,10 +1,11 @@
 """Operator 10: benchmark decontamination.
 
 Method: the rare 3-word grams of every test item are seeds. A first pass counts
-in how many documents each gram occurs, over the whole corpus, and the rarest
-half of an item's grams (eight at least) become its seeds, so common phrases
-seed nothing however often they occur, while an item that leaked into many
-documents keeps its seeds. A second pass joins documents to items on the seeds
+in how many documents each gram occurs, over the whole corpus; all grams that
+occur in at most one document in ``RARE`` seed. An item with too few of those
+(a passage that leaked widely) also gets its next rarest, up to half of the grams
+that occur at all and eight at least, by powers of two of their counts, so that
+one copy more or less does not decide. A second pass joins documents to items on the seeds
 and aligns the item with the words around its seeds by Smith-Waterman. The score
 is the alignment's share of the item's perfect score; copies with words changed,
 added or left out score lower, and ``least`` separates them from chance.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-GRAM, MIN_WORDS, LEAST, BLOCK_WORDS = 3, 8, 0.5, 1_000_000
+GRAM, MIN_WORDS, LEAST, BLOCK_WORDS, RARE = 3, 8, 0.5, 1_000_000, 1000
 MATCH, MISS, GAP = 2, -1, 1
 TOKEN = re.compile(r"\w+")
 _WIDTH = 21  # bits of a word number
@@ -92,31 +93,34 @@ def _index(vocab, ids, nums, grams, which, offset) -> Index:
     return Index(vocab, ids, nums, distinct, np.append(start, len(grams)), which[order], offset[order])
 
 
-def count_grams(docs: DataFrame, index: Index) -> np.ndarray:
-    """In how many documents each gram of the index occurs."""
+def count_grams(docs: DataFrame, index: Index) -> tuple[np.ndarray, int]:
+    """In how many documents each gram of the index occurs, and the number of documents."""
 
     def run(batches):
-        total = np.zeros(len(index.grams), np.int64)
+        total = np.zeros(len(index.grams) + 1, np.int64)
         for batch in slices(batches):
+            total[-1] += batch.num_rows
             for text in batch.column(0).to_pylist():
                 total[np.unique(index.find(index.numbers(text))[1])] += 1
         nz = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(nz), pa.array(total[nz])], ["g", "n"])
 
     got = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # a row a gram of the block
-    out = np.zeros(len(index.grams), np.int64)
+    out = np.zeros(len(index.grams) + 1, np.int64)
     out[got["g"].to_numpy()] = got["n"].to_numpy()
-    return out
+    return out[:-1], int(out[-1])
 
 
-def rare(index: Index, df: np.ndarray) -> Index:
-    """The index with the rarest half of each item's grams, eight at least."""
+def rare(index: Index, df: np.ndarray, n_docs: int) -> Index:
+    """The index of the seeds: rare grams, and the rarest of items that have few."""
     gram = np.repeat(np.arange(len(index.grams)), np.diff(index.start))
-    order = np.lexsort((index.grams[gram], df[gram], index.item))
+    level = np.log2(np.maximum(df, 1)).astype(int)
+    order = np.lexsort((index.grams[gram] * 0x9E3779B97F4A7C1 & 0xFFFFFFFF, level[gram], index.item))
+    order = order[df[gram[order]] > 0]
     item = index.item[order]
     first = np.searchsorted(item, item)
     size = np.bincount(item, minlength=len(index.items))[item]
-    chosen = order[np.arange(len(order)) - first < np.maximum(8, (size + 1) // 2)]
+    chosen = order[(df[gram[order]] <= max(n_docs // RARE, 20)) | (np.arange(len(order)) - first < np.maximum(8, (size + 1) // 2))]
     return _index(index.vocab, index.ids, index.items, index.grams[gram[chosen]], index.item[chosen], index.offset[chosen])
 
 
@@ -186,7 +190,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFra
     """(doc_id, item_id, score, word_start, word_end) of each copy; repeats of a pair in one row of docs appear once, at the best place."""
     out = None
     for index in blocks(benchmark):
-        seeds = rare(index, count_grams(docs, index))
+        seeds = rare(index, *count_grams(docs, index))
         got = docs.select("doc_id", "text").mapInArrow(_pairs(seeds, least), PAIRS)
         out = got if out is None else out.union(got)
     return docs.sparkSession.createDataFrame([], PAIRS) if out is None else out
@@ -208,7 +212,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     """Pipeline stage: documents that hold a copy of a benchmark item go."""
     schema, out = docs.schema, docs
     for index in blocks(benchmark):
-        out = out.mapInArrow(_without(rare(index, count_grams(docs, index)), least), schema)
+        out = out.mapInArrow(_without(rare(index, *count_grams(docs, index)), least), schema)
     return out
 
 
