@@ -8,8 +8,9 @@ balancing constraints (number of documents and number of words), up to a face of
 the cube and in a random direction that keeps the expectation, so that both
 totals stay as they are. Each block leaves two open documents and a few of all
 sizes that it has set aside; they meet in the next round of blocks, until one
-block a source remains. Its open documents, sixteen at most, are the landing
-problem: of all their roundings the one nearest to the source's target is taken.
+block a source remains. Its open documents, a few dozen, are the landing problem:
+all roundings are tried if they are 14 or fewer, and else a greedy one is improved
+by flipping one or two until none brings the source nearer to its target.
 
 Blocks hold ``block`` documents whatever the source's size, so a large source
 spreads over many tasks; only ids and sizes travel, never texts. All randomness
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-WEIGHTS, MOST, BLOCK, SPARE = (1, 2, 3), 3, 2000, 14
+WEIGHTS, MOST, BLOCK, SPARE = (1, 2, 3), 3, 2000, 40
 _EPS = 1e-9
 
 
@@ -93,9 +94,28 @@ def spare(size: np.ndarray, most: int) -> np.ndarray:
 def land(x: np.ndarray, size: np.ndarray, due: float) -> None:
     """Round the open entries (few) so that the words come nearest to ``due``."""
     left = np.flatnonzero((x > 0) & (x < 1))
-    rest = float(x @ size) - float(x[left] @ size[left])
-    bits = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
-    x[left] = bits[np.abs(rest + bits @ size[left] - due).argmin()]
+    left = left[np.argsort(-size[left], kind="stable")]
+    z, gap = size[left], due - (float(x @ size) - float(x[left] @ size[left]))
+    if len(left) <= 14:
+        bits = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        x[left] = bits[np.abs(bits @ z - gap).argmin()]
+        return
+    take = np.zeros(len(left), bool)
+    for i, s in enumerate(z):
+        take[i] = abs(gap - s) < abs(gap)
+        gap -= s if take[i] else 0
+    while True:
+        move = np.append(np.where(take, z, -z), 0)  # what a flip adds to the gap; the last flips nothing
+        after = np.abs(gap + move[:, None] + move)
+        np.fill_diagonal(after, np.inf)
+        i, j = np.unravel_index(after.argmin(), after.shape)
+        if after[i, j] >= abs(gap):
+            break
+        gap += move[i] + move[j]
+        for k in (i, j):
+            if k < len(take):
+                take[k] = not take[k]
+    x[left] = take
 
 
 def _fly(final: bool):
@@ -118,6 +138,7 @@ def _fly(final: bool):
 
 def copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target and copies (how often the mix takes the row)."""
+    block = max(block, 4 * (SPARE + 2))  # each round must shrink
     sized = materialize(sizes(docs), "sizes")
     aim = targets(sized)
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -158,8 +179,8 @@ def mix(docs: DataFrame) -> DataFrame:
     Rows alike in id, source and size share their copies evenly, rounded.
     """
     n = copies(docs).groupBy("doc_id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("n")).where("n > 0")
-    n = n.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "n")
+    n = n.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("n").alias("__n"))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     rows = docs.withColumn("__size", size)
-    rows = rows.join(n, rows["doc_id"].eqNullSafe(n["d"]) & rows["source"].eqNullSafe(n["s"]) & (rows["__size"] == n["z"]))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "n")).alias("__copy")).drop("__copy")
+    rows = rows.join(n, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__n")).alias("__copy")).drop("__copy")
