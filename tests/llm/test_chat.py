@@ -34,8 +34,10 @@ def test_blocks_equal_plain_viterbi(spark, model):
     texts = [rnd.choice(["user: hi?", "x " * rnd.randint(1, 90), "", "one two ?"]) for _ in range(900)]
     df = spark.createDataFrame([(7, i, None, t, "p", "b", "n") for i, t in enumerate(texts)], DDL)
     emit = np.stack([model.score(chat.look(t, i == 0)) for i, t in enumerate(texts)])
-    want = [model.roles[k] for k in chat.trace(model.start, model.step, emit)]
-    assert [r.role_pred for r in chat.parse(df, model).orderBy("turn").collect()] == want
+    best = chat.trace(model.start, model.step, emit)
+    got = [model.roles.index(r.role_pred) for r in chat.parse(df, model).orderBy("turn").collect()]
+    score = lambda p: model.start[p[0]] + sum(emit[i, s] for i, s in enumerate(p)) + sum(model.step[a, b] for a, b in zip(p, p[1:], strict=False))
+    assert len(got) == 900 and score(got) == pytest.approx(score(best), rel=1e-12)  # equally good paths may differ
 
 
 def test_viterbi_equals_all_paths(model):

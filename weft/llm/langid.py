@@ -167,8 +167,8 @@ def train(docs: DataFrame, usable=None, per_lang: int = PER_LANG) -> Model | Non
     return fit([(a, np.frombuffer(b, "<u2"), np.frombuffer(c, "<f2")) for a, b, c in zip(lang, k, v, strict=True)])
 
 
-def predict(docs: DataFrame, model: Model | None, extra: list[str] = ()) -> DataFrame:
-    """doc_id, ``extra`` columns, lang_pred, score and rejected for every row."""
+def _predicted(docs: DataFrame, model: Model | None, extra: list[str] = ()) -> DataFrame:
+    """doc_id and ``extra`` columns, with the language, the score and whether it is rejected."""
     keep = ["doc_id", *extra]
 
     def run(batches):
@@ -184,13 +184,18 @@ def predict(docs: DataFrame, model: Model | None, extra: list[str] = ()) -> Data
                 scores.append(score)
             bad = [lang == "und" or score < model.reject for lang, score in zip(langs, scores, strict=True)]
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bad, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bad, pa.bool_())], [*keep, "__lang", "__score", "__rejected"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, rejected boolean"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", __lang string, __score double, __rejected boolean"
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang_pred, score and rejected for every row."""
+    return _predicted(docs, model).toDF("doc_id", "lang_pred", "score", "rejected")
+
+
 def op8(docs: DataFrame) -> DataFrame:
     fold = crc_fold(F.col("doc_id"), 3)
     model = train(docs, fold != 1)
@@ -201,4 +206,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents whose language is rejected go."""
     model = train(docs, crc_fold(F.col("doc_id"), 3) != 1)
     extra = [c for c in docs.columns if c != "doc_id"]
-    return predict(docs, model, extra).where(~F.col("rejected")).select(*docs.columns)
+    return _predicted(docs, model, extra).where(~F.col("__rejected")).select(*docs.columns)

@@ -223,7 +223,7 @@ def _cut(keep: list[str], window: int):
         for batch in slices(batches):
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             n_words, n_gone, kept = [], [], []
-            for raw, runs in zip(blobs(batch), col["runs"].to_pylist(), strict=True):
+            for raw, runs in zip(blobs(batch), col["__runs"].to_pylist(), strict=True):
                 words = raw.split()
                 n_words.append(len(words))
                 if not runs:
@@ -237,19 +237,23 @@ def _cut(keep: list[str], window: int):
                 stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                 n_gone.append(len(words) - len(stay))
                 kept.append(b" ".join([words[i] for i in stay]).decode())
-            yield pa.RecordBatch.from_arrays([*(col[c] for c in keep), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], [*keep, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(col[c] for c in keep), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], [*keep, "__words", "__removed", "__kept"])
 
     return run
 
 
-def dedup(docs: DataFrame, extra: list[str] = (), window: int = WINDOW) -> DataFrame:
-    """doc_id, ``extra``, n_words, n_removed and kept: the words that stay, one space apart."""
+def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed and kept: the words that stay, one space apart."""
+    return _deduped(docs, [], window).toDF("doc_id", "n_words", "n_removed", "kept")
+
+
+def _deduped(docs: DataFrame, extra: list[str], window: int) -> DataFrame:
     keep = ["doc_id", *extra]
     rows = docs.select(*dict.fromkeys([*keep, "text"]), F.coalesce("doc_id", F.lit(int(NO_ID))).alias("__id"), _tag().alias("__tag"))
-    got = spans(docs, window)
-    rows = rows.join(got, (rows["__id"] == got["id"]) & (rows["__tag"] == got["tag"]), "left").select(*dict.fromkeys([*keep, "text"]), "runs")
+    got = spans(docs, window).toDF("__id2", "__tag2", "__runs")
+    rows = rows.join(got, (F.col("__id") == F.col("__id2")) & (F.col("__tag") == F.col("__tag2")), "left").select(*dict.fromkeys([*keep, "text"]), "__runs")
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_words long, n_removed long, kept string"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", __words long, __removed long, __kept string"
     return rows.mapInArrow(_cut(keep, window), schema)
 
 
@@ -262,7 +266,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     A text that lost words holds the others one space apart, and n_chars follows.
     """
-    got = dedup(docs, [c for c in docs.columns if c != "doc_id"])
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
+    got = _deduped(docs, [c for c in docs.columns if c != "doc_id"], WINDOW)
+    changed = F.col("__removed") > 0
+    new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))}
     return got.select(*(new[c].alias(c) if c in new else c for c in docs.columns))

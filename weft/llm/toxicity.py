@@ -52,7 +52,7 @@ INSULT = frozenset(w.encode() for w in INSULTS.split())
 SECOND_PERSON = frozenset(w.encode() for w in SECOND.split())
 PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum() and c > 32)
 _BLANK = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
-MASKED = re.compile(rb"[a-z]+[0-9@$!*|._-][a-z0-9@$!*|._-]*[a-z]")
+MASKED = re.compile(rb"[0-9@$!|]+[a-z][a-z0-9@$!*|._-]*[a-z]|[a-z]+[0-9@$!*|._-][a-z0-9@$!*|._-]*[a-z]")
 DRAWN = re.compile(rb"([a-z])\1\1+")
 _UPPER, _LOWER = np.arange(65, 91), np.arange(97, 123)
 NAMES = ["insults", "n_insults", "learned", "n_learned", "near_second", "second", "capitals", "caps_words", "exclaim", "question", "punct", "digits", "masked", "masked_hits", "drawn", "length", "word_length", "distinct"]
@@ -211,6 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, most: int = TRAIN) ->
     top = counts.where((F.col("bad") >= max(LEAST_ROWS, LEAST_SHARE * n_bad)) & (odds >= LEAST_ODDS)).orderBy(odds.desc(), "w").limit(LEARNED).collect()
     learned = frozenset(bytes(r["w"]) for r in top)
     table = got.mapInArrow(_featured(learned, ["doc_id", "toxic"]), "doc_id long, toxic int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    if not len(table):
+        return float(n_bad / (n_bad + n_good))
     x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, len(NAMES)).astype(float)
     return fit(x, table["toxic"].to_numpy(), learned)
 
