@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -17,10 +18,20 @@ def drain(df, name, spark, mode="append"):
     return spark.table(name)
 
 
+def polled(df, name, spark, n, seconds=60):
+    """Rows of a query whose timers never let it end by itself."""
+    q = df.writeStream.outputMode("append").format("memory").queryName(name).start()
+    until = time.time() + seconds
+    while spark.table(name).count() < n and time.time() < until:
+        time.sleep(0.5)
+    q.stop()
+    return spark.table(name)
+
+
 def test_status_machine(spark, tmp_path):
     feed(spark, tmp_path / "in", [("a", "send_message", "2024-01-01T00:00:00Z"), ("a", "send_message", "2024-01-01T00:00:01Z"), ("a", "ask_user", "2024-01-01T00:00:02Z"), ("b", "reply_user", "2024-01-01T00:00:02Z"), ("a", "reply_user", "2024-01-01T00:00:03Z"), ("a", "execution_complete", "2024-01-01T00:00:04Z")])
     rows = ev.from_lines(spark, str(tmp_path / "in")).select("session_id", F.try_element_at("payload", F.lit("seq")).cast("long").alias("seq"), "event")
-    got = {(r.session_id, r.seq): (r.status, r.accepted) for r in drain(ev.statuses(rows), "st", spark).collect()}
+    got = {(r.session_id, r.seq): (r.status, r.accepted) for r in polled(ev.statuses(rows), "st", spark, 6).collect()}
     assert got == {("a", 0): ("running", True), ("a", 1): ("running", False), ("a", 2): ("awaiting_user", True), ("b", 3): ("idle", False), ("a", 4): ("resuming", True), ("a", 5): ("completed", True)}
 
 
