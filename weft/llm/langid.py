@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import crc_fold, slices
 
 BITS, ORDERS, DIM = 15, (2, 3, 4), 12
-PER_LANG, EPOCHS, RATE, BATCH = 500, 10, 0.4, 32
+PER_LANG, EPOCHS, STEPS, RATE, BATCH = 500, 10, 500, 0.4, 32
 LETTER = re.compile(r"[^\W\d_]")
 _K, _M = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
@@ -121,8 +121,9 @@ def fit(rows: list[tuple], seed: int = 7) -> Model | None:
     out = rng.normal(0, 0.3, (DIM, len(langs))).astype(np.float32)
     bias = np.zeros(len(langs), np.float32)
     # A row touches each bucket with a weight near 1/length, so the embedding step is scaled up.
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(train)))  # small samples go round more often
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         todo = rng.permutation(train)
         for i in range(0, len(todo), BATCH):
             part = todo[i : i + BATCH]
@@ -148,8 +149,8 @@ def fit(rows: list[tuple], seed: int = 7) -> Model | None:
     p = np.exp(s - s.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     right = p.max(axis=1)[p.argmax(axis=1) == want]
-    # Rejects below half, and never more than one in a thousand right calibration rows.
-    reject = min(0.5, float(np.quantile(right, 0.001))) if len(right) else 0.0
+    # Rejects below half, and well below what all but one in a thousand right calibration rows reach.
+    reject = min(0.5, 0.8 * float(np.quantile(right, 0.001))) if len(right) else 0.0
     return Model(langs, (emb @ out).astype(np.float32), bias, float(temperature), reject)
 
 
