@@ -87,7 +87,7 @@ def ids(batch: pa.RecordBatch, column: str = "doc_id") -> np.ndarray:
 class Memo(dict):
     """A bounded cache of ``make(word)``; it is emptied when full."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
         self.make, self.most = make, most
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, Memo, blobs, even_keys, ids, near_partitions, slices
 
-WINDOW, GRAM, BATCH_BYTES = 13, 5, 6 << 20
+WINDOW, GRAM, BATCH_BYTES = 13, 5, 4 << 20
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
