@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import blobs, crc_fold, slices
 
 TRAIN, TREES, DEPTH, RATE, BINS = 12_000, 100, 3, 0.15, 32
-LEARNED, LEAST_ROWS, LEAST_SHARE, LEAST_ODDS, NEAR = 200, 4, 0.02, 4.0, 5
+LEARNED, LEAST_ROWS, LEAST_SHARE, LEAST_ODDS, NEAR = 200, 4, 0.005, 4.0, 5
 
 # Insults and second-person words of four languages.
 INSULTS = """
