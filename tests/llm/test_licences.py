@@ -53,5 +53,35 @@ def test_places_bound_is_safe():
         assert bool(scanner.scan(" ".join(text))) == (most >= 0.8 * len(t)) or most < 0.9 * len(t)
 
 
+def test_copies_back_to_back_and_after_failed_places():
+    t = licences.TEMPLATES["reserved-line"]
+    scanner = licences.Scanner({"x": t})
+    assert [r[1:] for r in scanner.scan(f"All rights reserved. {t}")] == [(1.0, 3, 7, 4)]
+    assert [r[2:4] for r in scanner.scan(f"{t} {t} {t}")] == [(0, 4), (4, 8), (8, 12)]
+    gpl = licences.TEMPLATES["GPL-3.0-line"]
+    scanner = licences.Scanner({"x": gpl})
+    assert [r[2:4] for r in scanner.scan(f"{gpl} {gpl}")] == [(0, 12), (12, 24)]
+    bag = " ".join(reversed(licences.words(gpl)[3:]))
+    assert [r[1:4] for r in scanner.scan(f"{bag} {gpl}")] == [(1.0, 9, 21)]
+
+
+def test_scan_equals_aligning_everything():
+    """Against aligning the template with every stretch, down to the least coverage."""
+    rnd = random.Random(4)
+    for name in ("GPL-3.0-line", "CC-BY-line"):
+        t = licences.words(licences.TEMPLATES[name])
+        scanner, width = licences.Scanner({"x": licences.TEMPLATES[name]}), int(len(t) * licences.SLACK)
+        seen = set()
+        for _ in range(15):
+            text = [rnd.choice([*t, "zz", "yy"]) for _ in range(5)]
+            for _ in range(2):
+                text += [w for w in t if rnd.random() > 0.17] + [rnd.choice([*t, "zz"]) for _ in range(rnd.randrange(3))]
+            most = max(len(licences.patience(text[i:j], t)) for i in range(len(text)) for j in range(i + 1, min(i + width, len(text)) + 1))
+            got = scanner.scan(" ".join(text))
+            seen.add(bool(got))
+            assert bool(got) == (most >= 0.8 * len(t)) and max((r[4] for r in got), default=0) == (most if got else 0)
+        assert True in seen
+
+
 def test_hard_rows_and_none(hard, empty):
     assert licences.op7(hard).count() == 0 == licences.op7(empty).count() and hard_rows()

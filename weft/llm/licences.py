@@ -6,9 +6,13 @@ is kept, and the gaps between the anchors are aligned the same way, down to equa
 ends. Coverage is the aligned share of the template's words. A license is
 reported where coverage reaches ``LEAST``.
 
-Before aligning, each template's places are found by an exact bound: a stretch of
-the text can only reach the coverage if it holds that many words of the template.
-Every such place is aligned, so a text may report a license several times.
+A place begins at a word of the template and is at most ``SLACK`` template sizes
+long (plus ``GAPS`` for a notice with a holder in it). Before aligning, places are
+left out by exact bounds only: a stretch can reach the coverage only if it holds
+that many words of the template, and a common subsequence of that length. Every
+other place is aligned; of places of one template that overlap, the best covered
+is reported, the shortest and then the first of equals, so a text may report a
+license several times, back to back as well.
 
 Defined edge cases: a null text is empty; repeated rows each report; a null id is
 carried through; other columns are ignored; templates are a parameter.
@@ -47,6 +51,8 @@ TEMPLATES = {
     "CC-BY-NC-line": "Licensed under CC BY-NC 4.0.",
     "reserved-line": "Copyright. All rights reserved.",
 }
+#: Words of years and holders that may stand in the notice.
+GAPS: dict[str, int] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -107,23 +113,27 @@ def _once(x, lo: int, hi: int) -> dict:
     return {w: i for w, i in seen.items() if i >= 0}
 
 
-def places(mine: np.ndarray, size: int, least: float) -> list[tuple[int, int]]:
-    """Stretches of a text that can reach the coverage; ``mine`` marks the template's words."""
-    width = max(size, int(size * SLACK))
+def places(mine: np.ndarray, size: int, least: float, gap: int = 0) -> list[tuple[int, int]]:
+    """Every stretch of a text that can reach the coverage by its number of template words, which ``mine`` marks."""
+    width = max(size, int(size * SLACK)) + gap
     total = np.concatenate([[0], np.cumsum(mine)])
     start = np.flatnonzero(mine)
     end = np.minimum(start + width, len(mine))
-    dense = total[end] - total[start]
-    ok = dense >= least * size
-    out = []
-    start, end, dense = start[ok], end[ok], dense[ok]
-    while len(start):
-        # within overlapping candidates the densest, the first of equals
-        near = start < end[0]
-        best = int(np.flatnonzero(near)[dense[near].argmax()])
-        out.append((int(start[best]), int(end[best])))
-        later = start >= end[best]
-        start, end, dense = start[later], end[later], dense[later]
+    ok = total[end] - total[start] >= least * size
+    return list(zip(start[ok].tolist(), end[ok].tolist(), strict=True))
+
+
+def growth(stretch: list[str], masks: dict[str, int], size: int) -> list[tuple[int, int]]:
+    """(end, length) wherever the longest common subsequence with the template grows, by bits."""
+    full = (1 << size) - 1
+    v, n, out = full, 0, []
+    for i, w in enumerate(stretch):
+        u = v & masks.get(w, 0)
+        if u:
+            v = ((v + u) | (v - u)) & full
+            if size - v.bit_count() > n:
+                n += 1
+                out.append((i + 1, n))
     return out
 
 
@@ -133,6 +143,25 @@ class Scanner:
         self.templates = [(name, words(t)) for name, t in (templates or TEMPLATES).items()]
         self.distinct = [frozenset(t) for _, t in self.templates]
         self.every = frozenset().union(*self.distinct)
+        self.masks = [{w: sum(1 << i for i, x in enumerate(t) if x == w) for w in t} for _, t in self.templates]
+
+    def align(self, stretch: list[str], t: list[str], masks: dict[str, int]) -> list[tuple[int, int]]:
+        """The best alignment of a stretch or of a shorter one with the same start, if it reaches the coverage."""
+        need = self.least * len(t)
+        grown = growth(stretch, masks, len(t))
+        if not grown or grown[-1][1] < need:
+            return []  # no alignment is longer than the longest common subsequence
+        most, best = grown[-1][1], []
+        tight = [e for e, n in reversed(grown) if n >= need]
+        for e in tight:
+            best = max(best, patience(stretch[:e], t), key=len)
+            if len(best) == most:
+                return best
+        if len(best) < need:  # words that come again hide anchors; other ends may bare them
+            for e in range(int(need), len(stretch) + 1):
+                if stretch[e - 1] in masks or e == len(stretch):
+                    best = max(best, patience(stretch[:e], t), key=len)
+        return best if len(best) >= need else []
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, start, end, aligned words) by place."""
@@ -141,15 +170,21 @@ class Scanner:
         out = []
         if not common:
             return out
-        for (name, t), own in zip(self.templates, self.distinct, strict=True):
+        for (name, t), own, masks in zip(self.templates, self.distinct, self.masks, strict=True):
             # Each missing word costs at least one position of the template.
             if len(own - common) > (1 - self.least) * len(t):
                 continue
             mine = np.fromiter((w in own for w in got), bool, len(got))
-            for lo, hi in places(mine, len(t), self.least):
-                pairs = patience(got[lo:hi], t)
-                if len(pairs) >= self.least * len(t):
-                    out.append((name, len(pairs) / len(t), lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs)))
+            found = []
+            for lo, hi in places(mine, len(t), self.least, GAPS.get(name, 0)):
+                pairs = self.align(got[lo:hi], t, masks)
+                if pairs:
+                    found.append((-len(pairs), pairs[-1][0] - pairs[0][0] + 1, lo + pairs[0][0]))
+            taken = bytearray(len(got))
+            for n, span, lo in sorted(set(found)):
+                if 1 not in taken[lo : lo + span]:
+                    taken[lo : lo + span] = b"\1" * span
+                    out.append((name, -n / len(t), lo, lo + span, -n))
         return sorted(out, key=lambda r: (r[2], r[0]))
 
 
