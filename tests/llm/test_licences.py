@@ -83,5 +83,14 @@ def test_scan_equals_aligning_everything():
         assert True in seen
 
 
+def test_rights_lines_as_documents_hold_them():
+    scanner = licences.Scanner()
+    found = lambda text: [(r[0], r[2], r[3]) for r in scanner.scan(text)]
+    assert found("Some words before.\nAll rights reserved.") == [("rights-line", 3, 6)]
+    assert found("Copyright (c) 2020 Acme Inc. All rights reserved.") == [("reserved-line", 0, 8), ("rights-line", 5, 8)]
+    assert found("Copyright (c) 2001, 2002 The Regents of the University of Somewhere. All rights reserved.")[0][0] == "reserved-line"
+    assert found("all of the rights were reserved") == []
+
+
 def test_hard_rows_and_none(hard, empty):
     assert licences.op7(hard).count() == 0 == licences.op7(empty).count() and hard_rows()

@@ -50,9 +50,10 @@ TEMPLATES = {
     "CC-BY-SA-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-line": "Licensed under CC BY-NC 4.0.",
     "reserved-line": "Copyright. All rights reserved.",
+    "rights-line": "All rights reserved.",
 }
 #: Words of years and holders that may stand in the notice.
-GAPS: dict[str, int] = {}
+GAPS = {"reserved-line": 20}
 
 
 def words(text: str | None) -> list[str]:
