@@ -76,6 +76,53 @@ def test_a_leak_into_most_documents_is_found(spark):
     assert {r.item_id for r in decontam.find(df, items).collect()} == {3} and decontam.find(df, items).count() == 50
 
 
+def test_an_edited_copy_is_found_beside_many_of_its_opening(spark):
+    """Its intact words are the frequent ones; the rarer rest of the item is changed."""
+    rnd = random.Random(10)
+    w = prose(rnd, 15).split()
+    items = spark.createDataFrame([(1, " ".join(w), 1)], ITEMS)
+    edited = [x if j not in (7, 10, 13) else "other" for j, x in enumerate(w)]
+    rows = [(i, f"{prose(rnd, 20, ['pad'])} {' '.join(w[:7])} {prose(rnd, 20, ['pad'])}", "en", "s") for i in range(200)]
+    rows += [(300 + i, " ".join(w), "en", "s") for i in range(30)] + [(400, " ".join(edited), "en", "s")]
+    got = {r.doc_id: r.score for r in decontam.find(documents(spark, rows), items).collect()}
+    assert got[400] == pytest.approx(0.7) and set(got) == {*range(300, 330), 400}
+
+
+def test_copies_without_three_words_in_a_row(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight", 1)], ITEMS)
+    texts = ["one two x four five x seven eight", "one x two x three x four x five x six x seven x eight", "one two x x x three x x x four x eight"]
+    got = decontam.find(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), items).collect()
+    assert {r.doc_id: r.score for r in got} == {0: 10 / 16, 1: 9 / 16}
+
+
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=12), st.lists(st.integers(0, 9), max_size=60), st.sampled_from([0.3, 0.5, 0.8, 1.0]))
+def test_bounds_lose_nothing(item, text, least):
+    """Against aligning the item with the whole text."""
+    index = decontam.build([1], [[f"w{x}" for x in item]])
+    want = smith_waterman(item, text) / (2 * len(item))
+    got = decontam.match(index, " ".join(f"w{x}" for x in text), least)
+    assert [r[1] for r in got] == ([want] if want >= least else [])
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    rnd = random.Random(12)
+    monkeypatch.setattr(decontam, "SEGMENT", 40)
+    monkeypatch.setattr(decontam, "CELLS", 50)
+    items = [[rnd.choice("abcdefgh") for _ in range(rnd.randint(8, 12))] for _ in range(6)]
+    index = decontam.build(list(range(6)), items)
+    for _ in range(20):
+        text = [rnd.choice("abcdefghxyzuvw") for _ in range(300)]
+        want = {i: s for i, w in enumerate(items) if (s := smith_waterman(w, text) / (2 * len(w))) >= 0.5}
+        assert {r[0]: r[1] for r in decontam.match(index, " ".join(text), 0.5)} == want
+
+
+def test_items_without_an_id_are_cleaned_away(spark):
+    text = prose(random.Random(13), 20)
+    items = spark.createDataFrame([(None, text, 1)], ITEMS)
+    df = documents(spark, [(1, text, "en", "s"), (2, "clean", "en", "s")])
+    assert [r.doc_id for r in decontam.clean(df, items).collect()] == [2] and decontam.find(df, items).count() == 0
+
+
 def test_hard_rows_and_none(spark, hard, empty):
     items, _ = bench(spark, random.Random(1))
     assert decontam.find(hard, items).count() == 0

@@ -1,14 +1,14 @@
 """Operator 10: benchmark decontamination.
 
-Method: the rare 3-word grams of every test item are seeds. A first pass counts
-in how many documents each gram occurs, over the whole corpus; all grams that
-occur in at most one document in ``RARE`` seed. An item with too few of those
-(a passage that leaked widely) also gets its next rarest, up to half of the grams
-that occur at all and eight at least, by powers of two of their counts, so that
-one copy more or less does not decide. A second pass joins documents to items on the seeds
-and aligns the item with the words around its seeds by Smith-Waterman. The score
-is the alignment's share of the item's perfect score; copies with words changed,
-added or left out score lower, and ``least`` separates them from chance.
+Method: an item is aligned by Smith-Waterman with every part of a document that
+can reach the score; no part is left out by frequency. Matches are worth ``MATCH``
+and every other word of the aligned part costs one at least, so a part of s words
+with m of the item's words (each counted as often as the item has it) scores at
+most 2 m - (s - m). A document is first tested as a bag of words, then by the
+number of the item's words in windows of several lengths (``LEVELS``); both tests
+are exact. The score is the alignment's share of the item's perfect score; copies
+with words changed, added or left out score lower, and ``least`` separates them
+from chance.
 
 Items are read in blocks of at most ``BLOCK_WORDS`` words, each sent to all
 tasks; a larger benchmark takes more passes, not more memory.
@@ -16,7 +16,9 @@ tasks; a larger benchmark takes more passes, not more memory.
 Words are runs of letters, digits and underscores, lower-cased. Defined edge
 cases: null texts are empty; items under ``MIN_WORDS`` words are no evidence and
 never match; rows that repeat an id are judged one by one; a null document id is
-carried through; an empty benchmark matches nothing; other columns are ignored.
+carried through; an item without an id cannot be reported in a pair, but ``clean``
+drops the documents that hold it; an empty benchmark matches nothing; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import slices
 
-GRAM, MIN_WORDS, LEAST, BLOCK_WORDS, RARE = 3, 8, 0.5, 1_000_000, 1000
+MIN_WORDS, LEAST, BLOCK_WORDS = 8, 0.5, 1_000_000
+#: Window lengths of the bound; words of a text that are tested together; cells of a table of windows.
+LEVELS, SEGMENT, CELLS = 6, 512, 1 << 20
 MATCH, MISS, GAP = 2, -1, 1
 TOKEN = re.compile(r"\w+")
-_WIDTH = 21  # bits of a word number
 
 
 def words(text: str | None) -> list[str]:
@@ -43,29 +45,15 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Index:
-    """Items of one block: their words as numbers, and the grams that seed."""
+    """Items of one block: their words as numbers, and which items hold each word."""
 
     vocab: dict[str, int]
-    ids: np.ndarray
+    ids: list[int | None]
     items: list[np.ndarray]
-    grams: np.ndarray  # sorted, distinct
-    start: np.ndarray  # the postings of gram g are start[g]:start[g + 1]
+    size: np.ndarray
+    start: np.ndarray  # the postings of word w are start[w]:start[w + 1]
     item: np.ndarray
-    offset: np.ndarray
-
-    def find(self, nums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, gram number) of every indexed gram of a text."""
-        none = np.zeros(0, np.int64)
-        if len(nums) < GRAM or not len(self.grams):
-            return none, none
-        known = (nums[:-2] > 0) & (nums[1:-1] > 0) & (nums[2:] > 0)
-        at = np.flatnonzero(known)
-        if not len(at):
-            return none, none
-        g = gram_keys(nums, at)
-        where = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
-        ok = self.grams[where] == g
-        return at[ok], where[ok]
+    times: np.ndarray  # how often the item holds the word
 
     def numbers(self, text: str | None) -> np.ndarray:
         got = words(text)
@@ -73,55 +61,88 @@ class Index:
         return np.fromiter((get(w, 0) for w in got), np.int64, len(got))
 
 
-def gram_keys(nums, at):
-    return (nums[at] << (2 * _WIDTH)) | (nums[at + 1] << _WIDTH) | nums[at + 2]
-
-
-def build(ids: list[int], items: list[list[str]]) -> Index:
+def build(ids: list[int | None], items: list[list[str]]) -> Index:
     vocab: dict[str, int] = {}
     nums = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in ws], np.int64) for ws in items]
-    keys = [gram_keys(x, np.arange(len(x) - GRAM + 1)) for x in nums]
-    which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    offset = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
-    grams = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    return _index(vocab, np.array(ids, np.int64), nums, grams, which, offset)
-
-
-def _index(vocab, ids, nums, grams, which, offset) -> Index:
-    order = np.argsort(grams, kind="stable")
-    distinct, start = np.unique(grams[order], return_index=True)
-    return Index(vocab, ids, nums, distinct, np.append(start, len(grams)), which[order], offset[order])
-
-
-def count_grams(docs: DataFrame, index: Index) -> tuple[np.ndarray, int]:
-    """In how many documents each gram of the index occurs, and the number of documents."""
-
-    def run(batches):
-        total = np.zeros(len(index.grams) + 1, np.int64)
-        for batch in slices(batches):
-            total[-1] += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                total[np.unique(index.find(index.numbers(text))[1])] += 1
-        nz = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(nz), pa.array(total[nz])], ["g", "n"])
-
-    got = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # a row a gram of the block
-    out = np.zeros(len(index.grams) + 1, np.int64)
-    out[got["g"].to_numpy()] = got["n"].to_numpy()
-    return out[:-1], int(out[-1])
-
-
-def rare(index: Index, df: np.ndarray, n_docs: int) -> Index:
-    """The index of the seeds: rare grams, and the rarest of items that have few."""
-    gram = np.repeat(np.arange(len(index.grams)), np.diff(index.start))
-    level = np.log2(np.maximum(df, 1)).astype(int)
-    order = np.lexsort((index.grams[gram] * 0x9E3779B97F4A7C1 & 0xFFFFFFFF, level[gram], index.item))
-    order = order[df[gram[order]] > 0]
-    item = index.item[order]
-    first = np.searchsorted(item, item)
-    size = np.bincount(item, minlength=len(index.items))[item]
-    chosen = order[(df[gram[order]] <= max(n_docs // RARE, 20)) | (np.arange(len(order)) - first < np.maximum(8, (size + 1) // 2))]
-    return _index(index.vocab, index.ids, index.items, index.grams[gram[chosen]], index.item[chosen], index.offset[chosen])
+    size = np.array([len(x) for x in nums], np.int64)
+    keys = np.concatenate(nums) * len(nums) + np.repeat(np.arange(len(nums)), size)
+    keys, times = np.unique(keys, return_counts=True)
+    start = np.searchsorted(keys // len(nums), np.arange(len(vocab) + 2))
+    return Index(vocab, ids, nums, size, start, keys % len(nums), times)
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranges first[i] : first[i] + n[i] after one another."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _floor(x: np.ndarray) -> np.ndarray:
+    return np.floor(x + 1e-9).astype(np.int64)
+
+
+def _ceil(x: np.ndarray) -> np.ndarray:
+    return np.ceil(x - 1e-9).astype(np.int64)
+
+
+def regions(index: Index, nums: np.ndarray, least: float):
+    """(item number, start, end) of the parts of a text that can reach the score, by item and place."""
+    order = np.argsort(nums, kind="stable")
+    order = order[np.searchsorted(nums[order], 1) :]  # places of known words, by word
+    if not len(order):
+        return
+    held = nums[order]
+    head = np.flatnonzero(np.diff(held, prepend=0))
+    word, n = held[head], np.diff(head, append=len(held))
+    postings = index.start[word + 1] - index.start[word]
+    at = _spread(index.start[word], postings)
+    item, times, which = index.item[at], index.times[at], np.repeat(np.arange(len(word)), postings)
+    bag = np.bincount(item, np.minimum(n[which], times), len(index.items))
+    able = np.flatnonzero(bag >= _ceil(least * index.size))
+    width = len(nums) + 1
+    edges = [least * (max(least, 3 - 2 * least) / least) ** (k / LEVELS) for k in range(LEVELS + 1)]
+    for some in np.split(able, range(max(1, CELLS // width), len(able), max(1, CELLS // width))):
+        if not len(some):
+            continue
+        row = np.full(len(index.items), -1)
+        row[some] = np.arange(len(some))
+        mine = row[item] >= 0
+        w, t, r = which[mine], times[mine], row[item[mine]]
+        k = _spread(head[w], n[w])
+        w, t, r = np.repeat(w, n[w]), np.repeat(t, n[w]), np.repeat(r, n[w])
+        place = order[k]
+        # A place counts in windows that begin after the same word's place ``times`` before.
+        before = np.where(k - head[w] >= t, order[np.maximum(k - t, 0)], -1)
+        size, found = index.size[some], []
+
+        def windows(span, need):
+            begin = np.maximum(before, place - span[r]) + 1
+            cells = len(some) * width
+            held = np.cumsum(np.bincount(r * width + begin, minlength=cells) - np.bincount(r * width + place + 1, minlength=cells)).reshape(-1, width)
+            return held >= need[:, None]
+
+        # First the longest part that an alignment can take, with the fewest words.
+        ok = windows(_floor(edges[-1] * size), _ceil(least * size)).any(axis=1)
+        if not ok.any():
+            continue
+        kept = ok[r]
+        r, place, before = (np.cumsum(ok) - 1)[r[kept]], place[kept], before[kept]
+        some, size = some[ok], size[ok]
+        for low, high in zip([0.0, *edges[1:-1]], edges[1:], strict=True):
+            span = _floor(high * size)
+            rows, starts = np.nonzero(windows(span, _ceil(np.maximum(least * size, (2 * least + low) * size / 3))))
+            found.append((rows, starts, np.minimum(starts + span[rows], len(nums))))
+        rows, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((starts, rows))
+        last = None
+        for i, a, b in zip(some[rows[by]].tolist(), starts[by].tolist(), ends[by].tolist(), strict=True):
+            if last and last[0] == i and a <= last[2]:
+                last[2] = max(last[2], b)
+            else:
+                if last:
+                    yield tuple(last)
+                last = [i, a, b]
+        if last:
+            yield tuple(last)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -140,36 +161,28 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def match(index: Index, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
+def match(index: Index, text: str | None, least: float) -> list[tuple[int | None, float, int, int]]:
     """(item id, score, start, end) of every item that the text holds a copy of."""
     nums = index.numbers(text)
-    at, gram = index.find(nums)
-    if not len(at):
-        return []
-    n = index.start[gram + 1] - index.start[gram]
-    post = np.repeat(index.start[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    item, shift = index.item[post], np.repeat(at, n) - index.offset[post]
-    order = np.lexsort((shift, item))
-    item, shift = item[order], shift[order]
-    length = np.array([len(index.items[i]) for i in item])
-    new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > length[1:])
     best: dict[int, tuple[float, int, int]] = {}
-    cuts = np.append(np.flatnonzero(new), len(item))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        i, size = int(item[a]), int(length[a])
-        lo, hi = max(0, int(shift[a]) - size // 2), min(len(nums), int(shift[b - 1]) + size + size // 2)
-        got, end = align(index.items[i], nums[lo:hi])
-        score = got / (MATCH * size)
-        if score >= least and score > best.get(i, (0.0,))[0]:
-            best[i] = (score, max(lo, lo + end - size), lo + end)
-    return [(int(index.ids[i]), *v) for i, v in sorted(best.items())]
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
-    """Indexes over the items, in blocks of a bounded number of words."""
+    longest = int((3 - 2 * least) * index.size.max()) + 1  # words of a text that a copy can take
+    step = max(SEGMENT, 4 * longest)
+    for at in range(0, max(1, len(nums) - longest), step - longest):
+        part = nums[at : at + step]
+        for i, lo, hi in regions(index, part, least):
+            size = int(index.size[i])
+            got, end = align(index.items[i], part[lo:hi])
+            score = got / (MATCH * size)
+            if score >= least and score > best.get(i, (0.0,))[0]:
+                best[i] = (score, at + max(lo, lo + end - size), at + lo + end)
+    return [(index.ids[i], *v) for i, v in sorted(best.items())]
+
+
+def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS, *, nameless: bool = False):
+    """Indexes over the items (``nameless``: also those without an id), in blocks of a bounded number of words."""
     ids, items, size = [], [], 0
-    for row in benchmark.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text").toLocalIterator():
+    rows = benchmark.select("item_id", "text")
+    for row in (rows if nameless else rows.where("item_id is not null")).orderBy("item_id", "text").toLocalIterator():
         got = words(row["text"])
         if len(got) < MIN_WORDS:
             continue
@@ -190,8 +203,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFra
     """(doc_id, item_id, score, word_start, word_end) of each copy; repeats of a pair in one row of docs appear once, at the best place."""
     out = None
     for index in blocks(benchmark):
-        seeds = rare(index, *count_grams(docs, index))
-        got = docs.select("doc_id", "text").mapInArrow(_pairs(seeds, least), PAIRS)
+        got = docs.select("doc_id", "text").mapInArrow(_pairs(index, least), PAIRS)
         out = got if out is None else out.union(got)
     return docs.sparkSession.createDataFrame([], PAIRS) if out is None else out
 
@@ -211,8 +223,8 @@ def _pairs(index: Index, least: float):
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """Pipeline stage: documents that hold a copy of a benchmark item go."""
     schema, out = docs.schema, docs
-    for index in blocks(benchmark):
-        out = out.mapInArrow(_without(rare(index, *count_grams(docs, index)), least), schema)
+    for index in blocks(benchmark, nameless=True):
+        out = out.mapInArrow(_without(index, least), schema)
     return out
 
 
