@@ -30,6 +30,16 @@ def test_boilerplate_goes(model, part, frame):
         assert h.extract(f"<html><head><title>t</title></head><body>{page}</body></html>", model) == WANT
 
 
+@pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++){f()}</script>", "<SCRIPT>if(a<b)f()</Script >", "<script><!-- x=1</script>", "<style>a<b{}</style>", "<script>s='</p>'+'</scripts>'</script>"])
+def test_a_raw_element_ends_at_its_own_end_tag(model, raw):
+    assert h.extract(f"<html><body><article>{raw}{ARTICLE}{raw}</article></body></html>", model) == WANT
+
+
+def test_formulas_in_articles_stay(model):
+    page = ARTICLE.replace("Short.", "Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.")
+    assert h.extract(f"<html><body><article>{page}</article></body></html>", model) == WANT.replace("Short.", "Let x=2 hold.")
+
+
 def test_held_out_layouts(model):
     wrong = total = 0
     for html, states in h.labelled_pages(120, 99):

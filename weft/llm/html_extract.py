@@ -38,10 +38,10 @@ STRUCTURE, CONTENT, BOILER = 0, 1, 2
 N_PAGES, SEED = 600, 11
 
 # Element names by what HTML makes of them.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SILENT = frozenset("head script style form template noscript select textarea title button svg math object canvas audio video iframe option datalist dialog".split())
+SILENT = frozenset("head script style form template noscript select textarea title button svg annotation annotation-xml object canvas audio video iframe option datalist dialog".split())
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 # Words in class, id and role by what they announce.
@@ -62,6 +62,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 NAME = re.compile(r"[a-z]+")
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 
 
 class Page:
@@ -137,24 +138,19 @@ class Page:
         self._fresh |= tag not in INLINE
 
     def _read(self, html: str) -> None:
-        at, raw = 0, None
-        for m in TOKEN.finditer(html):
-            tag = (m.group(2) or "").lower()
-            if raw:
-                if not (m.group(1) and tag == raw):
-                    continue
-                raw = None
-            else:
-                self._text(html[at : m.start()])
-                if m.group(1):
-                    self._close(tag)
-                elif tag in RAW:
-                    raw = tag
-                elif tag:
-                    self._open(tag, m.group(3))
+        at = 0
+        while m := TOKEN.search(html, at):
+            self._text(html[at : m.start()])
             at = m.end()
-        if not raw:
-            self._text(html[at:])
+            tag = (m.group(2) or "").lower()
+            if m.group(1):
+                self._close(tag)
+            elif tag in RAW:  # nothing but its own end tag ends it
+                end = END[tag].search(html, at)
+                at = end.end() if end else len(html)
+            elif tag:
+                self._open(tag, m.group(3))
+        self._text(html[at:])
 
 
 def traits(page: Page) -> list[list[str]]:
