@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from weft import catalog
 from weft.functions.text import char_jaccard, days_since, memory_keywords, task_keywords
 from weft.operators import memory
 
@@ -38,3 +41,48 @@ def test_profile_budget(spark):
     df = spark.createDataFrame(rows, "user string, cat_pos int, category string, pos int, content string, stale boolean")
     got = memory.profile_block(df, 60).first().block.split("\n")
     assert got == ["## a", "- " + "x" * 10, "- (...更多偏好已省略)", "## b", "- ⚠️ [可能已过时] zz"]
+
+
+def _plain_merge(items, increments):
+    """One category: (content, stale) after increments, comparing all pairs."""
+    kept = [[c, s] for c, s in items]
+    for x in increments:
+        if x:
+            hit = next((k for k in kept if k[0] is not None and (x in k[0] or k[0] in x)), None)
+            if hit:
+                hit[:] = [x, False]
+            else:
+                kept.append([x, False])
+    return kept
+
+
+def test_profile_merge_equals_the_plain_fold(spark):
+    rnd = random.Random(2)
+    text = lambda: "".join(rnd.choice("ab ") for _ in range(rnd.choice([0, 1, 3, 5, 9, 70])))
+    base = ["".join(rnd.choice("abcdefgh") for _ in range(90)) for _ in range(6)]
+    some = lambda: rnd.choice([text(), base[rnd.randrange(6)], base[rnd.randrange(6)][rnd.randrange(9) : rnd.randrange(60, 90)]])
+    want, old, new = {}, [], []
+    for c in "wxyz":
+        items, more = [(some(), rnd.random() < 0.5) for _ in range(8)], [some() for _ in range(40)]
+        items.append((None, True))
+        old += [(c, i, t, "2024-01-01", s) for i, (t, s) in enumerate(items)]
+        new += [(i, c, t) for i, t in enumerate(more)]
+        want[c] = _plain_merge(items, more)
+    got = memory.merge_profile(spark.createDataFrame(old, "category string, pos long, content string, updated_at string, stale boolean"), spark.createDataFrame(new, "seq long, category string, content string"), "2025-01-01").orderBy("category", "pos").collect()
+    assert {c: [[r.content, r.stale] for r in got if r.category == c] for c in "wxyz"} == want
+
+
+def test_profile_merge_query_takes_whole_texts_and_categories(spark, sf):
+    groups = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
+        groups.setdefault("-".join(x for x in (r.source, r.lang) if x is not None), []).append(r)
+    want = {c: _plain_merge([(r.text, False) for r in rs if r.doc_id % 2 == 0], [r.text for r in rs if r.doc_id % 2]) for c, rs in groups.items()}
+    got = {}
+    for r in catalog.QUERIES["mg01_profile_merge"](spark, sf).orderBy("category", "pos").collect():
+        got.setdefault(r.category, []).append([r.content, r.stale])
+    assert got == want
+
+
+def test_profile_block_query_has_one_block_a_user(spark, sf):
+    users = [r.user for r in catalog.QUERIES["wn04_profile_block"](spark, sf).collect()]
+    assert sorted(users) == sorted(r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,34 @@ def mark_stale(preferences: DataFrame, as_of: str, days: int = EXPIRY_DAYS) -> D
     return preferences.withColumns({"stale": F.when(old, True).otherwise(F.col("stale")), "confidence": F.when(old, 0.5).otherwise(F.col("confidence"))})
 
 
+def related(texts: list[str]) -> list[set[int]]:
+    """For each of distinct texts, the numbers of those that it contains or that contain it, itself too.
+
+    A text is looked up by its first characters, as many as the largest power of
+    two up to 64 that it has, at every place of the others. Null is related to none.
+    """
+    near: list[set[int]] = [{i} if x is not None else set() for i, x in enumerate(texts)]
+    heads: dict[int, dict[str, list[int]]] = {}
+    for i, x in enumerate(texts):
+        if x:
+            n = min(64, 1 << (len(x).bit_length() - 1))
+            heads.setdefault(n, {}).setdefault(x[:n], []).append(i)
+    blank = [i for i, x in enumerate(texts) if x == ""]
+    for j, y in enumerate(texts):
+        if y is None:
+            continue
+        inside = set(blank)
+        for n, head in heads.items():
+            for at in range(len(y) - n + 1):
+                for i in head.get(y[at : at + n], ()):
+                    if y.startswith(texts[i], at):
+                        inside.add(i)
+        near[j] |= inside
+        for i in inside:
+            near[i].add(j)
+    return near
+
+
 def merge_profile(items: DataFrame, increments: DataFrame, as_of: str) -> DataFrame:
     """Profile items after increments, taken one by one in order.
 
@@ -49,19 +79,32 @@ def merge_profile(items: DataFrame, increments: DataFrame, as_of: str) -> DataFr
     category, content. An increment replaces the first item of its category that
     contains it or is contained in it, and is appended otherwise; empty ones are
     skipped, and a missing category is "other". The fold is sequential by
-    definition, so a category (a user's preferences of one kind) is one group.
+    definition, so a category is one group and must fit one task's memory; which
+    texts contain each other is looked up beforehand, not by comparing all pairs.
     """
     old = items.select("category", F.lit(0).alias("kind"), F.col("pos").cast("long").alias("seq"), "content", "updated_at", "stale")
     new = increments.where(F.coalesce("content", F.lit("")) != "").select(F.coalesce("category", F.lit(OTHER)).alias("category"), F.lit(1).alias("kind"), F.col("seq").cast("long"), "content", F.lit(as_of).alias("updated_at"), F.lit(False).alias("stale"))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["kind", "seq"], kind="stable")
+        number = {x: i for i, x in enumerate(dict.fromkeys(part["content"]))}
+        near = related(list(number))
+        holds: list[list[int]] = [[] for _ in number]  # a heap of places for each text; a place may hold another by now
         kept: list[list] = []
-        for row in part.sort_values(["kind", "seq"], kind="stable").itertuples(index=False):
-            hit = next((k for k in kept if row.content in k[0] or k[0] in row.content), None) if row.kind else None
-            if hit is None:
-                kept.append([row.content, row.updated_at, bool(row.stale)])
+        for row in part.itertuples(index=False):
+            me, hit = number[row.content], len(kept)
+            for i in near[me] if row.kind else ():
+                while holds[i] and kept[holds[i][0]][3] != i:
+                    heapq.heappop(holds[i])
+                if holds[i]:
+                    hit = min(hit, holds[i][0])
+            if hit == len(kept):
+                kept.append([row.content, row.updated_at, bool(row.stale), me])
+                heapq.heappush(holds[me], hit)
             else:
-                hit[:] = [row.content, row.updated_at, False]
+                if kept[hit][3] != me:
+                    heapq.heappush(holds[me], hit)
+                kept[hit] = [row.content, row.updated_at, False, me]
         return pd.DataFrame({"category": part["category"].iloc[0], "pos": range(len(kept)), "content": [k[0] for k in kept], "updated_at": [k[1] for k in kept], "stale": [k[2] for k in kept]})
 
     return old.unionByName(new).groupBy("category").applyInPandas(fold, "category string, pos long, content string, updated_at string, stale boolean")

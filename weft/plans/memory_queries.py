@@ -72,7 +72,7 @@ def st06_jaccard(spark, sf_dir):
 @query()
 def mg01_profile_merge(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
-    rows = d.select(F.concat_ws("-", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string")).alias("category"), F.col("doc_id").alias("seq"), F.left("text", F.lit(12)).alias("content"))
+    rows = d.select(F.concat_ws("-", "source", "lang").alias("category"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
     old = rows.where("seq % 2 = 0").select("category", F.col("seq").alias("pos"), "content", F.lit("2024-01-01T00:00:00Z").alias("updated_at"), F.lit(False).alias("stale"))
     return memory.merge_profile(old, rows.where("seq % 2 = 1"), AS_OF)
 
@@ -129,7 +129,7 @@ def wn03_inject(spark, sf_dir):
 @query()
 def wn04_profile_block(spark, sf_dir):
     e = views.entries(spark, sf_dir).where("pos >= 0")
-    rows = e.select(F.concat_ws("-", "slug", F.floor(F.col("pos") / 500).cast("string")).alias("user"), (F.col("pos") % 7).alias("cat_pos"), F.concat(F.lit("c"), (F.col("pos") % 7).cast("string")).alias("category"), "pos", F.col("title").alias("content"), (F.col("pos") % 5 == 0).alias("stale"))
+    rows = e.select(F.col("slug").alias("user"), (F.col("pos") % 7).alias("cat_pos"), F.concat(F.lit("c"), (F.col("pos") % 7).cast("string")).alias("category"), "pos", F.col("title").alias("content"), (F.col("pos") % 5 == 0).alias("stale"))
     return memory.profile_block(rows)
 
 
