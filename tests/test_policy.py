@@ -65,3 +65,9 @@ def test_audit_sink_and_retention(spark, tmp_path):
 def test_commands(spark):
     df = spark.createDataFrame([("ls -l",), ("rm x",), ("",), (None,)], "c string")
     assert [r.ok for r in df.select(policy.allowed_command(F.col("c")).alias("ok")).collect()] == [True, False, False, False]
+
+
+def test_policies_beyond_ten_thousand_count(spark):
+    table = spark.range(10_050).select(F.col("id").cast("int").alias("ord"), F.lit("*").alias("p_subject"), F.lit("^x$").alias("p_action"), F.concat(F.lit("^r"), "id", F.lit("$")).alias("p_resource"), F.lit("deny").alias("effect"))
+    calls = spark.range(10_050).select("id", F.lit("u").alias("subject"), F.lit("x").alias("action"), F.concat(F.lit("r"), "id").alias("resource")).where("id % 1000 = 49")
+    assert [r.decision for r in policy.decide_join(calls, table, "id").collect()] == ["deny"] * 11

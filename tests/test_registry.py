@@ -90,3 +90,12 @@ def test_messages_round_trip(spark):
     assert row.content == "hi\nhm" and row.tool_calls[0].tool_name == "t" and row.name == "n"
     flags = df.select(messages.is_valid().alias("v"), messages.is_tool_call().alias("c"), messages.is_tool_result().alias("r")).first()
     assert (flags.v, flags.c, flags.r) == (True, True, False)
+
+
+def test_agents_beyond_ten_thousand_count(spark):
+    n = 10_050
+    agents = spark.range(n).select(F.col("id").alias("pos"), F.concat(F.lit("a"), "id").alias("agent"), F.concat(F.lit("skill"), "id").alias("skill"), F.lit("").alias("description"))
+    asked = spark.range(n).select(F.concat(F.lit("skill"), "id").alias("query")).where("query rlike '00[0-9][0-9]$'")
+    got = registry.match_skill(asked, agents).where("level = 1")
+    assert got.count() == asked.count() and got.where("query = 'skill10049'").count() == 1
+    assert registry.catalog_text(agents).first()["catalog"].count("\n") == n - 1

@@ -175,11 +175,11 @@ def match_skill(queries: DataFrame, agents: DataFrame) -> DataFrame:
 
     ``queries``: query; ``agents``: pos, agent, skill, description. 1: equal names
     (the first agent only); 2: one name inside the other, from three characters on;
-    3: the description holds the query or a part of it. A catalog of agents is a
-    short list, checked and broadcast; each query meets it once.
+    3: the description holds the query or a part of it. Each query meets
+    the whole catalog of agents once; Spark chooses which side is broadcast.
     """
     q = queries.withColumn("q", normalize_skill("query")).where("q != ''")
-    a = F.broadcast(agents.limit(10_000)).withColumn("s", normalize_skill("skill")).withColumn("d", F.lower("description"))
+    a = agents.withColumn("s", normalize_skill("skill")).withColumn("d", F.lower("description"))
     level = (
         F.when(F.col("q") == F.col("s"), 1)
         .when((F.length("q") >= 3) & (F.col("s").contains(F.col("q")) | F.col("q").contains(F.col("s"))), 2)
@@ -235,8 +235,7 @@ def available(wanted: DataFrame, registered: DataFrame) -> DataFrame:
 def catalog_text(agents: DataFrame) -> DataFrame:
     """The agents' catalog as one text, a line each."""
     line = F.concat(F.lit("- "), F.col("agent"), F.lit(": "), F.col("description"))
-    short = agents.limit(10_000)
-    return short.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n").alias("catalog"))
+    return agents.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n").alias("catalog"))
 
 
 def skill_prompt(skills: DataFrame) -> DataFrame:
