@@ -1,11 +1,9 @@
-"""Operator 4: substring deduplication by relative Lempel-Ziv parsing.
-
-Every document is factored against the documents with smaller ids: a factor is
-a longest stretch of words that the indexed reference also has, and factors of
-``window`` words or more are duplicate spans. To hold the reference in blocks,
-a stretch is looked up window by window, which also settles what happens where
-two factors meet: a window across a factor's boundary counts only if the whole
-window is in the reference.
+"""Operator 4: substring deduplication by looking up windows of words.
+
+Every document is compared with the documents with smaller ids: a stretch all of
+whose ``window``-word windows they also have is a duplicate span. This replaces a
+greedy relative Lempel-Ziv parse; no factors and no index of the whole reference
+are built, as windows can be looked up in blocks of the reference.
 
 Windows with equal words must meet in one block. A window's anchor is the
 smallest hash among its 5-word grams, so neighbouring windows mostly share it:
