@@ -5,6 +5,8 @@ import pytest
 from brute import split, targets
 from conftest import documents, hard_rows, prose
 
+from pyspark.sql import functions as F
+
 from weft.llm import mixing
 
 
@@ -71,3 +73,26 @@ def test_stage_repeats_documents(spark):
     n = {r.doc_id: r.copies for r in mixing.copies(df).collect()}
     got = mixing.mix(df).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {k: v for k, v in n.items() if v}
+
+
+def test_stage_takes_what_the_mix_takes(spark):
+    """Null and repeated ids keep their own copies, beside columns of any name."""
+    rnd = random.Random(6)
+    rows = [(i, prose(rnd, 10), "en", "a") for i in range(300)] + [(None, prose(rnd, 10), "en", "b") for _ in range(150)] + [(None, "w " * 10, "en", "b")] * 100 + [(7, "w " * 10, "en", "b")] * 50
+    df = documents(spark, rows).withColumns({c: F.lit("x") for c in ("__size", "__d", "mix_row", "row", "mark", "copies")})
+    want = {r.source: r.taken for r in mixing.op1(df).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    got = mixing.mix(df)
+    assert got.columns == df.columns
+    words = {r.source: r.n for r in got.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert words == want and sum(want.values()) == 6000
+
+
+def test_landing_minds_words_and_documents():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 14, 30, 42):
+        size, x = rng.integers(5, 2000, n), rng.random(n)
+        due, count = float(x @ size), float(x.sum())
+        mixing.land(x, size, due, count)
+        assert set(x) <= {0.0, 1.0}
+        if n >= 30:
+            assert abs(x @ size - due) <= 40 and abs(x.sum() - count) <= 3

@@ -31,9 +31,11 @@ def crc_fold(id_col: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,16 +45,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it again.
 
     This cuts the lineage on storage that every executor reaches, so a lost
-    executor costs no recomputation. The folder goes when the driver ends.
+    executor costs no recomputation. The folder goes when the driver ends, or
+    with ``release`` as soon as nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.weft_path = path
+    return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def release(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``."""
+    remove(df.sparkSession, df.weft_path)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

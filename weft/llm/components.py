@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _contract(batches):
@@ -45,11 +45,12 @@ def _stars(parent, root):
     return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], ["u", "v"])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (u, v) with u > v."""
+def _star(edges: DataFrame, large: bool, parts: list[DataFrame]) -> DataFrame:
+    """One step over edges (u, v) with u > v; tables that it writes go to ``parts``."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     # Written first, so that the join deals out the edges anew and a busy node can be split.
     least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    parts.append(least)
     linked = both.join(least, "u")
     if large:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -58,20 +59,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") > F.col("v")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node with an edge; component is its smallest node.
 
     ``edges`` has long columns u and v in any order; loops and repeats are
-    allowed, null ends are ignored. An empty table gives an empty result.
+    allowed, null ends are ignored. An empty table gives an empty result. Rounds
+    go on until one changes nothing, about the logarithm of the longest path.
     """
     flat = edges.where("u is not null and v is not null and u != v")
     flat = flat.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = materialize(flat.mapInArrow(_contract, "u long, v long").distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
-        now = materialize(_star(_star(now, True), False), "edges")
+    now, seen = materialize(flat.mapInArrow(_contract, "u long, v long").distinct(), "edges"), None
+    while True:
+        parts = [now]
+        now = materialize(_star(_star(now, True, parts), False, parts), "edges")
+        for old in parts:
+            release(old)
         state = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("xxhash64(u, v) % 1000003"))).first())
         if state == seen:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         seen = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
