@@ -63,3 +63,46 @@ def test_hard_rows(spark):
     assert chat.op9(df.limit(0)).count() == 0
     unlabelled = chat.parse(df, chat.train(df.limit(0)))
     assert {r.role_pred for r in unlabelled.collect()} <= {"assistant", "system", "user"}
+
+
+def test_large_ids_keep_apart_beside_nulls(spark):
+    rows = [(2**60 + 1, 0, "user", "one"), (2**60 + 3, 0, "user", "two"), (None, 0, "user", "none"), (-1, 0, "user", "minus"), (2**60 + 1, None, "user", "zero")]
+    df = spark.createDataFrame([(*r, "p", "b", "n") for r in rows], DDL).coalesce(1)
+    got = {(r.conv_id, r.turn, r.rendered.split("\n")[1]) for r in chat.op9(df).collect()}
+    assert got == {(r[0], r[1], r[3]) for r in rows}
+
+
+def test_equal_turn_numbers_and_long_transcripts(spark):
+    """One transcript over many blocks and partitions, with null and equal turn numbers; repeated rows stay."""
+    rows = [(None, i // 900 if i % 3 else None, "user" if i % 2 else "assistant", f"line {i}") for i in range(1500)] + [(None, 1, "user", "same")] * 300
+    df = spark.createDataFrame([(*r, "p", "b", "n") for r in rows], DDL)
+    got = chat.op9(df).collect()
+    said = sorted(r.rendered.split("\n")[1] for r in got)
+    assert said == sorted(r[3] for r in rows) and all(r.conv_id is None for r in got)
+
+
+def test_one_row_holds_a_transcript(spark, model):
+    text = "User: is it four?\nplease say\n\nAssistant: yes\nAnswer: 4\nHuman: thanks\nNote: no marker"
+    got = chat.parse(spark.createDataFrame([(1, 0, None, text, "p", "b", "n")], DDL), model).first()
+    assert got.role_pred == "user"
+    assert got.rendered == "<|user|>\nis it four?\nplease say\n<|end|>\n<|assistant|>\nyes\n4\n<|end|>\n<|user|>\nthanks\nNote: no marker\n<|end|>"
+
+
+def test_counts_overrule_markers(spark):
+    """Where assistants open with "User:", the counts say so."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "Q what ?" if t % 2 == 0 else "User: " + "say " * 40) for c in range(300) for t in range(4)]
+    model = chat.train(spark.createDataFrame([(*r, "p", "b", "n") for r in rows], DDL))
+    assert model.emit["marker=user"][model.roles.index("assistant")] > model.emit["marker=user"][model.roles.index("user")]
+
+
+def test_counts_equal_brute_force(spark):
+    from collections import Counter
+
+    rows = talk(random.Random(9), 40, 0.3)
+    model = chat.train(spark.createDataFrame(rows, DDL))
+    step = Counter((a[2], b[2]) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0])
+    want = np.array([[1.0 + step[a, b] for b in model.roles] for a in model.roles])
+    assert np.allclose(np.exp(model.step), want / want.sum(axis=1, keepdims=True))
+    turns = Counter(r[2] for r in rows)
+    asks = Counter(r[2] for r in rows if r[3].strip().endswith("?"))
+    assert np.allclose(np.exp(model.emit["asks=True"]), [(1 + asks[r]) / (2 + turns[r]) for r in model.roles])
