@@ -49,3 +49,40 @@ def test_obfuscated_words_count():
     f = dict(zip(toxicity.NAMES, toxicity.features(b"You are an 1d10t, m*ron, stuuupid", frozenset()), strict=True))
     assert f["masked_hits"] == 3 and f["second"] > 0
     assert toxicity.features(b"", frozenset()) == [0.0] * len(toxicity.NAMES)
+
+
+def test_repeated_ids_train_once(spark):
+    rows, marks = corpus(random.Random(2), 200)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    once = toxicity.train(documents(spark, rows), labels)
+    again = toxicity.train(documents(spark, rows + rows[:50] * 20), labels.union(labels))
+    assert once.learned == again.learned and np.array_equal(once.values, again.values)
+
+
+def test_words_and_trees_come_from_rows_that_do_not_calibrate(spark):
+    rows, marks = corpus(random.Random(3), 300)
+    held = {r.doc_id for r in documents(spark, rows).selectExpr("doc_id", "pmod(xxhash64(doc_id, 'calibrate'), 4) = 0 held").collect() if r.held}
+    rows = [(i, t + " leaked" * (i in held and m[2] == 1), *more) for (i, t, *more), m in zip(rows, marks, strict=True)]
+    model = toxicity.train(documents(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert b"zorgle" in model.learned and b"leaked" not in model.learned
+
+
+def test_one_tree_equals_brute_force():
+    """The first split is the best of all features and bins; leaves are ridge means."""
+    rng = np.random.default_rng(6)
+    b = rng.integers(0, 8, (60, 3)).astype(np.uint8)
+    g, h = rng.normal(size=60) + (b[:, 1] > 4), np.full(60, 0.25)
+
+    def gain(left):
+        parts = ((g[m].sum() ** 2 / (h[m].sum() + 1)) for m in (left, ~left))
+        return sum(parts) - g.sum() ** 2 / (h.sum() + 1)
+
+    able = {(j, c): gain(b[:, j] <= c) for j in range(3) for c in range(8) if min(h[b[:, j] <= c].sum(), h[b[:, j] > c].sum()) >= 2}
+    feature, cut, leaf = toxicity.grow(b, g, h)
+    assert (feature[0], cut[0]) == max(able, key=able.get)
+    got = toxicity._margin(b, [(feature, cut, leaf)], 0.0)
+    node = np.zeros(60, int)
+    for _ in range(toxicity.DEPTH):
+        node = np.array([2 * k + 1 + int(b[i, feature[k]] > cut[k]) for i, k in enumerate(node)])
+    for k in set(node):
+        assert np.allclose(got[node == k], -g[node == k].sum() / (h[node == k].sum() + 1) * toxicity.RATE)

@@ -8,12 +8,17 @@ turn into lexicon words once undone. Trees are fitted in numpy on binned
 features with the logistic loss; isotonic regression on held-back rows turns
 their sum into a probability.
 
-Training reads at most ``TRAIN`` labelled rows (smallest hash of the id), and
-only of those that the caller allows. Every document is scored.
+Training reads at most ``TRAIN`` labelled documents (smallest hash of the id), and
+only of those that the caller allows. A quarter of them, by another hash of the
+id, calibrates and takes no part in choosing words or growing trees. Every
+document is scored.
 
 Defined edge cases: a null or empty text is scored on its all-zero features;
 without labelled rows of both kinds the score is the share of toxic rows (0 if
-none); repeated rows each get a result; other columns are ignored.
+none); repeated rows each get a result, while training takes one text an id (the
+smallest) and the worse of two labels; rows with equal features have equal scores,
+and a score of exactly 0.5 counts as toxic; a very long text is one row of a batch
+of its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, crc_fold, slices
+from .common import blobs, crc_fold, materialize, slices
 
 TRAIN, TREES, DEPTH, RATE, BINS = 12_000, 100, 3, 0.15, 32
 LEARNED, LEAST_ROWS, LEAST_SHARE, LEAST_ODDS, NEAR = 200, 4, 0.005, 4.0, 5
@@ -158,11 +163,11 @@ def isotonic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([k for k, _ in knots]), np.array([v for _, v in knots])
 
 
-def fit(x: np.ndarray, y: np.ndarray, learned: frozenset, seed: int = 3) -> Model:
-    order = np.random.default_rng(seed).permutation(len(y))
-    cal, use = order[: len(y) // 4], order[len(y) // 4 :]
+def fit(x: np.ndarray, y: np.ndarray, learned: frozenset, held: np.ndarray) -> Model:
+    """``held`` marks the rows that calibrate; if one part has rows of one kind only, all rows do both."""
+    cal, use = np.flatnonzero(held), np.flatnonzero(~held)
     if len(np.unique(y[use])) < 2 or len(np.unique(y[cal])) < 2:
-        cal = use = order
+        cal = use = np.arange(len(y))
     edges = np.stack([np.quantile(x[use, j], np.linspace(0, 1, BINS + 1)[1:-1]) for j in range(x.shape[1])])
     b, t = _binned(x[use], edges), y[use]
     start = float(np.log((t.mean() + 1e-6) / (1 - t.mean() + 1e-6)))
@@ -201,20 +206,25 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, most: int = TRAIN) ->
     rows = labels.where("doc_id is not null and toxic is not null")
     rows = (rows.where(usable) if usable is not None else rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic", "doc_id")  # bounded by ``most``
-    counts = got.mapInArrow(_count_words, "w binary, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    total = some.agg(F.sum("toxic"), F.count("*")).first()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # bounded by ``most``
+    held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
+    got = materialize(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", "doc_id", held.alias("held")), "toxic")
+    use = got.where("not held")
+    total = use.agg(F.sum("toxic"), F.count("*")).first()
     n_bad, n_good = int(total[0] or 0), int(total[1]) - int(total[0] or 0)
     if not n_bad or not n_good:
-        return float(n_bad / max(n_bad + n_good, 1))
-    odds = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
-    top = counts.where((F.col("bad") >= max(LEAST_ROWS, LEAST_SHARE * n_bad)) & (odds >= LEAST_ODDS)).orderBy(odds.desc(), "w").limit(LEARNED).collect()
-    learned = frozenset(bytes(r["w"]) for r in top)
-    table = got.mapInArrow(_featured(learned, ["doc_id", "toxic"]), "doc_id long, toxic int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    if not len(table):
-        return float(n_bad / (n_bad + n_good))
+        share = got.agg(F.avg("toxic")).first()[0] or 0.0
+        if not 0 < share < 1:
+            return float(share)
+        learned = frozenset()  # both kinds only with the rows that calibrate: no words are learned
+    else:
+        counts = use.mapInArrow(_count_words, "w binary, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        odds = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
+        top = counts.where((F.col("bad") >= max(LEAST_ROWS, LEAST_SHARE * n_bad)) & (odds >= LEAST_ODDS)).orderBy(odds.desc(), "w").limit(LEARNED).collect()
+        learned = frozenset(bytes(r["w"]) for r in top)
+    table = got.mapInArrow(_featured(learned, ["doc_id", "toxic", "held"]), "doc_id long, toxic int, held boolean, x binary").toArrow().sort_by([("doc_id", "ascending")])
     x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, len(NAMES)).astype(float)
-    return fit(x, table["toxic"].to_numpy(), learned)
+    return fit(x, table["toxic"].to_numpy(), learned, table["held"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
