@@ -128,3 +128,19 @@ def test_hard_rows_and_none(spark, hard, empty):
     assert decontam.find(hard, items).count() == 0
     assert decontam.clean(hard, items).count() == len(hard_rows()) and decontam.clean(hard, items).columns == hard.columns
     assert decontam.find(empty, items).count() == 0 == decontam.find(hard, items.limit(0)).count()
+
+
+def test_short_items_match_as_they_stand(spark):
+    items = spark.createDataFrame([(1, "one red fox ran home", 1), (2, "yes", 1), (3, "", 1), (4, "one red fox ran away now", 1)], ITEMS)
+    docs = [(1, "so One red, fox ran home. One red fox ran home", "en", "s"), (2, "one red fox walked home", "en", "s"), (3, "yes", "en", "s"), (4, "yes of course", "en", "s"), (None, "one red fox ran home", "en", "s"), (5, "", "en", "s"), (6, None, "en", "s")]
+    df = documents(spark, docs)
+    got = {(r.doc_id, r.item_id, r.score, r.word_start, r.word_end) for r in decontam.find(df, items).collect()}
+    assert got == {(1, 1, 1.0, 1, 6), (3, 2, 1.0, 0, 1), (None, 1, 1.0, 0, 5)}
+    assert {r.doc_id for r in decontam.clean(df, items).collect()} == {2, 4, 5, 6}
+
+
+def test_stage_on_hard_rows(hard, empty, spark):
+    items = spark.createDataFrame([(1, hard_rows()[0][1], 1), (None, hard_rows()[11][1][:200], 1)], ITEMS)
+    got = decontam.clean(hard, items)
+    assert got.columns == hard.columns and sorted(repr(r.doc_id) for r in got.collect()) == sorted(repr(r[0]) for r in hard_rows() if r[1] is None or not (r[1].startswith(hard_rows()[0][1]) or hard_rows()[11][1][:200] in r[1]))
+    assert decontam.clean(empty, items).count() == 0 == decontam.find(empty, items).count()

@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 from brute import components, fingerprint
-from conftest import hard_rows
+from conftest import documents, hard_rows
+from pyspark.sql import functions as F
 
 from weft.llm import near_dup
 from weft.llm.components import components as connect
@@ -73,3 +74,19 @@ def test_stage_keeps_one_of_each_group(hard):
     ids = [r.doc_id for r in rows.collect()]
     known = sorted(i for i in ids if i is not None)
     assert known == sorted(set(known)) and 1 in known and 2 not in known and ids.count(None) == 2
+
+
+def test_stage_picks_one_version_of_an_id(spark):
+    rows = [(1, "a b c d e f", "en", "s"), (1, "u v w x y z", "en", "s"), (2, "k l m n o p", "en", "s"), (None, "a b c d e f", "en", "s")]
+    df = documents(spark, rows).withColumn("dup_first", F.lit("x"))
+    first, again = (sorted((repr(r.doc_id), r.text) for r in near_dup.keep_one(d).collect()) for d in (df, df.repartition(3)))
+    assert first == again and len(first) == 3 and near_dup.keep_one(df).columns == df.columns
+    kept = df.where("doc_id = 1").orderBy(F.xxhash64("text")).first().text
+    assert ("1", kept) in first
+
+
+def test_long_chains_need_no_round_limit(spark):
+    n = 3000
+    edges = spark.range(n).select((F.col("id") * 7919 % n).alias("u")).select("u", (F.col("u") + 1).alias("v")).repartition(13)
+    got = connect(edges).collect()
+    assert len(got) == n + 1 and {r.component for r in got} == {0}

@@ -1,30 +1,39 @@
 """Operator 10: benchmark decontamination.
 
-Method: an item is aligned by Smith-Waterman with every part of a document that
-can reach the score; no part is left out by frequency. Matches are worth ``MATCH``
-and every other word of the aligned part costs one at least, so a part of s words
-with m of the item's words (each counted as often as the item has it) scores at
-most 2 m - (s - m). A document is first tested as a bag of words, then by the
-number of the item's words in windows of several lengths (``LEVELS``); both tests
-are exact. The score is the alignment's share of the item's perfect score; copies
-with words changed, added or left out score lower, and ``least`` separates them
-from chance.
+Method: rare seeds join documents to items, then Smith-Waterman aligns an item with
+every part of a document that can reach the score. Matches are worth ``MATCH`` and
+every other word of the aligned part costs one at least, so a part of s words with
+m of the item's words (each counted as often as the item has it) scores at most
+2 m - (s - m). The score is the alignment's share of the item's perfect score;
+copies with words changed, added or left out score lower, and ``least`` separates
+them from chance.
+
+Seeds are an item's rarest words (grams of one word), as many as an alignment that
+reaches the score cannot do without: of k words at least ceil(``least`` k) must be
+there, so one of the k - ceil(``least`` k) + 1 rarest is. Longer grams would be
+rarer, but a copy with every third word changed holds no gram of three; with these
+seeds the search is exact whatever was edited. Rarity is counted over the items.
+Candidates are then tested as bags of words and by the number of the item's words
+in windows of several lengths (``LEVELS``); both tests are exact as well.
 
 Items are read in blocks of at most ``BLOCK_WORDS`` words, each sent to all
 tasks; a larger benchmark takes more passes, not more memory.
 
 Words are runs of letters, digits and underscores, lower-cased. Defined edge
-cases: null texts are empty; items under ``MIN_WORDS`` words are no evidence and
-never match; rows that repeat an id are judged one by one; a null document id is
-carried through; an item without an id cannot be reported in a pair, but ``clean``
-drops the documents that hold it; an empty benchmark matches nothing; other
-columns are ignored.
+cases: null or empty texts hold no item; items under ``MIN_WORDS`` words match
+only as they stand, those under ``SURE`` words only as a whole document; items
+without words never match; rows that repeat an id are judged one by one, of equal
+alignments the first place counts; a null document id is carried through; an item
+without an id cannot be reported in a pair, but ``clean`` drops the documents that
+hold it; a very long text is searched in overlapping parts; an empty benchmark
+matches nothing, an empty table gives an empty result; other columns are ignored,
+and carried through ``clean`` whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +41,7 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-MIN_WORDS, LEAST, BLOCK_WORDS = 8, 0.5, 1_000_000
+MIN_WORDS, SURE, LEAST, BLOCK_WORDS = 8, 3, 0.5, 1_000_000
 #: Window lengths of the bound; words of a text that are tested together; cells of a table of windows.
 LEVELS, SEGMENT, CELLS = 6, 512, 1 << 20
 MATCH, MISS, GAP = 2, -1, 1
@@ -45,30 +54,40 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Index:
-    """Items of one block: their words as numbers, and which items hold each word."""
+    """Items of one block: their words as numbers, which of them seed, and the short items."""
 
     vocab: dict[str, int]
     ids: list[int | None]
     items: list[np.ndarray]
     size: np.ndarray
-    start: np.ndarray  # the postings of word w are start[w]:start[w + 1]
-    item: np.ndarray
+    own_start: np.ndarray  # the distinct words of item i are own_start[i]:own_start[i + 1]
+    word: np.ndarray
     times: np.ndarray  # how often the item holds the word
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        got = words(text)
-        get = self.vocab.get
-        return np.fromiter((get(w, 0) for w in got), np.int64, len(got))
+    short: dict[str, list[tuple[list[str], int | None]]] = field(default_factory=dict)  # by first word
+    seeded: dict[float, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def seeds(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(start, items): word w seeds items[start[w]:start[w + 1]]."""
+        if least not in self.seeded:
+            width, item = len(self.vocab) + 1, np.repeat(np.arange(len(self.items)), np.diff(self.own_start))
+            holders = np.bincount(self.word, minlength=width)
+            by = np.lexsort((self.word, holders[self.word], item))  # each item's rarest words first
+            before = np.cumsum(self.times[by]) - self.times[by]
+            before -= np.repeat(before[self.own_start[:-1]], np.diff(self.own_start))
+            some = by[before <= (self.size - _ceil(least * self.size))[item[by]]]  # what comes later cannot reach the score alone
+            some = some[np.lexsort((item[some], self.word[some]))]
+            self.seeded[least] = np.searchsorted(self.word[some], np.arange(width + 1)), item[some]
+        return self.seeded[least]
 
 
 def build(ids: list[int | None], items: list[list[str]]) -> Index:
     vocab: dict[str, int] = {}
     nums = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in ws], np.int64) for ws in items]
     size = np.array([len(x) for x in nums], np.int64)
-    keys = np.concatenate(nums) * len(nums) + np.repeat(np.arange(len(nums)), size)
+    width = len(vocab) + 1
+    keys = np.concatenate([np.zeros(0, np.int64), *(i * width + x for i, x in enumerate(nums))])
     keys, times = np.unique(keys, return_counts=True)
-    start = np.searchsorted(keys // len(nums), np.arange(len(vocab) + 2))
-    return Index(vocab, ids, nums, size, start, keys % len(nums), times)
+    return Index(vocab, ids, nums, size, np.searchsorted(keys // width, np.arange(len(nums) + 1)), keys % width, times)
 
 
 def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -93,9 +112,15 @@ def regions(index: Index, nums: np.ndarray, least: float):
     held = nums[order]
     head = np.flatnonzero(np.diff(held, prepend=0))
     word, n = held[head], np.diff(head, append=len(held))
-    postings = index.start[word + 1] - index.start[word]
-    at = _spread(index.start[word], postings)
-    item, times, which = index.item[at], index.times[at], np.repeat(np.arange(len(word)), postings)
+    first, seeded = index.seeds(least)
+    joined = np.unique(seeded[_spread(first[word], first[word + 1] - first[word])])
+    if not len(joined):
+        return
+    wide = index.own_start[joined + 1] - index.own_start[joined]
+    at = _spread(index.own_start[joined], wide)
+    which = np.minimum(np.searchsorted(word, index.word[at]), len(word) - 1)
+    there = word[which] == index.word[at]
+    item, times, which = np.repeat(joined, wide)[there], index.times[at][there], which[there]
     bag = np.bincount(item, np.minimum(n[which], times), len(index.items))
     able = np.flatnonzero(bag >= _ceil(least * index.size))
     width = len(nums) + 1
@@ -163,7 +188,12 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def match(index: Index, text: str | None, least: float) -> list[tuple[int | None, float, int, int]]:
     """(item id, score, start, end) of every item that the text holds a copy of."""
-    nums = index.numbers(text)
+    got = words(text)
+    out = _whole(index, got) if index.short else []
+    if not index.items:
+        return out
+    get = index.vocab.get
+    nums = np.fromiter((get(w, 0) for w in got), np.int64, len(got))
     best: dict[int, tuple[float, int, int]] = {}
     longest = int((3 - 2 * least) * index.size.max()) + 1  # words of a text that a copy can take
     step = max(SEGMENT, 4 * longest)
@@ -175,25 +205,44 @@ def match(index: Index, text: str | None, least: float) -> list[tuple[int | None
             score = got / (MATCH * size)
             if score >= least and score > best.get(i, (0.0,))[0]:
                 best[i] = (score, at + max(lo, lo + end - size), at + lo + end)
-    return [(index.ids[i], *v) for i, v in sorted(best.items())]
+    return out + [(index.ids[i], *v) for i, v in sorted(best.items())]
+
 
+def _whole(index: Index, got: list[str]) -> list[tuple[int | None, float, int, int]]:
+    """The first place of every short item."""
+    out = {}
+    for at, w in enumerate(got):
+        for k, (ws, i) in enumerate(index.short.get(w, ())):
+            if (w, k) not in out and got[at : at + len(ws)] == ws and (len(ws) >= SURE or len(ws) == len(got)):
+                out[w, k] = (i, 1.0, at, at + len(ws))
+    return list(out.values())
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS, *, nameless: bool = False):
+
+def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS, *, least: float = LEAST, nameless: bool = False):
     """Indexes over the items (``nameless``: also those without an id), in blocks of a bounded number of words."""
-    ids, items, size = [], [], 0
+    held, size = [], 0
     rows = benchmark.select("item_id", "text")
     for row in (rows if nameless else rows.where("item_id is not null")).orderBy("item_id", "text").toLocalIterator():
         got = words(row["text"])
-        if len(got) < MIN_WORDS:
+        if not got:
             continue
-        if ids and size + len(got) > most:
-            yield build(ids, items)
-            ids, items, size = [], [], 0
-        ids.append(row["item_id"])
-        items.append(got)
+        if held and size + len(got) > most:
+            yield _block(held, least)
+            held, size = [], 0
+        held.append((row["item_id"], got))
         size += len(got)
-    if ids:
-        yield build(ids, items)
+    if held:
+        yield _block(held, least)
+
+
+def _block(held: list[tuple[int | None, list[str]]], least: float) -> Index:
+    long = [(i, ws) for i, ws in held if len(ws) >= MIN_WORDS]
+    index = build([i for i, _ in long], [ws for _, ws in long])
+    for i, ws in held:
+        if len(ws) < MIN_WORDS:
+            index.short.setdefault(ws[0], []).append((ws, i))
+    index.seeds(least)  # found once, and sent along
+    return index
 
 
 PAIRS = "doc_id long, item_id long, score double, word_start long, word_end long"
@@ -202,7 +251,7 @@ PAIRS = "doc_id long, item_id long, score double, word_start long, word_end long
 def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, score, word_start, word_end) of each copy; repeats of a pair in one row of docs appear once, at the best place."""
     out = None
-    for index in blocks(benchmark):
+    for index in blocks(benchmark, least=least):
         got = docs.select("doc_id", "text").mapInArrow(_pairs(index, least), PAIRS)
         out = got if out is None else out.union(got)
     return docs.sparkSession.createDataFrame([], PAIRS) if out is None else out
@@ -223,7 +272,7 @@ def _pairs(index: Index, least: float):
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """Pipeline stage: documents that hold a copy of a benchmark item go."""
     schema, out = docs.schema, docs
-    for index in blocks(benchmark, nameless=True):
+    for index in blocks(benchmark, least=least, nameless=True):
         out = out.mapInArrow(_without(index, least), schema)
     return out
 

@@ -15,8 +15,10 @@ are compared exactly; a bucket gives a spanning forest, never all pairs.
 
 Defined edge cases: a null text is empty; a text without words has fingerprint
 zero, which links like any other; a text of one or two words is one shingle;
-repeated rows stay, each with its result; a null id never becomes a component's
-id; other columns are ignored; an empty table gives an empty result.
+repeated rows stay, each with its result, and of equal ids one text each joins its
+component; a null id never becomes a component's id; a very long text is read in
+``_CHUNK`` shingles at a time; other columns are ignored, and carried through the
+stage whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blobs, materialize, near_partitions, slices
+from .common import blobs, fresh, materialize, near_partitions, slices
 from .components import components
 
 SEED, SHINGLE, ERRORS = 42, 3, 3
@@ -198,10 +200,13 @@ def op3(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the document with the smallest id of each component stays.
 
-    Rows without an id cannot be told apart and stay; of rows that repeat one
-    id, one stays.
+    Rows without an id cannot be told apart and stay; rows that repeat an id are
+    versions of one document, and the one whose text has the smallest hash stays.
     """
+    first, turn = (fresh(docs, c) for c in ("dup_first", "dup_turn"))
     prints = materialize(fingerprints(docs), "prints")
-    best = group(prints).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    known = docs.join(best, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    best = group(prints).select(F.col("component_id").alias(first)).where(F.col(first).isNotNull()).distinct()
+    known = docs.join(best, F.col("doc_id") == F.col(first), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    known = known.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1)
     return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
