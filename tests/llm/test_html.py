@@ -81,3 +81,19 @@ def test_rows(spark):
     got = sorted(((r.page_id, r.text, r.n_chars) for r in h.op2(df).collect()), key=repr)
     assert got == sorted([(1, WANT, len(WANT))] * 2 + [(None, "", 0), (2, "", 0), (3, "plain text", 10)], key=repr)
     assert h.op2(df.limit(0)).count() == 0
+
+
+def test_signs_of_comparison_are_text(model):
+    page = ARTICLE.replace("Short.", "5 < 6 and x<y here, a<b too.")
+    assert h.extract(f"<html><body><article>{page}</article></body></html>", model) == WANT.replace("Short.", "5 < 6 and x<y here, a<b too.")
+
+
+def test_a_form_around_the_page(model):
+    page = f'<form id="aspnet">{PARTS["nav"]}<article>{ARTICLE}</article>{PARTS["form"]}{PARTS["footer"]}</form>'
+    assert h.extract(f"<html><body>{page}</body></html>", model) == WANT
+
+
+def test_very_long_pages_are_read_whole(model):
+    many = "".join(f"<p>paragraph {i} holds some words of the article</p>" for i in range(20_000))
+    got = h.extract(f"<html><body>{PARTS['nav']}<article>{many}</article>{PARTS['footer']}</body></html>", model).split("\n")
+    assert len(got) == 20_000 and got[-1] == "paragraph 19999 holds some words of the article"

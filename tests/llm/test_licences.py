@@ -94,3 +94,22 @@ def test_rights_lines_as_documents_hold_them():
 
 def test_hard_rows_and_none(hard, empty):
     assert licences.op7(hard).count() == 0 == licences.op7(empty).count() and hard_rows()
+
+
+def test_related_licenses_are_told_apart():
+    scanner = licences.Scanner()
+    found = lambda text: [r[0] for r in scanner.scan(text)]
+    assert found("the software of the " * 25 + licences.TEMPLATES["MIT"]) == ["MIT"]
+    assert found("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0-line"]
+    assert found("Licensed under CC BY 4.0.") == ["CC-BY-short-line"] and found("Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-line"]
+    for name, text in licences.TEMPLATES.items():
+        if name not in licences.NOTICES:
+            assert found(text) == [name], name
+        assert name in found(text)
+
+
+def test_findings_inside_hard_rows(spark):
+    line = licences.TEMPLATES["MIT-line"]
+    rows = [(d, f"{t or ''} {line}", *more) for d, t, *more in hard_rows()]
+    got = licences.op7(documents(spark, rows)).collect()
+    assert sorted(repr(r.doc_id) for r in got) == sorted(repr(r[0]) for r in rows) and {r.license for r in got} == {"MIT-line"}

@@ -10,13 +10,19 @@ trained from labelled pages: a generator writes pages of many layouts with the
 label of every block, because no labelled pages are given (``labelled_pages``,
 a fixed seed and number).
 
-Scripts, styles, forms, comments, the head and hidden elements are never text.
+Scripts, styles, forms, comments, the head and hidden elements are never text; a
+form around an <article> or <main> counts as a plain element (whole pages stand in
+one form on some sites). Scripts and the like end at their own end tag only, and a
+"<" with a name is text where an end tag (or, if no element has that name, any tag)
+begins before its ">".
 Inline elements and <br> do not end a block. Character references are decoded,
 white space within a block becomes one space, and blocks join by one newline.
 
 Defined edge cases: null or empty html gives an empty text; tags that never close
 end with their parent or where HTML closes them; a page without tags is one
-block of text, kept; repeated rows each get a result; other columns are ignored.
+block of text, kept; a marginal of exactly one half is not kept; repeated rows each
+get a result; a very long page is one row of a batch of its own, read whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +49,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SILENT = frozenset("head script style form template noscript select textarea title button svg annotation annotation-xml object canvas audio video iframe option datalist dialog".split())
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+KNOWN = INLINE | VOID | RAW | SILENT | ENDS_P | frozenset("html body li dt dd tr td th thead tbody tfoot caption colgroup legend label output summary slot picture search meter progress".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 # Words in class, id and role by what they announce.
 NAMES = {
@@ -62,6 +69,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 NAME = re.compile(r"[a-z]+")
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+ARTICLE = re.compile(r"<(?:article|main)\b|</form\b", re.I)
 END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 
 
@@ -143,7 +152,13 @@ class Page:
             self._text(html[at : m.start()])
             at = m.end()
             tag = (m.group(2) or "").lower()
-            if m.group(1):
+            if tag and "<" in m.group(3) and ("</" if tag in KNOWN else "<") in QUOTED.sub("", m.group(3)):
+                at = m.start() + 1  # a sign of comparison, as in "x<y": the next tag begins before a ">"
+                self._text("<")
+            elif tag == "form" and not m.group(1) and (found := ARTICLE.search(html, at)) and found.group()[1] != "/":
+                self._open("div", "")  # a form around the page's article is no form of its own
+                self._stack[-1] = ("form", *self._stack[-1][1:])
+            elif m.group(1):
                 self._close(tag)
             elif tag in RAW:  # nothing but its own end tag ends it
                 end = END[tag].search(html, at)

@@ -10,12 +10,15 @@ A place begins at a word of the template and is at most ``SLACK`` template sizes
 long (plus ``GAPS`` for a notice with a holder in it). Before aligning, places are
 left out by exact bounds only: a stretch can reach the coverage only if it holds
 that many words of the template, and a common subsequence of that length. Every
-other place is aligned; of places of one template that overlap, the best covered
-is reported, the shortest and then the first of equals, so a text may report a
-license several times, back to back as well.
-
-Defined edge cases: a null text is empty; repeated rows each report; a null id is
-carried through; other columns are ignored; templates are a parameter.
+other place is aligned. Licenses that share most of their words are told apart by
+the words in ``MUST``, which the alignment has to hold. Of places that overlap,
+whatever their license (``NOTICES`` stand apart), the one with the most aligned words is reported, then the
+better covered, the shorter, the first, and the license that sorts first; so a text
+may report a license several times, back to back as well.
+
+Defined edge cases: a null or empty text reports nothing; repeated rows each report;
+a null id is carried through; a very long text is scanned whole; an empty table gives
+an empty result; other columns are ignored; templates are a parameter.
 """
 
 from __future__ import annotations
@@ -36,24 +39,39 @@ TOKEN = re.compile(r"\w+")
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-3-Clause-extra": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "MIT-line": "Released under the MIT License.",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
     "CC-BY-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-line": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-short-line": "Licensed under CC BY 4.0.",
     "reserved-line": "Copyright. All rights reserved.",
     "rights-line": "All rights reserved.",
 }
+#: Words of a template that its alignment must hold, because related licenses differ in them.
+MUST = {
+    "Apache-2.0-line": "apache", "MIT-line": "mit", "GPL-2.0": "general 2", "GPL-3.0": "general 3", "AGPL-3.0": "affero 3", "LGPL-2.1": "lesser 2 1",
+    "GPL-2.0-line": "general 2", "GPL-3.0-line": "general 3", "CC-BY-line": "attribution", "CC-BY-SA-line": "attribution sharealike", "CC-BY-NC-line": "by nc", "CC-BY-short-line": "by",
+    "MPL-2.0": "mozilla", "EPL-2.0": "eclipse", "reserved-line": "copyright reserved", "rights-line": "rights reserved",
+}
 #: Words of years and holders that may stand in the notice.
 GAPS = {"reserved-line": 20}
+#: Notices name no license; each is reported beside whatever overlaps it.
+NOTICES = frozenset(["reserved-line", "rights-line"])
 
 
 def words(text: str | None) -> list[str]:
@@ -144,6 +162,7 @@ class Scanner:
         self.templates = [(name, words(t)) for name, t in (templates or TEMPLATES).items()]
         self.distinct = [frozenset(t) for _, t in self.templates]
         self.every = frozenset().union(*self.distinct)
+        self.must = [frozenset(MUST.get(name, "").split()) for name, _ in self.templates]
         self.masks = [{w: sum(1 << i for i, x in enumerate(t) if x == w) for w in t} for _, t in self.templates]
 
     def align(self, stretch: list[str], t: list[str], masks: dict[str, int]) -> list[tuple[int, int]]:
@@ -171,21 +190,22 @@ class Scanner:
         out = []
         if not common:
             return out
-        for (name, t), own, masks in zip(self.templates, self.distinct, self.masks, strict=True):
+        found = set()
+        for (name, t), own, must, masks in zip(self.templates, self.distinct, self.must, self.masks, strict=True):
             # Each missing word costs at least one position of the template.
-            if len(own - common) > (1 - self.least) * len(t):
+            if not must <= common or len(own - common) > (1 - self.least) * len(t):
                 continue
             mine = np.fromiter((w in own for w in got), bool, len(got))
-            found = []
             for lo, hi in places(mine, len(t), self.least, GAPS.get(name, 0)):
                 pairs = self.align(got[lo:hi], t, masks)
-                if pairs:
-                    found.append((-len(pairs), pairs[-1][0] - pairs[0][0] + 1, lo + pairs[0][0]))
-            taken = bytearray(len(got))
-            for n, span, lo in sorted(set(found)):
-                if 1 not in taken[lo : lo + span]:
-                    taken[lo : lo + span] = b"\1" * span
-                    out.append((name, -n / len(t), lo, lo + span, -n))
+                if pairs and must <= {t[j] for _, j in pairs}:
+                    found.add((-len(pairs), -len(pairs) / len(t), pairs[-1][0] - pairs[0][0] + 1, lo + pairs[0][0], name))
+        taken: dict[str, bytearray] = {}
+        for n, share, span, lo, name in sorted(found):
+            mine = taken.setdefault(name if name in NOTICES else "license", bytearray(len(got)))
+            if 1 not in mine[lo : lo + span]:
+                mine[lo : lo + span] = b"\1" * span
+                out.append((name, -share, lo, lo + span, -n))
         return sorted(out, key=lambda r: (r[2], r[0]))
 
 
