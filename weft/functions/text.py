@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,6 +51,26 @@ def keyword_match(query: Column, targets: Column) -> Column:
     return F.when((F.size(query) > 0) & (F.size(targets) > 0), F.size(hit) / F.size(query)).otherwise(F.lit(0.0))
 
 
+def text_match(query: str, text) -> Column:
+    """``keyword_match`` of a known query with the memory keywords of a text, without listing those.
+
+    A keyword is contained in one of the text's if the text contains it; it contains
+    one if the text has a run of letters (or of ideographs) equal to a part of it.
+    """
+    low = F.lower(F.coalesce(_col(text), F.lit("")))
+    found = re.findall(HAN + "{2,}", query) + re.findall("[a-zA-Z]{3,}", query.lower())
+    if not found:
+        return F.lit(0.0)
+
+    def pattern(word: str) -> str:
+        kind, least = ("[a-z]", 3) if word.isascii() else (HAN, 2)
+        parts = {word[i:j] for i in range(len(word)) for j in range(i + least, len(word) + 1)}
+        return f"{word}|(?<!{kind})(?:{'|'.join(sorted(parts, key=lambda p: (-len(p), p)))})(?!{kind})"
+
+    hits = [low.rlike(pattern(w)).cast("int") for w in found]
+    return sum(hits[1:], hits[0]) / F.lit(float(len(hits)))
+
+
 def overlap(keywords: Column, text) -> Column:
     """How many distinct keywords occur in the lower-cased text."""
     low = F.lower(F.coalesce(_col(text), F.lit("")))
@@ -152,3 +173,35 @@ def result_text(parts: Column, is_error: Column) -> Column:
     """Joined texts of a tool's answer; errors say so."""
     text = F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), "\n")
     return F.when(is_error, F.concat(F.lit("[ERROR] "), text)).otherwise(text)
+
+
+def well_formed(raw) -> Column:
+    """Text from bytes: what is no UTF-8, lone surrogates as well, is replaced by nothing."""
+    return F.replace(F.make_valid_utf8(_col(raw).cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
+def json_object(text) -> Column:
+    """A JSON object's fields as texts; null where the text is no object."""
+    text = _col(text)
+    return F.when(text.rlike(r"(?s)^\s*\{") & F.try_parse_json(text).isNotNull(), F.from_json(text, "map<string,string>"))
+
+
+def json_text(value) -> Column:
+    """JSON over several lines, other scripts kept as they are."""
+    return F.to_json(_col(value), {"pretty": "true"})
+
+
+def utc_iso(stamp=None) -> Column:
+    """A moment (now, if none is given) as ISO text in UTC, to the microsecond."""
+    when = F.current_timestamp() if stamp is None else _col(stamp).cast("timestamp")
+    return F.date_format(F.to_utc_timestamp(when, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def stable_id(*parts, length: int = 32) -> Column:
+    """An id of hex digits that follows from its parts."""
+    return F.left(F.md5(F.concat_ws("\u0001", *map(_col, parts))), F.lit(length))
+
+
+def session_name(stamp) -> Column:
+    """A session's id from its start, to the second."""
+    return F.date_format(_col(stamp), "yyyyMMdd_HHmmss")

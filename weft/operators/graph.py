@@ -7,12 +7,12 @@ folder, so the plan stays flat and a lost executor loses no round.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from .running import step_of
+from .stored import folder, forget, write
 
 HOLE = r"\{\{(.+?)\}\}"
 
@@ -28,48 +28,32 @@ def missing(tasks: DataFrame) -> DataFrame:
     return e.join(tasks.select(F.col("task_id").alias("dep")), "dep", "left_anti").select("task_id", "dep")
 
 
-def _write(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="weft-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/weft-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM may be gone already
-        return
-
-
 def layers(tasks: DataFrame) -> DataFrame:
     """(task_id, layer): 0 for tasks without a dependency inside the batch, else one more
-    than the deepest of them. Tasks in or behind a cycle have no row."""
+    than the deepest of them. Tasks in or behind a cycle have no row.
+
+    Each round appends its layer to one folder and replaces the table of what still
+    waits, so neither the plan nor the number of tables grows with the depth.
+    """
+    spark = tasks.sparkSession
     ids = tasks.select("task_id").distinct()
-    inner = edges(tasks).distinct().join(ids.select(F.col("task_id").alias("src")), "src", "left_semi")
-    inner = _write(inner)
-    waiting = _write(ids.join(inner.groupBy("dst").count(), F.col("task_id") == F.col("dst"), "left").select("task_id", F.coalesce("count", F.lit(0)).alias("open")))
-    done, layer = [], 0
-    front = _write(waiting.where("open = 0").select("task_id"))
-    while not front.isEmpty():
-        done.append(front.withColumn("layer", F.lit(layer)))
-        met = inner.join(front.select(F.col("task_id").alias("src")), "src").groupBy("dst").agg(F.count("*").alias("met"))
-        waiting = waiting.join(front, "task_id", "left_anti").join(met, F.col("task_id") == F.col("dst"), "left")
-        waiting = _write(waiting.select("task_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
-        front = _write(waiting.where("open = 0").select("task_id"))
+    inner = write(edges(tasks).distinct().join(ids.select(F.col("task_id").alias("src")), "src", "left_semi"), "inner")
+    open_ = inner.groupBy("dst").agg(F.count("*").alias("open")).withColumnRenamed("dst", "task_id")
+    waiting = write(ids.join(open_, "task_id", "left").select("task_id", F.coalesce("open", F.lit(0)).cast("long").alias("open")), "waiting")
+    path, layer = folder(spark, "layers"), 0
+    shape = StructType([ids.schema["task_id"], StructField("layer", IntegerType())])
+    while True:
+        waiting.where("open = 0").select("task_id", F.lit(layer).alias("layer")).write.parquet(f"{path}/round={layer}")
+        front = spark.read.schema(shape).parquet(f"{path}/round={layer}")
+        if front.isEmpty():
+            break
+        met = inner.join(front.select(F.col("task_id").alias("src")), "src").groupBy("dst").agg(F.count("*").alias("met")).withColumnRenamed("dst", "task_id")
+        rest = waiting.where("open > 0").join(met, "task_id", "left").select("task_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"))
+        before, waiting = waiting, write(rest, "waiting")
+        forget(before)
         layer += 1
-    if not done:
-        return front.withColumn("layer", F.lit(0))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    forget(inner, waiting)
+    return spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
 
 
 def validate(tasks: DataFrame) -> DataFrame:
@@ -81,20 +65,20 @@ def validate(tasks: DataFrame) -> DataFrame:
 
 def cascade(tasks: DataFrame) -> DataFrame:
     """The tasks with failures passed on: whoever depends on a failed task, however far, fails
-    with an empty result."""
-    e = _write(edges(tasks).distinct())
-    failed = _write(tasks.where("status = 'failed'").select("task_id").distinct())
-    front, new = failed, []
-    while True:
-        nxt = e.join(front.select(F.col("task_id").alias("src")), "src").select(F.col("dst").alias("task_id")).distinct()
-        nxt = nxt.join(tasks.select("task_id"), "task_id", "left_semi").join(failed, "task_id", "left_anti")
-        front = _write(nxt)
-        if front.isEmpty():
-            break
-        new.append(front)
-        failed = _write(failed.unionByName(front))
-    late = failed.join(tasks.where("status = 'failed'").select("task_id"), "task_id", "left_anti").distinct().withColumn("__late", F.lit(True))
-    rows = tasks.join(late, "task_id", "left")
+    with an empty result. Rounds append what fails anew to one folder."""
+    spark = tasks.sparkSession
+    shape = StructType([tasks.schema["task_id"]])
+    known = write(edges(tasks).distinct().join(tasks.select(F.col("task_id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
+    path, n = folder(spark, "failed"), 0
+    tasks.where("status = 'failed'").select("task_id").distinct().write.parquet(f"{path}/round=0")
+    while not (front := spark.read.schema(shape).parquet(f"{path}/round={n}")).isEmpty():
+        failed = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
+        nxt = known.join(front.select(F.col("task_id").alias("src")), "src").select(F.col("dst").alias("task_id")).distinct()
+        n += 1
+        nxt.join(failed, "task_id", "left_anti").write.parquet(f"{path}/round={n}")
+    forget(known)
+    bad = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path).withColumn("__late", F.lit(True))
+    rows = tasks.join(bad, "task_id", "left").withColumn("__late", F.col("__late") & ~F.coalesce(F.col("status") == "failed", F.lit(False)))
     return rows.withColumns({"status": F.when(F.col("__late"), "failed").otherwise(F.col("status")), "result": F.when(F.col("__late"), "").otherwise(F.col("result"))}).drop("__late")
 
 
@@ -160,24 +144,32 @@ def run_layers(tasks: DataFrame, execute) -> DataFrame:
     """
     order = layers(tasks).join(tasks, "task_id")
     n = order.agg(F.max("layer")).first()[0]
-    state = _write(tasks.withColumns({"status": F.lit("pending"), "result": F.lit(None).cast("string")}))
+    state = write(tasks.withColumns({"status": F.lit("pending"), "result": F.lit(None).cast("string")}))
     for layer in range(-1 if n is None else n + 1):
         due = order.where(F.col("layer") == layer).select("task_id")
         # all dependencies are settled by now, so a failure only has to pass on one step
         lost = blocked(state).join(due, "task_id", "left_semi").select("task_id", F.lit(True).alias("__lost"))
         state = state.join(lost, "task_id", "left")
-        state = _write(state.withColumns({"status": F.when(F.col("__lost"), "failed").otherwise(F.col("status")), "result": F.when(F.col("__lost"), "").otherwise(F.col("result"))}).drop("__lost"))
+        state = write(state.withColumns({"status": F.when(F.col("__lost"), "failed").otherwise(F.col("status")), "result": F.when(F.col("__lost"), "").otherwise(F.col("result"))}).drop("__lost"))
         now = state.join(due, "task_id", "left_semi").where("status = 'pending'")
         now = resolve(now, state.where("status = 'completed'").select("task_id", "result")).drop("description").withColumnRenamed("resolved", "description")
-        got = _write(execute(now).select("task_id", F.col("result").alias("__r"), F.col("error").alias("__e"), F.lit(True).alias("__ran")))
+        got = write(execute(now).select("task_id", F.col("result").alias("__r"), F.col("error").alias("__e"), F.lit(True).alias("__ran")))
         state = state.join(got, "task_id", "left")
         status = F.when(F.col("__ran") & F.col("__e").isNotNull(), "failed").when(F.col("__ran"), "completed").otherwise(F.col("status"))
-        state = _write(state.withColumns({"status": status, "result": F.when(F.col("__ran"), F.coalesce("__r", F.lit(""))).otherwise(F.col("result"))}).drop("__r", "__e", "__ran"))
+        state = write(state.withColumns({"status": status, "result": F.when(F.col("__ran"), F.coalesce("__r", F.lit(""))).otherwise(F.col("result"))}).drop("__r", "__e", "__ran"))
     late = F.col("status") == "pending"
     return cascade(state).withColumns({"status": F.when(late, "failed").otherwise(F.col("status")), "result": F.when(late, "").otherwise(F.col("result"))})
 
 
 def first_seen(rows: DataFrame, column: str, order: str) -> DataFrame:
-    """Distinct values in the order in which they first occur."""
-    got = rows.groupBy(column).agg(F.min(order).alias("first"))
-    return got.withColumn("rank", F.row_number().over(Window.orderBy("first", column)))
+    """Distinct values, numbered in the order in which they first occur.
+
+    ``order`` is a number. Values are counted by step of it, and numbered within a
+    step after those before, so no task sees them all.
+    """
+    got = rows.groupBy(column).agg(F.min(order).alias("first")).withColumn("__b", step_of("first"))
+    ahead = got.groupBy("__b").agg(F.count("*").alias("__n"))
+    ahead = ahead.select(F.col("__b").alias("__s"), F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__n"))
+    got = got.join(ahead, F.col("__b").eqNullSafe(F.col("__s")))
+    rank = F.col("__n") + F.row_number().over(Window.partitionBy("__b").orderBy("first", column))
+    return got.select(column, "first", rank.cast("int").alias("rank"))

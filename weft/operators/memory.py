@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import char_jaccard, days_since, keyword_match, memory_keywords, memory_score
+from weft.functions.prose_json import balanced
+from weft.functions.text import char_jaccard, days_since, keyword_match, memory_keywords, memory_score, text_match
 
 MOST_ENTRIES, EXPIRY_DAYS, SIMILAR = 10, 90, 0.8
 OTHER = "其他"
@@ -21,12 +23,11 @@ def search(topics: DataFrame, entries: DataFrame, query: str, as_of: str, k: int
     text, date. Scores over zero only; ties keep the topics' and entries' order.
     Topics without entries, and entries without a topic, drop out.
     """
-    q = memory_keywords(F.lit(query))
-    topic = topics.select("slug", "topic_pos", F.col("title").alias("topic"), keyword_match(q, F.col("keywords")).alias("topic_match"))
-    rows = entries.join(topic, "slug")
-    said = F.concat_ws(" ", "title", "text")
-    entry = keyword_match(q, F.array_distinct(memory_keywords(said)))
-    raw = memory_score(F.col("topic_match"), entry, days_since("date", as_of))
+    topic = topics.select("slug", "topic_pos", F.col("title").alias("topic"), keyword_match(memory_keywords(F.lit(query)), F.col("keywords")).alias("topic_match"))
+    # Entries are scored before the join, so that it moves no texts.
+    entry = text_match(query, F.concat_ws(" ", "title", "text"))
+    rows = entries.select("slug", "pos", "title", "date", entry.alias("entry_match")).join(topic, "slug")
+    raw = memory_score(F.col("topic_match"), F.col("entry_match"), days_since("date", as_of))
     rows = rows.withColumn("raw", raw).where("raw > 0")
     best = rows.orderBy(F.desc("raw"), "topic_pos", "pos").limit(k)
     return best.select("slug", "topic", "pos", "title", "date", F.round("raw", 3).alias("score"), "raw", "topic_pos")
@@ -132,7 +133,8 @@ def merge_topics(entries: DataFrame, increments: DataFrame, as_of: str, similar:
 def newest(entries: DataFrame, cap: int = MOST_ENTRIES) -> DataFrame:
     """The first ``cap`` entries of each topic, numbered anew."""
     w = Window.partitionBy("slug").orderBy("pos", "title")
-    return entries.withColumn("pos", F.row_number().over(w).cast("long") - 1).where(F.col("pos") < cap)
+    first = entries.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= cap)  # a rank limit, pushed before the shuffle
+    return first.withColumn("pos", F.col("__n").cast("long") - 1).drop("__n")
 
 
 def expire(entries: DataFrame, as_of: str, days: int = EXPIRY_DAYS) -> DataFrame:
@@ -159,6 +161,40 @@ def consolidate(staged: DataFrame) -> DataFrame:
     return staged.groupBy("session_id").agg(F.max_by(F.struct(*[c for c in staged.columns if c != "session_id"]), "seq").alias("x")).select("session_id", "x.*")
 
 
+EXTRACTED = "session_id string, kind string, category string, content string, slug string, title string, task string, approach string, lessons string, keywords array<string>"
+
+
+def extract(transcripts: DataFrame, preferences, experience) -> DataFrame:
+    """What a session teaches: rows of kind "preference" and at most one of kind "topic".
+
+    ``transcripts``: session_id, text. Both callables are models, given a batch of
+    texts and answering in prose with a JSON object; an answer of None, without JSON or
+    of another shape gives nothing.
+    """
+    names = [c.split()[0] for c in EXTRACTED.split(", ")]
+
+    def run(batches):
+        for part in batches:
+            texts, rows = part["text"].fillna("").tolist(), []
+            for key, liked, learned in zip(part["session_id"], map(_object, preferences(texts)), map(_object, experience(texts)), strict=True):
+                found = liked.get("preferences")
+                for p in found if isinstance(found, list) else ():
+                    if isinstance(p, dict) and p.get("content"):
+                        rows.append({"session_id": key, "kind": "preference", "category": p.get("category") or OTHER, "content": str(p["content"])})
+                told = learned.get("memory")
+                if learned.get("has_memory") and isinstance(told, dict):
+                    rows.append({"session_id": key, "kind": "topic", "slug": told.get("topic_slug"), **{k: told.get(k) for k in ("title", "task", "approach", "lessons", "keywords")}})
+            yield pd.DataFrame(rows, columns=names).astype(object)
+
+    return transcripts.select(F.col("session_id").cast("string").alias("session_id"), "text").mapInPandas(run, EXTRACTED)
+
+
+def _object(answer: str | None) -> dict:
+    found = balanced(answer) if answer else None
+    got = json.loads(found) if found else {}
+    return got if isinstance(got, dict) else {}
+
+
 def profile_block(items: DataFrame, limit: int = 1000) -> DataFrame:
     """A profile as text lines within a budget of characters.
 

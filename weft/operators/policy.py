@@ -7,6 +7,7 @@ policies live in a table that changes, ``decide_join`` gives the same answers.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -124,6 +125,40 @@ def granted(calls: DataFrame, tokens: DataFrame) -> DataFrame:
     schema. An equi-join on session and tool carries the interval and the prefix
     as further conditions.
     """
-    t = tokens.where(F.col("approved") & ~F.coalesce("denied", F.lit(False))).select("session_id", "tool_name", F.col("resource").alias("__res"), "created_at", "expires_at")
-    on = (calls["session_id"] == t["session_id"]) & (calls["tool_name"] == t["tool_name"]) & (calls["ts"] >= t["created_at"]) & (calls["ts"] <= t["expires_at"]) & F.startswith(calls["resource"], t["__res"])
-    return calls.join(t, on, "left_semi").withColumn("granted", F.lit(True)).unionByName(calls.join(t, on, "left_anti").withColumn("granted", F.lit(False)))
+    t = tokens.where(F.col("approved") & ~F.coalesce("denied", F.lit(False))).select(F.col("session_id").alias("__sid"), F.col("tool_name").alias("__tool"), F.col("resource").alias("__res"), "created_at", "expires_at")
+    c = calls.select("event_id" if "call_id" not in calls.columns else "call_id", "session_id", "tool_name", "resource", "ts")
+    key = c.columns[0]
+    on = (F.col("session_id") == F.col("__sid")) & (F.col("tool_name") == F.col("__tool")) & (F.col("ts") >= F.col("created_at")) & (F.col("ts") <= F.col("expires_at")) & token_covers("tool_name", "resource", "__tool", "__res")
+    hits = c.join(t, on).select(F.col(key).alias("__hit")).distinct()
+    return calls.join(hits, F.col(key) == F.col("__hit"), "left").withColumn("granted", F.col("__hit").isNotNull()).drop("__hit")
+
+
+def token_covers(tool="tool_name", resource="resource", token_tool="token_tool", token_resource="token_resource") -> Column:
+    """Whether a token is for the tool and for a prefix of the resource."""
+    return (F.col(tool) == F.col(token_tool)) & F.startswith(F.col(resource), F.col(token_resource))
+
+
+def token_expired(as_of: Column, expires="expires_at") -> Column:
+    """After its last moment; a token without one has expired."""
+    return F.coalesce(as_of.cast("timestamp") > F.col(expires).cast("timestamp"), F.lit(True))
+
+
+def evaluate(policies: list[Policy], subject: str, action: str, resource: str) -> str:
+    """``decide`` for one call on the driver."""
+    resource = resource.replace("\\", "/")
+    for p in policies:
+        kind, _, rest = p.resource.replace("\\", "/").partition(":")
+        body = resource[len(kind) + 1 :] if resource.startswith(kind + ":") else None
+        if p.resource == "*":
+            fits = True
+        elif kind == "file":
+            fits = body is not None and re.search(path_regex(rest), body) is not None
+        elif kind == "dir":
+            fits = body is not None and (body.rstrip("/") == rest.rstrip("/") or body.startswith(rest.rstrip("/") + "/"))
+        elif kind == "cmd":
+            fits = body is not None and re.search(name_regex(rest), body) is not None
+        else:
+            fits = resource == p.resource.replace("\\", "/")
+        if fits and p.subject in ("*", subject) and (p.action == "*" or re.search(name_regex(p.action), action)):
+            return p.effect
+    return NONE

@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -86,11 +87,12 @@ class Tools:
         return len(found)
 
     def as_functions(self, spark: SparkSession) -> list[str]:
-        """Register the tools as SQL functions; high-risk ones are refused."""
+        """Register the tools as SQL functions over Arrow batches, run by Spark's isolated
+        Python workers whatever their risk is; high-risk ones are refused."""
         done = []
         for t in self._tools.values():
             if t.risk != "high":
-                spark.udf.register(t.name, t.func, t.returns)
+                spark.udf.register(t.name, F.udf(t.func, t.returns, useArrow=True))
                 done.append(t.name)
         return done
 
@@ -98,6 +100,31 @@ class Tools:
         return spark.createDataFrame([(t.name, t.description, t.risk) for t in self._tools.values()], "name string, description string, risk string")
 
 
+def sample_tools() -> Tools:
+    """Three small tools to try a registry with."""
+    tools = Tools()
+    tools.add(Tool("echo", "gives back its message", lambda message: f"[test-server echo]: {message}", parameters=[{"name": "message", "type": "string", "description": "", "required": True}]))
+    tools.add(Tool("add", "adds two numbers", lambda a, b: f"{a} + {b} = {a + b}", parameters=[{"name": n, "type": "number", "description": "", "required": True} for n in "ab"]))
+    tools.add(Tool("get_time", "the moment in UTC", lambda now=None: (now or datetime.now(UTC)).isoformat()))
+    return tools
+
+
+def tool_union(declared, scripts):
+    """Tools of a skill: the declared ones, then the names of its scripts, each once."""
+    return F.array_union(F.coalesce(declared, F.array().cast("array<string>")), F.coalesce(scripts, F.array().cast("array<string>")))
+
+
+def agent_configs(skills: DataFrame) -> DataFrame:
+    """A configuration of each skill's agent: name, description, skills, tools, max_iterations and source.
+
+    ``skills``: name, type, description, tools (structs with a name), scripts (names;
+    they count for the user's own skills only), max_iterations.
+    """
+    own = F.when(F.col("type") == "user", F.col("scripts"))
+    tools = tool_union(F.transform("tools", lambda t: t["name"]), own)
+    return skills.select("name", "description", F.array("name").alias("skills"), tools.alias("tools"), F.coalesce("max_iterations", F.lit(5)).alias("max_iterations"), F.concat(F.lit("skill:"), "type").alias("source"))
+
+
 CONTINUE, SKIP, ABORT = "continue", "skip", "abort"
 MODIFY, CONTROL, OBSERVE = "modify", "control", "observe"
 

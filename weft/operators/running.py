@@ -36,3 +36,10 @@ def running_sum(df: DataFrame, keys: list[str], blocks: dict[str, Column], order
 
 def step_of(c: str | Column) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / STEP)
+
+
+def last_value_wins(rows: DataFrame, key: str, order: str, values: str = "value") -> DataFrame:
+    """One row a key with the map of its updates: later maps replace equal names of earlier ones."""
+    each = rows.select(key, order, F.explode(values).alias("__n", "__v"))
+    got = each.groupBy(key, "__n").agg(F.max_by("__v", order).alias("__v"))
+    return got.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__n", "__v")))).alias(values))

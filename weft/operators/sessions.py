@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sum, step_of
+
 IDLE_SECONDS, PAUSED_SECONDS, MOST_SESSIONS = 1800, 3600, 50
 TERMINAL = ("execution_complete", "error")
 STATUSES = ("idle", "running", "paused", "resuming", "completed", "expired", "awaiting_user")
@@ -53,8 +55,8 @@ def until_terminal(events: DataFrame, key: str, order: str, kinds=TERMINAL, kind
 
 def token_events(chunks: DataFrame, call: str, order: str) -> DataFrame:
     """Start, chunk (with its running index) and end (with the total) events of each call."""
-    w = Window.partitionBy(call).orderBy(order)
-    chunk = chunks.select(call, F.lit("llm_stream_chunk").alias("event"), (F.row_number().over(w) - 1).cast("long").alias("n"))
+    numbered = running_sum(chunks.select(call, order), [call], {"b": step_of(order)}, [order], F.lit(1), "n")  # a call of any length
+    chunk = numbered.select(call, F.lit("llm_stream_chunk").alias("event"), F.col("n").cast("long").alias("n"))
     ends = chunks.groupBy(call).agg(F.count("*").alias("n"))
     start = ends.select(call, F.lit("llm_stream_start").alias("event"), F.lit(0).cast("long").alias("n"))
     return start.unionByName(chunk).unionByName(ends.select(call, F.lit("llm_stream_end").alias("event"), "n"))
@@ -93,3 +95,9 @@ def transition(status: Column, event: Column) -> Column:
     for name, sources, to in moves:
         out = F.when((event == name) & status.isin(*sources), to).otherwise(out)
     return out
+
+
+def registered(sessions: DataFrame, most: int = MOST_SESSIONS) -> DataFrame:
+    """(registered, active, full): how many sessions there are, how many run or wait, and whether one more would evict."""
+    busy = F.col("status").isin("running", "resuming", "paused", "awaiting_user")
+    return sessions.agg(F.count("*").alias("registered"), F.count_if(busy).alias("active")).withColumn("full", F.col("registered") >= most)
