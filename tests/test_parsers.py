@@ -32,11 +32,14 @@ def test_calculator_refuses():
 def test_page_text_and_links():
     page = "<html><script>x<y</script><p> a &amp; <b>b</b> </p><a href='/1'> one </a><a>no</a><a href=2>two</a>"
     assert html.page_text(page) == "a &bonenotwo" and html.anchors(page) == ["one", "two"]
-    assert html.page_text(None) == "" and html.readme("<article class='markdown-body x'><h1>T</h1> t</article>") == "T\nt"
+    assert html.page_text(None) == "" and html.readme("<article class='markdown-body entry-content'><h1>T</h1> t</article>") == "T\nt"
+    assert html.readme("<div id=readme><p>no</p><article class=markdown-body>yes</article></div>") == "yes" and html.readme("<div itemprop=text>t</div>") == "t"
+    assert html.readme("<div id=readme>x</div>") == "" == html.readme("<article class=markdown-body>x</article>")
 
 
-def test_slides():
-    deck = markdown.slides("# T\n## sub\n\n## Sec\n- a\n\t- b\n1. one\n> q\n![x](p.png)\ntext\n---\nloose\n### Page\n# later")
+def test_slides(spark):
+    df = spark.createDataFrame([(1, "# T\n## sub\n\n## Sec\n- a\n\t- b\n1. one\n> q\n![x](p.png)\ntext\n---\nloose\n### Page\n# later")], "id int, body string")
+    deck = sorted((tuple(r)[1:] for r in markdown.slide_rows(df, "id").collect()), key=repr)
     assert deck == [
         (0, None, "title", "T", "sub", None, None, None),
         (1, 0, "section", "Sec", "", "bullet", "a", 0),
@@ -50,9 +53,16 @@ def test_slides():
     ]
 
 
-def test_topic_round_trip():
+def test_slides_of_other_shapes(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "---\n***"), (4, "## a\n## b"), (5, "x\n# T\n---\n## s"), (6, "only"), (6, "only")], "id int, body string")
+    got = sorted((tuple(r)[:5] for r in markdown.slide_rows(df, "id").collect()), key=repr)
+    assert got == [(4, 0, None, "section", "a"), (4, 1, None, "section", "b"), (5, 0, 0, "content", ""), (5, 1, None, "title", "T"), (5, 2, None, "section", "s"), (6, 0, 0, "content", ""), (6, 0, 0, "content", "")]
+
+
+def test_topic_round_trip(spark):
     entries = [{"date": "2024-01-01", "title": "t", "task": "a", "approach": "b", "lessons": "x\ny", "user_feedback": "", "user_adjustment": "z"}]
-    assert markdown.topic_entries(markdown.topic_text("T", entries)) == entries
+    df = spark.createDataFrame([(1, markdown.topic_text("T", entries))], "id int, body string")
+    assert [{k: v for k, v in r.asDict().items() if k not in ("id", "pos")} for r in markdown.topic_rows(df, "id").collect()] == entries
 
 
 def test_front_matter():

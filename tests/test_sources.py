@@ -54,5 +54,5 @@ def test_repository_requests(spark):
     df = spark.createDataFrame([("https://github.com/a/b, bad ,https://github.com/a/b,",)], "urls string")
     got = repositories.requested(df)
     assert [(r.pos, r.url, r.valid) for r in got.orderBy("pos").collect()] == [(1, "https://github.com/a/b", True), (2, "bad", False)]
-    pages = spark.createDataFrame([("https://github.com/a/b", "<div id='readme'>" + "x" * 9000 + "</div>")], "url string, html string")
+    pages = spark.createDataFrame([("https://github.com/a/b", "<div id='readme'><article class='markdown-body'>" + "x" * 9000 + "</article></div>")], "url string, html string")
     assert {r.url: (r.ok, len(r.text or "")) for r in repositories.readmes(got, pages).collect()} == {"https://github.com/a/b": (True, 8000), "bad": (False, 0)}

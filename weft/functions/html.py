@@ -37,6 +37,20 @@ class _Node:
     def text(self, glue: str = "") -> str:
         return glue.join(t for t in (s.strip() for s in self.texts()) if t)
 
+    def closest(self, tag: str):
+        """The nearest element around this one with that tag."""
+        up = self.parent
+        while up is not None and up.tag != tag:
+            up = up.parent
+        return up
+
+    def inside(self, id_: str) -> bool:
+        """Whether an element around this one has that id."""
+        up = self.parent
+        while up is not None and up.attrs.get("id") != id_:
+            up = up.parent
+        return up is not None
+
     def has(self, name: str) -> bool:
         return name in self.attrs.get("class", "").split()
 
@@ -86,55 +100,54 @@ def anchors(html: str | None, most: int = 5) -> list[str]:
     return out
 
 
-def _articles(root: _Node) -> list[_Node]:
-    found = [a for a in root.all("article") if a.has("Box-row")]
-    if found:
-        return found
-    for h2 in root.all("h2"):
-        if h2.has("h3") and any("href" in a.attrs for a in h2.all("a")):
-            up = h2.parent
-            while up is not None and up.tag != "article":
-                up = up.parent
-            if up is not None and up not in found:
-                found.append(up)
-    return found
+#: Fields of a listed repository: the element, the test on it and its text, and what to take.
+#: Of several rules for a field the first that gives anything counts.
+RULES = [
+    ("description", "p", lambda n, t: True, str),
+    ("language", "span", lambda n, t: n.attrs.get("itemprop") == "programmingLanguage", str),
+    ("stars", "a", lambda n, t: t and "/stargazers" in n.attrs.get("href", ""), str),
+    ("forks", "a", lambda n, t: t and "/forks" in n.attrs.get("href", "") and "/stargazers" not in n.attrs["href"], str),
+    ("stars_today", "span", lambda n, t: "stars today" in t.lower(), lambda t: t.replace("stars today", "").strip()),
+    ("stars_today", "span", lambda n, t: n.has("float-sm-right") and t and not t.startswith("("), str),
+]
 
 
 def repositories(html: str | None, most: int = 25) -> list[dict[str, str]]:
-    """Rows of a page that lists repositories, one for each article with an owner/name link."""
-    out = []
-    for art in _articles(tree(html)):
-        link = next((a for h in [next(art.all("h2"), None)] if h for a in h.all("a") if "href" in a.attrs), None)
-        name = link.attrs["href"].strip().strip("/") if link else ""
-        if len(name.split("/")) != 2:
-            continue
-        row = dict.fromkeys(("description", "language", "stars", "forks", "stars_today"), "")
-        row |= {"full_name": name, "url": f"https://github.com/{name}"}
-        if p := next(art.all("p"), None):
-            row["description"] = p.text()
-        for a in art.all("a"):
-            for key, part in (("stars", "/stargazers"), ("forks", "/forks")):
-                if part in a.attrs.get("href", "") and not row[key]:
-                    row[key] = a.text()
-        spans = list(art.all("span"))
-        row["language"] = next((s.text() for s in spans if s.attrs.get("itemprop") == "programmingLanguage"), "")
-        today = next((s.text() for s in spans if "stars today" in s.text().lower()), None)
-        if today is not None:
-            row["stars_today"] = today.replace("stars today", "").strip()
-        else:
-            row["stars_today"] = next((t for s in spans if s.has("float-sm-right") and (t := s.text()) and not t.startswith("(")), "")
-        out.append(row)
-    return out[:most]
+    """Rows of a page that lists repositories, one for each box with an owner/name link."""
+    page = tree(html)
+    boxes = [n for n in page.all("article") if n.has("Box-row")]
+    if not boxes:  # other layouts: whatever article holds a linked heading
+        linked = (a for h in page.all("h2") if h.has("h3") for a in h.all("a") if "href" in a.attrs)
+        boxes = list(dict.fromkeys(up for a in linked if (up := a.closest("article"))))
+    rows = ({"full_name": _linked_name(box)} | _fields(box) for box in boxes)
+    return [r | {"url": f"https://github.com/{r['full_name']}"} for r in rows if r["full_name"].count("/") == 1][:most]
+
+
+def _linked_name(box: _Node) -> str:
+    heading = next(box.all("h2"), None)
+    hrefs = (a.attrs["href"] for a in heading.all("a") if "href" in a.attrs) if heading else ()
+    return next(iter(hrefs), "").strip().strip("/")
+
+
+def _fields(box: _Node) -> dict[str, str]:
+    got: dict[str, str] = {}
+    for name, tag, test, take in RULES:
+        if not got.get(name):
+            got[name] = next((take(t) for n in box.all(tag) if test(n, t := n.text())), "")
+    return got
+
+
+#: Where a rendered readme stands: the element, its classes, and the id of an element around it.
+README = [("article", {}, ("markdown-body", "entry-content"), None), ("article", {}, ("markdown-body",), "readme"), ("div", {"itemprop": "text"}, (), None)]
 
 
 def readme(html: str | None) -> str:
     """Text of the page's rendered readme, a line for each text node; empty if there is none."""
-    root = tree(html)
-    tests = (lambda n: n.tag == "article" and n.has("markdown-body"), lambda n: n.attrs.get("id") == "readme", lambda n: n.tag == "div" and n.has("markdown-body"))
-    for test in tests:
-        node = next((n for n in root.all() if test(n)), None)
-        if node is not None:
-            return node.text("\n")
+    page = tree(html)
+    for tag, attrs, classes, around in README:
+        for n in page.all(tag):
+            if all(map(n.has, classes)) and attrs.items() <= n.attrs.items() and (around is None or n.inside(around)):
+                return n.text("\n")
     return ""
 
 

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import indent_level
+
 FIELDS = {"任务": "task", "方案": "approach", "经验": "lessons", "用户反馈": "user_feedback", "用户调整": "user_adjustment"}
-RULES = ("---", "***", "___")
+EDGES = r"(?U)^\s+|\s+$"
+# How lines of a deck begin.
+MARKS = {
+    "rule": r"^(?:---|\*\*\*|___)$",
+    "h1": "^# (.*)",
+    "h2": "^## (.*)",
+    "h3": "^### (.*)",
+    "bullet": r"^[-*]\s+(.*)",
+    "numbered": r"^\d+[.)]\s+(.+)$",
+    "quote": "^> (.*)",
+    "image": r"^!\[[^\]]*\]\(([^)]+)\)$",
+}
 SLIDES = "slide_no int, item_no int, slide_type string, title string, subtitle string, type string, text string, level int"
 
 
@@ -18,6 +30,24 @@ def lines(docs: DataFrame, key: str, column: str = "body") -> DataFrame:
     return docs.select(key, F.posexplode(F.split(F.coalesce(column, F.lit("")), "\n")).alias("line_no", "line"))
 
 
+def numbered_lines(docs: DataFrame, key: str, column: str = "body") -> DataFrame:
+    """(key, doc_row, line_no, line); doc_row tells documents apart that share a key."""
+    rows = docs.select(key, F.monotonically_increasing_id().alias("doc_row"), F.split(F.coalesce(column, F.lit("")), "\n").alias("lines"))
+    return rows.select(key, "doc_row", F.posexplode("lines").alias("line_no", "line"))
+
+
+def segment(rows: DataFrame, marker: Column, name: str = "segment") -> DataFrame:
+    """Adds the number of the segment that each line of its document belongs to: markers
+    so far, 0 before the first."""
+    so_far = Window.partitionBy("doc_row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.sum(marker.cast("int")).over(so_far))
+
+
+def _joined(order: str, text: Column) -> Column:
+    """Aggregate: the texts that are not null, in order, a line each."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(order, text.alias("t"))))), lambda x: x["t"]), "\n")
+
+
 def profile_rows(docs: DataFrame, key: str, column: str = "body") -> DataFrame:
     """(key, category, pos, content, stale, confidence): items under their last heading.
 
@@ -46,26 +76,6 @@ def profile_text(items: DataFrame, key: str) -> DataFrame:
     return cats.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
 
 
-def topic_entries(body: str | None) -> list[dict]:
-    """Entries of one topic: a heading "date — title", labelled fields, and lines that
-    continue a field (lessons too, whose first line is empty)."""
-    out: list[dict] = []
-    entry, name = None, None
-    for line in (body or "").split("\n"):
-        if m := re.match(r"^###\s+(.+)", line):
-            head = m.group(1).strip()
-            date, _, title = head.rpartition(" — ") if " — " not in head else (head.split(" — ", 1)[0], "", head.split(" — ", 1)[1])
-            entry, name = dict.fromkeys(FIELDS.values(), "") | {"date": date, "title": title}, None
-            out.append(entry)
-        elif entry is not None and (m := re.match(r"^[-*]\s+\*\*(.+?)\*\*:\s*(.*)", line)):
-            name = FIELDS.get(m.group(1).strip())
-            if name:
-                entry[name] = m.group(2).strip()
-        elif entry is not None and name and line.strip() and not line.startswith("#"):
-            entry[name] = f"{entry[name]}\n{line.strip()}" if entry[name] else line.strip()
-    return [e for e in out if e["title"]]
-
-
 def topic_text(title: str, entries: list[dict]) -> str:
     """A topic's markdown, in the form that ``topic_entries`` reads."""
     out = [f"# {title}", "", "## 记忆条目", ""]
@@ -82,15 +92,25 @@ def topic_text(title: str, entries: list[dict]) -> str:
 
 
 def topic_rows(docs: DataFrame, key: str, column: str = "body") -> DataFrame:
-    kinds = dict(docs.dtypes)
+    """(key, pos, date, title and the fields of FIELDS) of each entry of a topic's markdown.
 
-    def run(batches):
-        for part in batches:
-            rows = [{key: k, "pos": i, **e} for k, b in zip(part[key], part[column], strict=True) for i, e in enumerate(topic_entries(b))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "date", "title", *FIELDS.values()])
-
-    cols = ", ".join(f"{c} string" for c in ["date", "title", *FIELDS.values()])
-    return docs.select(key, column).mapInPandas(run, f"{key} {kinds[key]}, pos int, {cols}")
+    An entry goes from its heading "### date — title" to the next; a field goes from its
+    labelled line to the next, and its further lines follow on, also where the first is
+    empty. Of equal labels in one entry the last counts; entries without a title drop out.
+    """
+    rows = numbered_lines(docs, key, column)
+    head, label = F.regexp_extract("line", r"^###\s+(.+)", 1), F.regexp_extract("line", r"^[-*]\s+\*\*(.+?)\*\*:", 1)
+    rows = rows.withColumns({"head": F.trim(head), "label": F.trim(label)})
+    rows = segment(rows, F.col("head") != "", "entry")
+    rows = segment(rows, (F.col("head") != "") | (F.col("label") != ""), "field").where("entry > 0")
+    said = F.when(F.col("label") != "", F.regexp_extract("line", r"^[-*]\s+\*\*.+?\*\*:\s*(.*)", 1)).when(~F.col("line").startswith("#"), F.col("line"))
+    rows = rows.withColumn("said", F.regexp_replace(said, EDGES, ""))
+    parts = rows.groupBy(key, "doc_row", "entry", "field").agg(F.max("head").alias("head"), F.max("label").alias("label"), _joined("line_no", F.when(F.col("said") != "", F.col("said"))).alias("value"))
+    cut = F.split("head", " — ", 2)
+    made = parts.groupBy(key, "doc_row", "entry").agg(F.max("head").alias("head"), *(F.coalesce(F.max_by("value", F.when(F.col("label") == text, F.col("field"))), F.lit("")).alias(name) for text, name in FIELDS.items()))
+    made = made.withColumns({"date": F.when(F.size(cut) == 2, cut[0]).otherwise(""), "title": F.element_at(cut, -1)}).where("title != ''")
+    pos = F.row_number().over(Window.partitionBy("doc_row").orderBy("entry")) - 1
+    return made.select(key, pos.alias("pos"), "date", "title", *FIELDS.values())
 
 
 def _scalar(v: str):
@@ -137,58 +157,56 @@ def skill(text: str) -> dict:
     return meta | {"tools": meta.get("tools") or [], "max_iterations": meta.get("max_iterations") or 10, "body": body}
 
 
-def slides(markdown: str | None) -> list[tuple]:
-    """(slide_no, item_no, slide_type, title, subtitle, type, text, level) of a deck.
-
-    A slide without items has one row with item_no null.
-    """
-    deck: list[dict] = []
-    now, titled, fresh = None, False, False
-
-    def new(kind, title):
-        deck.append({"kind": kind, "title": title, "subtitle": "", "items": []})
-        return deck[-1]
-
-    for line in (markdown or "").strip().split("\n"):
-        s = line.strip()
-        if not s:
-            continue
-        mark, _, rest = s.partition(" ")
-        rest = rest.strip()
-        after_title, fresh = fresh, False
-        if s in RULES:
-            now = None
-        elif mark == "#" and " " in s and not titled:
-            now, titled, fresh = new("title", rest), True, True
-        elif mark == "##" and " " in s and after_title:
-            now["subtitle"] = rest
-        elif mark in ("##", "###") and " " in s:
-            now = new("section" if mark == "##" else "content", rest)
-        else:
-            now = now or new("content", "")
-            if m := re.match(r"^[-*]\s+(.*)", s):
-                lead = line[: len(line) - len(line.lstrip(" \t"))]
-                item = ("bullet", m.group(1), len(lead.replace("\t", "  ")) // 2)
-            elif m := re.match(r"^\d+[.)]\s+(.+)$", s):
-                item = ("numbered", m.group(1).strip(), None)
-            elif mark == ">" and " " in s:
-                item = ("quote", rest, None)
-            elif m := re.match(r"^!\[[^\]]*\]\(([^)]+)\)$", s):
-                item = ("image", m.group(1), None)
-            else:
-                item = ("paragraph", s, None)
-            now["items"].append(item)
-    return [(n, i, d["kind"], d["title"], d["subtitle"], *item) for n, d in enumerate(deck) for i, item in (enumerate(d["items"]) if d["items"] else [(None, (None, None, None))])]
-
-
 def slide_rows(docs: DataFrame, key: str, column: str = "body") -> DataFrame:
-    """The slides of each document as rows."""
-    kinds = dict(docs.dtypes)
-    names = [c.split()[0] for c in SLIDES.split(", ")]
+    """The slides of each document as rows: key and the columns of ``SLIDES``.
 
-    def run(batches):
-        for part in batches:
-            rows = [(k, *s) for k, b in zip(part[key], part[column], strict=True) for s in slides(b)]
-            yield pd.DataFrame(rows, columns=[key, *names]).astype({"item_no": "Int32", "level": "Int32"})
-
-    return docs.select(key, column).mapInPandas(run, f"{key} {kinds[key]}, {SLIDES}")
+    Lines are told apart by their marks (``MARKS``); a slide begins at a heading, or at
+    a line with no slide open: the first, or one after a rule. The first "#" is the
+    deck's title, a "##" right below it the subtitle, later "#" lines are text. A slide
+    without items has one row with item_no null.
+    """
+    rows = numbered_lines(docs, key, column).withColumn("text", F.regexp_replace("line", EDGES, "")).where("text != ''")
+    kind = F.lit("paragraph")
+    for name, mark in reversed(MARKS.items()):
+        kind = F.when(F.col("text").rlike(mark), name).otherwise(kind)
+    order = Window.partitionBy("doc_row").orderBy("line_no")
+    first = F.min(F.when(F.col("kind") == "h1", F.col("line_no"))).over(Window.partitionBy("doc_row"))
+    rows = rows.withColumn("kind", kind).withColumn("first", first)
+    title = F.col("line_no").eqNullSafe(F.col("first"))
+    after_title = F.lag("line_no").over(order).eqNullSafe(F.col("first")) & F.col("first").isNotNull()
+    part = F.when(title, "title").when((F.col("kind") == "h2") & after_title, "subtitle").when(F.col("kind") == "h2", "section").when(F.col("kind") == "h3", "content").when(F.col("kind") == "rule", "rule").otherwise("item")
+    rows = rows.withColumn("part", part)
+    loose = (F.col("part") == "item") & F.coalesce(F.lag("part").over(order) == "rule", F.lit(True))
+    headed = F.col("part").isin("title", "section", "content")
+    rows = segment(rows.withColumn("loose", loose), headed | F.col("loose"), "slide").where("slide > 0 and part != 'rule'")
+    inner = lambda mark: F.regexp_replace(F.regexp_extract("text", mark, 1), EDGES, "")
+    own = F.col("text")
+    for name, mark in MARKS.items():
+        if name not in ("rule", "h1"):
+            own = F.when(F.col("kind") == name, inner(mark)).otherwise(own)
+    own = F.when((F.col("kind") == "h1") & (F.col("part") == "title"), inner(MARKS["h1"])).otherwise(own)
+    rows = rows.withColumn("own", own)
+    slide = Window.partitionBy("doc_row", "slide")
+    of = lambda *parts: F.max(F.when(F.col("part").isin(*parts), F.col("own"))).over(slide)
+    is_item = F.col("part") == "item"
+    rows = rows.withColumns({
+        "slide_type": F.coalesce(F.max(F.when(headed, F.col("part"))).over(slide), F.lit("content")),
+        "title": F.coalesce(of("title", "section", "content"), F.lit("")),
+        "subtitle": F.coalesce(of("subtitle"), F.lit("")),
+        "items": F.count_if(is_item).over(slide),
+        "nth": F.count_if(is_item).over(slide.orderBy("line_no")),
+    })
+    rows = rows.where(is_item | (headed & (F.col("items") == 0)))
+    mine = lambda c: F.when(is_item, c)
+    kind = F.when(F.col("kind") == "h1", "paragraph").otherwise(F.col("kind"))
+    return rows.select(
+        key,
+        (F.col("slide") - 1).cast("int").alias("slide_no"),
+        mine(F.col("nth") - 1).cast("int").alias("item_no"),
+        "slide_type",
+        "title",
+        "subtitle",
+        mine(kind).alias("type"),
+        mine(F.col("own")).alias("text"),
+        F.when(is_item & (F.col("kind") == "bullet"), indent_level("line")).alias("level"),
+    )

@@ -110,6 +110,7 @@ def user_reply(options: Column, selected: Column, approval: Column, reply: Colum
 
 
 def recovery_hint(phase: Column, has_plan: Column, total: Column, done: Column) -> Column:
+    # The texts by which a session says how far it is.
     hint = (
         F.when(phase == "intent_analysis", "正在分析您的意图，尚未开始执行")
         .when(phase == "plan_generation", "正在制定任务计划")

@@ -172,10 +172,10 @@ def pa09_repositories(spark, sf_dir):
     return got.select("page", "full_name", "description", "stars")
 
 
-@query("SELECT n_nationkey AS pos, true AS ok, n_name || '\n\nend' AS text FROM nation WHERE n_nationkey < 5")
+@query("SELECT n_nationkey AS pos, true AS ok, n_name || '\nend' AS text FROM nation")
 def io22_readmes(spark, sf_dir):
-    n = views.table(spark, sf_dir, "nation").where("n_nationkey < 5")
+    n = views.table(spark, sf_dir, "nation")
     url = F.concat(F.lit("https://github.com/o/"), "n_name")
     asked = n.select(F.col("n_nationkey").alias("pos"), url.alias("url"), url.rlike(repositories.URL).alias("valid"))
-    pages = n.select(url.alias("url"), F.concat(F.lit('<div id="readme"><p>'), "n_name", F.lit("</p><p>\n\n\n\n</p><p>\nend</p></div>")).alias("html"))
-    return repositories.readmes(asked, pages).select("pos", "ok", F.replace("text", F.lit("\nend"), F.lit("\n\nend")).alias("text"))
+    pages = n.select(url.alias("url"), F.concat(F.lit('<div id="readme"><article class="markdown-body"><p>'), "n_name", F.lit("</p><p>\n\n\n\n</p><p>\nend</p></article></div>")).alias("html"))
+    return repositories.readmes(asked, pages).select("pos", "ok", "text")

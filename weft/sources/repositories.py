@@ -9,11 +9,13 @@ from __future__ import annotations
 import urllib.error
 import urllib.request
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.html import html_readme, html_repositories
 
+# Fixed value: the form of a repository's address.
 URL = r"^https://github\.com/([a-zA-Z0-9._-]+)/([a-zA-Z0-9._-]+)$"
 SINCE = ("daily", "weekly", "monthly")
 MOST_URLS, MOST_BYTES = 10, 5 << 20
@@ -23,13 +25,24 @@ def fetch(url: str, timeout: float = 20.0) -> tuple[int, str]:
     """(status, text); -1 for a timeout, -2 for a network error; at most 5 MB."""
     try:
         with urllib.request.urlopen(url, timeout=timeout) as r:  # noqa: S310
-            return r.status, r.read(MOST_BYTES).decode("utf-8", "replace")
+            return r.status or 200, r.read(MOST_BYTES).decode("utf-8", "replace")
     except TimeoutError:
         return -1, "timeout"
     except (urllib.error.URLError, OSError, ValueError) as e:
         return -2, str(e)
 
 
+def fetched(urls: DataFrame, timeout: float = 20.0) -> DataFrame:
+    """(url, status, html) of each url, fetched by the tasks; html is null where the status is not 200."""
+
+    def run(batches):
+        for part in batches:
+            got = [fetch(u, timeout) for u in part["url"]]
+            yield pd.DataFrame({"url": part["url"], "status": [s for s, _ in got], "html": [t if s == 200 else None for s, t in got]})
+
+    return urls.select("url").mapInPandas(run, "url string, status int, html string")
+
+
 def trending(pages: DataFrame, limit: int = 0, since: str = "daily") -> DataFrame:
     """(url, rank, repository fields) of listing pages; ``limit`` 0 takes all (25 at most)."""
     if since not in SINCE:
@@ -39,15 +52,35 @@ def trending(pages: DataFrame, limit: int = 0, since: str = "daily") -> DataFram
 
 
 def trending_markdown(rows: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("## "), (F.col("rank") + 1).cast("string"), F.lit(". ["), "full_name", F.lit("]("), "url", F.lit(")\n"), "description", F.lit("\n- "), "language", F.lit(" | "), "stars", F.lit(" | "), "stars_today")
-    return rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("markdown"))
+    """(page, n, markdown): a listing's repositories, a section each."""
+    today = F.when(F.col("stars_today") != "", F.concat(F.lit(" (+"), "stars_today", F.lit(")"))).otherwise("")
+    also = [F.when(F.col(c) != "", F.concat(F.lit(f"\n- **{c.title()}**: "), F.col(c))).otherwise("") for c in ("language", "description")]
+    line = F.concat(F.lit("## "), (F.col("rank") + 1).cast("string"), F.lit(". ["), "full_name", F.lit("]("), "url", F.lit(")\n\n- **Stars**: "), "stars", today, F.lit("\n- **Forks**: "), "forks", *also)
+    got = rows.groupBy("page").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n\n---\n\n").alias("markdown"))  # 25 rows a page at most
+    return got
+
+
+def write_report(rows: DataFrame, folder: str, day: str, since: str = "daily") -> None:
+    """Reports of listing pages, one text row a page, under since=.../day=...; a day written again is replaced."""
+    if since not in SINCE:
+        raise ValueError(f"since must be one of {SINCE}")
+    trending_markdown(rows).write.mode("overwrite").json(f"{folder}/since={since}/day={day}")
+
+
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.option("basePath", folder).schema("page string, n long, markdown string, since string, day string").json(f"{folder}/*/*")
+
+
+def success(rows: DataFrame) -> DataFrame:
+    """(succeeded, total) over rows with ok."""
+    return rows.agg(F.count_if("ok").alias("succeeded"), F.count("*").alias("total"))
 
 
-def requested(urls: DataFrame, column: str = "urls") -> DataFrame:
-    """(pos, url, valid): a comma-separated list, each url once, the first ten."""
+def requested(urls: DataFrame, column: str = "urls", most: int = MOST_URLS) -> DataFrame:
+    """(pos, url, valid): comma-separated lists, each url once, the first ``most`` (of them all, in the order of their places)."""
     rows = urls.select(F.posexplode(F.split(column, ",")).alias("at", "url")).select("at", F.trim("url").alias("url")).where("url != ''")
-    rows = rows.groupBy("url").agg(F.min("at").alias("at")).withColumn("pos", F.row_number().over(Window.orderBy("at")))
-    return rows.where(F.col("pos") <= MOST_URLS).select("pos", "url", F.col("url").rlike(URL).alias("valid"))
+    first = rows.groupBy("url").agg(F.min("at").alias("at")).orderBy("at", "url").limit(most)  # a few rows from here on
+    return first.select(F.row_number().over(Window.orderBy("at", "url")).alias("pos"), "url", F.col("url").rlike(URL).alias("valid"))
 
 
 def readmes(asked: DataFrame, pages: DataFrame, most: int = 8000) -> DataFrame:
