@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,3 +211,31 @@ def slide_rows(docs: DataFrame, key: str, column: str = "body") -> DataFrame:
         mine(F.col("own")).alias("text"),
         F.when(is_item & (F.col("kind") == "bullet"), indent_level("line")).alias("level"),
     )
+
+
+def front_matter_rows(docs: DataFrame, key: str, column: str = "body") -> DataFrame:
+    """(key, meta, body): front matter as texts by name (empty without one), and what follows it."""
+    return _parsed(docs, key, column, front_matter, lambda found: {"meta": {k: None if v is None else str(v) for k, v in found[0].items()}, "body": found[1]}, "meta map<string,string>, body string, error string")
+
+
+def skill_rows(docs: DataFrame, key: str, column: str = "body") -> DataFrame:
+    """(key, name, type, description, max_iterations, body, error): skill documents; a broken one has only its error."""
+    take = lambda s: {"name": str(s["name"]), "type": s["type"], "description": str(s["description"]), "max_iterations": int(s["max_iterations"]), "body": s["body"]}
+    return _parsed(docs, key, column, skill, take, "name string, type string, description string, max_iterations bigint, body string, error string")
+
+
+def _parsed(docs, key, column, parse, take, shape):
+    kinds = dict(docs.dtypes)
+    names = [c.split()[0] for c in shape.split(", ")]
+
+    def run(batches):
+        for part in batches:
+            rows = []
+            for k, doc in zip(part[key], part[column], strict=True):
+                try:
+                    rows.append(dict.fromkeys(names) | {key: k, **take(parse(doc or ""))})
+                except ValueError as e:
+                    rows.append(dict.fromkeys(names) | {key: k, "error": str(e)})
+            yield pd.DataFrame(rows, columns=[key, *names]).astype(object)
+
+    return docs.select(key, column).mapInPandas(run, f"{key} {kinds[key]}, {shape}")

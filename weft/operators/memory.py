@@ -172,6 +172,7 @@ def extract(transcripts: DataFrame, preferences, experience) -> DataFrame:
     of another shape gives nothing.
     """
     names = [c.split()[0] for c in EXTRACTED.split(", ")]
+    blank = dict.fromkeys(names)
 
     def run(batches):
         for part in batches:
@@ -180,10 +181,10 @@ def extract(transcripts: DataFrame, preferences, experience) -> DataFrame:
                 found = liked.get("preferences")
                 for p in found if isinstance(found, list) else ():
                     if isinstance(p, dict) and p.get("content"):
-                        rows.append({"session_id": key, "kind": "preference", "category": p.get("category") or OTHER, "content": str(p["content"])})
+                        rows.append(blank | {"session_id": key, "kind": "preference", "category": p.get("category") or OTHER, "content": str(p["content"])})
                 told = learned.get("memory")
                 if learned.get("has_memory") and isinstance(told, dict):
-                    rows.append({"session_id": key, "kind": "topic", "slug": told.get("topic_slug"), **{k: told.get(k) for k in ("title", "task", "approach", "lessons", "keywords")}})
+                    rows.append(blank | {"session_id": key, "kind": "topic", "slug": told.get("topic_slug"), **{k: told.get(k) for k in ("title", "task", "approach", "lessons", "keywords")}})
             yield pd.DataFrame(rows, columns=names).astype(object)
 
     return transcripts.select(F.col("session_id").cast("string").alias("session_id"), "text").mapInPandas(run, EXTRACTED)

@@ -9,20 +9,20 @@ from weft.operators import history, messages, registry, sessions
 
 from . import context, views
 from .registry import query
-from .views import MESSAGES, PRIORITY
+from .views import AGENTS, MESSAGES, PRIORITY
 
 RECENT = "turn_index >= greatest(1, max(turn_index) OVER (PARTITION BY session_id) - {n} + 1)"
 PRUNED = """
   marked AS (SELECT *, {recent} AS recent, {prio} AS priority, sum(tokens) OVER (PARTITION BY session_id) AS total FROM {src}),
   gone AS (SELECT *, coalesce(sum(CASE WHEN NOT recent AND priority > 0 THEN tokens ELSE 0 END) OVER (PARTITION BY session_id
     ORDER BY CASE WHEN NOT recent AND priority > 0 THEN priority ELSE -1 END DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM marked),
-  kept AS (SELECT * FROM gone WHERE NOT (NOT recent AND priority > 0 AND total - before > 200))"""
+  kept AS (SELECT * FROM gone WHERE NOT (NOT recent AND priority > 0 AND total - before > {limit}))"""
 ELIGIBLE = "message_type NOT IN ('guard_plan_review', 'plan_task_dispatch', 'tool_call', 'tool_result')"
 REJECTED = "(message_type IN ('plan_proposal', 'plan_result_synthesis') AND approved IS NOT DISTINCT FROM false)"
 
 
-def pruned(src: str) -> str:
-    return PRUNED.format(recent=RECENT.format(n=2), prio=PRIORITY, src=src)
+def pruned(src: str, keep: int = 2, limit: int = 200) -> str:
+    return PRUNED.format(recent=RECENT.format(n=keep), prio=PRIORITY, src=src, limit=limit)
 
 
 @query(f"WITH {MESSAGES} SELECT session_id, pos, tokens FROM msg")
@@ -171,7 +171,11 @@ def pl01_guard_context(spark, sf_dir):
     return context.guard_context(views.messages(spark, sf_dir), normal=200, keep_turns=2).select("session_id", "pos")
 
 
-@query()
+@query(f"""WITH {MESSAGES}, {AGENTS}, base AS (SELECT * FROM msg WHERE {ELIGIBLE} AND NOT {REJECTED}), {pruned('base')},
+  catalog AS (SELECT string_agg('- ' || agent || ': ' || description, chr(10) ORDER BY pos) AS text FROM agents)
+  SELECT session_id, pos, role, message_type, text FROM kept
+  UNION ALL SELECT session_id, 1000000001, 'system', 'system_notification', (SELECT text FROM catalog) FROM kept GROUP BY session_id
+  UNION ALL SELECT session_id, 1000000002, 'system', 'system_memory_topic', arg_max(text, pos) FROM msg WHERE role = 'user' AND session_id IN (SELECT session_id FROM kept) GROUP BY session_id""")
 def pl02_planner_context(spark, sf_dir):
     m = views.messages(spark, sf_dir)
     catalog = registry.catalog_text(views.agents(spark, sf_dir))
@@ -179,14 +183,33 @@ def pl02_planner_context(spark, sf_dir):
     return context.planner_context(m, catalog, memories, normal=200, keep_turns=2)
 
 
-@query()
+@query(f"""WITH {MESSAGES}, t AS (SELECT session_id, session_id || '-' || pos AS task_id, session_id || '-' || (pos - 2) AS dep, text AS description FROM msg WHERE role = 'assistant'),
+  said AS (SELECT * FROM msg WHERE message_type IN ('user_input', 'final_answer') AND text <> ''),
+  hit AS (SELECT t.task_id, s.pos, '[' || s.message_type || ']: ' || left(s.text, 500) AS line FROM t JOIN said s USING (session_id)
+    WHERE len(list_filter(list_distinct(list_transform(regexp_extract_all(t.description, '[a-zA-Z0-9_]{{2,}}'), lambda x: lower(x))), lambda k: contains(lower(s.text), k))) >= 2),
+  run AS (SELECT *, coalesce(sum(floor(length(line) / 4.0e0)) OVER (PARTITION BY task_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM hit),
+  near AS (SELECT task_id, string_agg(line, chr(10) || '---' || chr(10) ORDER BY pos) AS related FROM run WHERE used < 1000 GROUP BY 1)
+  SELECT t.session_id, t.task_id, '(未提供)' AS intent, 'answer the user' AS goal, t.description,
+    CASE WHEN d.task_id IS NULL THEN '- [' || t.dep || ']: (任务不存在)' ELSE '### [' || t.dep || ']' || chr(10) || CASE WHEN d.description = '' THEN '(无结果)' ELSE left(d.description, 2000) END END AS inputs,
+    coalesce(near.related, '(无特别相关上下文)') AS related
+  FROM t LEFT JOIN t d ON d.task_id = t.dep LEFT JOIN near ON near.task_id = t.task_id""")
 def pl03_executor_context(spark, sf_dir):
     m = views.messages(spark, sf_dir)
-    tasks = m.where("role = 'assistant'").select("session_id", F.concat_ws("-", "session_id", "pos").alias("task_id"), F.col("text").alias("description"), F.array(F.concat_ws("-", F.col("session_id"), F.col("pos") - 2)).alias("dependencies"), F.lit("completed").alias("status"), F.left("text", F.lit(50)).alias("result"))
+    tasks = m.where("role = 'assistant'").select("session_id", F.concat_ws("-", "session_id", "pos").alias("task_id"), F.col("text").alias("description"), F.array(F.concat_ws("-", F.col("session_id"), F.col("pos") - 2)).alias("dependencies"), F.lit("completed").alias("status"), F.col("text").alias("result"))
     return context.executor_context(m, tasks, "answer the user")
 
 
-@query()
+SUMMARIZED = """  totals AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id) AS held, turn_index >= greatest(1, max(turn_index) OVER (PARTITION BY session_id)) AS late FROM {src}),
+  old AS (SELECT session_id, min(pos) AS pos, CAST(sum(length('[' || role || '] ' || left(text, 300))) + count(*) - 1 AS BIGINT) AS n FROM totals WHERE held > {limit} AND NOT late GROUP BY 1)
+  SELECT session_id, pos, role, message_type, text FROM totals WHERE held <= {limit} OR late UNION ALL SELECT session_id, pos, 'system', 'system_notification', n || ' characters' FROM old"""
+
+
+@query(f"WITH {MESSAGES}, {SUMMARIZED.format(src='msg', limit=100)}")
+def ud11_summaries(spark, sf_dir):
+    return history.summarize(views.messages(spark, sf_dir), lambda texts: [f"{len(t)} characters" for t in texts], 100, 1)
+
+
+@query(f"WITH {MESSAGES}, base AS (SELECT * FROM msg WHERE {ELIGIBLE} AND NOT {REJECTED}), {pruned('base', 1, 600)}, {SUMMARIZED.format(src='(SELECT * EXCLUDE (total, recent, priority, before) FROM kept)', limit=300)}")
 def pl04_compaction(spark, sf_dir):
     m = views.messages(spark, sf_dir)
     stub = lambda texts: [f"{len(t)} characters" for t in texts]

@@ -63,13 +63,21 @@ def mg05_touch(spark, sf_dir):
     return memory.touch(topics.withColumn("last_accessed_at", F.lit(None).cast("string")), hits, AS_OF).select("slug", "last_accessed_at")
 
 
-@query(f"""WITH j AS (SELECT doc_id, list_distinct(string_split(left(text, 40), '')) AS a, list_distinct(string_split('{FIXED}', '')) AS b, text FROM documents)
-  SELECT doc_id, CASE WHEN text = '' THEN 0.0e0 ELSE round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) END AS similarity FROM j""")
+@query(f"""WITH j AS (SELECT doc_id, list_distinct(string_split(split_part(text, chr(10), 1), '')) AS a, list_distinct(string_split('{FIXED}', '')) AS b, text FROM documents)
+  SELECT doc_id, CASE WHEN split_part(text, chr(10), 1) = '' THEN 0.0e0 ELSE round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) END AS similarity FROM j""")
 def st06_jaccard(spark, sf_dir):
     return views.entries(spark, sf_dir).select(F.col("pos").alias("doc_id"), F.round(char_jaccard("title", F.lit(FIXED)), 6).alias("similarity"))
 
 
-@query()
+MEETS = "lambda a: contains(a.content, x[1].content) OR contains(x[1].content, a.content)"
+
+
+@query(f"""WITH one AS (SELECT source || '-' || lang AS category, doc_id % 2 AS kind, doc_id, text AS content, CASE WHEN doc_id % 2 = 0 THEN '2024-01-01T00:00:00Z' ELSE '{AS_OF}' END AS updated_at
+    FROM documents WHERE doc_id % 2 = 0 OR text <> ''),
+  folded AS (SELECT category, list_reduce(list([{{'kind': kind, 'content': content, 'updated_at': updated_at, 'stale': false}}] ORDER BY kind, doc_id), lambda acc, x:
+    CASE WHEN x[1].kind = 0 OR len(list_filter(acc, {MEETS})) = 0 THEN list_concat(acc, x)
+      ELSE list_concat(list_concat(acc[1:list_position(list_transform(acc, {MEETS}), true) - 1], x), acc[list_position(list_transform(acc, {MEETS}), true) + 1:]) END) AS kept FROM one GROUP BY category)
+  SELECT category, i - 1 AS pos, kept[i].content AS content, kept[i].updated_at AS updated_at, kept[i].stale AS stale FROM folded, LATERAL (SELECT unnest(generate_series(1, len(kept))) AS i)""")
 def mg01_profile_merge(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
     rows = d.select(F.concat_ws("-", "source", "lang").alias("category"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
@@ -126,9 +134,16 @@ def wn03_inject(spark, sf_dir):
     return history.budget(e, ["slug"], "pos", F.length(F.left("text", F.lit(500))), 3000, overshoot=False).select("slug", "pos")
 
 
-@query()
+@query(f"""WITH {ENTRIES}, items AS (SELECT slug AS "user", list({{'used': 0::BIGINT, 'shut': -1::BIGINT, 'cat': pos % 7, 'lines': ['## c' || pos % 7, '- ' || CASE WHEN pos % 5 = 0 THEN '⚠️ [可能已过时] ' ELSE '' END || title]}} ORDER BY pos % 7, pos) AS xs FROM ent GROUP BY 1),
+  folded AS (SELECT "user", list_reduce(list_prepend({{'used': 0::BIGINT, 'shut': -1::BIGINT, 'cat': -1::BIGINT, 'lines': ['', ''][1:0]}}, xs), lambda a, x: {{
+    'used': CASE WHEN a.shut <> x.cat AND NOT (x.cat <> a.cat AND a.used > 1000) AND a.used + length(x.lines[2]) <= 1000 THEN a.used + length(x.lines[2]) ELSE a.used END,
+    'shut': CASE WHEN a.shut <> x.cat AND NOT (x.cat <> a.cat AND a.used > 1000) AND a.used + length(x.lines[2]) <= 1000 THEN a.shut ELSE x.cat END,
+    'cat': x.cat,
+    'lines': list_concat(list_concat(a.lines, CASE WHEN x.cat <> a.cat AND a.used <= 1000 THEN [x.lines[1]] ELSE x.lines[1:0] END),
+      CASE WHEN a.shut = x.cat OR x.cat <> a.cat AND a.used > 1000 THEN x.lines[1:0] WHEN a.used + length(x.lines[2]) <= 1000 THEN [x.lines[2]] ELSE ['- (...更多偏好已省略)'] END)}}) AS f FROM items)
+  SELECT "user", array_to_string(f.lines, chr(10)) AS block FROM folded""")
 def wn04_profile_block(spark, sf_dir):
-    e = views.entries(spark, sf_dir).where("pos >= 0")
+    e = views.entries(spark, sf_dir)
     rows = e.select(F.col("slug").alias("user"), (F.col("pos") % 7).alias("cat_pos"), F.concat(F.lit("c"), (F.col("pos") % 7).cast("string")).alias("category"), "pos", F.col("title").alias("content"), (F.col("pos") % 5 == 0).alias("stale"))
     return memory.profile_block(rows)
 
@@ -164,8 +179,23 @@ def pa02_topic_entries(spark, sf_dir):
     return topic_rows(d.select("doc_id", body.alias("body")), "doc_id").select("doc_id", "pos", "date", "title", "task", "lessons")
 
 
-@query()
+LINES = """raw AS (SELECT doc_id, '# ' || source || chr(10) || '## ' || lang || chr(10) || '## part' || chr(10) || '- one' || chr(10) || chr(9) || '- two' || chr(10) || '### page' || chr(10) || coalesce(text, '') AS body FROM documents),
+  cut AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM raw),
+  lines AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS s FROM cut WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+  kinds AS (SELECT *, CASE WHEN s IN ('---', '***', '___') THEN 'rule' WHEN starts_with(s, '# ') AND n = 1 THEN 'title' WHEN n = 2 THEN 'subtitle' WHEN starts_with(s, '## ') THEN 'section' WHEN starts_with(s, '### ') THEN 'content' ELSE 'item' END AS part FROM lines),
+  marked AS (SELECT *, part IN ('title', 'section', 'content') AS headed, lag(part) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM kinds),
+  numbered AS (SELECT *, sum(CASE WHEN headed OR part = 'item' AND before = 'rule' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) - 1 AS slide FROM marked),
+  placed AS (SELECT *, count(*) FILTER (part = 'item') OVER w AS items, count(*) FILTER (part = 'item') OVER (PARTITION BY doc_id, slide ORDER BY n) - 1 AS item, max(CASE WHEN headed THEN part END) OVER w AS slide_type,
+    max(CASE WHEN headed THEN trim(regexp_replace(s, '^#+ ', ''), ' ') END) OVER w AS title, max(CASE WHEN part = 'subtitle' THEN trim(s[4:], ' ') END) OVER w AS subtitle FROM numbered WHERE part <> 'rule' WINDOW w AS (PARTITION BY doc_id, slide))"""
+
+
+@query(f"""WITH {LINES} SELECT doc_id, CAST(slide AS INTEGER) AS slide_no, CASE WHEN part = 'item' THEN CAST(item AS INTEGER) ELSE -1 END AS item_no, coalesce(slide_type, 'content') AS slide_type, coalesce(title, '') AS title, coalesce(subtitle, '') AS subtitle,
+    CASE WHEN part <> 'item' THEN NULL WHEN regexp_matches(s, '^[-*]\\s') THEN 'bullet' WHEN regexp_matches(s, '^\\d+[.)]\\s+.') THEN 'numbered' WHEN starts_with(s, '> ') THEN 'quote' WHEN regexp_matches(s, '^!\\[[^\\]]*\\]\\([^)]+\\)$') THEN 'image' ELSE 'paragraph' END AS type,
+    CASE WHEN part <> 'item' THEN NULL WHEN regexp_matches(s, '^[-*]\\s') THEN regexp_replace(s, '^[-*]\\s+', '') WHEN regexp_matches(s, '^\\d+[.)]\\s+.') THEN regexp_replace(s, '^\\d+[.)]\\s+', '') WHEN starts_with(s, '> ') THEN trim(s[3:], ' ')
+      WHEN regexp_matches(s, '^!\\[[^\\]]*\\]\\([^)]+\\)$') THEN regexp_extract(s, '\\(([^)]+)\\)$', 1) ELSE s END AS text,
+    CASE WHEN part = 'item' AND regexp_matches(s, '^[-*]\\s') THEN CAST((length(regexp_extract(line, '^[ \\t]*')) + length(regexp_replace(regexp_extract(line, '^[ \\t]*'), ' ', '', 'g'))) // 2 AS INTEGER) ELSE -1 END AS level
+  FROM placed WHERE part = 'item' OR headed AND items = 0""")
 def pa11_slides(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
     body = F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n## part\n- one\n\t- two\n### page\n"), F.coalesce("text", F.lit("")))
-    return slide_rows(d.select("doc_id", body.alias("body")), "doc_id")
+    return slide_rows(d.select("doc_id", body.alias("body")), "doc_id").fillna(-1, ["item_no", "level"])

@@ -36,7 +36,10 @@ def jn04_missing(spark, sf_dir):
     return graph.missing(_tangled(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TASKS}, e AS (SELECT half AS src, k AS dst FROM tasks WHERE k > 0 UNION SELECT t.k * 3, t.k FROM tasks t WHERE k % 7 = 0 AND k * 3 IN (SELECT k FROM tasks)),
+  walk(a, b) AS (SELECT src, dst FROM e UNION SELECT w.a, e.dst FROM walk w JOIN e ON e.src = w.b),
+  looped AS (SELECT DISTINCT a AS k FROM walk WHERE a = b), stuck AS (SELECT k FROM looped UNION SELECT w.b FROM walk w JOIN looped l ON l.k = w.a)
+  SELECT task_id, 'missing:' || k * 3 AS problem FROM tasks WHERE k % 7 = 0 AND k * 3 NOT IN (SELECT k FROM tasks) UNION ALL SELECT CAST(k AS VARCHAR), 'cycle' FROM stuck""")
 def gr03_validate(spark, sf_dir):
     return graph.validate(_tangled(spark, sf_dir))
 
@@ -47,9 +50,11 @@ def gr04_cascade(spark, sf_dir):
     return graph.cascade(views.tasks(spark, sf_dir)).select("task_id", "status", "result")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TASKS}, run(k, status, result) AS (SELECT k, 'completed', 'did use {{{{0}}}} and {{{{ 0.result }}}} and {{{{zz}}}}' FROM tasks WHERE k = 0
+    UNION ALL SELECT t.k, CASE WHEN r.status = 'failed' OR t.k % 50 = 49 THEN 'failed' ELSE 'completed' END, CASE WHEN r.status = 'failed' THEN '' ELSE 'did use ' || r.result || ' and {{{{ ' || t.k || '.result }}}} and {{{{zz}}}}' END FROM run r JOIN tasks t ON t.half = r.k AND t.k > 0)
+  SELECT CAST(k AS VARCHAR) AS task_id, status, result FROM run""")
 def gr05_run_layers(spark, sf_dir):
-    done = lambda df: df.select("task_id", F.concat(F.lit("did "), F.left("description", F.lit(30))).alias("result"), F.when(F.col("task_id").cast("bigint") % 50 == 49, "broke").alias("error"))
+    done = lambda df: df.select("task_id", F.concat(F.lit("did "), "description").alias("result"), F.when(F.col("task_id").cast("bigint") % 50 == 49, "broke").alias("error"))
     return graph.run_layers(views.tasks(spark, sf_dir), done).select("task_id", "status", "result")
 
 
@@ -87,13 +92,15 @@ def ag08_progress(spark, sf_dir):
     return t.groupBy("plan_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"))
 
 
-@query(f"""WITH {AGENTS}, q AS (SELECT DISTINCT p_type AS query FROM part UNION SELECT DISTINCT 'make ' || lower(p_type) FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part),
+MATCHED = f"""WITH {AGENTS}, q AS (SELECT DISTINCT p_type AS query FROM part UNION SELECT DISTINCT 'make ' || lower(p_type) FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part),
   n AS (SELECT query, replace(replace(lower(query), '_', '-'), ' ', '-') AS q FROM q),
   l AS (SELECT query, agent, pos, CASE WHEN q = replace(replace(lower(skill), '_', '-'), ' ', '-') THEN 1
       WHEN length(q) >= 3 AND (contains(replace(replace(lower(skill), '_', '-'), ' ', '-'), q) OR contains(q, replace(replace(lower(skill), '_', '-'), ' ', '-'))) THEN 2
       WHEN contains(description, q) OR len(list_filter(string_split(q, '-'), lambda w: length(w) >= 2 AND contains(description, w))) > 0 THEN 3 END AS level FROM n, agents),
-  b AS (SELECT *, min(level) OVER (PARTITION BY query) AS best, row_number() OVER (PARTITION BY query ORDER BY level, pos) AS r FROM l WHERE level IS NOT NULL)
-  SELECT query, agent, CAST(level AS INTEGER) AS level FROM b WHERE level = best AND (level > 1 OR r = 1)""")
+  b AS (SELECT *, min(level) OVER (PARTITION BY query) AS best, row_number() OVER (PARTITION BY query ORDER BY level, pos) AS r FROM l WHERE level IS NOT NULL)"""
+
+
+@query(f"{MATCHED} SELECT query, agent, CAST(level AS INTEGER) AS level FROM b WHERE level = best AND (level > 1 OR r = 1)")
 def jn06_skill(spark, sf_dir):
     return registry.match_skill(_asked(spark, sf_dir), views.agents(spark, sf_dir))
 
@@ -103,7 +110,8 @@ def _asked(spark, sf_dir):
     return p.select(F.explode(F.array("p_type", F.concat(F.lit("make "), F.lower("p_type")), F.get(F.split("p_name", " "), F.lit(1)))).alias("query")).distinct()
 
 
-@query()
+@query(f"""{MATCHED} SELECT query, coalesce(min_by(agent, pos) FILTER (level = best), (SELECT arg_min(agent, pos) FROM agents)) AS agent
+  FROM (SELECT query FROM q UNION ALL SELECT 'zz-qq') LEFT JOIN b USING (query) GROUP BY query""")
 def jn07_assign(spark, sf_dir):
     return registry.assign(_asked(spark, sf_dir).unionByName(_asked(spark, sf_dir).limit(1).select(F.lit("zz-qq").alias("query"))), views.agents(spark, sf_dir))
 
@@ -154,7 +162,17 @@ def sc12_calculate(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", F.round(calculate(text), 4).alias("value"))
 
 
-@query()
+CLEAN = r"regexp_replace(html, '(?is)<(script|style|template)\b.*?</(script|style|template)\s*>|<!--.*?-->|<![^>]*>', '<x>', 'g')"
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&#x27;": "''", "&nbsp;": "\u00a0", "&eacute;": "é", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&copy;": "©", "&middot;": "·", "&mdash;": "—", "&amp;": "&"}
+
+
+def _unescaped(x: str) -> str:
+    for name, char in ENTITIES.items():
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+@query(f"""SELECT page_id, left(array_to_string(list_transform(string_split_regex({CLEAN}, '<[^>]*>'), lambda x: trim({_unescaped('x')}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), ''), 2000) AS text FROM pages""")
 def pa07_text(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", first_chars(html_text("html")).alias("text"))
 

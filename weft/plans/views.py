@@ -59,14 +59,14 @@ PRIORITY = """CASE WHEN message_type = 'user_input' THEN 0 WHEN message_type IN
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topic entries: a document each, dated within 120 days of January 2024."""
+    """Topic entries: a document each, its first line the title, dated within 120 days of January 2024."""
     d = table(spark, sf_dir, "documents")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 120).cast("int"))
-    return d.select(F.col("source").alias("slug"), F.col("doc_id").alias("pos"), F.left("text", F.lit(40)).alias("title"), "text", F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("date"), "lang")
+    return d.select(F.col("source").alias("slug"), F.col("doc_id").alias("pos"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("date"), "lang")
 
 
 ENTRIES = """ent AS (
-  SELECT source AS slug, doc_id AS pos, left(text, 40) AS title, text, lang,
+  SELECT source AS slug, doc_id AS pos, split_part(text, chr(10), 1) AS title, text, lang,
     strftime(DATE '2024-01-01' + CAST(doc_id % 120 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' AS date,
     CAST(DATE '2024-05-01' - (DATE '2024-01-01' + CAST(doc_id % 120 AS INTEGER)) AS DOUBLE) AS days
   FROM documents)"""

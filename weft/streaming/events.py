@@ -107,15 +107,17 @@ def replies(asks: DataFrame, answers: DataFrame, wait: str = "1 hour") -> DataFr
     return a.join(b, F.expr(f"s = session_id and replied >= asked and replied <= asked + interval {wait}")).drop("s")
 
 
-def broadcast(events: DataFrame, subscribers: DataFrame, deliver, checkpoint: str) -> StreamingQuery:
-    """Deliver each event to every subscriber of its session: ``deliver(batch, id)`` per micro-batch."""
-    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: deliver(df.join(subscribers, "session_id"), i)).start()
+def broadcast(events: DataFrame, subscribers: DataFrame, deliver, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Deliver each event to every subscriber of its session: ``deliver(batch, id)`` per micro-batch;
+    ``once`` ends when all events at hand are delivered."""
+    out = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: deliver(df.join(subscribers, "session_id"), i))
+    return (out.trigger(availableNow=True) if once else out).start()
 
 
-def audit_sink(records: DataFrame, path: str, checkpoint: str, seconds: int = 5) -> StreamingQuery:
-    """Append audit records as JSON lines by day, a micro-batch at a time."""
+def audit_sink(records: DataFrame, path: str, checkpoint: str, seconds: int = 5, once: bool = False) -> StreamingQuery:
+    """Append audit records as JSON lines by day, a micro-batch at a time; ``once`` ends with the records at hand."""
     rows = records.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return rows.writeStream.format("json").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    return rows.writeStream.format("json").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).trigger(**({"availableNow": True} if once else {"processingTime": f"{seconds} seconds"})).start()
 
 
 def run_for(query: StreamingQuery, seconds: float) -> str:
