@@ -47,3 +47,41 @@ def test_stage_cuts_only_repeats(hard):
     assert all(r.n_chars == len(r.text or "") for r in rows.values())
     assert substring.cut_repeats(hard).columns == hard.columns
     assert substring.cut_repeats(hard).where(F.col("k") != 1).count() == 0
+
+
+def test_large_blocks_are_dealt_out_again(spark, monkeypatch):
+    """A frequent anchor: every block is too large at first."""
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(substring, "BATCH_BYTES", 4000)
+    rnd = random.Random(11)
+    shared = prose(rnd, 30)
+    rows = [(i, f"{prose(rnd, 9)} one frequent gram of five {prose(rnd, 9)} {shared if i % 3 == 0 else ''} {prose(rnd, 5)}", "en", "s") for i in range(150)]
+    df = documents(spark, rows).repartition(4)
+    check(rows, substring.op4(df))
+
+
+def test_texts_without_an_id_are_told_apart(spark):
+    rnd = random.Random(12)
+    known = prose(rnd, 40)
+    rows = [(1, known, "en", "s")] + [(None, f"{known} {prose(rnd, i % 30)}", "en", "s") for i in range(200)] + [(None, known, "en", "s")] * 50
+    check(rows, substring.op4(documents(spark, rows)))
+
+
+def test_factors_are_copies(spark):
+    """Every factor's words stand in its reference, and its neighbours do not go on there."""
+    rnd = random.Random(13)
+    pool = [prose(rnd, n) for n in (20, 30, 45)]
+    texts = {i: " ".join([prose(rnd, 6), rnd.choice(pool), prose(rnd, 4), rnd.choice(pool)]) for i in range(40)}
+    got = substring.factors(documents(spark, [(i, t, "en", "s") for i, t in texts.items()])).collect()
+    assert len(got) > 40
+    for f in got:
+        copied = " ".join(texts[f.id].split()[f.start : f.start + f.n + substring.WINDOW - 1])
+        assert f.reference < f.id and f" {copied} " in f" {texts[f.reference]} "
+
+
+def test_stage_with_clashing_columns(spark):
+    rnd = random.Random(14)
+    a = prose(rnd, 30)
+    df = documents(spark, [(1, a, "en", "s"), (2, a + " tail", "en", "s")]).withColumns({c: F.lit("x") for c in ("__id", "__runs", "rlz_id", "rlz_runs", "rlz_kept", "start")})
+    got = substring.cut_repeats(df)
+    assert got.columns == df.columns and {r.doc_id: (r.text, r.rlz_kept) for r in got.collect()} == {1: (a, "x"), 2: ("tail", "x")}

@@ -1,23 +1,34 @@
-"""Operator 4: substring deduplication by looking up windows of words.
-
-Every document is compared with the documents with smaller ids: a stretch all of
-whose ``window``-word windows they also have is a duplicate span. This replaces a
-greedy relative Lempel-Ziv parse; no factors and no index of the whole reference
-are built, as windows can be looked up in blocks of the reference.
-
-Windows with equal words must meet in one block. A window's anchor is the
-smallest hash among its 5-word grams, so neighbouring windows mostly share it:
-the map side cuts texts into runs of windows with one anchor and sends each run,
-packed with its window hashes, to the block of the anchor. A map batch settles
-its own repeats first (only the smallest document of equal windows goes on), so
-a passage that a third of all documents share reaches its block once a batch.
-
-Hashes are compared, not texts: 48 bits of the anchor, 40 of the window and the
-block number, all functions of 64-bit hashes.
+"""Operator 4: substring deduplication by relative Lempel-Ziv factors.
+
+Every document is factored against indexed blocks of reference text, which hold the
+documents with smaller ids: from left to right, the longest stretch that one
+reference text has as well becomes a factor, and behind its end the index is asked
+again. Factors have ``window`` words at least; what they cover is a duplicate span.
+
+A whole reference has no single index, so it is cut into blocks by content. A
+window's anchor is the smallest hash among its 5-word grams; neighbouring windows
+mostly share it. The map side cuts texts into runs of windows with one anchor and
+sends each run, packed, to the block of the anchor, as reference and to be factored.
+Windows with equal words have equal anchors and meet in one block; a factor that
+crosses an anchor's end comes out in pieces that overlap, and windows over a factor's
+boundary are looked up like all others, so no window is lost. A block's index knows
+the first place of each window in the smallest document.
+
+A map batch is a block of its own first: it factors its documents against each other,
+and only the smallest document of equal windows goes on, so a passage that a third
+of all documents share reaches its block once a batch. A block that gets more than
+``BLOCK_BYTES`` (a frequent anchor) is not indexed but dealt out again window by
+window, over all tasks, until every block fits.
+
+Words are compared by hashes: 56 bits of the window, 32 of the anchor and the number
+of the block, from independent 64-bit hashes of all 13 and of 5 of its words.
 
 Defined edge cases: a null text has no words; documents under ``window`` words
-keep all; a null id sorts after all others; rows that repeat an id are judged
-alike and never against each other; other columns are ignored.
+keep all; a null id sorts after all others, and texts without one are told apart by
+a 64-bit hash; rows that repeat an id are judged alike and never against each other,
+also where their texts differ; a very long text is one row of a batch of its own; an
+empty table gives an empty result; other columns are ignored, and carried through
+the stage whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Memo, blobs, even_keys, ids, near_partitions, slices
+from .common import NO_ID, Memo, blobs, even_keys, fresh, ids, materialize, near_partitions, slices
 
-WINDOW, GRAM, BATCH_BYTES = 13, 5, 4 << 20
+WINDOW, GRAM, BATCH_BYTES, BLOCK_BYTES, PARTS = 13, 5, 4 << 20, 16 << 20, 16
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
+#: Rows between tasks: runs of windows for a block and its part, or finished factors.
+RUNS, FACTORS = 0, 1
+SENT = "block int, part int, kind int, blob binary"
 
 
 def _slide(h: np.ndarray, width: int, mult: int) -> np.ndarray:
@@ -53,21 +67,108 @@ def _packed(x: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _unpacked(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+def _unpacked(raw, width: int) -> np.ndarray:
+    raw = (np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
     return out.view("<u8").ravel()
 
 
-def _stretches(doc: np.ndarray, pos: np.ndarray):
-    """Sorted (doc, position) pairs as first indices and lengths of unbroken rows."""
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
-    first = np.flatnonzero(new)
-    return first, np.diff(np.append(first, len(doc)))
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Marks rows that differ from the one before in any column."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new) > 1:
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+class Windows:
+    """Windows of a block: document, hash of its text, place, anchor and hash of the window."""
+
+    def __init__(self, doc, tag, pos, anchor, win):
+        self.columns = (doc, tag, pos, anchor, win)
+        self.doc, self.tag, self.pos, self.anchor, self.win = self.columns
+
+    def take(self, rows) -> Windows:
+        return Windows(*(c[rows] for c in self.columns))
+
+    def factor(self):
+        """(rows that are in no factor, factors): each factor as document, text, start, number of windows and reference.
+
+        The index is the windows in order; the first of equal ones stands in the smallest
+        document. A factor goes on while the next window has the next place of one reference.
+        """
+        order = np.lexsort((self.pos, self.tag, self.doc, self.win, self.anchor))
+        new = _changes(self.anchor[order], self.win[order])
+        first = np.empty(len(order), np.int64)  # the reference place of each window
+        first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        found = self.doc > self.doc[first]
+        rows = np.flatnonzero(found)
+        rows = rows[np.lexsort((self.pos[rows], self.tag[rows], self.doc[rows]))]
+        doc, tag, pos = self.doc[rows], self.tag[rows], self.pos[rows]
+        own = _changes(doc, tag, pos)  # rows that repeat a document, text and all, are found once
+        rows, doc, tag, pos = rows[own], doc[own], tag[own], pos[own]
+        source = first[rows]
+        step = np.arange(len(rows))
+        starts = np.flatnonzero(_changes(doc, tag, pos - step, self.doc[source], self.tag[source], self.pos[source] - step))
+        n = np.diff(np.append(starts, len(rows)))
+        return np.flatnonzero(~found), (doc[starts], tag[starts], pos[starts], n, self.doc[source[starts]])
+
+    def rows(self, keys: list[int], block: np.ndarray, part: np.ndarray):
+        """Packed runs for each block and part; runs are neighbours with one anchor, as they stand in order."""
+        new = _changes(self.doc, self.tag, self.pos - np.arange(len(self.pos)), self.anchor, block, part)
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        first = np.flatnonzero(new | ((np.arange(len(new)) - head) % 255 == 0))  # a length fits a byte
+        length = np.diff(np.append(first, len(new)))
+        to = block[first] * PARTS + part[first]
+        by = np.argsort(to, kind="stable")
+        edge = np.flatnonzero(np.append(_changes(to[by]), True)) if len(by) else []
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            f, n = first[by[lo:hi]], length[by[lo:hi]]
+            text = np.flatnonzero(_changes(self.doc[f], self.tag[f]))  # a text's runs stand together
+            ref = np.repeat(np.arange(len(text)), np.diff(np.append(text, len(f))))
+            each = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            parts = [np.array([len(text), len(f)], "<u4"), self.doc[f[text]].astype("<i8"), self.tag[f[text]].astype("<i8"), ref.astype("<u4"), self.pos[f].astype("<u4"), n.astype(np.uint8)]
+            yield _row(keys[block[f[0]]], int(part[f[0]]), RUNS, b"".join([*(x.tobytes() for x in parts), _packed(self.anchor[f], 4), _packed(self.win[each], 7)]))
+
+
+def _read(found: list[bytes], shared: bool = False) -> Windows:
+    """The windows of packed runs; ``shared``: only of runs whose anchor several documents have."""
+    parts = []
+    for raw in found:
+        d, r = (int(x) for x in np.frombuffer(raw, "<u4", 2))
+        at, columns = 8, []
+        for kind, n in (("<i8", d), ("<i8", d), ("<u4", r), ("<u4", r), (np.uint8, r)):
+            columns.append(np.frombuffer(raw, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        doc, tag, ref, pos, n = columns
+        parts.append((doc[ref], tag[ref], pos, n, _unpacked(raw[at : at + 4 * r], 4), np.frombuffer(raw, np.uint8, -1, at + 4 * r).reshape(-1, 7)))
+    doc, tag, pos, n, anchor, win = (np.concatenate(x) for x in zip(*parts, strict=True))
+    n = n.astype(np.int64)
+    first, runs = np.cumsum(n) - n, np.arange(len(n))
+    if shared:
+        order = np.argsort(anchor, kind="stable")
+        new = np.flatnonzero(_changes(anchor[order]))
+        d = doc[order]
+        several = np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new)
+        runs = np.sort(order[np.repeat(several, np.diff(np.append(new, len(order))))])
+        n = n[runs]
+    run = np.repeat(runs, n)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    return Windows(doc[run], tag[run], pos[run].astype(np.int64) + step, anchor[run], _unpacked(win[first[run] + step], 7))
+
+
+def _row(block: int, part: int, kind: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], ["block", "part", "kind", "blob"])
+
+
+def _factors(factors, block: int):
+    if len(factors[0]):
+        yield _row(block, 0, FACTORS, b"".join([np.array([len(factors[0])], "<u4").tobytes(), *(x.astype("<i8").tobytes() for x in factors)]))
 
 
 def _explore(keys: list[int], width: int):
+    """Texts as windows, those of a batch factored against each other, the rest sent to the blocks of their anchors."""
     n_blocks = len(keys)
 
     def run(batches):
@@ -81,147 +182,108 @@ def _explore(keys: list[int], width: int):
                 continue
             h = np.fromiter((memo[w] for ws in words for w in ws), np.uint64, int(n.sum()))
             del words
-            ends = np.cumsum(n)
-            row = np.repeat(np.arange(len(n)), np.maximum(n - width + 1, 0))  # the row of each window
-            starts = (ends - n)[row]
-            at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(n - width + 1, 0)) - np.maximum(n - width + 1, 0), np.maximum(n - width + 1, 0))
-            win = _slide(h, width, _MULT[0])[starts + at]
+            held = np.maximum(n - width + 1, 0)
+            row = np.repeat(np.arange(len(n)), held)  # the row of each window
+            at = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
+            place = (np.cumsum(n) - n)[row] + at
+            win = _slide(h, width, _MULT[0])[place] >> np.uint64(8)
             gram = _slide(h, GRAM, _MULT[1])
-            low, m = gram, len(gram) - (width - GRAM)
+            m = len(gram) - (width - GRAM)
             least = gram[:m].copy()
             for j in range(1, width - GRAM + 1):
-                np.minimum(least, low[j : j + m], out=least)
-            anchor = least[starts + at]
-            del gram, least, h
-            # Repeats within the batch: only the smallest document's windows go on.
-            order = np.argsort(win, kind="stable")
-            s = win[order]
-            cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            own = doc_ids[row]
-            smallest = np.repeat(np.minimum.reduceat(own[order], cut), np.diff(np.append(cut, len(s))))
-            gone = np.zeros(len(win), bool)
-            gone[order] = own[order] > smallest
-            if gone.any():
-                r, p = row[gone], at[gone]
-                first, length = _stretches(r, p)
-                yield _pass_on(keys[int(turn * 7919 + len(r)) % n_blocks], 1, doc_ids[r[first]], tags[r[first]], p[first], length)
-            keep = ~gone
-            row, at, win, anchor = row[keep], at[keep], win[keep], anchor[keep]
-            if not len(row):
-                continue
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1])
-            idx = np.arange(len(row))
-            head = np.maximum.accumulate(np.where(new, idx, 0))
-            new |= (idx - head) % 255 == 0  # a length fits a byte
-            first = np.flatnonzero(new)
-            length = np.diff(np.append(first, len(row)))
-            block = ((anchor[first] >> np.uint64(20)) % np.uint64(n_blocks)).astype(np.int64)
-            by = np.argsort(block, kind="stable")
-            edge = np.searchsorted(block[by], np.arange(n_blocks + 1))
-            for b in np.flatnonzero(np.diff(edge)):
-                runs = by[edge[b] : edge[b + 1]]
-                f, ln = first[runs], length[runs]
-                docs, ref = np.unique(row[f], return_inverse=True)
-                each = np.repeat(f - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())
-                head = np.array([len(docs), len(f)], "<u4").tobytes()
-                yield _row(keys[b], 0, b"".join([head, doc_ids[docs].astype("<i8").tobytes(), tags[docs].astype("<i4").tobytes(), ref.astype("<u4").tobytes(), at[f].astype("<u4").tobytes(), ln.astype(np.uint8).tobytes(), _packed(anchor[f], 6), _packed(win[each], 5)]))
+                np.minimum(least, gram[j : j + m], out=least)
+            anchor = least[place]
+            del gram, least, h, place
+            block = ((anchor >> np.uint64(40)) % np.uint64(n_blocks)).astype(np.int64)
+            part = ((anchor >> np.uint64(32)) % np.uint64(PARTS)).astype(np.int64)
+            here = Windows(doc_ids[row], tags[row], at, anchor & np.uint64(0xFFFFFFFF), win)
+            stay, factors = here.factor()
+            yield from _factors(factors, keys[turn % n_blocks])
+            if len(stay):
+                yield from here.take(stay).rows(keys, block[stay], part[stay])
 
     return run
 
 
-def _row(block: int, kind: int, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], ["block", "kind", "blob"])
+def _settle(keys: list[int], level: int):
+    """Rows sorted by block and part: factors each part, or deals it out by window if it is too large."""
+    n_blocks, shift = len(keys), np.uint64(7 * level % 23)
 
+    def deal(found):
+        here = _read(found)
+        stay, factors = here.factor()
+        yield from _factors(factors, keys[0])
+        rest = here.take(stay)
+        rest = rest.take(np.lexsort((rest.pos, rest.tag, rest.doc)))
+        by = rest.win >> shift
+        yield from rest.rows(keys, (by % np.uint64(n_blocks)).astype(np.int64), (by // np.uint64(n_blocks) % np.uint64(PARTS)).astype(np.int64))
 
-def _pass_on(block, kind, doc, tag, start, length) -> pa.RecordBatch:
-    return _row(block, kind, b"".join([doc.astype("<i8").tobytes(), tag.astype("<i4").tobytes(), start.astype("<u4").tobytes(), length.astype("<u4").tobytes()]))
+    def finish(found, large):
+        yield from deal(found) if large else _factors(_read(found, shared=True).factor()[1], keys[0])
 
+    def run(batches):
+        now, found, size, large = None, [], 0, False
+        for batch in batches:
+            for block, part, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == FACTORS:
+                    yield _row(block, part, kind, blob)
+                    continue
+                if (block, part) != now:
+                    if found:
+                        yield from finish(found, large)
+                    now, found, size, large = (block, part), [], 0, False
+                found.append(blob)
+                size += len(blob)
+                if size > BLOCK_BYTES:
+                    yield from deal(found)
+                    found, size, large = [], 0, True
+        if found:
+            yield from finish(found, large)
 
-def _spans(doc, tag, start, length) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(tag.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64))], ["id", "tag", "start", "n"])
+    return run
 
 
-def _settle(found: list[bytes]):
-    """Windows of one block that a smaller document has as well."""
-    parts = []
-    for raw in found:
-        d, r = np.frombuffer(raw, "<u4", 2)
-        o = 8
-        docs = np.frombuffer(raw, "<i8", d, o)
-        tags = np.frombuffer(raw, "<i4", d, o := o + 8 * d)
-        ref = np.frombuffer(raw, "<u4", r, o := o + 4 * d)
-        at = np.frombuffer(raw, "<u4", r, o := o + 4 * r)
-        ln = np.frombuffer(raw, np.uint8, r, o := o + 4 * r)
-        anchor = _unpacked(raw[o + r : o + 7 * r], 6)
-        parts.append((docs[ref], tags[ref], at, ln, anchor, np.frombuffer(raw, np.uint8, -1, o + 7 * r).reshape(-1, 5)))
-    doc, tag, at, ln, anchor, win = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(anchor, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(anchor[order]) != 0]))
-    size = np.diff(np.append(cut, len(order)))
-    d = doc[order]
-    shared = np.zeros(len(order), bool)
-    shared[order] = np.repeat(np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut), size)
-    if not shared.any():
-        return None
-    ln = ln.astype(np.int64)
-    first = np.cumsum(ln) - ln
-    runs = np.flatnonzero(shared)
-    n = ln[runs]
-    of = np.repeat(runs, n)
-    step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    w = _unpacked(win[first[of] + step].tobytes(), 5)
-    a, doc, tag, pos = anchor[of], doc[of], tag[of], at[of] + step
-    order = np.lexsort((w, a))
-    new = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(w[order]) != 0)])
-    cut = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(doc[order], cut), np.diff(np.append(cut, len(order))))
-    gone = order[doc[order] > least]
-    if not len(gone):
-        return None
-    gone = gone[np.lexsort((pos[gone], tag[gone], doc[gone]))]
-    doc, tag, pos = doc[gone], tag[gone], pos[gone]
-    head, length = _stretches(np.cumsum(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(tag) != 0)])), pos)
-    return _spans(doc[head], tag[head], pos[head], length)
-
-
-def _match(batches):
-    """Rows sorted by block: settles one block after the other."""
-    now, found = None, []
+def _unfolded(batches):
     for batch in batches:
-        for block, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kind == 1:
-                n = len(blob) // 20
-                yield _spans(np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<i4", n, 8 * n), np.frombuffer(blob, "<u4", n, 12 * n), np.frombuffer(blob, "<u4", n, 16 * n))
-                continue
-            if block != now:
-                if found and (out := _settle(found)) is not None:
-                    yield out
-                now, found = block, []
-            found.append(blob)
-    if found and (out := _settle(found)) is not None:
-        yield out
+        for blob in batch.column(0).to_pylist():
+            x = np.frombuffer(blob, "<i8", -1, 4).reshape(5, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["id", "tag", "start", "n", "reference"])
+
+
+def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """id, tag (of the text), start (word), n (windows) and reference (a smaller id) of each factor."""
+    keys = even_keys(near_partitions(docs.sparkSession))
+    text = docs.select("doc_id", "text", _tag())
+    sent, level, done = text.mapInArrow(_explore(keys, window), SENT), 0, []
+    while True:
+        # Dealt to fixed partitions, one block each; its parts follow one another.
+        met = sent.repartition(len(keys), "block").sortWithinPartitions("block", "part").mapInArrow(_settle(keys, level), SENT)
+        met = materialize(met, "factors")
+        done.append(met.where(F.col("kind") == FACTORS).select("blob"))
+        sent, level = met.where(F.col("kind") == RUNS), level + 1
+        if sent.isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:  # a handful at most: every level deals by further bits of the windows
+        out = out.unionByName(more)
+    return out.mapInArrow(_unfolded, "id long, tag long, start long, n long, reference long")
 
 
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, tag (of the text) and runs: starts and numbers of windows that a smaller id has."""
-    blocks = near_partitions(docs.sparkSession)
-    text = docs.select("doc_id", "text", _tag())
-    sent = text.mapInArrow(_explore(even_keys(blocks), window), "block int, kind int, blob binary")
-    met = sent.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_match, "id long, tag int, start long, n long")
-    return met.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    return factors(docs, window).groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
 def _tag():
-    return F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 32).cast("int").alias("tag")
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
 
 
-def _cut(keep: list[str], window: int):
+def _cut(keep: list[str], names: list[str], window: int):
     def run(batches):
         for batch in slices(batches):
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             n_words, n_gone, kept = [], [], []
-            for raw, runs in zip(blobs(batch), col["__runs"].to_pylist(), strict=True):
+            for raw, runs in zip(blobs(batch), col[names[0]].to_pylist(), strict=True):
                 words = raw.split()
                 n_words.append(len(words))
                 if not runs:
@@ -235,24 +297,27 @@ def _cut(keep: list[str], window: int):
                 stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                 n_gone.append(len(words) - len(stay))
                 kept.append(b" ".join([words[i] for i in stay]).decode())
-            yield pa.RecordBatch.from_arrays([*(col[c] for c in keep), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], [*keep, "__words", "__removed", "__kept"])
+            yield pa.RecordBatch.from_arrays([*(col[c] for c in keep), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], [*keep, *names[1:]])
 
     return run
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the words that stay, one space apart."""
-    return _deduped(docs, [], window).toDF("doc_id", "n_words", "n_removed", "kept")
+    return _deduped(docs, [], window)[0].toDF("doc_id", "n_words", "n_removed", "kept")
 
 
-def _deduped(docs: DataFrame, extra: list[str], window: int) -> DataFrame:
+def _deduped(docs: DataFrame, extra: list[str], window: int) -> tuple[DataFrame, list[str]]:
+    """doc_id, ``extra`` columns, and three columns (their names are given): words, removed words, kept text."""
     keep = ["doc_id", *extra]
-    rows = docs.select(*dict.fromkeys([*keep, "text"]), F.coalesce("doc_id", F.lit(int(NO_ID))).alias("__id"), _tag().alias("__tag"))
-    got = spans(docs, window).toDF("__id2", "__tag2", "__runs")
-    rows = rows.join(got, (F.col("__id") == F.col("__id2")) & (F.col("__tag") == F.col("__tag2")), "left").select(*dict.fromkeys([*keep, "text"]), "__runs")
+    names = [fresh(docs, c) for c in ("rlz_runs", "rlz_words", "rlz_removed", "rlz_kept")]
+    id_, tag, id2, tag2 = (fresh(docs, c) for c in ("rlz_id", "rlz_tag", "rlz_id2", "rlz_tag2"))
+    rows = docs.select(*dict.fromkeys([*keep, "text"]), F.coalesce("doc_id", F.lit(int(NO_ID))).alias(id_), _tag().alias(tag))
+    got = spans(docs, window).toDF(id2, tag2, names[0])
+    rows = rows.join(got, (F.col(id_) == F.col(id2)) & (F.col(tag) == F.col(tag2)), "left").select(*dict.fromkeys([*keep, "text"]), names[0])
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", __words long, __removed long, __kept string"
-    return rows.mapInArrow(_cut(keep, window), schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", {} long, {} long, {} string".format(*names[1:])
+    return rows.mapInArrow(_cut(keep, names, window), schema), names[1:]
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -264,7 +329,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     A text that lost words holds the others one space apart, and n_chars follows.
     """
-    got = _deduped(docs, [c for c in docs.columns if c != "doc_id"], WINDOW)
-    changed = F.col("__removed") > 0
-    new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))}
+    got, (_, removed, kept) = _deduped(docs, [c for c in docs.columns if c != "doc_id"], WINDOW)
+    changed = F.col(removed) > 0
+    new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}
     return got.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
