@@ -25,7 +25,7 @@ of the block, from independent 64-bit hashes of all 13 and of 5 of its words.
 
 Defined edge cases: a null text has no words; documents under ``window`` words
 keep all; a null id sorts after all others, and texts without one are told apart by
-a 64-bit hash; rows that repeat an id are judged alike and never against each other,
+a 48-bit hash; rows that repeat an id are judged alike and never against each other,
 also where their texts differ; a very long text is one row of a batch of its own; an
 empty table gives an empty result; other columns are ignored, and carried through
 the stage whatever their names.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, Memo, blobs, even_keys, fresh, ids, materialize, near_partitions, slices
 
-WINDOW, GRAM, BATCH_BYTES, BLOCK_BYTES, PARTS = 13, 5, 4 << 20, 16 << 20, 16
+WINDOW, GRAM, BATCH_BYTES, BLOCK_BYTES, PARTS = 13, 5, 2 << 20, 16 << 20, 4
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Rows between tasks: runs of windows for a block and its part, or finished factors.
@@ -83,7 +83,7 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Windows of a block: document, hash of its text, place, anchor and hash of the window."""
+    """Windows of a block, by document, text and place: document, hash of its text, place, anchor and hash of the window."""
 
     def __init__(self, doc, tag, pos, anchor, win):
         self.columns = (doc, tag, pos, anchor, win)
@@ -92,24 +92,23 @@ class Windows:
     def take(self, rows) -> Windows:
         return Windows(*(c[rows] for c in self.columns))
 
-    def factor(self):
+    def factor(self, blocked: bool = True):
         """(rows that are in no factor, factors): each factor as document, text, start, number of windows and reference.
 
         The index is the windows in order; the first of equal ones stands in the smallest
         document. A factor goes on while the next window has the next place of one reference.
         """
-        order = np.lexsort((self.pos, self.tag, self.doc, self.win, self.anchor))
+        order = np.lexsort((self.win, self.anchor)) if blocked else np.argsort(self.win << np.uint64(8) | self.anchor & np.uint64(255), kind="stable")
         new = _changes(self.anchor[order], self.win[order])
-        first = np.empty(len(order), np.int64)  # the reference place of each window
-        first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        first = np.empty(len(order), np.int32)  # the reference place of each window
+        first[order] = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(order))))
+        del order, new
         found = self.doc > self.doc[first]
         rows = np.flatnonzero(found)
-        rows = rows[np.lexsort((self.pos[rows], self.tag[rows], self.doc[rows]))]
+        if blocked:  # rows that repeat a document, text and all, are found once
+            rows = rows[_changes(self.doc[rows], self.tag[rows], self.pos[rows])]
+        source, step = first[rows], np.arange(len(rows))
         doc, tag, pos = self.doc[rows], self.tag[rows], self.pos[rows]
-        own = _changes(doc, tag, pos)  # rows that repeat a document, text and all, are found once
-        rows, doc, tag, pos = rows[own], doc[own], tag[own], pos[own]
-        source = first[rows]
-        step = np.arange(len(rows))
         starts = np.flatnonzero(_changes(doc, tag, pos - step, self.doc[source], self.tag[source], self.pos[source] - step))
         n = np.diff(np.append(starts, len(rows)))
         return np.flatnonzero(~found), (doc[starts], tag[starts], pos[starts], n, self.doc[source[starts]])
@@ -128,8 +127,8 @@ class Windows:
             text = np.flatnonzero(_changes(self.doc[f], self.tag[f]))  # a text's runs stand together
             ref = np.repeat(np.arange(len(text)), np.diff(np.append(text, len(f))))
             each = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            parts = [np.array([len(text), len(f)], "<u4"), self.doc[f[text]].astype("<i8"), self.tag[f[text]].astype("<i8"), ref.astype("<u4"), self.pos[f].astype("<u4"), n.astype(np.uint8)]
-            yield _row(keys[block[f[0]]], int(part[f[0]]), RUNS, b"".join([*(x.tobytes() for x in parts), _packed(self.anchor[f], 4), _packed(self.win[each], 7)]))
+            parts = [np.array([len(text), len(f)], "<u4"), self.doc[f[text]].astype("<i8"), ref.astype("<u4"), self.pos[f].astype("<u4"), n.astype(np.uint8)]
+            yield _row(keys[block[f[0]]], int(part[f[0]]), RUNS, b"".join([*(x.tobytes() for x in parts), _packed(self.tag[f[text]], 6), _packed(self.anchor[f], 4), _packed(self.win[each], 7)]))
 
 
 def _read(found: list[bytes], shared: bool = False) -> Windows:
@@ -138,21 +137,24 @@ def _read(found: list[bytes], shared: bool = False) -> Windows:
     for raw in found:
         d, r = (int(x) for x in np.frombuffer(raw, "<u4", 2))
         at, columns = 8, []
-        for kind, n in (("<i8", d), ("<i8", d), ("<u4", r), ("<u4", r), (np.uint8, r)):
+        for kind, n in (("<i8", d), ("<u4", r), ("<u4", r), (np.uint8, r)):
             columns.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
-        doc, tag, ref, pos, n = columns
-        parts.append((doc[ref], tag[ref], pos, n, _unpacked(raw[at : at + 4 * r], 4), np.frombuffer(raw, np.uint8, -1, at + 4 * r).reshape(-1, 7)))
+        doc, ref, pos, n = columns
+        tag, anchor = _unpacked(raw[at : at + 6 * d], 6).astype(np.int64), _unpacked(raw[at + 6 * d : at + 6 * d + 4 * r], 4)
+        parts.append((doc[ref], tag[ref], pos, n, anchor, np.frombuffer(raw, np.uint8, -1, at + 6 * d + 4 * r).reshape(-1, 7)))
     doc, tag, pos, n, anchor, win = (np.concatenate(x) for x in zip(*parts, strict=True))
     n = n.astype(np.int64)
-    first, runs = np.cumsum(n) - n, np.arange(len(n))
+    first, runs = np.cumsum(n) - n, np.lexsort((pos, tag, doc))
     if shared:
         order = np.argsort(anchor, kind="stable")
         new = np.flatnonzero(_changes(anchor[order]))
         d = doc[order]
         several = np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new)
-        runs = np.sort(order[np.repeat(several, np.diff(np.append(new, len(order))))])
-        n = n[runs]
+        several_docs = np.zeros(len(order), bool)
+        several_docs[order] = np.repeat(several, np.diff(np.append(new, len(order))))
+        runs = runs[several_docs[runs]]
+    n = n[runs]
     run = np.repeat(runs, n)
     step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
     return Windows(doc[run], tag[run], pos[run].astype(np.int64) + step, anchor[run], _unpacked(win[first[run] + step], 7))
@@ -174,9 +176,11 @@ def _explore(keys: list[int], width: int):
     def run(batches):
         memo = Memo(xxhash.xxh64_intdigest)
         for turn, batch in enumerate(slices(batches, most=BATCH_BYTES)):
-            doc_ids = ids(batch)
+            doc_ids, texts = ids(batch), blobs(batch)
             tags = batch.column(batch.schema.get_field_index("tag")).to_numpy(zero_copy_only=False)
-            words = [x.split() for x in blobs(batch)]
+            by = np.lexsort((tags, doc_ids))
+            doc_ids, tags, words = doc_ids[by], tags[by], [texts[i].split() for i in by]
+            del texts
             n = np.fromiter(map(len, words), np.int64, len(words))
             if n.max() < width:
                 continue
@@ -197,7 +201,7 @@ def _explore(keys: list[int], width: int):
             block = ((anchor >> np.uint64(40)) % np.uint64(n_blocks)).astype(np.int64)
             part = ((anchor >> np.uint64(32)) % np.uint64(PARTS)).astype(np.int64)
             here = Windows(doc_ids[row], tags[row], at, anchor & np.uint64(0xFFFFFFFF), win)
-            stay, factors = here.factor()
+            stay, factors = here.factor(False)
             yield from _factors(factors, keys[turn % n_blocks])
             if len(stay):
                 yield from here.take(stay).rows(keys, block[stay], part[stay])
@@ -214,7 +218,6 @@ def _settle(keys: list[int], level: int):
         stay, factors = here.factor()
         yield from _factors(factors, keys[0])
         rest = here.take(stay)
-        rest = rest.take(np.lexsort((rest.pos, rest.tag, rest.doc)))
         by = rest.win >> shift
         yield from rest.rows(keys, (by % np.uint64(n_blocks)).astype(np.int64), (by // np.uint64(n_blocks) % np.uint64(PARTS)).astype(np.int64))
 
@@ -275,7 +278,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _tag():
-    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 16).alias("tag")
 
 
 def _cut(keep: list[str], names: list[str], window: int):
