@@ -37,3 +37,11 @@ def test_stages_take_effect(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_hard_rows_and_none(spark, sf, hard, empty):
+    got = corpus_pipeline.apply(spark, hard, sf)
+    assert got.columns == hard.columns and not got.where("text is null or n_chars is null").count()
+    assert {r.doc_id for r in got.collect()} <= {r.doc_id for r in hard.collect()}
+    none = corpus_pipeline.apply(spark, empty, sf)
+    assert none.columns == hard.columns and none.count() == 0
