@@ -21,7 +21,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = np.iinfo(np.int64).max
 
 
+#: Rows of a batch that goes to Python; texts are long, and a batch stands in memory several times.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch to ``BATCH_ROWS``, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

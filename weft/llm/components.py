@@ -31,7 +31,7 @@ def _contract(batches):
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > 500_000:
+        if len(parent) > 100_000:
             yield _stars(parent, root)
             parent.clear()
     if parent:

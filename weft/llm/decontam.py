@@ -43,7 +43,7 @@ from .common import slices
 
 MIN_WORDS, SURE, LEAST, BLOCK_WORDS = 8, 3, 0.5, 1_000_000
 #: Window lengths of the bound; words of a text that are tested together; cells of a table of windows.
-LEVELS, SEGMENT, CELLS = 6, 512, 1 << 20
+LEVELS, SEGMENT, CELLS = 6, 512, 1 << 18
 MATCH, MISS, GAP = 2, -1, 1
 TOKEN = re.compile(r"\w+")
 

@@ -47,10 +47,11 @@ def fingerprint(raw: bytes) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - SHINGLE + 1)
-    spans = list(zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True))
+    ends = ends[-n:]
     digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
     for at in range(0, n, _CHUNK):
-        part = b"".join([digest(joined[s:e], SEED) for s, e in spans[at : at + _CHUNK]])
+        some = slice(at, min(at + _CHUNK, n))
+        part = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
         bits = np.unpackbits(np.frombuffer(part, np.uint8)).reshape(-1, 64)
         for i in range(0, len(bits), 255):  # a byte counts up to 255
             ones += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
