@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from brute import components, fingerprint
 from conftest import documents, hard_rows
 from pyspark.sql import functions as F
@@ -52,6 +53,43 @@ def test_no_link_is_lost(spark):
     assert [got[s] for s in signed] == components(ids, prints)
 
 
+def test_large_buckets_are_dealt_out_again(spark):
+    """One segment is the same in all fingerprints, so its buckets are large; the components agree with brute force."""
+    rnd = random.Random(4)
+    prints = []
+    for _ in range(300):
+        p = rnd.getrandbits(25)
+        prints.append(p)
+        for _ in range(rnd.randint(0, 3)):
+            p ^= sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 4)))
+            prints.append(p)
+    prints = sorted(set(prints))
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long").repartition(3)
+    got = {r.node % (1 << 64): r.component for r in connect(near_dup.links(df, most=6)).collect()}
+    want = components(list(range(len(prints))), prints)
+    together = {}
+    for p, c in zip(prints, want, strict=True):
+        together.setdefault(c, set()).add(got.get(p, p))
+    assert all(len(x) == 1 for x in together.values())
+    assert len(set().union(*together.values())) == len(together)
+
+
+def test_buckets_come_whole_or_back():
+    """A sorted stream in small batches: runs up to the bound are linked, larger ones come back whole."""
+    rnd = np.random.default_rng(6)
+    k = np.sort(np.concatenate([rnd.integers(0, 50, 400), np.full(900, 20), np.full(700, 50)]))
+    fp = rnd.permutation(len(k)).astype(np.int64) << 20
+    batches = [pa.RecordBatch.from_arrays([pa.array(k[i : i + 90]), pa.array(fp[i : i + 90])], ["k", "fp"]) for i in range(0, len(k), 90)]
+    for pool in (100, 500, 10_000):
+        near_dup.POOL, before = pool, near_dup.POOL
+        try:
+            out = pa.Table.from_batches(list(near_dup._link(300)(iter(batches))))
+        finally:
+            near_dup.POOL = before
+        back = [(u, v) for large, u, v in zip(*(c.to_pylist() for c in out.columns), strict=True) if large]
+        assert sorted(back) == sorted((a, b) for a, b in zip(k.tolist(), fp.tolist(), strict=True) if a in (20, 50))
+
+
 def test_forest_of_a_large_group():
     rnd = np.random.default_rng(2)
     fp = np.unique(np.uint64(77) ^ (np.uint64(1) << rnd.integers(0, 64, 500).astype(np.uint64)))

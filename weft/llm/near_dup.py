@@ -13,6 +13,12 @@ code, both as they stand and with each bit flipped, which gives one codeword
 index or six. Words one bit apart share an index. Candidates that share a key
 are compared exactly; a bucket gives a spanning forest, never all pairs.
 
+A bucket of more than ``BUCKET`` fingerprints is not linked in one task but dealt
+out again, by its key and one of four 16-bit pieces, cut anew at each level: with
+three errors one piece is free of them, so no link is lost. Fingerprints stay
+together only if a piece holds none of the bits they differ in, which more than
+``BUCKET`` hardly do once; what is left after ``LEVELS`` levels is linked as it is.
+
 Defined edge cases: a null text is empty; a text without words has fingerprint
 zero, which links like any other; a text of one or two words is one shingle;
 repeated rows stay, each with its result, and of equal ids one text each joins its
@@ -34,6 +40,9 @@ from .components import components
 
 SEED, SHINGLE, ERRORS = 42, 3, 3
 _CHUNK = 255 * 64
+#: Rows read at a time, fingerprints that one task links as a bucket, and how often larger buckets are dealt out again.
+POOL, BUCKET, LEVELS = 200_000, 50_000, 8
+_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 #: Generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
 
@@ -142,10 +151,33 @@ def forest(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return edges
 
 
-def _link(batches):
-    """Links within the runs of equal keys of a sorted partition."""
-    held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pool_k, pool_f, size = [], [], 0
+def _masks(level: int) -> np.ndarray:
+    """Four masks of 16 bits that share out the 64 bits, others at every level."""
+    bits = np.uint64(1) << np.random.default_rng(level).permutation(64).astype(np.uint64)
+    return np.bitwise_or.reduce(bits.reshape(4, 16), axis=1)
+
+
+def _split(level: int):
+    """Keys of the next level for buckets (k, fp) that are too large."""
+    masks = _masks(level)
+
+    def run(batches):
+        for batch in batches:
+            k, fp = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+            for i, mask in enumerate(masks):
+                x = (k + np.uint64(i)) * _MULT[0] ^ (fp & mask) * _MULT[1]
+                x = (x ^ x >> np.uint64(29)) * _MULT[0]
+                yield pa.RecordBatch.from_arrays([pa.array((x ^ x >> np.uint64(32)).view(np.int64)), pa.array(fp.view(np.int64))], ["k", "fp"])
+
+    return run
+
+
+def _met(u: np.ndarray, v: np.ndarray, large: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), large)), pa.array(u), pa.array(v)], ["large", "u", "v"])
+
+
+def _link(most: int | None):
+    """Links within the runs of equal keys of a sorted partition; runs over ``most`` come back as (key, fp) rows."""
 
     def solve(k, f):
         cuts = np.flatnonzero(np.diff(k)) + 1
@@ -156,32 +188,59 @@ def _link(batches):
         ok = np.bitwise_count(u.view(np.uint64) ^ v.view(np.uint64)) <= ERRORS
         out = [(u[ok], v[ok])]
         for s, m in zip(start[n > 2], n[n > 2], strict=True):
-            out += [(a.view(np.int64), b.view(np.int64)) for a, b in forest(np.ascontiguousarray(f[s : s + m]))]
-        u, v = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            if most and m > most:
+                yield _met(k[s : s + m], f[s : s + m], True)
+            else:
+                out += [(a.view(np.int64), b.view(np.int64)) for a, b in forest(np.ascontiguousarray(f[s : s + m]))]
+        yield _met(*(np.concatenate(x) for x in zip(*out, strict=True)), False)
 
-    for batch in batches:
-        pool_k.append(batch.column(0).to_numpy(zero_copy_only=False))
-        pool_f.append(batch.column(1).to_numpy(zero_copy_only=False))
-        size += batch.num_rows
-        if size < 200_000 or pool_k[-1][-1] == pool_k[0][0]:
-            continue
-        k, f = np.concatenate([held_k, *pool_k]), np.concatenate([held_f, *pool_f])
-        last = np.searchsorted(k, k[-1])  # the last run may go on in the next batch
-        held_k, held_f, pool_k, pool_f, size = k[last:], f[last:], [], [], 0
-        if last:
-            yield solve(k[:last], f[:last])
-    k, f = np.concatenate([held_k, *pool_k]), np.concatenate([held_f, *pool_f])
-    if len(k):
-        yield solve(k, f)
-
-
-def links(distinct: DataFrame) -> DataFrame:
+    def run(batches):
+        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pool_k, pool_f, size, large = [], [], 0, None
+
+        def taken():
+            """The pooled rows, without those of the bucket that is already too large."""
+            k, f = np.concatenate([held_k, *pool_k]), np.concatenate([held_f, *pool_f])
+            cut = 0 if large is None else int(np.searchsorted(k, large, "right"))
+            return k[cut:], f[cut:], _met(k[:cut], f[:cut], True)
+
+        for batch in batches:
+            pool_k.append(batch.column(0).to_numpy(zero_copy_only=False))
+            pool_f.append(batch.column(1).to_numpy(zero_copy_only=False))
+            size += batch.num_rows
+            if size < POOL:
+                continue
+            k, f, more = taken()
+            yield more
+            pool_k, pool_f, size = [], [], 0
+            last = np.searchsorted(k, k[-1]) if len(k) else 0  # the last run may go on in the next batch
+            if last:
+                yield from solve(k[:last], f[:last])
+            held_k, held_f = k[last:], f[last:]
+            if most and len(held_k) > most:
+                large = held_k[0]
+                yield _met(held_k, held_f, True)
+                held_k, held_f = held_k[:0], held_f[:0]
+        k, f, more = taken()
+        yield more
+        if len(k):
+            yield from solve(k, f)
+
+    return run
+
+
+def links(distinct: DataFrame, most: int = BUCKET) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints (column fp) as far as they link."""
-    spark = distinct.sparkSession
-    keyed = distinct.select("fp").mapInArrow(_emit_keys, "k long, fp long")
-    sorted_ = keyed.repartition(near_partitions(spark), "k").sortWithinPartitions("k")
-    return sorted_.mapInArrow(_link, "u long, v long")
+    n, level, done = near_partitions(distinct.sparkSession), 0, None
+    sent = distinct.select("fp").mapInArrow(_emit_keys, "k long, fp long")
+    while True:
+        met = sent.repartition(n, "k").sortWithinPartitions("k").mapInArrow(_link(most if level < LEVELS else None), "large boolean, u long, v long")
+        met = materialize(met, "links")
+        found, rest, level = met.where("not large").select("u", "v"), met.where("large").select("u", "v"), level + 1
+        done = done.unionByName(found) if done else found
+        if rest.isEmpty():
+            return done
+        sent = rest.mapInArrow(_split(level), "k long, fp long")
 
 
 def group(prints: DataFrame) -> DataFrame:
