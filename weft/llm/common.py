@@ -153,5 +153,13 @@ def _murmur3(k: int) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+def cell_key(cells: int, partitions: int):
+    """A function from cell numbers (an int column) to keys that spread the cells over the partitions."""
+    if cells > partitions:
+        return lambda cell: cell
+    known = F.array(*map(F.lit, even_keys(partitions)[:cells]))
+    return lambda cell: F.element_at(known, cell + 1)
+
+
 def near_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

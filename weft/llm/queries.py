@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html_extract, langid, licences, mixing, near_dup, quality, substring, toxicity
+from . import chat, decontam, html_extract, langid, licences, mixing, near_dup, prefix_trie, quality, ranked_search, substring, toxicity, vector_search
 from .common import table
 
 
@@ -46,6 +46,18 @@ def op10_decontaminate(spark, sf_dir):
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_search(spark, sf_dir):
+    return vector_search.op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.op12(table(spark, sf_dir, "conversations"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_main_text": op2_main_text,
@@ -57,6 +69,13 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_turns": op9_chat_turns,
     "op10_decontaminate": op10_decontaminate,
+    "op11_vector_search": op11_vector_search,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_vector_search": vector_search.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
+    "op13_ranked_search": ranked_search.SQL,
+}
