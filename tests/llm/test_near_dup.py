@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 from brute import components, fingerprint
-from conftest import documents, hard_rows
+from conftest import documents, hard_rows, prose
 from pyspark.sql import functions as F
 
 from weft.llm import near_dup
@@ -123,6 +123,35 @@ def test_stage_picks_one_version_of_an_id(spark):
     assert ("1", kept) in first
 
 
+def texts_kept(df):
+    return sorted((r.doc_id, r.text) for r in near_dup.keep_one(df).collect())
+
+
+def test_versions_lose_no_text(spark):
+    rnd = random.Random(8)
+    a, own = prose(rnd, 60), [prose(rnd, 60) for _ in range(20)]
+    rows = [(3, a)] + [(5 + i, t) for i, b in enumerate(own) for t in (a, b)]
+    assert texts_kept(documents(spark, [(*r, "en", "s") for r in rows])) == [(3, a)] + [(5 + i, b) for i, b in enumerate(own)]
+    # the smallest id stays with one of its texts, so the other one's copy stays too
+    x, y = sorted((prose(rnd, 60), prose(rnd, 60)), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    rows = [(1, x), (1, y), (9, y), (9, y), (10, y)]
+    assert texts_kept(documents(spark, [(*r, "en", "s") for r in rows])) == [(1, x), (9, y)]
+
+
+def test_stage_equals_brute_force_on_versions(spark):
+    rnd = random.Random(9)
+    texts = [prose(rnd, 50) for _ in range(25)]
+    rows = [(rnd.randrange(40), rnd.choice(texts)) for _ in range(90)]
+    mark = {r.t: r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("m")).collect()}
+    open_, want = {t: {d for d, x in rows if x == t} for t in texts if any(x == t for _, x in rows)}, {}
+    while open_ := {t: s for t, ds in open_.items() if t not in want.values() and (s := ds - want.keys())}:
+        leads = {}
+        for t, ds in open_.items():
+            leads.setdefault(min(ds), []).append(t)
+        want |= {d: min(ts, key=mark.get) for d, ts in leads.items()}
+    assert texts_kept(documents(spark, [(*r, "en", "s") for r in rows])) == sorted(want.items())
+
+
 def test_long_chains_need_no_round_limit(spark):
     n = 3000
     edges = spark.range(n).select((F.col("id") * 7919 % n).alias("u")).select("u", (F.col("u") + 1).alias("v")).repartition(13)

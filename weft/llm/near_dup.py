@@ -244,12 +244,12 @@ def links(distinct: DataFrame, most: int = BUCKET) -> DataFrame:
 
 
 def group(prints: DataFrame) -> DataFrame:
-    """fp and component_id for each distinct fingerprint of (doc_id, fp) rows."""
+    """fp, component_id and c (a fingerprint that names the component) for each distinct fingerprint of (doc_id, fp) rows."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     parts = components(links(nodes)).withColumnRenamed("node", "fp")
     inside = materialize(nodes.join(parts, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("c")), "fpc")
     least = inside.groupBy("c").agg(F.min("first").alias("component_id"))
-    return inside.join(least, "c").select("fp", "component_id")
+    return inside.join(least, "c").select("fp", "component_id", "c")
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -257,16 +257,41 @@ def op3(docs: DataFrame) -> DataFrame:
     return prints.join(group(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each component stays.
+def _leaders(rows: DataFrame) -> DataFrame:
+    """Of rows (c, id, mark) one for each component c, and one for each id at most.
 
-    Rows without an id cannot be told apart and stay; rows that repeat an id are
-    versions of one document, and the one whose text has the smallest hash stays.
+    A component's smallest (id, mark) leads it. An id that leads several keeps the one
+    with the smallest mark; the others are led by their next id that leads none, if any,
+    in further rounds. Where no id has several texts, the first round settles all.
     """
-    first, turn = (fresh(docs, c) for c in ("dup_first", "dup_turn"))
-    prints = materialize(fingerprints(docs), "prints")
-    best = group(prints).select(F.col("component_id").alias(first)).where(F.col(first).isNotNull()).distinct()
-    known = docs.join(best, F.col("doc_id") == F.col(first), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    known = known.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1)
+    open_, led = rows, None
+    while True:
+        first = open_.groupBy("c").agg(F.min(F.struct("id", "mark")).alias("x")).select("c", "x.*")
+        won = first.groupBy("id").agg(F.min(F.struct("mark", "c")).alias("x")).select("id", "x.*")
+        won = materialize(won, "leaders")
+        led = led.unionByName(won) if led else won
+        rest = open_.join(won.select("c"), "c", "left_anti").join(won.select("id"), "id", "left_anti")
+        open_ = materialize(rest.select("c", "id", "mark"), "open")
+        if open_.isEmpty():
+            return led.select("id", "mark")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Pipeline stage: of each component one row stays, that with the smallest id.
+
+    A row is an id with its text. Rows that repeat an id with another text are versions
+    of one document, of which one stays: each is judged in the component of its own
+    text, and a component whose smallest id stays with another version goes on to its
+    next id. So a text is only lost where all ids that have it, or a near copy of it,
+    stay with another version. Of rows that repeat id and text one stays. Rows without
+    an id cannot be told apart and stay.
+    """
+    mark, turn, id_ = (fresh(docs, c) for c in ("dup_mark", "dup_turn", "dup_id"))
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    prints = materialize(fingerprints(marked, [mark]), "prints")
+    rows = prints.where("doc_id is not null").select("fp", F.col("doc_id").alias("id"), F.col(mark).alias("mark")).distinct()
+    rows = materialize(rows.join(group(prints).select("fp", "c"), "fp").select("c", "id", "mark"), "versions")
+    best = _leaders(rows).toDF(id_, f"{id_}_mark")
+    known = marked.join(best, (F.col("doc_id") == F.col(id_)) & (F.col(mark) == F.col(f"{id_}_mark")), "left_semi")
+    known = known.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(mark))).where(F.col(turn) == 1)
     return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
