@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -65,3 +66,49 @@ def test_layer_runs(spark):
     run = lambda d: d.select("task_id", F.concat(F.lit("ok:"), "description").alias("result"), F.when(F.col("task_id") == "zz", "e").alias("error"))
     got = {r.task_id: (r.status, r.result) for r in graph.run_layers(df, run).collect()}
     assert got["b"] == ("completed", "ok:see ok:do a") and got["x"] == ("failed", "") and got["c"][0] == "completed"
+
+
+def rounds(monkeypatch, tmp_path, work):
+    """How many rounds of ``settle`` a job takes."""
+    paths = []
+    monkeypatch.setattr(graph, "folder", lambda spark, label, plain=graph.folder: paths.append((label, plain(spark, label))) or paths[-1][1])
+    got = work()
+    (path,) = [p for label, p in paths if label == "settled"]
+    return got, len(os.listdir(path.removeprefix("file://")))
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch, tmp_path):
+    n = 10_000
+    chain = spark.range(n).select(F.col("id").cast("string").alias("task_id"), F.when(F.col("id") > 0, F.array((F.col("id") - 1).cast("string"))).otherwise(F.array().cast("array<string>")).alias("dependencies"))
+    got, used = rounds(monkeypatch, tmp_path, lambda: graph.layers(chain).where("cast(layer as string) = task_id").count())
+    assert got == n and used < 20
+
+
+def test_a_failure_passes_down_a_chain_in_few_rounds(spark, monkeypatch, tmp_path):
+    n = 3000
+    chain = spark.range(n).select(F.col("id").cast("string").alias("task_id"), F.when(F.col("id") > 0, F.array((F.col("id") - 1).cast("string"))).otherwise(F.array().cast("array<string>")).alias("dependencies"), F.when(F.col("id") == 10, "failed").otherwise("pending").alias("status"), F.lit("r").alias("result"))
+    got, used = rounds(monkeypatch, tmp_path, lambda: graph.cascade(chain).where("status = 'failed'").count())
+    assert got == n - 10 and used < 20
+
+
+def test_random_graphs_with_cycles(spark):
+    """Layers, failures and runs against plain loops, with cycles, self-loops, repeated and missing dependencies."""
+    for seed in range(3):
+        rnd = random.Random(seed)
+        deps = {str(i): [str(rnd.randint(0, 45)) for _ in range(rnd.choice([0, 1, 1, 1, 2, 3]))] for i in range(40)}
+        status = {t: rnd.choice(["failed", "pending", "completed", "completed", "completed"]) for t in deps}
+        df = frame(spark, deps, status)
+        want = loop_layers(deps)
+        assert {r.task_id: r.layer for r in graph.layers(df).collect()} == want
+        bad = {t for t in deps if status[t] == "failed"}
+        while more := {t for t in deps if t not in bad and bad & set(deps[t])}:
+            bad |= more
+        assert {r.task_id for r in graph.cascade(df).where("status = 'failed'").collect()} == bad
+        run = lambda d: d.where("task_id != '7'").select("task_id", F.lit("ok").alias("result"), F.when(F.col("task_id") == "3", "e").alias("error"))
+        outcome = {}
+        for layer in range(max(want.values(), default=-1) + 1):
+            for t in [t for t in want if want[t] == layer]:
+                lost = any(outcome.get(d) == "failed" for d in deps[t])
+                outcome[t] = "failed" if lost or t == "3" else "unknown" if t == "7" else "completed"
+        got = {r.task_id: r.status for r in graph.run_layers(df, run).collect()}
+        assert got == {t: "completed" if outcome.get(t) == "completed" else "failed" for t in deps}

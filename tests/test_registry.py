@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from weft.operators import messages, registry
@@ -99,3 +100,69 @@ def test_agents_beyond_ten_thousand_count(spark):
     got = registry.match_skill(asked, agents).where("level = 1")
     assert got.count() == asked.count() and got.where("query = 'skill10049'").count() == 1
     assert registry.catalog_text(agents).first()["catalog"].count("\n") == n - 1
+
+
+def test_each_risk_has_its_route(spark):
+    t = Tools()
+
+    @t.tool(risk="medium")
+    def slow(text: str):
+        import time
+
+        time.sleep(5 if text == "late" else 0)
+        return text.upper()
+
+    @t.tool(risk="medium", returns="double")
+    def inverse(x: float):
+        return 1 / x
+
+    t.add(registry.Tool("twice", "", None, "low", "string", [{"name": "x", "type": "string"}], sql="concat(x, x)"))
+    t.add(registry.Tool("shell_", "", str, "high"))
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION shell_(x string) RETURNS string RETURN x")
+    assert t.as_functions(spark, limit=0.5) == ["slow", "inverse", "twice"]
+    rows = spark.createDataFrame([("late", 0.0), ("ok", 2.0), (None, 4.0)], "s string, x double")
+    low = rows.select(F.expr("twice(s)").alias("v"))
+    plan = low._jdf.queryExecution().executedPlan().toString()
+    assert [r.v for r in low.collect()] == ["latelate", "okok", None] and "Python" not in plan and "Arrow" not in plan
+    said = [r.v for r in rows.select(F.expr("slow(s)").alias("v")).collect()]
+    assert said[:2] == [registry.OVERTIME.format("0.5"), "OK"] and said[2].startswith("Error: ")
+    assert [r.v for r in rows.select(F.expr("inverse(x)").alias("v")).collect()] == [None, 0.5, 0.25]
+    with pytest.raises(AnalysisException):
+        rows.select(F.expr("shell_(s)"))
+
+
+def test_tools_of_a_package(spark):
+    t = Tools()
+    assert t.discover("weft.tools") == 4 and sorted(t.names()) == ["initials", "label", "numbered_lines", "run_anything"]
+    assert t.as_functions(spark) == [n for n in t.names() if n != "run_anything"]
+    spark.createDataFrame([(1, "a\n\nb"), (2, ""), (3, None)], "id int, text string").createOrReplaceTempView("some_texts")
+    got = spark.sql("SELECT id, n, line FROM some_texts, LATERAL numbered_lines(text)").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "a"), (1, 2, ""), (1, 3, "b"), (2, 1, "")]
+
+
+def test_skills_equal_every_pair(spark):
+    """The levels by comparing each query with each agent."""
+    import random
+
+    rnd = random.Random(4)
+    name = lambda: rnd.choice(["", "_", " ", "-"]).join(rnd.choices(["ab", "web", "Calc", "x", "search", "su"], k=rnd.randint(1, 3)))
+    agents = [(i, f"a{i}", rnd.choice([name(), name(), "", None]), rnd.choice(["does sums", "searches the web", name(), None])) for i in range(30)]
+    asked = [name() for _ in range(60)] + ["", None, "zzz"]
+    norm = lambda s: None if s is None else s.lower().replace("_", "-").replace(" ", "-")
+    want = set()
+    for q in {x for x in asked if x}:
+        n, levels = norm(q), {1: [], 2: [], 3: []}
+        for pos, agent, skill, told in agents:
+            s, d = norm(skill), told and told.lower()
+            if s is not None and s == n:
+                levels[1].append((pos, agent))
+            elif s is not None and len(n) >= 3 and (n in s or s in n):
+                levels[2].append((pos, agent))
+            elif d and (n in d or any(len(w) >= 2 and w in d for w in n.split("-"))):
+                levels[3].append((pos, agent))
+        level = next((k for k in levels if levels[k]), None)
+        want |= {(q, a, level) for _, a in sorted(levels[level])[: 1 if level == 1 else None]} if level else set()
+    got = registry.match_skill(spark.createDataFrame([(x,) for x in asked], "query string"), spark.createDataFrame(agents, "pos long, agent string, skill string, description string"))
+    assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

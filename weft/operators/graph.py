@@ -1,18 +1,18 @@
 """Task graphs: edges, layers, validation, failure cascades, placeholders.
 
 ``tasks``: task_id, dependencies array<string>, and status and result where used.
-Layering is a frontier loop: each round joins once and is written to the shared
-folder, so the plan stays flat and a lost executor loses no round.
+Layers and cascades contract the graph in rounds that are written to the shared
+folder, so plans stay flat and a lost executor loses no round.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from .running import step_of
-from .stored import folder, forget, write
+from .stored import drop, folder, forget, write
 
 HOLE = r"\{\{(.+?)\}\}"
 
@@ -28,32 +28,59 @@ def missing(tasks: DataFrame) -> DataFrame:
     return e.join(tasks.select(F.col("task_id").alias("dep")), "dep", "left_anti").select("task_id", "dep")
 
 
-def layers(tasks: DataFrame) -> DataFrame:
-    """(task_id, layer): 0 for tasks without a dependency inside the batch, else one more
-    than the deepest of them. Tasks in or behind a cycle have no row.
+def inner_edges(tasks: DataFrame) -> DataFrame:
+    """Distinct (src, dst) between tasks of the batch."""
+    ids = tasks.select(F.col("task_id").alias("src")).distinct()
+    return edges(tasks).distinct().join(ids, "src", "left_semi").join(ids.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def settle(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Solve value(v) = max(own(v), value(u) + w for every link u -> v) for all nodes that are
+    in or behind no cycle: (task_id, value) of those, and (task_id, value) so far of the others.
 
-    Each round appends its layer to one folder and replaces the table of what still
-    waits, so neither the plan nor the number of tables grows with the depth.
+    ``nodes``: task_id, value long; ``links``: src, dst, w long, both ends being nodes.
+
+    Each round settles the nodes without open links and passes their values on. Then a
+    link from a node that itself has one open link only is moved to where that one comes
+    from, with the sum of both weights. So ways through such nodes halve every round, and a
+    chain of n nodes takes about log2(n) rounds; links never become more. Every round
+    replaces the tables of open nodes and links and appends what it settles to one folder.
     """
-    spark = tasks.sparkSession
-    ids = tasks.select("task_id").distinct()
-    inner = write(edges(tasks).distinct().join(ids.select(F.col("task_id").alias("src")), "src", "left_semi"), "inner")
-    open_ = inner.groupBy("dst").agg(F.count("*").alias("open")).withColumnRenamed("dst", "task_id")
-    waiting = write(ids.join(open_, "task_id", "left").select("task_id", F.coalesce("open", F.lit(0)).cast("long").alias("open")), "waiting")
-    path, layer = folder(spark, "layers"), 0
-    shape = StructType([ids.schema["task_id"], StructField("layer", IntegerType())])
+    spark = nodes.sparkSession
+    shape = StructType([nodes.schema["task_id"], StructField("value", LongType())])
+    path, n = folder(spark, "settled"), 0
+    open_, links = write(nodes, "open"), write(links, "links")
+    most = open_.count()  # no way is longer; cycles would go on adding
     while True:
-        waiting.where("open = 0").select("task_id", F.lit(layer).alias("layer")).write.parquet(f"{path}/round={layer}")
-        front = spark.read.schema(shape).parquet(f"{path}/round={layer}")
-        if front.isEmpty():
+        done = open_.join(links.select(F.col("dst").alias("task_id")).distinct(), "task_id", "left_anti")
+        done.select("task_id", "value").write.parquet(f"{path}/round={n}")
+        done = spark.read.schema(shape).parquet(f"{path}/round={n}")
+        if done.isEmpty():
             break
-        met = inner.join(front.select(F.col("task_id").alias("src")), "src").groupBy("dst").agg(F.count("*").alias("met")).withColumnRenamed("dst", "task_id")
-        rest = waiting.where("open > 0").join(met, "task_id", "left").select("task_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"))
-        before, waiting = waiting, write(rest, "waiting")
-        forget(before)
-        layer += 1
-    forget(inner, waiting)
-    return spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
+        n += 1
+        told = links.join(done.withColumnRenamed("task_id", "src"), "src").groupBy(F.col("dst").alias("task_id")).agg(F.max(F.col("value") + F.col("w")).alias("told"))
+        rest = write(links.join(done.select(F.col("task_id").alias("src")), "src", "left_anti"), "links")
+        waits = open_.join(done.select("task_id"), "task_id", "left_anti").join(told, "task_id", "left")
+        waits = write(waits.select("task_id", F.greatest("value", "told").alias("value")), "open")
+        forget(open_, links)
+        single = rest.groupBy("dst").agg(F.count("*").alias("n"), F.first("src").alias("via"), F.first("w").alias("more")).where("n = 1")
+        single = single.join(waits, F.col("dst") == F.col("task_id")).select(F.col("dst").alias("src"), "via", "more", "value")
+        moved = write(rest.join(single, "src", "left"), "moved")
+        told = moved.where("via is not null").groupBy(F.col("dst").alias("task_id")).agg(F.max(F.col("value") + F.col("w")).alias("told"))
+        open_ = write(waits.join(told, "task_id", "left").select("task_id", F.greatest("value", "told").alias("value")), "open")
+        far = F.least(F.col("w") + F.coalesce("more", F.lit(0)), F.lit(most))
+        links = write(moved.groupBy(F.coalesce("via", "src").alias("src"), "dst").agg(F.max(far).alias("w")).select("src", "dst", "w"), "links")
+        forget(rest, waits, moved)
+    forget(links)
+    return spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path), open_
+
+
+def layers(tasks: DataFrame) -> DataFrame:
+    """(task_id, layer): 0 for tasks without a dependency inside the batch, else one more
+    than the deepest of them. Tasks in or behind a cycle have no row."""
+    nodes = tasks.select("task_id", F.lit(0).cast("long").alias("value")).distinct()
+    done, _ = settle(nodes, inner_edges(tasks).withColumn("w", F.lit(1).cast("long")))
+    return done.select("task_id", F.col("value").cast("int").alias("layer"))
 
 
 def validate(tasks: DataFrame) -> DataFrame:
@@ -65,19 +92,25 @@ def validate(tasks: DataFrame) -> DataFrame:
 
 def cascade(tasks: DataFrame) -> DataFrame:
     """The tasks with failures passed on: whoever depends on a failed task, however far, fails
-    with an empty result. Rounds append what fails anew to one folder."""
+    with an empty result. Tasks in or behind a cycle, which ``settle`` leaves, pass theirs on
+    step by step; rounds append what fails anew to one folder."""
     spark = tasks.sparkSession
+    links = inner_edges(tasks)
+    own = tasks.groupBy("task_id").agg(F.max(F.coalesce(F.col("status") == "failed", F.lit(False)).cast("long")).alias("value"))
+    done, stuck = settle(own, links.withColumn("w", F.lit(0).cast("long")))
     shape = StructType([tasks.schema["task_id"]])
-    known = write(edges(tasks).distinct().join(tasks.select(F.col("task_id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
     path, n = folder(spark, "failed"), 0
-    tasks.where("status = 'failed'").select("task_id").distinct().write.parquet(f"{path}/round=0")
-    while not (front := spark.read.schema(shape).parquet(f"{path}/round={n}")).isEmpty():
-        failed = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
-        nxt = known.join(front.select(F.col("task_id").alias("src")), "src").select(F.col("dst").alias("task_id")).distinct()
-        n += 1
-        nxt.join(failed, "task_id", "left_anti").write.parquet(f"{path}/round={n}")
-    forget(known)
-    bad = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path).withColumn("__late", F.lit(True))
+    stuck.where("value = 1").select("task_id").write.parquet(f"{path}/round=0")
+    if not stuck.isEmpty():
+        known = write(links.join(stuck.select(F.col("task_id").alias("dst")), "dst", "left_semi").select("src", "dst"), "edges")
+        while not (front := spark.read.schema(shape).parquet(f"{path}/round={n}")).isEmpty():
+            failed = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
+            nxt = known.join(front.select(F.col("task_id").alias("src")), "src").select(F.col("dst").alias("task_id")).distinct()
+            n += 1
+            nxt.join(failed, "task_id", "left_anti").write.parquet(f"{path}/round={n}")
+        forget(known)
+    late = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
+    bad = done.where("value = 1").select("task_id").unionByName(late).withColumn("__late", F.lit(True))
     rows = tasks.join(bad, "task_id", "left").withColumn("__late", F.col("__late") & ~F.coalesce(F.col("status") == "failed", F.lit(False)))
     return rows.withColumns({"status": F.when(F.col("__late"), "failed").otherwise(F.col("status")), "result": F.when(F.col("__late"), "").otherwise(F.col("result"))}).drop("__late")
 
@@ -140,25 +173,32 @@ def run_layers(tasks: DataFrame, execute) -> DataFrame:
 
     ``execute(DataFrame of ready tasks) -> DataFrame(task_id, result, error)`` is
     injected. Failures cascade, placeholders resolve from the results so far, and
-    tasks that no layer reaches fail.
+    tasks that no layer reaches, or that ``execute`` says nothing of, fail. Tasks are
+    written once, by layer; a layer reads its own and appends its outcomes to one folder.
     """
-    order = layers(tasks).join(tasks, "task_id")
-    n = order.agg(F.max("layer")).first()[0]
-    state = write(tasks.withColumns({"status": F.lit("pending"), "result": F.lit(None).cast("string")}))
-    for layer in range(-1 if n is None else n + 1):
-        due = order.where(F.col("layer") == layer).select("task_id")
+    spark = tasks.sparkSession
+    by_layer = folder(spark, "by-layer")
+    tasks.join(layers(tasks), "task_id").write.partitionBy("layer").parquet(by_layer)
+    order = spark.read.schema(StructType([*tasks.schema.fields, StructField("layer", IntegerType())])).parquet(by_layer)
+    last = order.agg(F.max("layer")).first()[0]
+    shape = StructType([tasks.schema["task_id"], StructField("__status", StringType()), StructField("__result", StringType())])
+    path = folder(spark, "outcomes")
+    spark.createDataFrame([], shape).write.parquet(f"{path}/layer=-1")
+    for layer in range(-1 if last is None else last + 1):
+        done = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
+        due = order.where(F.col("layer") == layer).drop("layer")
         # all dependencies are settled by now, so a failure only has to pass on one step
-        lost = blocked(state).join(due, "task_id", "left_semi").select("task_id", F.lit(True).alias("__lost"))
-        state = state.join(lost, "task_id", "left")
-        state = write(state.withColumns({"status": F.when(F.col("__lost"), "failed").otherwise(F.col("status")), "result": F.when(F.col("__lost"), "").otherwise(F.col("result"))}).drop("__lost"))
-        now = state.join(due, "task_id", "left_semi").where("status = 'pending'")
-        now = resolve(now, state.where("status = 'completed'").select("task_id", "result")).drop("description").withColumnRenamed("resolved", "description")
-        got = write(execute(now).select("task_id", F.col("result").alias("__r"), F.col("error").alias("__e"), F.lit(True).alias("__ran")))
-        state = state.join(got, "task_id", "left")
-        status = F.when(F.col("__ran") & F.col("__e").isNotNull(), "failed").when(F.col("__ran"), "completed").otherwise(F.col("status"))
-        state = write(state.withColumns({"status": status, "result": F.when(F.col("__ran"), F.coalesce("__r", F.lit(""))).otherwise(F.col("result"))}).drop("__r", "__e", "__ran"))
-    late = F.col("status") == "pending"
-    return cascade(state).withColumns({"status": F.when(late, "failed").otherwise(F.col("status")), "result": F.when(late, "").otherwise(F.col("result"))})
+        bad = done.where("__status = 'failed'").select(F.col("task_id").alias("src"))
+        lost = edges(due).join(bad, "src", "left_semi").select(F.col("dst").alias("task_id")).distinct()
+        now = due.join(lost, "task_id", "left_anti").withColumns({"status": F.lit("pending"), "result": F.lit(None).cast("string")})
+        known = done.where("__status = 'completed'").select("task_id", F.col("__result").alias("result"))
+        ready_ = resolve(now, known).drop("description").withColumnRenamed("resolved", "description")
+        got = execute(ready_).select("task_id", F.when(F.col("error").isNotNull(), "failed").otherwise("completed").alias("__status"), F.coalesce("result", F.lit("")).alias("__result"))
+        got.unionByName(lost.select("task_id", F.lit("failed").alias("__status"), F.lit("").alias("__result"))).write.parquet(f"{path}/layer={layer}")
+    drop(spark, by_layer)
+    done = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
+    rows = tasks.drop("status", "result").join(done, "task_id", "left")
+    return rows.withColumns({"status": F.coalesce("__status", F.lit("failed")), "result": F.coalesce("__result", F.lit(""))}).select(*dict.fromkeys([*tasks.columns, "status", "result"]))
 
 
 def first_seen(rows: DataFrame, column: str, order: str) -> DataFrame:

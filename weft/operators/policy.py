@@ -71,11 +71,37 @@ def compile_table(spark, policies: list[Policy]) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, p_subject string, p_action string, p_resource string, effect string")
 
 
+def literal_prefix(regex: Column) -> Column:
+    """What every text that an anchored expression matches starts with, as far as its plain characters show."""
+    head = F.regexp_extract(regex, r"^\^([A-Za-z0-9_:/ -]*)", 1)
+    after = F.substring(regex, F.length(head) + 2, F.lit(1))
+    head = F.when(after.isin("*", "?", "+", "{"), F.left(head, F.length(head) - 1)).otherwise(head)
+    return F.when(F.contains(regex, F.lit("|")) | ~F.startswith(regex, F.lit("^")), "").otherwise(head)
+
+
 def decide_join(calls: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """The same decision with policies in a table; its patterns leave Spark only a broadcast of all of it."""
-    on = ((F.col("p_subject") == "*") | (F.col("p_subject") == F.col("subject"))) & F.expr("action rlike p_action") & F.expr("replace(resource, '\\\\', '/') rlike p_resource")
-    hits = calls.join(table, on, "left")
-    return hits.groupBy(key).agg(F.coalesce(F.min_by("effect", "ord"), F.lit(NONE)).alias("decision"))
+    """The same decision with policies in a table, by an equi-join.
+
+    A policy is indexed by its subject, its action, if that is one word, and the plain
+    prefix of its resource. A call looks up both its subject and any, its action and any,
+    and its resource's prefixes of the lengths that policies have; what it finds is
+    verified. Calls that find nothing escalate. What a call leaves open (null) only a
+    pattern for anything matches, as in ``decide``.
+    """
+    word = F.regexp_extract("p_action", r"^\^(?:\(\?s:)?([A-Za-z0-9_]+)\)?\$$", 1)
+    known = table.withColumns({"__s": F.col("p_subject"), "__a": F.when(word == "", "*").otherwise(word), "__p": literal_prefix(F.col("p_resource"))})
+    lengths = sorted(r[0] for r in known.select(F.length("__p")).distinct().collect())  # no more than the longest pattern has characters
+    touched = F.replace("resource", F.lit("\\"), F.lit("/"))
+    both = lambda c: F.explode(F.array_distinct(F.array(F.lit("*"), F.col(c))))
+    rows = calls.select(key, "subject", "action", touched.alias("resource"))
+    rows = rows.withColumn("__s", both("subject")).withColumn("__a", both("action"))
+    rows = rows.withColumn("__n", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")))
+    head = F.coalesce("resource", F.lit(""))
+    rows = rows.where(F.length(head) >= F.col("__n")).withColumn("__p", F.left(head, F.col("__n")))
+    fits = lambda c: F.coalesce(F.expr(f"{c} rlike p_{c}"), F.col(f"p_{c}").isin("^.*$", name_regex("*")))
+    hits = rows.join(known, ["__s", "__a", "__p"]).where(fits("action") & fits("resource"))
+    all_ = calls.select(key, F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("effect")).unionByName(hits.select(key, "ord", "effect"))
+    return all_.groupBy(key).agg(F.coalesce(F.min_by("effect", "ord"), F.lit(NONE)).alias("decision"))
 
 
 def shadowed(policies: list[Policy]) -> list[tuple[int, int]]:

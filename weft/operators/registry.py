@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
 import inspect
+import pkgutil
+import signal
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -14,18 +17,74 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from weft.functions.text import normalize_skill
 
+from .stored import write
+from .substrings import containing
+
 RISKS = ("low", "medium", "high")
 TYPES = {str: "string", int: "integer", float: "number", bool: "boolean", list: "array", dict: "object"}
+SQL_TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
+#: Seconds that a tool of medium risk may take, and what it says when it takes longer.
+LIMIT, OVERTIME = 30, "Error: 工具执行超时（{}s）"
 
 
 @dataclass
 class Tool:
+    """``returns`` is a SQL type, with ``table`` the columns of the rows that the tool yields.
+    ``sql`` is the tool as an expression over its parameters."""
+
     name: str
     description: str
     func: Callable
     risk: str = "low"
     returns: str = "string"
     parameters: list[dict[str, Any]] = field(default_factory=list)
+    table: bool = False
+    sql: str | None = None
+
+
+def declare(risk: str = "low", returns: str = "string", table: bool = False, sql: str | None = None) -> Callable:
+    """Mark a function as a tool, for ``Tools.discover``."""
+
+    def mark(func):
+        func.is_tool, func.risk, func.returns, func.table, func.sql = True, risk, returns, table, sql
+        return func
+
+    return mark
+
+
+def limited(func: Callable, seconds: float, text: bool) -> Callable:
+    """``func`` with a time limit, for Spark's Python workers, each of which runs one task in its main thread.
+
+    What takes longer, or breaks, gives an error text, or null where the tool gives no text.
+    """
+
+    def late(*_):
+        raise TimeoutError(OVERTIME.format(f"{seconds:g}"))
+
+    def run(*args):
+        before = signal.signal(signal.SIGALRM, late)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return func(*args)
+        except TimeoutError as e:
+            return str(e) if text else None
+        except Exception as e:
+            return f"Error: {e}" if text else None
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
+    return run
+
+
+def table_function(func: Callable, returns: str):
+    """A function that yields rows as a table function."""
+
+    class Rows:
+        def eval(self, *args):
+            yield from func(*args)
+
+    return F.udtf(Rows, returnType=returns)
 
 
 def parameters_of(func: Callable) -> list[dict[str, Any]]:
@@ -80,20 +139,36 @@ class Tools:
         return list(self._tools)
 
     def discover(self, module) -> int:
-        """Register every public function of a module that is marked as a tool."""
-        found = [f for _, f in inspect.getmembers(module, inspect.isfunction) if getattr(f, "is_tool", False)]
+        """Register every public function of a module, or of all public modules of a package, that is marked as a tool."""
+        module = importlib.import_module(module) if isinstance(module, str) else module
+        parts = [importlib.import_module(f"{module.__name__}.{m.name}") for m in pkgutil.iter_modules(getattr(module, "__path__", [])) if not m.name.startswith("_")]
+        found = [f for m in [module, *parts] for _, f in inspect.getmembers(m, inspect.isfunction) if getattr(f, "is_tool", False)]
         for f in found:
-            self.add(Tool(f.__name__, (f.__doc__ or "").strip(), f, getattr(f, "risk", "low"), getattr(f, "returns", "string"), parameters_of(f)))
+            self.add(Tool(f.__name__, (f.__doc__ or "").strip(), f, getattr(f, "risk", "low"), getattr(f, "returns", "string"), parameters_of(f), getattr(f, "table", False), getattr(f, "sql", None)))
         return len(found)
 
-    def as_functions(self, spark: SparkSession) -> list[str]:
-        """Register the tools as SQL functions over Arrow batches, run by Spark's isolated
-        Python workers whatever their risk is; high-risk ones are refused."""
+    def as_functions(self, spark: SparkSession, limit: float = LIMIT) -> list[str]:
+        """Register the tools as SQL functions, each on the way that its risk asks for.
+
+        Low: a tool with an expression becomes a SQL function, which Catalyst puts into the
+        plan; one without runs over Arrow batches. Medium: Arrow batches in a Python worker,
+        ``limit`` seconds a call. High: not registered, and what had its name goes, so that
+        a query with it fails when it is analysed. Tools that yield rows become table functions.
+        """
         done = []
         for t in self._tools.values():
-            if t.risk != "high":
-                spark.udf.register(t.name, F.udf(t.func, t.returns, useArrow=True))
-                done.append(t.name)
+            spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS `{t.name}`")
+            if t.risk == "high":
+                continue
+            if t.table:
+                spark.udtf.register(t.name, table_function(t.func, t.returns))
+            elif t.risk == "low" and t.sql:
+                names = ", ".join(f"`{p['name']}` {SQL_TYPES[p['type']]}" for p in t.parameters)
+                spark.sql(f"CREATE TEMPORARY FUNCTION `{t.name}`({names}) RETURNS {t.returns} RETURN {t.sql}")
+            else:
+                func = limited(t.func, limit, t.returns == "string") if t.risk == "medium" else t.func
+                spark.udf.register(t.name, F.udf(func, t.returns, useArrow=True))
+            done.append(t.name)
         return done
 
     def frame(self, spark: SparkSession) -> DataFrame:
@@ -202,20 +277,25 @@ def match_skill(queries: DataFrame, agents: DataFrame) -> DataFrame:
 
     ``queries``: query; ``agents``: pos, agent, skill, description. 1: equal names
     (the first agent only); 2: one name inside the other, from three characters on;
-    3: the description holds the query or a part of it. Each query meets
-    the whole catalog of agents once; Spark chooses which side is broadcast.
+    3: the description holds the query or a part of it. Each level only sees what
+    the one before left; all are equi-joins, on the name or on indexed n-grams.
     """
-    q = queries.withColumn("q", normalize_skill("query")).where("q != ''")
+    q = write(queries.select("query").distinct().withColumn("q", normalize_skill("query")).where("q != ''"), "asked")
     a = agents.withColumn("s", normalize_skill("skill")).withColumn("d", F.lower("description"))
-    level = (
-        F.when(F.col("q") == F.col("s"), 1)
-        .when((F.length("q") >= 3) & (F.col("s").contains(F.col("q")) | F.col("q").contains(F.col("s"))), 2)
-        .when(F.col("d").contains(F.col("q")) | F.exists(F.split("q", "-"), lambda w: (F.length(w) >= 2) & F.col("d").contains(w)), 3)
-    )
-    hit = q.join(a, level.isNotNull()).withColumn("level", level)
-    w = Window.partitionBy("query")
-    best = hit.withColumn("best", F.min("level").over(w)).where("level = best")
-    best = best.withColumn("n", F.row_number().over(w.orderBy("pos", "agent"))).where("level > 1 or n = 1")
+    found = lambda pairs, level: pairs.select("query", "agent", "pos", F.lit(level).alias("level")).distinct()
+    one = found(q.join(a, F.col("q") == F.col("s")), 1)
+    rest = write(q.join(one, "query", "left_anti"), "asked")
+    names, skills = rest.where(F.length("q") >= 3).select("q"), a.select("s")
+    inside = containing(names.select(F.col("q").alias("needle")), skills.select(F.col("s").alias("text"))).toDF("q", "s")
+    around = containing(skills.select(F.col("s").alias("needle")), names.select(F.col("q").alias("text"))).toDF("s", "q")
+    two = found(inside.unionByName(around).join(rest, "q").join(a, "s"), 2)
+    rest = write(rest.join(two, "query", "left_anti"), "asked")
+    parts = F.array_union(F.array("q"), F.filter(F.split("q", "-"), lambda w: F.length(w) >= 2))
+    parts = rest.select("query", F.explode(parts).alias("needle"))
+    told = containing(parts, a.select(F.col("d").alias("text"))).withColumnRenamed("text", "d")
+    three = found(told.join(parts, "needle").join(a, "d"), 3)
+    w = Window.partitionBy("query").orderBy("pos", "agent")
+    best = one.unionByName(two).unionByName(three).withColumn("n", F.row_number().over(w)).where("level > 1 or n = 1")
     return best.select("query", "agent", "level").distinct()
 
 

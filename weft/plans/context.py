@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.text import estimate_tokens, overlap, task_keywords
+from weft.functions.text import HAN, estimate_tokens, task_keywords
 from weft.operators import graph, history
 from weft.operators.running import running_sum, step_of
+from weft.operators.substrings import containing
 
 
 def guard_context(messages: DataFrame, pending: DataFrame | None = None, normal: int = history.NORMAL, aggressive: int = history.AGGRESSIVE, keep_turns: int = 3, invoke=None) -> DataFrame:
@@ -36,12 +37,19 @@ def relevant(messages: DataFrame, tasks: DataFrame, limit: int = 1000, snippet:
     """Messages that share ``least`` keywords with a task of their session, until ``limit`` tokens are used.
 
     ``tasks``: session_id, task_id, description. The message that uses the budget up still counts.
+    A keyword is of one kind of characters, so a text holds it in one of its runs of that kind:
+    keywords meet a session's distinct runs by their n-grams, and messages meet tasks by the
+    keywords that they really share.
     """
     said = messages.where(F.col("message_type").isin("user_input", "final_answer") & (F.coalesce("text", F.lit("")) != ""))
-    pair = said.join(tasks.select("session_id", "task_id", task_keywords("description").alias("kws")), "session_id")
-    pair = pair.where(overlap(F.col("kws"), "text") >= least).drop("kws")
+    wanted = tasks.select("session_id", "task_id", F.explode(task_keywords("description")).alias("needle"))
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z0-9_]+|{HAN}+"), F.lit(0)))
+    spoken = said.select("session_id", "pos", F.explode(runs).alias("text"))
+    shared = containing(wanted, spoken, ["session_id"])
+    met = wanted.join(shared, ["session_id", "needle"]).join(spoken, ["session_id", "text"]).select("session_id", "task_id", "pos", "needle").distinct()
+    met = met.groupBy("session_id", "task_id", "pos").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
     line = F.concat(F.lit("["), F.col("message_type"), F.lit("]: "), F.left("text", F.lit(snippet)))
-    rows = pair.withColumn("line", line).withColumn("cost", estimate_tokens("line"))
+    rows = met.join(said, ["session_id", "pos"]).withColumn("line", line).withColumn("cost", estimate_tokens("line"))
     rows = running_sum(rows, ["session_id", "task_id"], {"b": step_of("pos")}, ["pos"], F.col("cost"), "used")
     return rows.where(F.col("used") < limit)
 

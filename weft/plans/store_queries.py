@@ -6,6 +6,7 @@ import json
 import os
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from weft.functions import html
@@ -306,6 +307,37 @@ def ud14_sample_tools(spark, sf_dir):
     return views.table(spark, sf_dir, "part").select("p_partkey", F.expr("echo(p_name)").alias("said"))
 
 
+def _tools_of_package(spark):
+    center = registry.Tools()
+    center.discover("weft.tools")
+    center.as_functions(spark)
+    return center
+
+
+def _refused(spark, call):
+    """Whether a query with this call fails when it is analysed."""
+    try:
+        spark.sql(f"SELECT {call}").schema  # noqa: B018
+    except AnalysisException:
+        return True
+    return False
+
+
+@query("SELECT doc_id, CAST(generate_subscripts(lines, 1) AS INTEGER) AS n, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)")
+def ud02_table_tool(spark, sf_dir):
+    """A discovered tool that yields rows, for every document."""
+    _tools_of_package(spark)
+    views.table(spark, sf_dir, "documents").createOrReplaceTempView("weft_texts")
+    return spark.sql("SELECT doc_id, t.n, t.line FROM weft_texts, LATERAL numbered_lines(text) t")
+
+
+@query("""SELECT p_partkey, p_name || '-' || p_size AS low, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: left(w, 1)), 'string_agg', '') AS medium, true AS high_refused FROM part""")
+def ud03_routes(spark, sf_dir):
+    """A tool of each risk: an expression in the plan, a worker with a time limit, none at all."""
+    _tools_of_package(spark)
+    return views.table(spark, sf_dir, "part").select("p_partkey", F.expr("label(p_name, p_size)").alias("low"), F.expr("initials(p_name)").alias("medium"), F.lit(_refused(spark, "run_anything('ls')")).alias("high_refused"))
+
+
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'low' WHEN n_nationkey % 3 = 1 THEN 'medium' ELSE 'high' END AS risk, n_nationkey % 3 < 2 AS runs FROM nation")
 def ud03_risk_routing(spark, sf_dir):
     center = registry.Tools()
