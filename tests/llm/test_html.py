@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from weft.llm import html_extract as h
@@ -30,6 +32,44 @@ def test_boilerplate_goes(model, part, frame):
         assert h.extract(f"<html><head><title>t</title></head><body>{page}</body></html>", model) == WANT
 
 
+PLAIN = [f"<header>{x}</header>" for x in ("<h1>Site name</h1>", "<p>Site name</p>", "<div>Site name</div>", "Site name", "<h1>Site</h1><p>What the site is about, in some words</p>", '<div><a href="/">Site</a></div><nav><a href="/a">Home</a></nav>')]
+PLAIN += [f"<footer>{x}</footer>" for x in ("Copyright 2020 Foo", "<p>Contact us by mail</p>", "<div>© 2020 Foo. All rights reserved.</div>", "<p>About the site, in a few words more than that</p><ul><li><a href='/i'>Imprint</a></li></ul>")]
+
+
+@pytest.mark.parametrize("part", PLAIN)
+@pytest.mark.parametrize("frame", ["<article>{}</article>", '<main><article class="post">{}</article></main>', '<div class="content">{}</div>', "<main>{}</main>"])
+def test_plain_headers_and_footers_go(model, part, frame):
+    """Without class, id or role, before and after the article."""
+    for page in (part + frame.format(ARTICLE), frame.format(ARTICLE) + part, part + PARTS["nav"] + frame.format(ARTICLE) + PARTS["sidebar"]):
+        assert h.extract(f"<html><body>{page}</body></html>", model) == WANT
+
+
+def test_an_article_keeps_its_own_header(model):
+    page = ARTICLE.replace("<h1>Title here</h1>", "<header><h1>Title here</h1></header>")
+    for site in ("", PLAIN[0], PLAIN[3] + PARTS["nav"]):
+        assert h.extract(f"<html><body>{site}<article>{page}</article>{PLAIN[6]}</body></html>", model) == WANT
+
+
+@pytest.mark.parametrize("line", ["All rights reserved.", "Copyright 2020 Foo", "© 2021 someone, all rights reserved"])
+def test_legal_lines_of_the_article_stay(model, line):
+    page = ARTICLE.replace("Short.", line)
+    for frame in ("<article>{}</article>", '<div class="content">{}</div>'):
+        assert h.extract(f"<html><body>{PARTS['nav']}{frame.format(page)}{PARTS['footer']}</body></html>", model) == WANT.replace("Short.", line)
+
+
+def test_layout_tables(model):
+    menu, foot = '<tr><td><a href="/">Home</a> <a href="/a">About</a></td></tr>', "<tr><td>Copyright 2020 Foo</td></tr>"
+    for body in (f"<tr><td>{ARTICLE}</td></tr>", f'<tr><td><a href="/">Home</a> <a href="/a">About</a></td><td>{ARTICLE}</td></tr>'):
+        assert h.extract(f"<html><body><table>{menu}{body}{foot}</table></body></html>", model) == WANT
+
+
+@pytest.mark.parametrize("page", ["\n", " ", "a", "<form>", "<div>", "<p>", "<b>", "</div>", "<form><div>", "<li>", "<table><tr><td>", "f*ck ", "<!--", "&amp;", "<a href='"])
+def test_a_megabyte_of_anything_takes_seconds(model, page):
+    began = time.time()
+    h.extract(page * (1_000_000 // len(page)), model)
+    assert time.time() - began < 30
+
+
 @pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++){f()}</script>", "<SCRIPT>if(a<b)f()</Script >", "<script><!-- x=1</script>", "<style>a<b{}</style>", "<script>s='</p>'+'</scripts>'</script>"])
 def test_a_raw_element_ends_at_its_own_end_tag(model, raw):
     assert h.extract(f"<html><body><article>{raw}{ARTICLE}{raw}</article></body></html>", model) == WANT

@@ -1,9 +1,10 @@
 """Operator 2: main-text extraction with a tree-structured graphical model.
 
 A page's block elements form a tree; each is structure (holds several kinds),
-content or boilerplate. A log-linear model of the element's own look (tag, names
-in class, id and role, amount of text, share of link text) gives its potential,
-and a table of parent-child potentials connects it to its parent. Sum-product
+content or boilerplate. A log-linear model of the element's look (tag, names
+in class, id and role, amount of text, share of link text, what header, footer or layout
+table it stands in, whether that is inside an article, first or last place in the body)
+gives its potential, and a table of parent-child potentials connects it to its parent. Sum-product
 message passing, once up and once down the tree, gives exact marginals; text
 whose block is content with a marginal over one half is kept. Both parts are
 trained from labelled pages: a generator writes pages of many layouts with the
@@ -31,6 +32,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -65,6 +67,10 @@ NAMES = {
 }
 GROUP = {w: g for g, ws in NAMES.items() for w in ws.split()}
 
+FRAMES = frozenset("header footer aside nav".split())
+HOLDS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol article section blockquote pre".split())
+LEGAL = re.compile(r"©|&copy;|&#169;|\bcopyright\b|all rights reserved", re.I)
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|<[!?][^>]*+>""", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -82,6 +88,8 @@ class Page:
         self.words, self.linked = [0], [0]
         self.pieces: list[tuple[int, list[str]]] = []  # a block's node and its texts
         self._fresh, self._links, self._silent = True, 0, 0
+        self._count: Counter[str] = Counter()  # open elements by name
+        self._article = (-1, False)  # where the next sign of an article or a form's end is, and whether it is the former
         self._stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # open element, its block, whether it hides
         self._read(html)
 
@@ -101,6 +109,7 @@ class Page:
 
     def _pop(self, k: int) -> None:
         for tag, _, hides in self._stack[k:]:
+            self._count[tag] -= 1
             self._silent -= hides
             self._links -= tag == "a"
         del self._stack[k:]
@@ -108,7 +117,7 @@ class Page:
     def _open(self, tag: str, attrs: str) -> None:
         stack = self._stack
         close = ({"p"}, {"table", "button"}) if tag in ENDS_P else CLOSES.get(tag)
-        if close:
+        if close and any(self._count[t] for t in close[0]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in close[1]:
                     break
@@ -132,32 +141,42 @@ class Page:
             self.linked.append(0)
         self._silent += hides
         self._links += tag == "a"
+        self._count[tag] += 1
         stack.append((tag, block, hides))
 
     def _close(self, tag: str) -> None:
         stack = self._stack
+        if not self._count[tag]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == tag:
                 break
             if tag in INLINE and stack[k][0] not in INLINE:
                 return  # an inline element does not close around blocks that are open in it
-        else:
-            return
         self._pop(k)
         self._fresh |= tag not in INLINE
 
+    def _holds_article(self, html: str, at: int) -> bool:
+        """Whether an article begins after ``at`` before any form ends."""
+        if self._article[0] < at:
+            found = ARTICLE.search(html, at)
+            self._article = (found.start(), found.group()[1] != "/") if found else (len(html), False)
+        return self._article[1]
+
     def _read(self, html: str) -> None:
-        at = 0
-        while m := TOKEN.search(html, at):
+        at, end_of_tags = 0, html.rfind(">") + 1  # behind the last ">" no tag ends, only a comment may begin
+        while m := TOKEN.search(html, at, end_of_tags):
             self._text(html[at : m.start()])
             at = m.end()
             tag = (m.group(2) or "").lower()
             if tag and "<" in m.group(3) and ("</" if tag in KNOWN else "<") in QUOTED.sub("", m.group(3)):
                 at = m.start() + 1  # a sign of comparison, as in "x<y": the next tag begins before a ">"
                 self._text("<")
-            elif tag == "form" and not m.group(1) and (found := ARTICLE.search(html, at)) and found.group()[1] != "/":
+            elif tag == "form" and not m.group(1) and self._holds_article(html, at):
                 self._open("div", "")  # a form around the page's article is no form of its own
                 self._stack[-1] = ("form", *self._stack[-1][1:])
+                self._count.subtract(["div"])
+                self._count["form"] += 1
             elif m.group(1):
                 self._close(tag)
             elif tag in RAW:  # nothing but its own end tag ends it
@@ -165,23 +184,62 @@ class Page:
                 at = end.end() if end else len(html)
             elif tag:
                 self._open(tag, m.group(3))
-        self._text(html[at:])
+        self._text(html[at:].partition("<!--")[0])
+
+
+def places(page: Page) -> list[list[str]]:
+    """Names of where each block stands: in which header, footer or the like, inside or outside an
+    article, in which part of a layout table, first or last in the body."""
+    n = len(page.tag)
+    last, layout = [0] * n, [False] * n  # last child; tables that hold blocks
+    for i in range(n - 1, 0, -1):
+        p = page.parent[i]
+        last[p] = last[p] or i
+        layout[p] |= layout[i] and page.tag[p] != "table" or page.tag[i] in HOLDS or page.tag[i] == "table"
+    out: list[list[str]] = [[]]
+    inside, frame, laid = [False] * n, [""] * n, [False] * n
+    for i in range(1, n):
+        p, tag, got = page.parent[i], page.tag[i], []
+        inside[i] = inside[p] or tag in ("article", "main")
+        frame[i], laid[i] = frame[p], tag in ("tr", "td", "th", "tbody") and laid[p]
+        if frame[p]:
+            got.append("under=" + frame[p])
+        if tag in FRAMES:
+            frame[i] = f"{tag}@{'in' if inside[p] else 'out'}"
+            got.append("frame=" + frame[i])
+        if tag == "table" and layout[i]:
+            laid[i] = True
+        if laid[i]:
+            got.append(f"laid={tag}")
+            row = i if tag == "tr" else p
+            if page.tag[row] == "tr":
+                got.append(f"{tag} of the last row" if last[page.parent[row]] == row else f"{tag} of a row")
+        if page.tag[p] == "body" and (last[p] == i or i == p + 1):
+            got.append("body=last" if last[p] == i else "body=first")
+        out.append(got)
+    return out
 
 
 def traits(page: Page) -> list[list[str]]:
     """Names of what each block looks like."""
     out = []
-    for tag, attrs, n, linked in zip(page.tag, page.attrs, page.words, page.linked, strict=True):
-        got = ["tag=" + tag, "any"]
+    legal = {node for node, texts in page.pieces if page.words[node] < 40 and LEGAL.search("".join(texts))}
+    story = [False] * len(page.tag)  # inside what calls itself an article, by tag or name
+    for i, (tag, attrs, n, linked, where) in enumerate(zip(page.tag, page.attrs, page.words, page.linked, places(page), strict=True)):
+        got = ["tag=" + tag, "any", *where]
+        story[i] = tag in ("article", "main") or i > 0 and story[page.parent[i]]
         if attrs:
             names = {GROUP[w] for _, v in ATTR.findall(attrs) for w in NAME.findall(v.lower()) if w in GROUP}
             got += ["is=" + g for g in names]
             if "main" in names and len(names) > 1:
                 got.append("mixed")
+            story[i] |= names == {"main"}
         got.append("words=" + ("0" if not n else "1" if n < 5 else "5" if n < 15 else "15" if n < 40 else "40"))
         if n:
             share = linked / n
             got.append("links=" + ("none" if not share else "some" if share < 0.4 else "most"))
+        if i in legal:
+            got.append("legal@" + ("story" if story[i] else "page"))
         out.append(got)
     return out
 
@@ -274,7 +332,7 @@ class _Writer:
             self.out.append(inner)
         self.out.append(f"</{opening.split()[0]}>")
 
-    def pick(self, *options: str) -> str:
+    def pick(self, *options):
         return self.r.choice(options)
 
     def chance(self, p: float) -> bool:
@@ -295,7 +353,7 @@ class _Writer:
             if self.chance(0.5):
                 self.nav()
 
-        self.block(self.pick("header", 'div class="header"', 'div id="masthead"', 'header class="site-header"', 'div class="topbar"'), BOILER, inside if self.chance(0.8) else self.text(2, 12, 0.2))
+        self.block(self.pick("header", "header", "header", 'div class="header"', 'div id="masthead"', 'header class="site-header"', 'div class="topbar"'), BOILER, inside if self.chance(0.8) else self.text(2, 12, 0.2))
 
     def plain(self, opening: str, lo: int, hi: int, links: float = 0.05):
         """A boilerplate box of text, or of paragraphs."""
@@ -350,22 +408,52 @@ class _Writer:
 
         self.block(self.pick('section class="comments"', 'div id="comments"', 'div class="comment-list"', 'section id="discussion"', 'ol class="commentlist"', 'div class="comments-area"'), BOILER, inside)
 
+    def legal(self) -> str:
+        return self.pick("&copy; ", "© ", "Copyright ", "Copyright &copy; ", "") + str(self.r.randint(1995, 2030)) + " " + self.text(1, 8, 0.1) + self.pick("", ". All rights reserved.", "") if self.chance(0.8) else "All rights reserved."
+
     def footer(self):
         def inside():
             for _ in range(self.r.randint(1, 3)):
                 if self.chance(0.3):
                     self.menu()
                 else:
-                    self.block(self.pick("p", "div", "p", "small2"), BOILER, self.text(3, 35, 0.1))
+                    self.block(self.pick("p", "div", "p", "small2"), BOILER, self.legal() if self.chance(0.4) else self.text(3, 35, 0.1))
+
+        self.block(self.pick("footer", "footer", 'div class="footer"', 'div id="footer"', 'footer class="site-footer"', 'div class="copyright"'), BOILER, inside if self.chance(0.6) else self.legal() if self.chance(0.5) else self.text(3, 30, 0.05))
+
+    def table_page(self):
+        """The whole page in a table: rows for head and foot, cells for menu, text and side."""
 
-        self.block(self.pick("footer", "footer", 'div class="footer"', 'div id="footer"', 'footer class="site-footer"', 'div class="copyright"'), BOILER, inside if self.chance(0.6) else self.text(3, 30, 0.05))
+        def cell(state, inner):
+            self.block(self.pick("td", "td", 'td valign="top"'), state, inner)
+
+        def links():
+            cell(BOILER, self.text(1, 8, 1.0) if self.chance(0.6) else self.menu)
+
+        def middle():
+            if self.chance(0.5):
+                links()
+            cell(CONTENT, lambda: (self.block("h1", CONTENT, self.text(2, 12)) if self.chance(0.7) else None, self.prose()))
+            if self.chance(0.3):
+                cell(BOILER, self.sidebar if self.chance(0.5) else self.menu)
+
+        def rows():
+            if self.chance(0.5):
+                self.block("tr", BOILER, lambda: cell(BOILER, self.text(1, 6, 0.2)))
+            if self.chance(0.6):
+                self.block("tr", BOILER, links)
+            self.block("tr", STRUCTURE, middle)
+            if self.chance(0.7):
+                self.block("tr", BOILER, lambda: cell(BOILER, self.legal() if self.chance(0.7) else self.text(2, 25, 0.2)))
+
+        self.block(self.pick("table", 'table width="100%"', 'table border="0"'), STRUCTURE, rows)
 
     def prose(self):
         for _ in range(self.r.randint(1, 12)):
             kind = self.r.random()
             if kind < 0.72:
                 short = self.chance(0.25)
-                text = self.text(1, 6) if short else self.text(8, 120, self.pick2(0.0, 0.0, 0.04))
+                text = self.legal() if self.chance(0.03) else self.text(1, 6) if short else self.text(8, 120, self.pick2(0.0, 0.0, 0.04))
                 self.block(self.pick("p", "p", "p", "p", 'p class="lead"', "div"), CONTENT, f"<b>{text}</b>" if self.chance(0.1) else text)
             elif kind < 0.8:
                 self.block(self.pick("h2", "h3", "h4"), CONTENT, self.text(1, 8))
@@ -385,8 +473,8 @@ class _Writer:
     def article(self):
         def inside():
             if self.chance(0.8):
-                if self.chance(0.2):
-                    self.block("header", CONTENT, lambda: self.block("h1", CONTENT, self.text(2, 12)))
+                if self.chance(0.3):
+                    self.block("header", CONTENT, lambda: [self.block(x, CONTENT, self.text(2, 12)) for x in self.pick(("h1",), ("h1",), ("h1", "p"))])
                 else:
                     self.block("h1", CONTENT, self.text(2, 12))
             self.prose()
@@ -418,6 +506,8 @@ class _Writer:
                 self.sidebar()
 
         def body():
+            if self.chance(0.2):
+                return self.table_page()
             for part, p in ((self.notice, 0.25), (self.header, 0.55), (self.nav, 0.6), (self.ad, 0.3)):
                 if self.chance(p):
                     part()
