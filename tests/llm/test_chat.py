@@ -1,7 +1,11 @@
 import random
+import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from weft.llm import chat
 
@@ -106,3 +110,26 @@ def test_counts_equal_brute_force(spark):
     turns = Counter(r[2] for r in rows)
     asks = Counter(r[2] for r in rows if r[3].strip().endswith("?"))
     assert np.allclose(np.exp(model.emit["asks=True"]), [(1 + asks[r]) / (2 + turns[r]) for r in model.roles])
+
+
+OLD = re.compile(r"\s*(?:<\|\s*(?:im_start\|>)?\s*([A-Za-z]+)\s*(?:\|>)?|\[\s*([A-Za-z]+)\s*\]\s*:?|#{1,6}\s*([A-Za-z]+)\s*:?[ \t]*(?:\n|$)|\**\s*([A-Za-z]+)\s*\**\s*(?:\(\d+\))?\s*:(?!/))")
+
+
+@given(st.lists(st.sampled_from(["user", "User", "x", "bot", "**", "*", "#", "###", ":", "\n", " ", "\t", "[", "]", "<|", "|>", "im_start|>", "(2)", "/", "hi there"]), max_size=12))
+def test_markers_are_those_of_the_plain_pattern(parts):
+    """Against a pattern that may take back what it has read: the same roles and the same text after them."""
+    text = "".join(parts)
+    m = OLD.match(text)
+    role, at = chat.marker(text)
+    want = chat.NAMES.get(next(g for g in m.groups() if g).lower()) if m else None
+    assert role == want and (not role or text[at:].strip() == text[m.end() :].strip())
+
+
+@pytest.mark.parametrize("text", ["\n", " ", "\t", "a", "*", "#", "user\n", "a ", "*\n", "[", "<|", "#a ", "user:\n", "(1)", "# user \n\n"])
+def test_a_megabyte_of_anything_takes_seconds(text):
+    began = time.time()
+    for end in ("", "x"):
+        parts = chat.segments(text * (1_000_000 // len(text)) + end, ["user", "assistant", "system"])
+        for p in parts[:1000]:
+            chat.look(p, False)
+    assert time.time() - began < 20

@@ -50,8 +50,10 @@ BLOCK, BLOCK_BYTES, TRUST, PRIOR = 256, 4 << 20, 0.999, 20.0
 # Names that speaker markers use.
 SPEAKERS = {"system": "system sys instruction instructions", "user": "user human customer question q prompt you me", "assistant": "assistant bot ai model answer a agent gpt response", "tool": "tool function"}
 NAMES = {n: role for role, names in SPEAKERS.items() for n in names.split()}
-MARKER = re.compile(r"\s*(?:<\|\s*(?:im_start\|>)?\s*([A-Za-z]+)\s*(?:\|>)?|\[\s*([A-Za-z]+)\s*\]\s*:?|#{1,6}\s*([A-Za-z]+)\s*:?[ \t]*(?:\n|$)|\**\s*([A-Za-z]+)\s*\**\s*(?:\(\d+\))?\s*:(?!/))")
-OPENING = re.compile(r"(?:\A|(?<=\n))" + MARKER.pattern)
+# No piece gives back what it has taken, and only the first line's blanks may span lines, so a text is read once.
+_NAMED = r"(?:<\|\s*+(?:im_start\|>)?+\s*+([A-Za-z]++)\s*+(?:\|>)?+|\[\s*+([A-Za-z]++)\s*+\]\s*+:?+|#{1,6}+\s*+([A-Za-z]++)(?:\s*+:[ \t]*+(?:\n|$)|[^\S\n]*+(?:\n|$))|(?:\*++\s*+)?+([A-Za-z]++)\s*+\**+\s*+(?:\(\d++\))?+\s*+:(?!/))"
+MARKER = re.compile(r"\s*+" + _NAMED)
+OPENING = re.compile(r"(?<=\n)[^\S\n]*+" + _NAMED)
 
 
 def marker(text: str) -> tuple[str | None, int]:
@@ -63,7 +65,8 @@ def marker(text: str) -> tuple[str | None, int]:
 
 def segments(text: str, roles) -> list[str]:
     """The text cut before every line that opens with a marker of one of ``roles``."""
-    cuts = [m.start() for m in OPENING.finditer(text) if m.start() and NAMES.get(next(g for g in m.groups() if g).lower()) in roles]
+    blank = len(text) - len(text.lstrip())
+    cuts = [m.start() for m in OPENING.finditer(text) if m.start() > blank and NAMES.get(next(g for g in m.groups() if g).lower()) in roles]
     return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
 
