@@ -1,7 +1,12 @@
 import random
+import re
+import time
 
 import numpy as np
+import pytest
 from conftest import documents, hard_rows, prose
+from hypothesis import given
+from hypothesis import strategies as st
 
 from weft.llm import toxicity
 
@@ -86,3 +91,24 @@ def test_one_tree_equals_brute_force():
         node = np.array([2 * k + 1 + int(b[i, feature[k]] > cut[k]) for i, k in enumerate(node)])
     for k in set(node):
         assert np.allclose(got[node == k], -g[node == k].sum() / (h[node == k].sum() + 1) * toxicity.RATE)
+
+
+OLD = re.compile(rb"[0-9@$!|]+[a-z][a-z0-9@$!*|._-]*[a-z]|[a-z]+[0-9@$!*|._-][a-z0-9@$!*|._-]*[a-z]")
+
+
+@given(st.binary(max_size=0) | st.lists(st.sampled_from([bytes([c]) for c in b"abz019@$!|*._- ,\xc3"]), max_size=25).map(b"".join))
+def test_masked_words_are_those_of_the_plain_pattern(raw):
+    assert toxicity.masked_words(raw) == OLD.findall(raw)
+
+
+@given(st.lists(st.sampled_from([b"f", b"u", b"c", b"k", b"*", b"i", b"d", b"o", b"t"]), min_size=1, max_size=6).map(b"".join))
+def test_stars_stand_for_letters(word):
+    like = re.compile(re.escape(word).replace(rb"\*", rb"[a-z]"))
+    assert toxicity.unmasked(word, frozenset()) == any(like.fullmatch(w) for w in toxicity.INSULT)
+
+
+@pytest.mark.parametrize("text", [b"a", b"f*ck ", b"f*ck", b"1", b"a1", b"!", b"\n", b" ", b"A", b"you ", b"1a*b "])
+def test_a_megabyte_of_anything_takes_seconds(text):
+    began = time.time()
+    toxicity.features(text * (1_000_000 // len(text)), frozenset())
+    assert time.time() - began < 20

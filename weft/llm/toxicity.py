@@ -57,7 +57,10 @@ INSULT = frozenset(w.encode() for w in INSULTS.split())
 SECOND_PERSON = frozenset(w.encode() for w in SECOND.split())
 PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum() and c > 32)
 _BLANK = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
-MASKED = re.compile(rb"[0-9@$!|]+[a-z][a-z0-9@$!*|._-]*[a-z]|[a-z]+[0-9@$!*|._-][a-z0-9@$!*|._-]*[a-z]")
+#: A run with a sign in it, from its beginning, and where in it the masked word begins; every run is read once.
+RUN = re.compile(rb"(?<![a-z0-9@$!*|._-])[a-z]*+[0-9@$!*|._-][a-z0-9@$!*|._-]*+")
+BEGIN = re.compile(rb"(?<![0-9@$!|])[0-9@$!|]++[a-z](?!\Z)|(?<![a-z])[a-z]++[0-9@$!*|._-]")
+SIGNS = b"0123456789@$!*|._-"
 DRAWN = re.compile(rb"([a-z])\1\1+")
 _UPPER, _LOWER = np.arange(65, 91), np.arange(97, 123)
 NAMES = ["insults", "n_insults", "learned", "n_learned", "near_second", "second", "capitals", "caps_words", "exclaim", "question", "punct", "digits", "masked", "masked_hits", "drawn", "length", "word_length", "distinct"]
@@ -67,6 +70,23 @@ def plain_words(raw: bytes) -> list[bytes]:
     return raw.lower().translate(_BLANK).split()
 
 
+def masked_words(low: bytes) -> list[bytes]:
+    """Words of letters with signs among them: from the first letter or sign that may stand for one, to the last letter."""
+    runs = (m.group().rstrip(SIGNS) for m in RUN.finditer(low))
+    return [run[at.start() :] for run in runs if (at := BEGIN.search(run))]
+
+
+_BY_LENGTH = {n: [w for w in INSULT if len(w) == n] for n in {len(w) for w in INSULT}}
+
+
+def unmasked(word: bytes, marks) -> bool:
+    """Whether a masked word stands for an insult, or a word of ``marks``; a star stands for any letter."""
+    if b"*" in word:
+        return any(all(a == b or a == 42 and 97 <= b <= 122 for a, b in zip(word, w, strict=True)) for w in _BY_LENGTH.get(len(word), ()))
+    plain = re.sub(rb"[._-]", b"", word).translate(LEET)
+    return plain in marks or plain in INSULT
+
+
 def features(raw: bytes, learned: frozenset) -> list[float]:
     if not raw:
         return [0.0] * len(NAMES)
@@ -80,14 +100,8 @@ def features(raw: bytes, learned: frozenset) -> list[float]:
     marked = sum(words[i] in learned for i in hits)
     near = sum(not SECOND_PERSON.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
     second = sum(w in SECOND_PERSON for w in words) if SECOND_PERSON & distinct else 0
-    masked = MASKED.findall(low)
-    undone = 0
-    for m in masked:
-        if b"*" in m:
-            like = re.compile(re.escape(m).replace(rb"\*", rb"[a-z]"))
-            undone += any(like.fullmatch(w) for w in INSULT)
-        else:
-            undone += re.sub(rb"[._-]", b"", m).translate(LEET) in marks or re.sub(rb"[._-]", b"", m).translate(LEET) in INSULT
+    masked = masked_words(low)
+    undone = sum(n for m, n in Counter(masked).items() if unmasked(m, marks))
     drawn = [w for w in distinct if DRAWN.search(w)]
     undone += sum(DRAWN.sub(rb"\1", w) in INSULT for w in drawn)
     upper, lower = int(count[_UPPER].sum()), int(count[_LOWER].sum())
