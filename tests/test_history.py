@@ -74,3 +74,22 @@ def test_turn_numbers_cross_blocks(spark):
     df = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant") for i in range(n)], "session_id long, pos long, role string")
     got = {r.pos: r.turn_index for r in history.number_turns(df).collect()}
     assert all(got[i] == (i + 1) // 2 for i in range(n))
+
+
+def test_compaction_equals_its_parts(spark):
+    """Turn numbers, filter and pruning in one against one after the other; blocks are crossed, sessions may be null."""
+    rnd = random.Random(6)
+    kinds = list(history.PRIORITY)
+    data = []
+    for s in (1, 2, None):
+        for pos in range(2300 if s == 1 else 30):
+            role = "user" if rnd.random() < 0.2 else "assistant"
+            data.append((s, pos, role, rnd.choice([None, "x" * rnd.randint(0, 200)]), "user_input" if role == "user" else rnd.choice(kinds), None, rnd.choice([True, False, None])))
+    df = spark.createDataFrame(data, DDL).drop("turn_index")
+    for threshold, keep in ((400, 3), (30_000, 1), (0, 500)):
+        parts = history.prune(history.eligible(history.number_turns(df)).where(~history.is_rejected()), threshold, keep)
+        got = history.compact(df, threshold, keep, history.is_eligible() & ~history.is_rejected())
+        rows = lambda f: sorted((repr(r.session_id), r.pos, r.turn_index, r.tokens, r.priority) for r in f.collect())
+        assert rows(got) == rows(parts)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 1  # the messages themselves are read once more, and no oftener

@@ -6,12 +6,15 @@ turn_index, approved and blocks. All functions take and return DataFrames.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import estimate_tokens
 
 from .running import running_sum, step_of
+from .stored import write
 
 # Message types and how dispensable they are (4: most).
 PRIORITY = {
@@ -36,9 +39,13 @@ def priority(kind="message_type") -> Column:
     return out
 
 
+def is_eligible(kind="message_type") -> Column:
+    return ~F.coalesce(F.col(kind).isin(*INTERNAL), F.lit(False))
+
+
 def eligible(messages: DataFrame) -> DataFrame:
     """Without the types that only serve orchestration."""
-    return messages.where(~F.coalesce(F.col("message_type").isin(*INTERNAL), F.lit(False)))
+    return messages.where(is_eligible())
 
 
 def is_rejected(kind="message_type", approved="approved") -> Column:
@@ -99,6 +106,38 @@ def prune(messages: DataFrame, threshold: int = NORMAL, keep_turns: int = 3) ->
     return rows.where(keep).drop("open", "gone", "total", "recent", "turn_count")
 
 
+def compact(messages: DataFrame, threshold: int = NORMAL, keep_turns: int = 3, among: Column | None = None) -> DataFrame:
+    """``prune`` of messages whose turns are not numbered yet, of those ``among`` holds for;
+    turns count all messages. Adds turn_index, tokens and priority.
+
+    Texts are read twice, to be measured and to be kept. All between works on a table of
+    numbers, a row a message: turns before a block of positions, tokens that go before a
+    block of one priority, and windows over single blocks. A position is unique in its
+    session; rows without a session form one.
+    """
+    same = lambda a, b, *keys: reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
+    block = step_of("pos")
+    user = F.coalesce(F.col("role") == "user", F.lit(False)).cast("int")
+    counts = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    size = write(with_tokens(messages).select("session_id", "pos", block.alias("b"), user.alias("user"), priority().alias("priority"), F.col("tokens").cast("long").alias("tokens"), counts.alias("counts")), "sizes")
+    whole, ahead = Window.partitionBy("session_id"), Window.partitionBy("session_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    users = size.groupBy("session_id", "b").agg(F.sum("user").alias("n"))
+    users = users.select("session_id", "b", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"), F.sum("n").over(whole).alias("turns"))
+    inner = Window.partitionBy("s.session_id", "s.b").orderBy("s.pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = size.alias("s").join(users.alias("u"), same("s", "u", "session_id", "b")).select("s.*", (F.col("ahead") + F.sum("s.user").over(inner)).alias("turn_index"), "turns").where("counts")
+    open_ = (F.col("turn_index") < F.greatest(F.lit(1), F.col("turns") - keep_turns + 1)) & (F.col("priority") > 0)
+    rows = rows.withColumn("rank", F.when(open_, -F.col("priority")).otherwise(1))
+    rows = write(rows.select("session_id", "pos", "b", "rank", "priority", "tokens", "turn_index"), "ranked")
+    open_ = F.col("rank") < 0
+    goes = rows.groupBy("session_id", "rank", "b").agg(F.sum("tokens").alias("n"))
+    ahead = whole.orderBy("rank", "b").rowsBetween(Window.unboundedPreceding, -1)
+    goes = goes.select("session_id", "rank", "b", F.sum("n").over(whole).alias("total"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("gone"))
+    inner = Window.partitionBy("s.session_id", "s.rank", "s.b").orderBy("s.pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.alias("s").join(goes.alias("g"), same("s", "g", "session_id", "rank", "b")).select("s.*", (F.col("total") - F.col("gone") - F.coalesce(F.sum("s.tokens").over(inner), F.lit(0))).alias("held"))
+    kept = rows.where(~(open_ & (F.col("held") > threshold))).select("session_id", "pos", "turn_index", "tokens", "priority")
+    return messages.alias("m").join(kept.alias("k"), same("m", "k", "session_id", "pos")).select("m.*", "turn_index", "tokens", "priority")
+
+
 def turns_range(messages: DataFrame) -> DataFrame:
     """First and last numbered turn of each session as text."""
     turn = F.when(F.col("turn_index") > 0, F.col("turn_index"))
@@ -114,9 +153,10 @@ def summarize(messages: DataFrame, invoke, threshold: int = AGGRESSIVE, keep_tur
     Lines are cut to ``line`` characters. A transcript is one row, so its size is
     bounded by what compaction leaves of a session.
     """
-    rows = mark_recent(with_tokens(messages), keep_turns)
-    total = rows.groupBy("session_id").agg(F.sum("tokens").alias("total")).withColumnRenamed("session_id", "__s")
-    rows = rows.join(total, F.col("session_id").eqNullSafe(F.col("__s"))).drop("__s")
+    sized = messages if "tokens" in messages.columns else with_tokens(messages)
+    both = sized.groupBy("session_id").agg(F.sum("tokens").alias("total"), F.max(F.coalesce("turn_index", F.lit(0))).alias("turn_count")).withColumnRenamed("session_id", "__s")
+    rows = sized.join(both, F.col("session_id").eqNullSafe(F.col("__s"))).drop("__s")
+    rows = rows.withColumn("recent", F.coalesce("turn_index", F.lit(0)) >= F.greatest(F.lit(1), F.col("turn_count") - keep_turns + 1))
     due = (F.col("total") > threshold) & ~F.col("recent")
     said = F.concat(F.lit("["), F.col("role"), F.lit("] "), F.left(F.coalesce("text", F.lit("")), F.lit(line)))
     old = rows.where(due).groupBy("session_id").agg(F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("s")))), lambda x: x["s"]), "\n").alias("transcript"))

@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 from weft.functions.text import HAN, estimate_tokens, task_keywords
 from weft.operators import graph, history
 from weft.operators.running import running_sum, step_of
+from weft.operators.stored import write
 from weft.operators.substrings import containing
 
 
 def guard_context(messages: DataFrame, pending: DataFrame | None = None, normal: int = history.NORMAL, aggressive: int = history.AGGRESSIVE, keep_turns: int = 3, invoke=None) -> DataFrame:
-    """What the reviewing agent sees: eligible, not rejected, compacted, summarized if still too long."""
+    """What the reviewing agent sees: eligible, not rejected, compacted, summarized if still too long.
+
+    Messages may come without turn numbers; then texts are read twice in all."""
     rows = messages.unionByName(pending, allowMissingColumns=True) if pending is not None else messages
-    rows = history.eligible(rows).where(~history.is_rejected())
-    rows = history.prune(rows, normal, keep_turns)
+    if "turn_index" in rows.columns:
+        rows = history.prune(history.eligible(rows).where(~history.is_rejected()), normal, keep_turns)
+    else:
+        rows = history.compact(rows, normal, keep_turns, history.is_eligible() & ~history.is_rejected())
+        rows = write(rows, "compacted") if invoke else rows  # the summaries read it again
     return history.summarize(rows, invoke, aggressive, keep_turns) if invoke else rows
 
 
 def planner_context(messages: DataFrame, catalog: DataFrame, memories: DataFrame, **limits) -> DataFrame:
     """The reviewing agent's rows, with the intent, the agents' catalog and memories as further rows."""
-    base = guard_context(messages, **limits).select("session_id", F.col("pos").cast("long").alias("pos"), "role", "message_type", "text")
+    base = write(guard_context(messages, **limits).select("session_id", F.col("pos").cast("long").alias("pos"), "role", "message_type", "text"), "context")
     sessions = base.select("session_id").distinct()
 
     def also(df, pos, kind):
         return df.select("session_id", F.lit(pos).cast("long").alias("pos"), F.lit("system").alias("role"), F.lit(kind).alias("message_type"), "text")
 
     intent = history.first_of(messages, "guard_intent_analysis")
-    one = sessions.withColumn("k", F.lit(1)).join(F.broadcast(catalog.limit(1).select(F.lit(1).alias("k"), F.col("catalog").alias("text"))), "k")
+    one = sessions.withColumn("k", F.lit(1)).join(catalog.limit(1).select(F.lit(1).alias("k"), F.col("catalog").alias("text")), "k")
     remembered = memories.select("session_id", "text").join(sessions, "session_id", "left_semi")
     return base.unionByName(also(intent, 1_000_000_000, "guard_intent_analysis")).unionByName(also(one, 1_000_000_001, "system_notification")).unionByName(also(remembered, 1_000_000_002, "system_memory_topic"))
 

@@ -56,8 +56,8 @@ def ag04_turns_range(spark, sf_dir):
     " LEFT JOIN (SELECT session_id, count(*) AS messages_after, CAST(sum(tokens) AS BIGINT) AS tokens_after FROM kept GROUP BY 1) b USING (session_id)"
 )
 def ag05_compression(spark, sf_dir):
-    m = views.messages(spark, sf_dir)
-    return history.compression_report(m, history.prune(m, 200, 2))
+    m = views.plain_messages(spark, sf_dir)
+    return history.compression_report(m, history.compact(m, 200, 2))
 
 
 @query(f"WITH {MESSAGES} SELECT session_id, count(*) AS message_count, max(turn_index) AS turn_count, left(arg_min(text, pos), 100) AS preview FROM msg GROUP BY session_id")
@@ -108,7 +108,7 @@ def wn05_turns(spark, sf_dir):
 
 @query(f"WITH {MESSAGES}, {pruned('msg')} SELECT session_id, pos FROM kept")
 def wn01_prune(spark, sf_dir):
-    return history.prune(views.messages(spark, sf_dir), 200, 2).select("session_id", "pos")
+    return history.compact(views.plain_messages(spark, sf_dir), 200, 2).select("session_id", "pos")
 
 
 @query(f"""WITH {MESSAGES},
@@ -168,7 +168,7 @@ def jn16_approve_latest(spark, sf_dir):
 
 @query(f"WITH {MESSAGES}, base AS (SELECT * FROM msg WHERE {ELIGIBLE} AND NOT {REJECTED}), {pruned('base')} SELECT session_id, pos FROM kept")
 def pl01_guard_context(spark, sf_dir):
-    return context.guard_context(views.messages(spark, sf_dir), normal=200, keep_turns=2).select("session_id", "pos")
+    return context.guard_context(views.plain_messages(spark, sf_dir), normal=200, keep_turns=2).select("session_id", "pos")
 
 
 @query(f"""WITH {MESSAGES}, {AGENTS}, base AS (SELECT * FROM msg WHERE {ELIGIBLE} AND NOT {REJECTED}), {pruned('base')},
@@ -177,7 +177,7 @@ def pl01_guard_context(spark, sf_dir):
   UNION ALL SELECT session_id, 1000000001, 'system', 'system_notification', (SELECT text FROM catalog) FROM kept GROUP BY session_id
   UNION ALL SELECT session_id, 1000000002, 'system', 'system_memory_topic', arg_max(text, pos) FROM msg WHERE role = 'user' AND session_id IN (SELECT session_id FROM kept) GROUP BY session_id""")
 def pl02_planner_context(spark, sf_dir):
-    m = views.messages(spark, sf_dir)
+    m = views.plain_messages(spark, sf_dir)
     catalog = registry.catalog_text(views.agents(spark, sf_dir))
     memories = m.where("role = 'user'").groupBy("session_id").agg(F.max_by("text", "pos").alias("text"))
     return context.planner_context(m, catalog, memories, normal=200, keep_turns=2)
@@ -211,7 +211,7 @@ def ud11_summaries(spark, sf_dir):
 
 @query(f"WITH {MESSAGES}, base AS (SELECT * FROM msg WHERE {ELIGIBLE} AND NOT {REJECTED}), {pruned('base', 1, 600)}, {SUMMARIZED.format(src='(SELECT * EXCLUDE (total, recent, priority, before) FROM kept)', limit=300)}")
 def pl04_compaction(spark, sf_dir):
-    m = views.messages(spark, sf_dir)
+    m = views.plain_messages(spark, sf_dir)
     stub = lambda texts: [f"{len(t)} characters" for t in texts]
     return context.guard_context(m, normal=600, aggressive=300, keep_turns=1, invoke=stub)
 
