@@ -1,3 +1,6 @@
+import math
+
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -88,3 +91,11 @@ def test_summary(spark):
 
     df = spark.createDataFrame([("## 功能概述\n\nwhat it does\n## x",), ("y" * 300,)], "b string").select(F.length(summary("b")).alias("n"))
     assert [r.n for r in df.collect()] == [12, 200]
+
+
+@given(st.lists(st.lists(st.sampled_from(["1", "2.5", "0", "03", "7.", ".5", "10", "123456789012345", "1e3", "x", "+", "-", "*", "/", "%", "**", "(", ")", " ", "//", "\0"]), min_size=1, max_size=7).map("".join), min_size=1, max_size=12))
+def test_batches_equal_single_expressions(texts):
+    texts = [*texts, *texts, *(t.replace("2.5", "3.25").replace("10", "0") for t in texts), None]
+    got = calc.evaluate_all(pd.Series(texts, dtype=object))
+    want = [calc.evaluate(t) for t in texts]
+    assert [None if math.isnan(x) else repr(float(x)) for x in got] == [None if w is None or math.isnan(w) else repr(w) for w in want]

@@ -189,6 +189,29 @@ def first_of(messages: DataFrame, kind: str) -> DataFrame:
     return messages.where(F.col("message_type") == kind).groupBy("session_id").agg(F.min_by("text", "pos").alias("text"), F.min("pos").alias("pos"))
 
 
+def last_of(messages: DataFrame, kind: str) -> DataFrame:
+    """Each session's last message of a type."""
+    return messages.where(F.col("message_type") == kind).groupBy("session_id").agg(F.max_by("text", "pos").alias("text"), F.max("pos").alias("pos"))
+
+
+def appended(channel: DataFrame, more: DataFrame) -> DataFrame:
+    """A channel with further messages after its own; columns that one side lacks are null. What has a
+    position already stays as it is, and its second version is left out."""
+    known = channel.select(F.col("session_id").alias("__s"), F.col("pos").alias("__p"))
+    new = more.join(known, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("pos") == F.col("__p")), "left_anti")
+    return channel.unionByName(new, allowMissingColumns=True)
+
+
+def unsynced(messages: DataFrame, counts: DataFrame) -> DataFrame:
+    """The messages that another channel still lacks: all from the position on that it has got to.
+
+    ``counts``: session_id, n (messages it has); a session that it does not know lacks all.
+    """
+    have = counts.select(F.col("session_id").alias("__s"), F.col("n").alias("__n"))
+    rows = messages.join(have, F.col("session_id").eqNullSafe(F.col("__s")), "left")
+    return rows.where(F.col("pos") >= F.coalesce("__n", F.lit(0))).drop("__s", "__n")
+
+
 def approve_latest(messages: DataFrame, verdicts: DataFrame, kind: str = "plan_proposal") -> DataFrame:
     """Sets approved and feedback on each session's newest message of a type.
 

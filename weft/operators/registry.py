@@ -11,9 +11,9 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from weft.functions.text import normalize_skill
 
@@ -171,6 +171,19 @@ class Tools:
             done.append(t.name)
         return done
 
+    def results(self, calls: list[dict]) -> list[dict]:
+        """What called tools say; unknown tools and errors become result rows."""
+        out = []
+        for c in calls:
+            try:
+                said = str(self.get(c["name"]).func(**c.get("args", {})))
+            except KeyError:
+                said = f"[ERROR] unknown tool: {c['name']}"
+            except Exception as e:
+                said = f"[ERROR] {e}"
+            out.append({"role": "tool", "name": c["name"], "content": said})
+        return out
+
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(t.name, t.description, t.risk) for t in self._tools.values()], "name string, description string, risk string")
 
@@ -272,6 +285,53 @@ class Hooks:
         return df
 
 
+def hook_order(hooks: DataFrame) -> DataFrame:
+    """Enabled hooks (point, name, priority, seq, enabled) with n, their place at their point: by priority, equal ones as registered."""
+    order = Window.partitionBy("point").orderBy("priority", "seq")
+    return hooks.where("enabled").withColumn("n", F.row_number().over(order))
+
+
+def standing(steps: DataFrame) -> DataFrame:
+    """What a log of registrations leaves: (point, name, seq) of the newest registration at each point.
+
+    ``steps``: seq, op ("add" or "remove"), point, name; a removal takes the name from all points.
+    """
+    gone = steps.where("op = 'remove'").groupBy("name").agg(F.max("seq").alias("gone"))
+    held = steps.where("op = 'add'").groupBy("point", "name").agg(F.max("seq").alias("seq"))
+    return held.join(gone, "name", "left").where(F.col("gone").isNull() | (F.col("seq") > F.col("gone"))).select("point", "name", "seq")
+
+
+def route(risk: str | Column) -> Column:
+    """How a tool of a risk runs inside a plan."""
+    risk = F.col(risk) if isinstance(risk, str) else risk
+    return F.when(risk == "low", "expression").when(risk == "medium", "worker").when(risk == "high", "refused").otherwise("expression")
+
+
+def run_loops(rows: DataFrame, column: str, invoke: Callable[[list[list[dict]]], list[dict]], tools: Tools, most: int = 10) -> DataFrame:
+    """``tool_loop`` for every row: adds answer, the last message's text, and n, the number of messages.
+
+    ``invoke(list of conversations) -> list of answers`` is injected; the open conversations
+    of a batch of rows are asked together, round by round.
+    """
+    schema = StructType([*rows.schema.fields, StructField("answer", StringType()), StructField("n", LongType())])
+
+    def run(batches):
+        for part in batches:
+            talks = [[{"role": "user", "content": t}] for t in part[column]]
+            open_ = list(range(len(talks)))
+            for _ in range(most):
+                if not open_:
+                    break
+                answers = invoke([talks[i] for i in open_])
+                for i, answer in zip(open_, answers, strict=True):
+                    talks[i] += [{"role": "assistant", **answer}, *tools.results(answer.get("tool_calls") or [])]
+                open_ = [i for i in open_ if talks[i][-1]["role"] == "tool"]
+            part["answer"], part["n"] = [t[-1]["content"] for t in talks], [len(t) for t in talks]
+            yield part
+
+    return rows.mapInPandas(run, schema)
+
+
 def match_skill(queries: DataFrame, agents: DataFrame) -> DataFrame:
     """Agents for each asked skill, by the first level that has any.
 
@@ -363,14 +423,7 @@ def tool_loop(invoke: Callable[[list[dict]], dict], tools: Tools, messages: list
         calls = answer.get("tool_calls") or []
         if not calls:
             break
-        for c in calls:
-            try:
-                out = str(tools.get(c["name"]).func(**c.get("args", {})))
-            except KeyError:
-                out = f"[ERROR] unknown tool: {c['name']}"
-            except Exception as e:
-                out = f"[ERROR] {e}"
-            messages.append({"role": "tool", "name": c["name"], "content": out})
+        messages += tools.results(calls)
     return messages
 
 

@@ -97,7 +97,7 @@ def transition(status: Column, event: Column) -> Column:
     return out
 
 
-def registered(sessions: DataFrame, most: int = MOST_SESSIONS) -> DataFrame:
-    """(registered, active, full): how many sessions there are, how many run or wait, and whether one more would evict."""
+def registered(sessions: DataFrame, most: int = MOST_SESSIONS, by: list[str] | None = None) -> DataFrame:
+    """(registered, active, full): how many sessions there are, in all or ``by`` columns, how many run or wait, and whether one more would evict."""
     busy = F.col("status").isin("running", "resuming", "paused", "awaiting_user")
-    return sessions.agg(F.count("*").alias("registered"), F.count_if(busy).alias("active")).withColumn("full", F.col("registered") >= most)
+    return sessions.groupBy(*(by or [])).agg(F.count("*").alias("registered"), F.count_if(busy).alias("active")).withColumn("full", F.col("registered") >= most)

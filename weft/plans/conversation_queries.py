@@ -138,7 +138,7 @@ def st03_union(spark, sf_dir):
 def st04_suffix(spark, sf_dir):
     m = views.plain_messages(spark, sf_dir)
     have = m.groupBy("session_id").agg(F.count_if(F.col("role") == "user").alias("n"))
-    return m.join(have, "session_id").where("pos >= n").select("session_id", "pos")
+    return history.unsynced(m, have).select("session_id", "pos")
 
 
 @query(f"""WITH {MESSAGES}, last AS (SELECT session_id, max(pos) AS pos FROM msg GROUP BY 1),

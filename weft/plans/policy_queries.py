@@ -71,9 +71,10 @@ def pf18_repository_url(spark, sf_dir):
     return views.table(spark, sf_dir, "part").select("p_partkey", F.concat(host, "p_name").rlike(repositories.URL).alias("valid"))
 
 
-@query(f"WITH {CALLS} SELECT event_id, '/v/' || user_id || '/f' || event_id AS path, true AS escapes FROM calls")
+@query(f"WITH {CALLS} SELECT event_id, '/v/' || user_id || CASE WHEN event_id % 3 = 0 THEN '/..x' ELSE '' END || '/f' || event_id AS path, event_id % 3 <> 0 AS escapes FROM calls")
 def pf20_path(spark, sf_dir):
-    c = views.calls(spark, sf_dir).select("event_id", F.col("args")["file_path"].alias("p"))
+    raw = F.col("args")["file_path"]
+    c = views.calls(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 3 == 0, F.replace(raw, F.lit("/x/.."), F.lit("//..x"))).otherwise(raw).alias("p"))
     return c.select("event_id", policy.normal_path(F.col("p")).alias("path"), policy.escapes(F.col("p")).alias("escapes"))
 
 
@@ -147,7 +148,7 @@ def wn08_first_last(spark, sf_dir):
 
     m = views.plain_messages(spark, sf_dir)
     first = history.first_of(m, "user_input").select("session_id", F.col("text").alias("first"))
-    return first.join(m.where("message_type = 'user_input'").groupBy("session_id").agg(F.max("pos").alias("last")), "session_id")
+    return first.join(history.last_of(m, "user_input").select("session_id", F.col("pos").alias("last")), "session_id")
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events")
@@ -158,8 +159,11 @@ def wn09_token_index(spark, sf_dir):
 
 @query("SELECT conv_id AS session_id, turn AS pos, role FROM conversations UNION ALL SELECT conv_id, turn + 100, 'tool' FROM conversations WHERE role = 'assistant'")
 def st01_append(spark, sf_dir):
+    from weft.operators import history
+
     m = views.plain_messages(spark, sf_dir).select("session_id", "pos", "role")
-    return m.unionByName(m.where("role = 'assistant'").select("session_id", (F.col("pos") + 100).alias("pos"), F.lit("tool").alias("role")))
+    more = m.where("role = 'assistant'").select("session_id", F.explode(F.array("pos", F.col("pos") + 100)).alias("pos"), F.lit("tool").alias("role"))
+    return history.appended(m, more)
 
 
 @query("""SELECT user_id, string_agg(n || '=' || v, ',' ORDER BY n) AS state FROM (
@@ -180,12 +184,7 @@ def st07_tool_union(spark, sf_dir):
 @query(f"""WITH {TASKS} SELECT plan_id, count(*) AS registered, count(*) FILTER (status = 'failed') AS active, count(*) >= 50 AS "full" FROM tasks GROUP BY 1""")
 def ag16_counts(spark, sf_dir):
     t = views.tasks(spark, sf_dir).withColumn("status", F.when(F.col("status") == "failed", "running").otherwise("idle"))
-    plans = [r["plan_id"] for r in t.select("plan_id").distinct().orderBy("plan_id").collect()]  # 25 brands
-    out = [sessions.registered(t.where(F.col("plan_id") == p)).withColumn("plan_id", F.lit(p)) for p in plans]
-    got = out[0]
-    for one in out[1:]:
-        got = got.unionByName(one)
-    return got.select("plan_id", "registered", "active", "full")
+    return sessions.registered(t, by=["plan_id"]).select("plan_id", "registered", "active", "full")
 
 
 # Scalar functions.
@@ -295,12 +294,9 @@ def io15_archive(spark, sf_dir):
     from weft.sources import stores
 
     e = views.entries(spark, sf_dir).select("slug", (F.col("pos") % 3).alias("pos"))
-    parts = [stores.archive_entry(e.where(F.col("slug") == s), s, 0) for s in sorted(r["slug"] for r in e.select("slug").distinct().collect())]  # the sources
-    out = None
-    for stay, gone in parts:
-        both = stay.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)))
-        out = both if out is None else out.unionByName(both)
-    return out.groupBy("slug", "gone").agg(F.count("*").alias("n"))
+    stay, gone = stores.archive_entries(e, e.select("slug").distinct().withColumn("pos", F.lit(0)))
+    both = stay.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)))
+    return both.groupBy("slug", "gone").agg(F.count("*").alias("n"))
 
 
 # Markdown.
@@ -320,28 +316,30 @@ def pa03_front_matter(spark, sf_dir):
     return markdown.front_matter_rows(d.select("doc_id", doc.alias("body")), "doc_id").select("doc_id", F.col("meta")["slug"].alias("slug"), "body")
 
 
-@query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, CASE WHEN i = 1 THEN 0 WHEN i < 4 THEN 1 ELSE 2 END AS segment FROM documents, generate_series(1, 5) t(i)""")
+@query("SELECT doc_id, CAST(i AS INTEGER) AS line_no, CAST((i + 1) // 2 AS INTEGER) AS segment FROM (SELECT doc_id, unnest(range(0, 2 * (doc_id % 4) + 1)) AS i FROM documents)")
 def wn10_segments(spark, sf_dir):
-    d = views.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("intro\n## a\nx "), "lang", F.lit("\n## b\ny")).alias("body"))
+    part = F.concat(F.lit("\n## "), F.col("doc_id").cast("string"), F.lit("\nx ## "), "lang")
+    d = views.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("intro"), F.repeat(part, (F.col("doc_id") % 4).cast("int"))).alias("body"))
     rows = markdown.segment(markdown.numbered_lines(d, "doc_id"), F.col("line").startswith("## "))
     return rows.select("doc_id", "line_no", F.col("segment").cast("int").alias("segment"))
 
 
-@query("SELECT doc_id, CAST(3 AS BIGINT) AS slides, CAST(1 AS BIGINT) AS title, CAST(1 AS BIGINT) AS section, CAST(1 AS BIGINT) AS content FROM documents")
+@query("SELECT doc_id, doc_id % 3 + doc_id % 4 + 1 AS slides, CAST(1 AS BIGINT) AS title, doc_id % 3 AS section, doc_id % 4 AS content FROM documents")
 def ag07_slide_counts(spark, sf_dir):
     from weft.sources import deck
 
     d = views.table(spark, sf_dir, "documents")
-    body = F.concat(F.lit("# "), "source", F.lit("\n## sub\n## "), "lang", F.lit("\n- one\n---\nloose\n"))
+    sections, pages = F.repeat(F.concat(F.lit("\n## "), "lang"), (F.col("doc_id") % 3).cast("int")), F.repeat(F.lit("\n### page\n- one"), (F.col("doc_id") % 4).cast("int"))
+    body = F.concat(F.lit("# "), "source", F.lit("\n## sub"), sections, pages)
     return deck.slide_counts(markdown.slide_rows(d.select("doc_id", body.alias("body")), "doc_id"), "doc_id")
 
 
-@query("SELECT doc_id, true AS made, CAST(2 AS BIGINT) AS slides FROM documents")
+@query("SELECT doc_id, true AS made, doc_id % 5 + 1 AS slides FROM documents")
 def io25_decks(spark, sf_dir):
     from weft.sources import deck
 
     d = views.table(spark, sf_dir, "documents")
-    body = F.concat(F.lit("# "), "source", F.lit("\n### page\n- "), F.coalesce("lang", F.lit("")))
+    body = F.concat(F.lit("# "), "source", F.repeat(F.concat(F.lit("\n### page\n- "), F.coalesce("lang", F.lit(""))), (F.col("doc_id") % 5).cast("int")))
     made = deck.decks(markdown.slide_rows(d.select("doc_id", body.alias("body")), "doc_id"), "doc_id")
     inside = F.regexp_count(F.decode("deck", "iso-8859-1"), F.lit(r"ppt/slides/slide\d+\.xml"))  # named in the file and in its index
     return made.select("doc_id", ((F.col("size") > 0) & (F.decode(F.substring("deck", 1, 2), "iso-8859-1") == "PK")).alias("made"), (inside / 2).cast("bigint").alias("slides"))

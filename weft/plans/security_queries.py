@@ -8,6 +8,7 @@ from weft.functions.prose_json import from_prose
 from weft.functions.text import ellipsis, redact
 from weft.operators import audit, messages, policy, sessions
 from weft.operators.policy import Policy
+from weft.operators.stored import folder
 
 from . import views
 from .registry import query
@@ -74,7 +75,10 @@ def wn06_sequence(spark, sf_dir):
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= DATE '2024-02-14' - 30 GROUP BY 1")
 def io12_retention(spark, sf_dir):
-    kept = audit.retained(views.table(spark, sf_dir, "events"), "2024-02-14")
+    path = folder(spark, "audit")
+    audit.append(views.table(spark, sf_dir, "events").select("event_id", "ts"), path)
+    audit.clean(spark, path, "2024-02-14")  # whole days go
+    kept = spark.read.schema("event_id long, ts timestamp, day string").json(path)
     return kept.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 

@@ -45,12 +45,13 @@ def io02_write_rows(spark, sf_dir):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-@query("SELECT string_agg(r_name, ';' ORDER BY r_regionkey) || ';' AS content FROM region")
+@query("SELECT CAST(o_orderkey AS VARCHAR) || ' ' || o_orderstatus AS line FROM orders")
 def io03_append(spark, sf_dir):
-    path = f"{folder(spark, 'append')}/regions.txt"
-    for r in views.table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
-        files.append_file(spark, path, r["r_name"] + ";")
-    return files.read_files(spark, path).select("content")
+    """Lines of one status appended after those of another."""
+    path, o = folder(spark, "append"), views.table(spark, sf_dir, "orders")
+    for status in ("o_orderstatus = 'F'", "o_orderstatus = 'O'", "o_orderstatus not in ('F', 'O')"):
+        files.write_rows(o.where(status).select(F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("text")), path, mode="append")
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query("SELECT n_nationkey || '.txt' AS name, false AS is_dir, CAST(length(n_name) AS BIGINT) AS size FROM nation")
@@ -58,21 +59,31 @@ def io04_list(spark, sf_dir):
     return files.list_directory(spark, _nations(spark, sf_dir)).where("name not like '.%'").select("name", "is_dir", "size")
 
 
-@query("SELECT '[FILE] ' || n_nationkey || '.txt (' || length(n_name) || ' bytes)' AS line, CAST(row_number() OVER (ORDER BY n_nationkey || '.txt') AS INTEGER) AS n FROM nation")
+def _part_folders(spark, sf_dir, where="true"):
+    """Names of parts as lines in folders k=.../n=...; the folder."""
+    path = folder(spark, "parts")
+    p = views.table(spark, sf_dir, "part").where(where).select(F.col("p_name").alias("value"), (F.col("p_partkey") % 5).alias("k"), (F.col("p_size") % 10).alias("n"))
+    p.repartition("k", "n").write.partitionBy("k", "n").text(path)
+    return path
+
+
+@query("SELECT 'k=' || p_partkey % 5 AS folder, '[DIR]  n=' || p_size % 10 || ' (' || sum(strlen(p_name) + 1) || ' bytes)' AS line, CAST(row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_size % 10) AS INTEGER) AS n FROM part GROUP BY p_partkey % 5, p_size % 10")
 def tk06_sorted_listing(spark, sf_dir):
-    rows = files.list_directory(spark, _nations(spark, sf_dir)).where("name not like '.%'")
-    lines = [r["line"] for r in files.listing_text(rows).orderBy("path").collect()]
-    return spark.createDataFrame([(x, i + 1) for i, x in enumerate(lines)], "line string, n int")
+    sizes = files.folder_sizes(files.entries(spark, _part_folders(spark, sf_dir)))
+    line = F.concat(F.lit("[DIR]  "), "name", F.lit(" ("), F.col("size").cast("string"), F.lit(" bytes)"))
+    return sizes.select(F.element_at(F.split("parent", "/"), -1).alias("folder"), line.alias("line"), "n")
 
 
-@query("SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 'file' ELSE 'none' END AS kind FROM region")
+@query("SELECT p_partkey, CASE WHEN EXISTS (SELECT 1 FROM part h WHERE h.p_partkey % 3 = 0 AND h.p_partkey % 5 = p.p_partkey % 5 AND h.p_size % 10 = p.p_size % 10) THEN 'directory' ELSE 'none' END AS kind FROM part p")
 def io05_exists(spark, sf_dir):
-    path = folder(spark, "exists")
-    keys = [r["r_regionkey"] for r in views.table(spark, sf_dir, "region").collect()]
-    for k in keys:
-        if k % 2 == 0:
-            files.write_file(spark, f"{path}/{k}", "x")
-    return spark.createDataFrame([(k, files.kind(spark, f"{path}/{k}")) for k in keys], "r_regionkey int, kind string")
+    """Every part asks for its folder; a third of them has written one."""
+    path = _part_folders(spark, sf_dir, "p_partkey % 3 = 0")
+    base = path if ":" in path else f"file:{path}"
+    found = files.entries(spark, path)
+    place = F.regexp_extract("folder", "(/k=.*)$", 1)
+    known = found.select(F.concat(F.lit(base), F.regexp_extract("path", "(/k=.*)$", 1)).alias("path"), F.concat(F.lit(base), place).alias("folder"))
+    asked = views.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(f"{base}/k="), (F.col("p_partkey") % 5).cast("string"), F.lit("/n="), (F.col("p_size") % 10).cast("string")).alias("path"))
+    return files.kinds(asked, known).select("p_partkey", "kind")
 
 
 @query("SELECT n_nationkey || '.txt' AS name FROM nation WHERE n_nationkey % 2 = 0")
@@ -169,26 +180,25 @@ def io17_policy_file(spark, sf_dir):
     return views.calls(spark, sf_dir).select("event_id", policy.decide(found).alias("decision"))
 
 
-@query("SELECT n_name AS server, CASE WHEN n_regionkey = 0 THEN 'command' ELSE 'url' END AS kind FROM nation WHERE n_regionkey < 4")
+@query("SELECT 's' || p_partkey AS server, CASE p_partkey % 3 WHEN 0 THEN 'command' ELSE 'url' END AS kind, CASE p_partkey % 3 WHEN 0 THEN p_name END AS command, CASE p_partkey % 3 WHEN 1 THEN p_brand END AS url FROM part WHERE p_partkey % 3 < 2")
 def io18_servers(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "nation").collect()
-    config = {"mcpServers": {r["n_name"]: {} if r["n_regionkey"] == 4 else {"command": "x"} if r["n_regionkey"] == 0 else {"url": "u"} for r in rows}}
-    with tempfile.TemporaryDirectory() as here:
-        path = os.path.join(here, "servers.json")
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(config, f)
-        found = stores.load_servers(path)
-    return spark.createDataFrame([(k, "command" if "command" in v else "url") for k, v in found.items()], "server string, kind string")
+    """Configurations of fifty servers each, as lines of files; those with neither command nor address drop out."""
+    p, path = views.table(spark, sf_dir, "part"), folder(spark, "servers")
+    one = F.struct(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("key"), F.struct(F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).alias("command"), F.when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).alias("url")).alias("value"))
+    configs = p.groupBy(F.expr("p_partkey div 50")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(one)).alias("mcpServers"))).alias("text"))
+    files.write_rows(configs, path)
+    return stores.server_rows(spark.read.text(path), "value").select("server", "kind", "command", "url")
 
 
-@query("SELECT n_nationkey, 'hello ' || n_name AS text, 'built in' AS other FROM nation")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'hello ' || p_name WHEN 1 THEN p_brand || ' has ' || p_name || ' and {more}' ELSE 'built in for ' || p_name END AS text FROM part")
 def io30_prompts(spark, sf_dir):
-    with tempfile.TemporaryDirectory() as here:
-        with open(os.path.join(here, "hi.txt"), "w", encoding="utf-8") as f:
-            f.write("hello {name}")
-        prompts = stores.Prompts(here, {"b": "built in"})
-        rows = [(r["n_nationkey"], prompts.fill("hi", name=r["n_name"]), prompts.load("b")) for r in views.table(spark, sf_dir, "nation").collect()]
-    return spark.createDataFrame(rows, "n_nationkey int, text string, other string")
+    """Two templates in files and one built in, for every part."""
+    path = folder(spark, "prompts")
+    files.write_file(spark, f"{path}/t0.txt", "hello {name}")
+    files.write_file(spark, f"{path}/t1.txt", "{brand} has {name} and {more}")
+    templates = files.read_files(spark, path).select(F.regexp_extract("path", "([^/]*)[.]txt$", 1).alias("template"), "content")
+    p = views.table(spark, sf_dir, "part").withColumn("template", F.concat(F.lit("t"), (F.col("p_partkey") % 3).cast("string")))
+    return stores.filled(p, templates, {"name": "p_name", "brand": "p_brand"}, {"t2": "built in for {name}"}).select("p_partkey", "text")
 
 
 # Pages.
@@ -239,11 +249,12 @@ def _listing(spark, sf_dir):
 
 
 @query("""SELECT CAST(n_regionkey AS VARCHAR) AS page, 'daily' AS since, '2024-05-01' AS day, count(*) AS n,
-    string_agg('## ' || rank || '. [' || n_name || '/r](https://github.com/' || n_name || '/r)' || chr(10) || chr(10) || '- **Stars**: ' || n_nationkey || chr(10) || '- **Forks**: ', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS markdown
+    '# GitHub Trending Repositories' || chr(10) || chr(10) || '> **时间范围**: Daily（今日）' || chr(10) || '> **编程语言**: 不限' || chr(10) || '> **生成时间**: 2024-05-01 08:00:00 CST' || chr(10) || '> **数据来源**: [GitHub Trending](' || any_value(n_regionkey) || ')' || chr(10) || chr(10) || '---' || chr(10) || chr(10) ||
+    string_agg('## ' || rank || '. [' || n_name || '/r](https://github.com/' || n_name || '/r)' || chr(10) || chr(10) || '- **Stars**: ' || n_nationkey || chr(10) || '- **Forks**: ', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '*共 ' || count(*) || ' 个上榜仓库*' || chr(10) AS markdown
   FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rank FROM nation) GROUP BY 1""")
 def io21_trending_report(spark, sf_dir):
     path = folder(spark, "reports")
-    repositories.write_report(repositories.trending(_listing(spark, sf_dir)), path, "2024-05-01")
+    repositories.write_report(repositories.trending(_listing(spark, sf_dir)), path, "2024-05-01 08:00:00")
     return repositories.read_reports(spark, path).select("page", "since", F.col("day").cast("string").alias("day"), "n", "markdown")
 
 
@@ -287,12 +298,15 @@ def sc24_schema_parameters(spark, sf_dir):
     return rows.select(F.col("full_name").alias("tool"), one.alias("p")).select("tool", "p.*")
 
 
-@query("SELECT 'mcp__r' || n_regionkey || '__t' || n_nationkey AS name, n_name AS description, CASE WHEN n_nationkey % 2 = 0 THEN 'low' ELSE 'high' END AS risk, 'r' || n_regionkey || ':t' || n_nationkey || ':x' AS answer FROM nation")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'r0:t0:' || p_name ELSE 'r2:t2:' || p_name END AS answer FROM part")
 def ud09_external_registry(spark, sf_dir):
+    """Tools of two servers, discovered, registered and called for every part."""
     center = registry.Tools()
     tools.register_all(tools.discover(spark, _catalog(spark, sf_dir)), center, lambda server, name, args: f"{server}:{name}:{args['q']}")
-    answers = spark.createDataFrame([(n, center.get(n).func(q="x")) for n in center.names()], "name string, answer string")
-    return center.frame(spark).join(answers, "name")
+    for name in ("mcp__r0__t0", "mcp__r2__t2"):  # an external tool takes named arguments, a SQL function places
+        center.add(registry.Tool(name, center.get(name).description, lambda q, call=center.get(name).func: call(q=q), center.get(name).risk))
+    center.as_functions(spark)
+    return views.table(spark, sf_dir, "part").select("p_partkey", F.expr("CASE WHEN p_partkey % 2 = 0 THEN mcp__r0__t0(p_name) ELSE mcp__r2__t2(p_name) END").alias("answer"))
 
 
 def _sample_functions(spark):
@@ -338,58 +352,59 @@ def ud03_routes(spark, sf_dir):
     return views.table(spark, sf_dir, "part").select("p_partkey", F.expr("label(p_name, p_size)").alias("low"), F.expr("initials(p_name)").alias("medium"), F.lit(_refused(spark, "run_anything('ls')")).alias("high_refused"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'low' WHEN n_nationkey % 3 = 1 THEN 'medium' ELSE 'high' END AS risk, n_nationkey % 3 < 2 AS runs FROM nation")
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'expression' WHEN 1 THEN 'worker' WHEN 2 THEN 'refused' ELSE 'expression' END AS route FROM part")
 def ud03_risk_routing(spark, sf_dir):
-    center = registry.Tools()
-    rows = views.table(spark, sf_dir, "nation").collect()
-    for r in rows:
-        center.add(registry.Tool(f"tool_{r['n_nationkey']}", "", lambda x: x, registry.RISKS[r["n_nationkey"] % 3]))
-    done = set(center.as_functions(spark))
-    return spark.createDataFrame([(r["n_nationkey"], center.get(f"tool_{r['n_nationkey']}").risk, f"tool_{r['n_nationkey']}" in done) for r in rows], "n_nationkey int, risk string, runs boolean")
+    """The route of each call by its tool's risk; an unknown risk runs as a low one does."""
+    risk = F.element_at(F.array(*map(F.lit, (*registry.RISKS, "unknown"))), F.col("p_size") % 4 + 1)
+    return views.table(spark, sf_dir, "part").select("p_partkey", registry.route(risk).alias("route"))
 
 
-@query("SELECT n_nationkey, 'f' || n_nationkey AS name, 'a integer required, b string optional' AS parameters FROM nation")
+@query("SELECT p_partkey, p_size || ':' || p_name AS said, p_size * 2 + 1 AS more FROM part")
 def ud01_declare(spark, sf_dir):
+    """Declared tools, called for every part with the types that their signatures name."""
     center = registry.Tools()
 
-    def declared(a: int, b: str = "x") -> str:
-        """Gives its arguments back."""
-        return f"{a}{b}"
+    @center.tool()
+    def described(size: int, name: str) -> str:
+        """A size and a name."""
+        return f"{size}:{name}"
+
+    @center.tool("raised", "twice and one more", returns="int")
+    def _raised(size: int, by: int):
+        return size * by + 1
 
-    rows = [r["n_nationkey"] for r in views.table(spark, sf_dir, "nation").collect()]
-    for k in rows:
-        center.tool(f"f{k}")(declared)
-    text = lambda t: ", ".join(f"{p['name']} {p['type']} {'required' if p['required'] else 'optional'}" for p in t.parameters)
-    return spark.createDataFrame([(k, f"f{k}", text(center.get(f"f{k}"))) for k in rows], "n_nationkey int, name string, parameters string")
+    center.as_functions(spark)
+    names = {p["name"]: p["type"] for p in center.get("described").parameters}
+    cast = F.col("p_size").cast(registry.SQL_TYPES[names["size"]])
+    return views.table(spark, sf_dir, "part").withColumn("size", cast).select("p_partkey", F.expr("described(size, p_name)").alias("said"), F.expr("raised(p_size, 2)").alias("more"))
 
 
-@query("SELECT 'r' || n_regionkey AS name, arg_max(n_name, n_nationkey) AS description, 'low' AS risk FROM nation WHERE n_regionkey < 4 GROUP BY n_regionkey")
+@query("SELECT p_partkey, 'second ' || p_name AS said, true AS gone FROM part")
 def ud02_registry(spark, sf_dir):
+    """The last registration of a name counts; what is taken out no query finds."""
     center = registry.Tools()
-    for r in views.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
-        center.add(registry.Tool(f"r{r['n_regionkey']}", r["n_name"], str))
-    center.remove("r4")
-    return center.frame(spark)
+    center.add(registry.Tool("spoken", "", lambda x: f"first {x}"))
+    center.add(registry.Tool("dropped", "", str))
+    center.add(registry.Tool("spoken", "", lambda x: f"second {x}"))
+    center.remove("dropped")
+    center.as_functions(spark)
+    return views.table(spark, sf_dir, "part").select("p_partkey", F.expr("spoken(p_name)").alias("said"), F.lit(_refused(spark, "dropped('x')")).alias("gone"))
 
 
-@query("SELECT n_name AS name, CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS INTEGER) AS n FROM nation WHERE n_nationkey % 5 <> 0")
+@query("SELECT p_brand AS point, p_partkey AS hook, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS INTEGER) AS n FROM part WHERE p_partkey % 5 <> 0")
 def tk04_hook_order(spark, sf_dir):
-    hooks = registry.Hooks()
-    for r in views.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
-        hooks.add("p", registry.Hook(r["n_regionkey"], r["n_name"], registry.OBSERVE, lambda c: None, r["n_nationkey"] % 5 != 0))
-    return spark.createDataFrame([(h.name, i + 1) for i, h in enumerate(hooks.at("p"))], "name string, n int")
+    """Parts as hooks of their brand, a fifth of them disabled."""
+    hooks = views.table(spark, sf_dir, "part").select(F.col("p_brand").alias("point"), F.col("p_name").alias("name"), F.col("p_size").alias("priority"), F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 5 != 0).alias("enabled"))
+    return registry.hook_order(hooks).select("point", F.col("seq").alias("hook"), "n")
 
 
-@query("SELECT n_name AS name FROM nation WHERE n_regionkey <> 2")
+@query("""SELECT event_type AS point, user_id AS name, max(event_id) AS seq FROM events e WHERE event_type <> 'error'
+    GROUP BY 1, 2 HAVING max(event_id) > coalesce((SELECT max(event_id) FROM events x WHERE x.event_type = 'error' AND x.user_id = e.user_id), -1)""")
 def ud06_hook_registry(spark, sf_dir):
-    hooks = registry.Hooks()
-    rows = views.table(spark, sf_dir, "nation").collect()
-    for r in rows:
-        hooks.add(f"p{r['n_regionkey']}", registry.Hook(0, r["n_name"], registry.OBSERVE, lambda c: None))
-    for r in rows:
-        if r["n_regionkey"] == 2:
-            hooks.remove(r["n_name"])
-    return spark.createDataFrame([(h.name,) for k in range(5) for h in hooks.at(f"p{k}")], "name string")
+    """Events as a log of registrations at their type, which an error takes back."""
+    e = views.table(spark, sf_dir, "events")
+    log = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("op"), F.col("event_type").alias("point"), F.col("user_id").alias("name"))
+    return registry.standing(log)
 
 
 @query("SELECT o_orderkey, o_totalprice * 2 AS price, 'low' AS risk FROM orders WHERE o_orderstatus = 'O'")
@@ -430,19 +445,18 @@ def st08_skill_union(spark, sf_dir):
     return registry.override(p.withColumn("origin", F.lit("builtin")), p.where("pos % 3 = 0").withColumn("origin", F.lit("both"))).select("name", "origin")
 
 
-@query("SELECT n_nationkey, '[test-server echo]: ' || n_name AS answer, 4 AS n FROM nation")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'done at once' ELSE '[test-server echo]: ' || p_name END AS answer, CAST(CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 4 END AS BIGINT) AS n FROM part")
 def ud13_tool_loop(spark, sf_dir):
-    center = registry.sample_tools()
+    """A loop of asking and calling tools for every part, a batch of rows at a time."""
 
-    def invoke(said):
+    def answer(said):
         told = [m for m in said if m["role"] == "tool"]
+        if said[0]["content"] == "":
+            return {"content": "done at once"}
         return {"content": told[-1]["content"]} if told else {"content": "", "tool_calls": [{"name": "echo", "args": {"message": said[0]["content"]}}]}
 
-    rows = []
-    for r in views.table(spark, sf_dir, "nation").collect():
-        done = registry.tool_loop(invoke, center, [{"role": "user", "content": r["n_name"]}])
-        rows.append((r["n_nationkey"], done[-1]["content"], len(done)))
-    return spark.createDataFrame(rows, "n_nationkey int, answer string, n int")
+    rows = views.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.col("p_name")).alias("text"))
+    return registry.run_loops(rows, "text", lambda talks: list(map(answer, talks)), registry.sample_tools()).select("p_partkey", "answer", "n")
 
 
 @query("""SELECT CAST(conv_id AS VARCHAR) AS session_id, 'preference' AS kind, 'style' AS category, 'likes ' || left(arg_min(text, turn), 5) AS content, NULL AS slug FROM conversations GROUP BY conv_id
@@ -518,18 +532,20 @@ def ss11_replies(spark, sf_dir):
     return _drained(spark, streams.replies(asks, answers).select(F.col("question").alias("asked"), F.col("reply").alias("answered")), "replies")
 
 
-@query("SELECT n_nationkey, n_name AS plan, 'interrupt' AS reason FROM nation")
+@query("SELECT p_partkey, p_name AS plan, 'interrupt' AS reason FROM part")
 def ss08_checkpoints(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "nation").collect()
-    texts = [streams.snapshot({"key": r["n_nationkey"], "plan": r["n_name"]}, "interrupt") for r in rows]
-    path = folder(spark, "snapshots")
-    files.write_rows(spark.createDataFrame([(t,) for t in texts], "text string"), path)
-    back = [streams.restore(r["value"]) for r in spark.read.text(path).collect()]
-    return spark.createDataFrame([(b["state"]["key"], b["state"]["plan"], b["reason"]) for b in back], "n_nationkey int, plan string, reason string")
+    """The state of every part's run written as a snapshot and restored; a line that is none is left out."""
+    p, path = views.table(spark, sf_dir, "part"), folder(spark, "snapshots")
+    files.write_rows(streams.snapshots(p.select("p_partkey", F.col("p_name").alias("plan")), "interrupt"), path)
+    files.write_rows(p.limit(1).select(F.lit("{}").alias("text")), path, mode="append")
+    return streams.restored(spark.read.text(path), "p_partkey long, plan string")
 
 
-@query("SELECT 'paused' AS status, false AS active")
+@query("SELECT event_id, user_id FROM events")
 def ss09_timeout(spark, sf_dir):
-    q = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", folder(spark, "timeout")).start()
-    status = streams.run_for(q, 1.0)
-    return spark.createDataFrame([(status, q.isActive)], "status string, active boolean")
+    """A stream that is paused when its time is up, and goes on from its checkpoint: every event once."""
+    source, path = _stream(spark, sf_dir, ["event_id", "user_id"]), folder(spark, "timeout")
+    sink = source.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint")
+    streams.run_for(sink.trigger(processingTime="200 milliseconds").start(), 1.0)
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(source.schema).parquet(path)
\ No newline at end of file

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weft.functions.calc import calculate
 from weft.functions.html import first_chars, html_links, html_text
 from weft.functions.text import normalize_skill, params_block
-from weft.operators import graph, messages, registry
+from weft.operators import graph, messages, registry, sessions
 from weft.sources import repositories
 
 from . import views
@@ -88,8 +88,7 @@ def ag12_status(spark, sf_dir):
 
 @query(f"WITH {TASKS} SELECT plan_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed FROM tasks GROUP BY 1")
 def ag08_progress(spark, sf_dir):
-    t = views.tasks(spark, sf_dir)
-    return t.groupBy("plan_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"))
+    return sessions.progress(views.tasks(spark, sf_dir))
 
 
 MATCHED = f"""WITH {AGENTS}, q AS (SELECT DISTINCT p_type AS query FROM part UNION SELECT DISTINCT 'make ' || lower(p_type) FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,25 @@ def list_directory(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, name string, is_dir boolean, size bigint").orderBy("path")
 
 
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """(path, folder, name, size) of all files below a folder, listed by Spark's file index; their contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
+    return found.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "size")
+
+
+def folder_sizes(found: DataFrame) -> DataFrame:
+    """(parent, name, size, n): each folder that holds files, with their bytes, and its place among its parent's by name."""
+    sizes = found.groupBy("folder").agg(F.sum("size").alias("size"))
+    rows = sizes.select(F.regexp_extract("folder", "^(.*)/[^/]*$", 1).alias("parent"), F.element_at(F.split("folder", "/"), -1).alias("name"), "size")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("parent").orderBy("name")))
+
+
+def kinds(asked: DataFrame, found: DataFrame, path: str = "path") -> DataFrame:
+    """Adds kind to paths: "file", "directory" (that holds files) or "none"."""
+    known = found.select(F.col("path").alias("__p"), F.lit("file").alias("kind")).unionByName(found.select(F.col("folder").alias("__p"), F.lit("directory").alias("kind")).distinct())
+    return asked.join(known, F.col(path) == F.col("__p"), "left").withColumn("kind", F.coalesce("kind", F.lit("none"))).drop("__p")
+
+
 def listing_text(entries: DataFrame) -> DataFrame:
     label = F.when(F.col("is_dir"), F.concat(F.lit("[DIR]  "), "name")).otherwise(F.concat(F.lit("[FILE] "), "name", F.lit(" ("), F.col("size").cast("string"), F.lit(" bytes)")))
     return entries.select("path", label.alias("line"))

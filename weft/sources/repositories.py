@@ -51,20 +51,27 @@ def trending(pages: DataFrame, limit: int = 0, since: str = "daily") -> DataFram
     return rows.where(F.col("rank") < limit) if limit > 0 else rows
 
 
-def trending_markdown(rows: DataFrame) -> DataFrame:
-    """(page, n, markdown): a listing's repositories, a section each."""
-    today = F.when(F.col("stars_today") != "", F.concat(F.lit(" (+"), "stars_today", F.lit(")"))).otherwise("")
+# The report's labels.
+SINCE_LABELS = {"daily": "Daily（今日）", "weekly": "Weekly（本周）", "monthly": "Monthly（本月）"}
+HEAD = "# GitHub Trending Repositories\n\n> **时间范围**: {since}\n> **编程语言**: {language}\n> **生成时间**: {made} CST\n> **数据来源**: [GitHub Trending]("
+ANY_LANGUAGE, TODAY, FOOT = "不限", " (今日 +", "个上榜仓库*"
+
+
+def trending_markdown(rows: DataFrame, made: str, since: str = "daily", language: str = "") -> DataFrame:
+    """(page, n, markdown): the report of each listing: head, a section for each repository, their number. ``made`` is its time."""
+    today = F.when(F.col("stars_today") != "", F.concat(F.lit(TODAY), "stars_today", F.lit(")"))).otherwise("")
     also = [F.when(F.col(c) != "", F.concat(F.lit(f"\n- **{c.title()}**: "), F.col(c))).otherwise("") for c in ("language", "description")]
     line = F.concat(F.lit("## "), (F.col("rank") + 1).cast("string"), F.lit(". ["), "full_name", F.lit("]("), "url", F.lit(")\n\n- **Stars**: "), "stars", today, F.lit("\n- **Forks**: "), "forks", *also)
-    got = rows.groupBy("page").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n\n---\n\n").alias("markdown"))  # 25 rows a page at most
-    return got
+    got = rows.groupBy("page").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n\n---\n\n").alias("body"))  # 25 rows a page at most
+    head = F.concat(F.lit(HEAD.format(since=SINCE_LABELS[since], language=language or ANY_LANGUAGE, made=made)), F.col("page").cast("string"), F.lit(")\n\n---\n\n"))
+    return got.select("page", "n", F.concat(head, "body", F.lit("\n\n---\n\n*共 "), F.col("n").cast("string"), F.lit(f" {FOOT}\n")).alias("markdown"))
 
 
-def write_report(rows: DataFrame, folder: str, day: str, since: str = "daily") -> None:
-    """Reports of listing pages, one text row a page, under since=.../day=...; a day written again is replaced."""
+def write_report(rows: DataFrame, folder: str, made: str, since: str = "daily", language: str = "") -> None:
+    """Reports of listing pages made at a time (text), one text row a page, under since=.../day=...; a day written again is replaced."""
     if since not in SINCE:
         raise ValueError(f"since must be one of {SINCE}")
-    trending_markdown(rows).write.mode("overwrite").json(f"{folder}/since={since}/day={day}")
+    trending_markdown(rows, made, since, language).write.mode("overwrite").json(f"{folder}/since={since}/day={made[:10]}")
 
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:

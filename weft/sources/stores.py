@@ -65,6 +65,12 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
     return topic_rows(spark.read.schema("slug string, topic string, body string").json(path), "slug")
 
 
+def archive_entries(entries: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what stays, what goes to the archive) by a table of (slug, pos)."""
+    keys = asked.select("slug", "pos").distinct()
+    return entries.join(keys, ["slug", "pos"], "left_anti").select(*entries.columns), entries.join(keys, ["slug", "pos"], "left_semi").select(*entries.columns)
+
+
 def archive_entry(entries: DataFrame, slug: str, pos: int) -> tuple[DataFrame, DataFrame]:
     """(what stays, what goes to the archive)."""
     hit = F.coalesce((F.col("slug") == slug) & (F.col("pos") == pos), F.lit(False))
@@ -122,6 +128,27 @@ def load_servers(path: str) -> dict[str, dict]:
     return {k: v for k, v in found.get("mcpServers", found).items() if isinstance(v, dict) and ("command" in v or "url" in v)}
 
 
+def server_rows(configs: DataFrame, column: str = "content") -> DataFrame:
+    """(server, kind, command, args, url) of every usable server of many configurations, texts of JSON; broken ones have none."""
+    shape = "map<string,struct<command:string,args:array<string>,url:string>>"
+    wrapped = F.from_json(column, f"struct<mcpServers:{shape}>")["mcpServers"]
+    each = configs.select(F.explode(F.coalesce(wrapped, F.from_json(column, shape))).alias("server", "s")).select("server", "s.*")
+    kind = F.when(F.col("command").isNotNull(), "command").when(F.col("url").isNotNull(), "url")
+    return each.withColumn("kind", kind).where("kind is not null").select("server", "kind", "command", "args", "url")
+
+
+def filled(rows: DataFrame, templates: DataFrame, values: dict[str, str], builtin: dict[str, str]) -> DataFrame:
+    """Adds text: each row's template (column template) with ``{name}`` replaced by the columns in ``values``.
+
+    ``templates``: template, content; names that it lacks fall back to ``builtin``.
+    """
+    own = F.create_map(*(F.lit(x) for kv in builtin.items() for x in kv)) if builtin else F.create_map().cast("map<string,string>")
+    text = F.coalesce("content", F.try_element_at(own, F.col("template")))
+    for name, column in values.items():
+        text = F.replace(text, F.lit(f"{{{name}}}"), F.col(column))
+    return rows.join(templates.select("template", "content"), "template", "left").withColumn("text", text).drop("content")
+
+
 class Prompts:
     """Prompt templates: file, then cache, then built-in text; ``{name}`` is filled in."""
 

@@ -133,6 +133,17 @@ def snapshot(state: dict, reason: str = "", hint: str = "") -> str:
     return json.dumps({"state": state, "reason": reason, "hint": hint}, ensure_ascii=False, default=str, sort_keys=True)
 
 
+def snapshots(states: DataFrame, reason: str, hint: str = "") -> DataFrame:
+    """text: the snapshot of each row, as ``snapshot`` writes it."""
+    return states.select(F.to_json(F.struct(F.lit(hint).alias("hint"), F.lit(reason).alias("reason"), F.struct(*sorted(states.columns)).alias("state"))).alias("text"))
+
+
+def restored(texts: DataFrame, state: str, column: str = "value") -> DataFrame:
+    """The states (DDL ``state``) of snapshots with their reason; texts that are no snapshots are left out."""
+    got = F.from_json(column, f"struct<hint:string,reason:string,state:struct<{state}>>").alias("s")
+    return texts.select(got).where("s.state is not null").select("s.state.*", "s.reason")
+
+
 def restore(text: str) -> dict:
     got = json.loads(text)
     if not isinstance(got, dict) or "state" not in got:
