@@ -100,6 +100,7 @@ def anchors(html: str | None, most: int = 5) -> list[str]:
     return out
 
 
+# The selectors of a listed repository's fields.
 #: Fields of a listed repository: the element, the test on it and its text, and what to take.
 #: Of several rules for a field the first that gives anything counts.
 RULES = [

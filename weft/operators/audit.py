@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions.text import ellipsis, redact
 
 from .policy import NONE, Policy, decide, resource_of
-from .running import STEP
+from .running import STEP, sums_before
 
 DAYS = 30
 
@@ -46,7 +46,7 @@ def number(rows: DataFrame, order: list[str], day: str = "day") -> DataFrame:
     ts = F.col(order[0])
     rows = rows.withColumn("__d", F.to_date(ts)).withColumn("__h", F.floor((F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)) * STEP / 86400))
     counts = rows.groupBy("__d", "__h").count()
-    ahead = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__d", "__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ahead = sums_before(counts, "__d", "__h", "count", "__before")
     rows = rows.join(ahead.select(F.col("__d").alias("__rd"), F.col("__h").alias("__rh"), "__before"), F.col("__d").eqNullSafe(F.col("__rd")) & F.col("__h").eqNullSafe(F.col("__rh")))
     inner = Window.partitionBy("__d", "__h").orderBy(*order)
     return rows.withColumn("call_sequence", F.col("__before") + F.row_number().over(inner)).drop("__d", "__h", "__rd", "__rh", "__before")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from .running import step_of
+from .running import step_of, sums_before
 from .stored import drop, folder, forget, write
 
 HOLE = r"\{\{(.+?)\}\}"
@@ -208,8 +208,8 @@ def first_seen(rows: DataFrame, column: str, order: str) -> DataFrame:
     step after those before, so no task sees them all.
     """
     got = rows.groupBy(column).agg(F.min(order).alias("first")).withColumn("__b", step_of("first"))
-    ahead = got.groupBy("__b").agg(F.count("*").alias("__n"))
-    ahead = ahead.select(F.col("__b").alias("__s"), F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__n"))
+    totals = got.groupBy("__b", step_of("__b").alias("__t")).agg(F.count("*").alias("__c"))
+    ahead = sums_before(totals, "__t", "__b", "__c", "__n").select(F.col("__b").alias("__s"), "__n")
     got = got.join(ahead, F.col("__b").eqNullSafe(F.col("__s")))
     rank = F.col("__n") + F.row_number().over(Window.partitionBy("__b").orderBy("first", column))
     return got.select(column, "first", rank.cast("int").alias("rank"))

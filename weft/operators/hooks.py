@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .audit import records
 from .policy import NONE, Policy, evaluate, resource_of
 from .registry import ABORT, CONTROL, OBSERVE, Decision, Hook, Hooks
 
@@ -81,9 +82,16 @@ RECORDS = "call_id string, subject string, tool_name string, resource string, st
 def run_calls(calls: DataFrame, policies: list[Policy], execute: Callable[[str, dict], str | None] | None = None) -> DataFrame:
     """Audit records of calls (call_id, subject, tool_name, args, risk_level, result, error) that pass the hooks one by one.
 
-    ``execute(tool_name, context)`` may run a tool; without it the rows' own result
-    and error stand. The hooks live in the workers, a chain a batch.
+    ``execute(tool_name, context)`` may run a tool; then the hooks live in the workers, a
+    chain a batch. Without it the rows' own result and error stand, and what the chain
+    decides is one projection.
     """
+    if execute is None:
+        known = calls.withColumns({"subject": F.coalesce(F.nullif("subject", F.lit("")), F.lit("unknown")), "error": F.nullif("error", F.lit(""))})
+        asked = F.col("tool_name") == "ask_user"
+        status = F.when(asked, "asked").otherwise(F.col("status"))
+        got = records(known, policies)
+        return got.select("call_id", "subject", "tool_name", "resource", status.alias("status"), (F.col("escalated") & ~F.coalesce(asked, F.lit(False))).alias("escalated"))
     rows = calls.select("call_id", "subject", "tool_name", resource_of(F.col("tool_name"), F.col("args")).alias("resource"), "risk_level", "result", "error")
 
     def run(batches):

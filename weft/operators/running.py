@@ -38,6 +38,20 @@ def step_of(c: str | Column) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / STEP)
 
 
+def sums_before(totals: DataFrame, outer: str, inner: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before each one, by (outer, inner).
+
+    In two levels: rows get a window over their outer value, only the outer values' sums
+    get one over the whole table. Nulls come first.
+    """
+    big = totals.groupBy(F.col(outer).alias("__o")).agg(F.sum(value).alias("__s"))
+    ahead = Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)  # a row for each outer value
+    big = big.select("__o", F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__ahead"))
+    own = Window.partitionBy(outer).orderBy(inner).rowsBetween(Window.unboundedPreceding, -1)
+    rows = totals.join(big, F.col(outer).eqNullSafe(F.col("__o")))
+    return rows.withColumn(name, F.col("__ahead") + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("__o", "__ahead")
+
+
 def last_value_wins(rows: DataFrame, key: str, order: str, values: str = "value") -> DataFrame:
     """One row a key with the map of its updates: later maps replace equal names of earlier ones."""
     each = rows.select(key, order, F.explode(values).alias("__n", "__v"))
