@@ -29,11 +29,11 @@ def _steps(spark, sf_dir, pace):
 
 
 def _arriving(spark, rows):
-    """The rows as a stream of slices of time, then a tick past the last; and how late a row may come.
+    """The rows as a stream of slices of time, then a tick past the last; how late a row may come; and how many there are.
 
     Files of a slice come in any order, so a row is late by a slice at most.
     """
-    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    first, last, count = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.count("*")).first()
     first, last = first or 0, last or 0
     width, path = (last - first) // SLICES + 1, folder(spark, "slices")
     late = width // lifecycle.SECOND + 2
@@ -43,13 +43,13 @@ def _arriving(spark, rows):
     n = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
     lifecycle.ticks(tick).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, n // SLICES)).parquet(path)
-    return stream, f"{late} seconds"
+    return stream, f"{late} seconds", count
 
 
-def drained(spark, stream):
-    """The rows that a stream with state gives until its input ends."""
+def drained(spark, stream, rows: int = 0):
+    """The rows that a stream with state gives until its input of some ``rows`` ends; a store for each hundred thousand."""
     path = folder(spark, "lived")
-    with lifecycle.state_store(spark):
+    with lifecycle.state_store(spark, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 + rows // 100_000)):
         run = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
@@ -74,15 +74,15 @@ MACHINE = f"""WITH RECURSIVE {lived(30)}, o AS (SELECT *, row_number() OVER (PAR
 
 @query(f"{MACHINE} SELECT seq AS event_id, status, accepted, code FROM done")
 def ss04_status_machine(spark, sf_dir):
-    stream, late = _arriving(spark, _steps(spark, sf_dir, 30))
-    got = drained(spark, lifecycle.lifecycle(stream, late=late))
+    stream, late, n = _arriving(spark, _steps(spark, sf_dir, 30))
+    got = drained(spark, lifecycle.lifecycle(stream, late=late), n)
     return got.where("event != 'expire'").select(F.col("seq").alias("event_id"), "status", "accepted", "code")
 
 
 @query(f"{MACHINE} SELECT user_id, seq AS last_event, due AS expired_at FROM done, upto WHERE due < coalesce(next, until + 1)")
 def ss05_status_expiry(spark, sf_dir):
-    stream, late = _arriving(spark, _steps(spark, sf_dir, 30))
-    got = drained(spark, lifecycle.lifecycle(stream, late=late))
+    stream, late, n = _arriving(spark, _steps(spark, sf_dir, 30))
+    got = drained(spark, lifecycle.lifecycle(stream, late=late), n)
     return got.where("event = 'expire'").select(F.col("session_id").cast("bigint").alias("user_id"), F.col("seq").alias("last_event"), F.col("at").alias("expired_at"))
 
 
@@ -90,16 +90,16 @@ def ss05_status_expiry(spark, sf_dir):
   gaps AS (SELECT user_id, moment, CAST((coalesce(next, until + 1) - moment - 1) // 15000000 AS BIGINT) AS beats FROM o, upto WHERE event NOT IN ('execution_complete', 'error'))
   SELECT user_id, moment AS after, n, moment + n * 15000000 AS moment FROM (SELECT *, unnest(range(1, beats + 1)) AS n FROM gaps)""")
 def ss06_heartbeats(spark, sf_dir):
-    stream, late = _arriving(spark, _steps(spark, sf_dir, 1440))
-    return drained(spark, lifecycle.heartbeats(stream, 15, late)).select(F.col("session_id").cast("bigint").alias("user_id"), "after", "n", F.col("at").alias("moment"))
+    stream, late, n = _arriving(spark, _steps(spark, sf_dir, 1440))
+    return drained(spark, lifecycle.heartbeats(stream, 15, late), n).select(F.col("session_id").cast("bigint").alias("user_id"), "after", "n", F.col("at").alias("moment"))
 
 
 @query(f"""WITH {lived(30)}, g AS (SELECT *, event IN ('send_message', 'resume_session', 'reply_user') AS starts,
     count(*) FILTER (event IN ('execution_complete', 'error', 'ask_user', 'interrupt', 'timeout')) OVER (PARTITION BY user_id ORDER BY moment, seq ROWS UNBOUNDED PRECEDING) AS ended FROM e)
   SELECT seq AS event_id, row_number() OVER (PARTITION BY user_id, ended ORDER BY moment, seq) = 1 AS dispatched FROM g WHERE starts""")
 def ss10_running_turns(spark, sf_dir):
-    stream, late = _arriving(spark, _steps(spark, sf_dir, 30))
-    return drained(spark, lifecycle.running_turns(stream, late)).select(F.col("seq").alias("event_id"), "dispatched")
+    stream, late, n = _arriving(spark, _steps(spark, sf_dir, 30))
+    return drained(spark, lifecycle.running_turns(stream, late), n).select(F.col("seq").alias("event_id"), "dispatched")
 
 
 @query(f"""WITH {lived(30)}, o AS (SELECT *, lag(event) OVER w AS before, lag(moment) OVER w AS before_moment, lead(event) OVER w AS next, lead(moment) OVER w AS next_moment, lead(seq) OVER w AS next_seq
@@ -110,9 +110,9 @@ def ss10_running_turns(spark, sf_dir):
   UNION ALL SELECT NULL, seq, moment, 'rejected' FROM o WHERE event = 'execution_complete' AND NOT coalesce(before = 'send_message' AND moment <= before_moment + 3600000000, false)""")
 def ss11_questions(spark, sf_dir):
     """Views ask, purchases answer."""
-    stream, late = _arriving(spark, _steps(spark, sf_dir, 30))
+    stream, late, n = _arriving(spark, _steps(spark, sf_dir, 30))
     asks, answers = stream.where(F.col("event").isin("send_message", lifecycle.TICK)), stream.where("event = 'execution_complete'")
-    return drained(spark, lifecycle.questions(asks, answers, late=late)).select("asked", "answered", F.col("at").alias("moment"), "outcome")
+    return drained(spark, lifecycle.questions(asks, answers, late=late), n).select("asked", "answered", F.col("at").alias("moment"), "outcome")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS event, replace(props, ',', chr(10)) AS data FROM events")
@@ -122,6 +122,7 @@ def io26_event_stream(spark, sf_dir):
     path, text = folder(spark, "sent"), folder(spark, "event-stream")
     e = views.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("event"), F.replace("props", F.lit(","), F.lit("\n")).alias("data"))
     e.write.parquet(path)
-    sent = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path).writeStream.format("weft_events")
+    n = len(spark.read.schema(e.schema).parquet(path).inputFiles())
+    sent = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", max(1, n // SLICES)).parquet(path).writeStream.format("weft_events")
     sent.option("path", text).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return drained(spark, spark.readStream.format("weft_events").option("path", text).load())

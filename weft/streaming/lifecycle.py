@@ -261,15 +261,23 @@ def ticks(rows: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def state_store(spark: SparkSession):
-    """Queries that start inside keep their state in RocksDB, which timers and lists need."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def state_store(spark: SparkSession, partitions: int | None = None):
+    """Queries that start inside keep their state in RocksDB, which timers and lists need.
+
+    Every partition has a store that each micro-batch opens, and their number stays as it
+    is in the query's first one, so ``partitions`` may set it lower than the session does.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
