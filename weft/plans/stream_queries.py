@@ -104,15 +104,15 @@ def ss10_running_turns(spark, sf_dir):
 
 @query(f"""WITH {lived(30)}, o AS (SELECT *, lag(event) OVER w AS before, lag(moment) OVER w AS before_moment, lead(event) OVER w AS next, lead(moment) OVER w AS next_moment, lead(seq) OVER w AS next_seq
     FROM e WHERE event IN ('send_message', 'execution_complete') WINDOW w AS (PARTITION BY user_id ORDER BY moment, seq))
-  SELECT seq AS asked, CASE WHEN next = 'execution_complete' AND next_moment <= moment + 3600000000 THEN next_seq END AS answered,
+  SELECT CAST(seq AS VARCHAR) AS asked, CASE WHEN next = 'execution_complete' AND next_moment <= moment + 3600000000 THEN CAST(next_seq AS VARCHAR) END AS answered,
     CASE WHEN next_moment <= moment + 3600000000 THEN next_moment ELSE moment + 3600000000 END AS moment, CASE WHEN next_moment <= moment + 3600000000 THEN CASE next WHEN 'send_message' THEN 'replaced' ELSE 'answered' END ELSE 'expired' END AS outcome
   FROM o, upto WHERE event = 'send_message' AND (next_moment <= moment + 3600000000 OR moment + 3600000000 <= until)
-  UNION ALL SELECT NULL, seq, moment, 'rejected' FROM o WHERE event = 'execution_complete' AND NOT coalesce(before = 'send_message' AND moment <= before_moment + 3600000000, false)""")
+  UNION ALL SELECT NULL, CAST(seq AS VARCHAR), moment, 'rejected' FROM o WHERE event = 'execution_complete' AND NOT coalesce(before = 'send_message' AND moment <= before_moment + 3600000000, false)""")
 def ss11_questions(spark, sf_dir):
     """Views ask, purchases answer."""
     stream, late, n = _arriving(spark, _steps(spark, sf_dir, 30))
     asks, answers = stream.where(F.col("event").isin("send_message", lifecycle.TICK)), stream.where("event = 'execution_complete'")
-    return drained(spark, lifecycle.questions(asks, answers, late=late), n).select("asked", "answered", F.col("at").alias("moment"), "outcome")
+    return drained(spark, lifecycle.questions(asks, answers, late=late), n).select(F.col("asked").cast("string").alias("asked"), F.col("answered").cast("string").alias("answered"), F.col("at").alias("moment"), "outcome")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS event, replace(props, ',', chr(10)) AS data FROM events")
