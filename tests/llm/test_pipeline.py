@@ -5,7 +5,7 @@ from conftest import documents
 
 from weft.llm import queries
 
-OPS = [f"op{i}_" for i in range(1, 11)]
+OPS = [f"op{i}_" for i in range(1, 14)]
 
 
 def test_every_operator_has_one_query():
