@@ -40,6 +40,12 @@ def test_page_text_and_links():
     assert html.readme("<div id=readme>x</div>") == "" == html.readme("<article class=markdown-body>x</article>")
 
 
+def test_references_without_a_semicolon_are_text():
+    page = "<title>a&amp;&amp</title><p>&copy; &copy &ampx; &#233;&#233 x&y</p><a href='?a=1&copy=2'>l&amp</a>"
+    assert html.page_text(page) == "a&&amp© &copy &ampx; é&#233 x&yl&amp" and html.anchors(page) == ["l&amp"]
+    assert next(html.tree(page).all("a")).attrs == {"href": "?a=1&copy=2"}
+
+
 def test_slides(spark):
     df = spark.createDataFrame([(1, "# T\n## sub\n\n## Sec\n- a\n\t- b\n1. one\n> q\n![x](p.png)\ntext\n---\nloose\n### Page\n# later")], "id int, body string")
     deck = sorted((tuple(r)[1:] for r in markdown.slide_rows(df, "id").collect()), key=repr)
