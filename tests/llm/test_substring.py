@@ -60,6 +60,24 @@ def test_large_blocks_are_dealt_out_again(spark, monkeypatch):
     check(rows, substring.op4(df))
 
 
+def test_blocks_follow_the_size_of_the_texts(spark, monkeypatch):
+    """Many blocks' worth of different texts: none is dealt out again, let alone time after time."""
+    rounds, keep = [], substring.materialize
+
+    def count(df, label):
+        rounds.append(label)
+        assert len(rounds) < 4
+        return keep(df, label)
+
+    monkeypatch.setattr(substring, "materialize", count)
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 20_000)
+    rnd = random.Random(15)
+    shared = prose(rnd, 30)
+    rows = [(i, f"{prose(rnd, 120)} {shared if i % 3 == 0 else ''} {prose(rnd, 50)}", "en", "s") for i in range(500)]
+    check(rows, substring.op4(documents(spark, rows).repartition(4)))
+    assert len(rounds) == 1
+
+
 def test_texts_without_an_id_are_told_apart(spark):
     rnd = random.Random(12)
     known = prose(rnd, 40)

@@ -7,6 +7,7 @@ null ``doc_id`` is carried through and sorts after every other id.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,6 +75,16 @@ def release(df: DataFrame) -> None:
     remove(df.sparkSession, df.weft_path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark delete the shuffles of plans that nothing holds any more.
+
+    Its cleaner waits for the driver's next garbage collection, which may come long
+    after a large shuffle has been read for the last time.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``docs`` has it."""
     taken = {c.lower() for c in docs.columns}

@@ -16,9 +16,11 @@ the first place of each window in the smallest document.
 
 A map batch is a block of its own first: it factors its documents against each other,
 and only the smallest document of equal windows goes on, so a passage that a third
-of all documents share reaches its block once a batch. A block that gets more than
-``BLOCK_BYTES`` (a frequent anchor) is not indexed but dealt out again window by
-window, over all tasks, until every block fits.
+of all documents share reaches its block once a batch. There are as many blocks as the
+texts' bytes ask for, so that one holds a quarter of ``BLOCK_BYTES`` on average. A block
+that gets more than ``BLOCK_BYTES`` (a frequent anchor) is not indexed but dealt out
+again window by window, over all tasks and twice as many blocks each time, until every
+block fits.
 
 Words are compared by hashes: 56 bits of the window, 32 of the anchor and the number
 of the block, from independent 64-bit hashes of all 13 and of 5 of its words.
@@ -33,15 +35,19 @@ the stage whatever their names.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Memo, blobs, even_keys, fresh, ids, materialize, near_partitions, slices
+from .common import NO_ID, Memo, blobs, even_keys, fresh, ids, materialize, near_partitions, slices, sweep
 
-WINDOW, GRAM, BATCH_BYTES, BLOCK_BYTES, PARTS = 13, 5, 2 << 20, 16 << 20, 4
+WINDOW, GRAM, BATCH_BYTES, BLOCK_BYTES = 13, 5, 2 << 20, 16 << 20
+#: Bytes of text for a partition, and bytes that a byte of text takes as windows (short words) at most.
+PARTITION_BYTES, SENT_BYTES = 32 << 20, 2
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Rows between tasks: runs of windows for a block and its part, or finished factors.
@@ -113,13 +119,13 @@ class Windows:
         n = np.diff(np.append(starts, len(rows)))
         return np.flatnonzero(~found), (doc[starts], tag[starts], pos[starts], n, self.doc[source[starts]])
 
-    def rows(self, keys: list[int], block: np.ndarray, part: np.ndarray):
-        """Packed runs for each block and part; runs are neighbours with one anchor, as they stand in order."""
-        new = _changes(self.doc, self.tag, self.pos - np.arange(len(self.pos)), self.anchor, block, part)
+    def rows(self, keys: list[int], cell: np.ndarray):
+        """Packed runs for each cell (a part of a block); runs are neighbours with one anchor, as they stand in order."""
+        new = _changes(self.doc, self.tag, self.pos - np.arange(len(self.pos)), self.anchor, cell)
         head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         first = np.flatnonzero(new | ((np.arange(len(new)) - head) % 255 == 0))  # a length fits a byte
         length = np.diff(np.append(first, len(new)))
-        to = block[first] * PARTS + part[first]
+        to = cell[first]
         by = np.argsort(to, kind="stable")
         edge = np.flatnonzero(np.append(_changes(to[by]), True)) if len(by) else []
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
@@ -128,7 +134,8 @@ class Windows:
             ref = np.repeat(np.arange(len(text)), np.diff(np.append(text, len(f))))
             each = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())
             parts = [np.array([len(text), len(f)], "<u4"), self.doc[f[text]].astype("<i8"), ref.astype("<u4"), self.pos[f].astype("<u4"), n.astype(np.uint8)]
-            yield _row(keys[block[f[0]]], int(part[f[0]]), RUNS, b"".join([*(x.tobytes() for x in parts), _packed(self.tag[f[text]], 6), _packed(self.anchor[f], 4), _packed(self.win[each], 7)]))
+            part, block = divmod(int(cell[f[0]]), len(keys))
+            yield _row(keys[block], part, RUNS, b"".join([*(x.tobytes() for x in parts), _packed(self.tag[f[text]], 6), _packed(self.anchor[f], 4), _packed(self.win[each], 7)]))
 
 
 def _read(found: list[bytes], shared: bool = False) -> Windows:
@@ -169,7 +176,11 @@ def _factors(factors, block: int):
         yield _row(block, 0, FACTORS, b"".join([np.array([len(factors[0])], "<u4").tobytes(), *(x.astype("<i8").tobytes() for x in factors)]))
 
 
-def _explore(keys: list[int], width: int):
+def _cells(h: np.ndarray, n: int) -> np.ndarray:
+    return (h % np.uint64(n)).astype(np.int64)
+
+
+def _explore(keys: list[int], parts: int, width: int):
     """Texts as windows, those of a batch factored against each other, the rest sent to the blocks of their anchors."""
     n_blocks = len(keys)
 
@@ -198,28 +209,26 @@ def _explore(keys: list[int], width: int):
                 np.minimum(least, gram[j : j + m], out=least)
             anchor = least[place]
             del gram, least, h, place
-            block = ((anchor >> np.uint64(40)) % np.uint64(n_blocks)).astype(np.int64)
-            part = ((anchor >> np.uint64(32)) % np.uint64(PARTS)).astype(np.int64)
+            cell = _cells(anchor >> np.uint64(32), n_blocks * parts)
             here = Windows(doc_ids[row], tags[row], at, anchor & np.uint64(0xFFFFFFFF), win)
             stay, factors = here.factor(False)
             yield from _factors(factors, keys[turn % n_blocks])
             if len(stay):
-                yield from here.take(stay).rows(keys, block[stay], part[stay])
+                yield from here.take(stay).rows(keys, cell[stay])
 
     return run
 
 
-def _settle(keys: list[int], level: int):
+def _settle(keys: list[int], parts: int, level: int):
     """Rows sorted by block and part: factors each part, or deals it out by window if it is too large."""
-    n_blocks, shift = len(keys), np.uint64(7 * level % 23)
+    n_cells, mult = len(keys) * parts << level + 1, np.uint64(_MULT[0] + 2 * level)
 
     def deal(found):
         here = _read(found)
         stay, factors = here.factor()
         yield from _factors(factors, keys[0])
         rest = here.take(stay)
-        by = rest.win >> shift
-        yield from rest.rows(keys, (by % np.uint64(n_blocks)).astype(np.int64), (by // np.uint64(n_blocks) % np.uint64(PARTS)).astype(np.int64))
+        yield from rest.rows(keys, _cells(rest.win * mult >> np.uint64(32), n_cells))
 
     def finish(found, large):
         yield from deal(found) if large else _factors(_read(found, shared=True).factor()[1], keys[0])
@@ -253,18 +262,28 @@ def _unfolded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["id", "tag", "start", "n", "reference"])
 
 
+def _grid(docs: DataFrame) -> tuple[int, int]:
+    """Partitions, and parts of each one's block: both grow with the texts, so that no block does."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(near_partitions(docs.sparkSession), math.ceil(size / PARTITION_BYTES))
+    return n, math.ceil(size * SENT_BYTES / n / (BLOCK_BYTES / 4)) or 1
+
+
 def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, tag (of the text), start (word), n (windows) and reference (a smaller id) of each factor."""
-    keys = even_keys(near_partitions(docs.sparkSession))
+    n, parts = _grid(docs)
+    keys = even_keys(n)
     text = docs.select("doc_id", "text", _tag())
-    sent, level, done = text.mapInArrow(_explore(keys, window), SENT), 0, []
+    sent, level, done = text.mapInArrow(_explore(keys, parts, window), SENT), 0, []
     while True:
-        # Dealt to fixed partitions, one block each; its parts follow one another.
-        met = sent.repartition(len(keys), "block").sortWithinPartitions("block", "part").mapInArrow(_settle(keys, level), SENT)
-        met = materialize(met, "factors")
+        # Dealt to partitions, one block each; its parts follow one another.
+        sent = sent.repartition(len(keys), "block").sortWithinPartitions("block", "part").mapInArrow(_settle(keys, parts, level), SENT)
+        met = materialize(sent, "factors")
         done.append(met.where(F.col("kind") == FACTORS).select("blob"))
         sent, level = met.where(F.col("kind") == RUNS), level + 1
-        if sent.isEmpty():
+        last = sent.isEmpty()
+        sweep(docs.sparkSession)  # the windows' shuffle is larger than the texts, and read for the last time
+        if last:
             break
     out = done[0]
     for more in done[1:]:  # a handful at most: every level deals by further bits of the windows
