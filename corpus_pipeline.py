@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import decontam, langid, mixing, near_dup, substring
-from weft.llm.common import remove, shared_dir, small_batches, table
+from weft.llm.common import remove, shared_dir, small_batches, sweep, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,5 +78,6 @@ def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if before:
             remove(spark, before)
         before = path
+        sweep(spark)
     atexit.register(remove, spark, before)
     return docs
