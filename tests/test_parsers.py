@@ -1,4 +1,5 @@
 import math
+import time
 
 import pandas as pd
 import pytest
@@ -92,6 +93,15 @@ def test_profile_round_trip(spark):
     assert again.exceptAll(rows).count() == 0 == rows.exceptAll(again).count()
 
 
+def test_a_long_profile_is_read_line_by_line(spark):
+    """Items of 100,000 lines; work that grows with their square takes many minutes."""
+    body = "- lost\n## \n##  a \n" + "\n".join(f"- c{i}" if i % 3 else "x" for i in range(150_000)) + "\n##   \n- lost too\n## b\n* ⚠️ last"
+    df = spark.createDataFrame([("u", body), ("u", "## a\n- one"), (None, None)], "user string, body string")
+    began = time.monotonic()
+    got = {(r.category, r.stale): (r.n, r.low, r.high) for r in markdown.profile_rows(df, "user").groupBy("category", "stale").agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")).collect()}
+    assert got == {("a", False): (100_001, 0, 99_999), ("b", True): (1, 100_000, 100_000)} and time.monotonic() - began < 120
+
+
 def test_summary(spark):
     from weft.functions.text import summary
 

@@ -57,21 +57,15 @@ PROFILE_HEAD, PROFILE_ITEM = r"^##\s+(.+)", r"^[-*]\s+(?:⚠️\s*)?(.+)"
 def profile_rows(docs: DataFrame, key: str, column: str = "body") -> DataFrame:
     """(key, category, pos, content, stale, confidence): items under their last heading.
 
-    One profile is one document, read line by line in one array.
+    One profile is one document; its lines are rows, each read once.
     """
-    rows = F.split(F.coalesce(F.col(column), F.lit("")), "\n")
-    head = lambda s: F.regexp_extract(s, PROFILE_HEAD, 1)
-    item = lambda s: F.trim(F.regexp_extract(s, PROFILE_ITEM, 1))
-    start = F.struct(F.lit("").alias("c"), F.array().cast("array<struct<category:string,content:string,stale:boolean>>").alias("xs"))
-
-    def step(a, s):
-        h, i = head(s), item(s)
-        one = F.struct(a["c"].alias("category"), i.alias("content"), s.contains("⚠️").alias("stale"))
-        fresh = (h == "") & (i != "") & (a["c"] != "")
-        return F.struct(F.when(h != "", F.trim(h)).otherwise(a["c"]).alias("c"), F.when(fresh, F.array_append(a["xs"], one)).otherwise(a["xs"]).alias("xs"))
-
-    got = docs.select(key, F.posexplode(F.aggregate(rows, start, step)["xs"]).alias("pos", "x"))
-    return got.select(key, "x.category", F.col("pos").cast("long").alias("pos"), "x.content", "x.stale", F.when(F.col("x.stale"), 0.5).otherwise(1.0).alias("confidence"))
+    lines = numbered_lines(docs, key, column)
+    head, item = F.regexp_extract("line", PROFILE_HEAD, 1), F.trim(F.regexp_extract("line", PROFILE_ITEM, 1))
+    so_far = Window.partitionBy("doc_row").orderBy("line_no")
+    rows = lines.select(key, "doc_row", "line_no", F.when(head != "", F.trim(head)).alias("head"), item.alias("content"), F.col("line").contains("⚠️").alias("stale"))
+    rows = rows.where("head is not null or content != ''").withColumn("category", F.last("head", ignorenulls=True).over(so_far))
+    got = rows.where("head is null and category != ''").withColumn("pos", F.row_number().over(so_far).cast("long") - 1)
+    return got.select(key, "category", "pos", "content", "stale", F.when(F.col("stale"), 0.5).otherwise(1.0).alias("confidence"))
 
 
 def profile_text(items: DataFrame, key: str) -> DataFrame:
