@@ -2,6 +2,7 @@ import json
 import random
 from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,47 @@ def test_out_of_order_rows_are_taken_in_order(spark, tmp_path, machine):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and want
 
 
+class Store:
+    """A state of any kind that counts the calls."""
+
+    def __init__(self, calls):
+        self.calls, self.rows = calls, []
+
+    def __getattr__(self, name):
+        def call(rows=()):
+            self.calls.append(name)
+            if name in ("put", "update", "clear"):
+                self.rows = list(rows)
+            elif name == "appendList":
+                self.rows += rows
+            return iter(list(self.rows)) if name == "get" else bool(self.rows)
+
+        return call
+
+
+class Handle(Store):
+    def getListState(self, *_):
+        return Store(self.calls)
+
+    def getValueState(self, *_):
+        return Store(self.calls)
+
+    def registerTimer(self, _):
+        self.calls.append("registerTimer")
+
+
+def test_a_bucket_of_sessions_takes_as_many_calls_as_one(spark):
+    calls = []
+    ran = lc.InOrder(lc.RunningTurn())
+    ran.init(Handle(calls))
+    rows = pd.DataFrame({"session_id": [f"s{i % 500}" for i in range(1000)], "at": range(1, 1001), "seq": range(1000), "event": "send_message"})
+    assert list(ran.handleInputRows((0,), iter([rows]), None)) == []
+    watermark = type("Values", (), {"getCurrentWatermarkInMs": lambda self: 5})()
+    got = pd.concat(ran.handleExpiredTimer((0,), watermark, None))
+    assert len(got) == 1000 and set(got.loc[got["dispatched"], "seq"]) == set(range(500)) and got["session_id"].nunique() == 500
+    assert len(calls) < 20
+
+
 def test_restarts_go_on_where_they_stopped(spark, tmp_path):
     source = stream(spark, tmp_path / "in", [[("a", 1, "send_message", 0)], [(None, 0, "tick", 5)]])
     out, cp = str(tmp_path / "out"), str(tmp_path / "cp")

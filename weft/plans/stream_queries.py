@@ -46,6 +46,11 @@ def _arriving(spark, rows):
     return stream, f"{late} seconds", count
 
 
+def _buckets(rows: int) -> int:
+    """Groups of sessions for a stream of some ``rows``: a few thousand rows each, and enough for all stores."""
+    return 32 + rows // 10_000
+
+
 def drained(spark, stream, rows: int = 0):
     """The rows that a stream with state gives until its input of some ``rows`` ends; a store for each hundred thousand."""
     path = folder(spark, "lived")
@@ -75,14 +80,14 @@ MACHINE = f"""WITH RECURSIVE {lived(30)}, o AS (SELECT *, row_number() OVER (PAR
 @query(f"{MACHINE} SELECT seq AS event_id, status, accepted, code FROM done")
 def ss04_status_machine(spark, sf_dir):
     stream, late, n = _arriving(spark, _steps(spark, sf_dir, 30))
-    got = drained(spark, lifecycle.lifecycle(stream, late=late), n)
+    got = drained(spark, lifecycle.lifecycle(stream, late=late, buckets=_buckets(n)), n)
     return got.where("event != 'expire'").select(F.col("seq").alias("event_id"), "status", "accepted", "code")
 
 
 @query(f"{MACHINE} SELECT user_id, seq AS last_event, due AS expired_at FROM done, upto WHERE due < coalesce(next, until + 1)")
 def ss05_status_expiry(spark, sf_dir):
     stream, late, n = _arriving(spark, _steps(spark, sf_dir, 30))
-    got = drained(spark, lifecycle.lifecycle(stream, late=late), n)
+    got = drained(spark, lifecycle.lifecycle(stream, late=late, buckets=_buckets(n)), n)
     return got.where("event = 'expire'").select(F.col("session_id").cast("bigint").alias("user_id"), F.col("seq").alias("last_event"), F.col("at").alias("expired_at"))
 
 
@@ -91,7 +96,7 @@ def ss05_status_expiry(spark, sf_dir):
   SELECT user_id, moment AS after, n, moment + n * 15000000 AS moment FROM (SELECT *, unnest(range(1, beats + 1)) AS n FROM gaps)""")
 def ss06_heartbeats(spark, sf_dir):
     stream, late, n = _arriving(spark, _steps(spark, sf_dir, 1440))
-    return drained(spark, lifecycle.heartbeats(stream, 15, late), n).select(F.col("session_id").cast("bigint").alias("user_id"), "after", "n", F.col("at").alias("moment"))
+    return drained(spark, lifecycle.heartbeats(stream, 15, late, _buckets(n)), n).select(F.col("session_id").cast("bigint").alias("user_id"), "after", "n", F.col("at").alias("moment"))
 
 
 @query(f"""WITH {lived(30)}, g AS (SELECT *, event IN ('send_message', 'resume_session', 'reply_user') AS starts,
@@ -99,7 +104,7 @@ def ss06_heartbeats(spark, sf_dir):
   SELECT seq AS event_id, row_number() OVER (PARTITION BY user_id, ended ORDER BY moment, seq) = 1 AS dispatched FROM g WHERE starts""")
 def ss10_running_turns(spark, sf_dir):
     stream, late, n = _arriving(spark, _steps(spark, sf_dir, 30))
-    return drained(spark, lifecycle.running_turns(stream, late), n).select(F.col("seq").alias("event_id"), "dispatched")
+    return drained(spark, lifecycle.running_turns(stream, late, _buckets(n)), n).select(F.col("seq").alias("event_id"), "dispatched")
 
 
 @query(f"""WITH {lived(30)}, o AS (SELECT *, lag(event) OVER w AS before, lag(moment) OVER w AS before_moment, lead(event) OVER w AS next, lead(moment) OVER w AS next_moment, lead(seq) OVER w AS next_seq
@@ -112,7 +117,7 @@ def ss11_questions(spark, sf_dir):
     """Views ask, purchases answer."""
     stream, late, n = _arriving(spark, _steps(spark, sf_dir, 30))
     asks, answers = stream.where(F.col("event").isin("send_message", lifecycle.TICK)), stream.where("event = 'execution_complete'")
-    return drained(spark, lifecycle.questions(asks, answers, late=late), n).select(F.col("asked").cast("string").alias("asked"), F.col("answered").cast("string").alias("answered"), F.col("at").alias("moment"), "outcome")
+    return drained(spark, lifecycle.questions(asks, answers, late=late, buckets=_buckets(n)), n).select(F.col("asked").cast("string").alias("asked"), F.col("answered").cast("string").alias("answered"), F.col("at").alias("moment"), "outcome")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS event, replace(props, ',', chr(10)) AS data FROM events")

@@ -1,15 +1,20 @@
 """State across events: the session machine, expiry, heartbeats, running turns, questions.
 
 Each of these is a small machine over one session's events in the order of their time.
-``ordered`` runs a machine in Spark's state store: rows wait in the session's state until
-the watermark has passed them, so what arrives out of order within ``late`` is still taken
-in order; then the machine takes each row, and rings at its deadline where no row came
-before it. A timer on event time wakes the session for whichever is first. The result is
-that of sorting the session's rows, however they were cut into micro-batches.
+``ordered`` runs a machine in Spark's state store: rows wait in the state until the
+watermark has passed them, so what arrives out of order within ``late`` is still taken in
+order; then the machine takes each row, and rings at its deadline where no row came before
+it. The result is that of sorting the session's rows, however they were cut into
+micro-batches.
+
+Calls to the store cost far more than what a machine does, so sessions are dealt by hash
+into ``buckets``, each a group that reads and writes the state of its sessions at once. A
+timer on event time wakes a bucket for whichever of its sessions is first.
 
 A row at the very moment of a deadline comes before it. Rows behind the watermark are late
 and dropped by Spark. Rows without a session or a time are left out. State holds the rows
-of a session's last ``late`` and one small tuple; both go when the machine ends.
+of a session's last ``late`` and one small tuple; both go when the machine ends. The number
+of buckets is fixed for the life of a checkpoint.
 
 A stream's watermark only moves with its rows: where sources fall silent, a row with the
 event ``TICK`` (any session, no output) passes the time on.
@@ -32,7 +37,9 @@ SECOND = 1_000_000
 #: Events that end a turn, and what the session is then.
 ENDS = {"execution_complete": "completed", "error": "idle", "ask_user": "awaiting_user", "interrupt": "paused", "timeout": "paused"}
 WAITS = ("paused", "awaiting_user")
-HELD = "at long, seq long, event string"
+HELD = "session_id string, at long, seq long, event string"
+#: Buckets of sessions unless the caller knows better, and rows that leave a bucket at once.
+BUCKETS, OUT_ROWS = 256, 10_000
 
 
 class Machine:
@@ -156,15 +163,15 @@ class Questions(Machine):
 
 
 class InOrder(StatefulProcessor):
-    """Runs a machine over the rows (at, seq, event) of each session."""
+    """Runs a machine over the rows (session_id, at, seq, event) of each session of a bucket."""
 
     def __init__(self, machine: Machine):
         self.machine = machine
-        self.names = [c.split()[0] for c in machine.out.split(",")]
+        self.names = ["session_id", *(c.split()[0] for c in machine.out.split(","))]
 
     def init(self, handle):
         self.handle = handle
-        self.state = handle.getValueState("state", self.machine.STATE)
+        self.live = handle.getListState("live", f"session_id string, {self.machine.STATE}")
         self.held = handle.getListState("held", HELD)
         self.alarm = handle.getValueState("alarm", "at long")
 
@@ -172,46 +179,71 @@ class InOrder(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(at), int(seq), event) for part in rows for at, seq, event in zip(part["at"], part["seq"], part["event"], strict=True) if event != TICK]
-        if new and key[0] is not None:
+        new = [(session, int(at), int(seq), event) for part in rows for session, at, seq, event in zip(part["session_id"], part["at"], part["seq"], part["event"], strict=True) if event != TICK and session is not None]
+        if new:
             self.held.appendList(new)
-            self._wake(min(new)[0], self._alarm())
+            self._wake(min(row[1] for row in new), self._alarm())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until, m = timerValues.getCurrentWatermarkInMs() * 1000, self.machine
-        waiting = sorted(self.held.get()) if self.held.exists() else []
-        now, out, at = (self.state.get() if self.state.exists() else None), [], 0
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        live = {row[0]: tuple(row[1:]) for row in self._all(self.live)}
+        waiting = {session: [] for session in live}
+        for row in self._all(self.held):
+            waiting.setdefault(row[0], []).append(tuple(row[1:]))
+        left, next_, out = [], [], []
+        for session, rows in waiting.items():
+            rows.sort()
+            now, some, taken, wake = self._run(live.pop(session, None), rows, until)
+            out += ((session, *o) for o in some)
+            left += ((session, *row) for row in rows[taken:])
+            next_ += wake
+            if now is not None:
+                live[session] = now
+            if len(out) >= OUT_ROWS:
+                yield self._frame(out)
+                out = []
+        self._keep(self.held, left)
+        self._keep(self.live, [(session, *now) for session, now in live.items()])
+        self.alarm.clear()
+        if next_:
+            self._wake(min(next_), None)
+        if out:
+            yield self._frame(out)
+
+    def _run(self, now: tuple | None, rows: list[tuple], until: int):
+        """The state once the watermark is ``until``, what came out, how many rows were taken, and when to go on."""
+        m, out, at = self.machine, [], 0
         while True:
-            row, due = (waiting[at] if at < len(waiting) else None), m.deadline(now)
+            row, due = (rows[at] if at < len(rows) else None), m.deadline(now)
             if row and row[0] <= until and (due is None or row[0] <= due):
-                now, some = m.take(now, tuple(row))
+                now, some = m.take(now, row)
                 at += 1
             elif due is not None and due <= until:
                 now, some = m.ring(now, due)
             else:
-                break
+                return now, out, at, [t for t in (due, row and row[0]) if t is not None]
             out += some
-        if waiting[at:]:
-            self.held.put(waiting[at:])
-        else:
-            self.held.clear()
-        if now is None:
-            self.state.clear()
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(self.names, zip(*out, strict=True), strict=True)})
+
+    @staticmethod
+    def _all(state) -> Iterator[tuple]:
+        return state.get() if state.exists() else iter(())
+
+    @staticmethod
+    def _keep(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
         else:
-            self.state.update(now)
-        self.alarm.clear()
-        next_ = [t for t in (due, waiting[at][0] if waiting[at:] else None) if t is not None]
-        if next_:
-            self._wake(min(next_), None)
-        if out:
-            yield pd.DataFrame({"session_id": key[0]} | {n: pd.Series([o[i] for o in out], dtype=object) for i, n in enumerate(self.names)})
+            state.clear()
 
     def _alarm(self) -> int | None:
         return self.alarm.get()[0] if self.alarm.exists() else None
 
     def _wake(self, at: int, alarm: int | None) -> None:
-        """Set the session's only timer to ``at`` microseconds, unless it rings before.
+        """Set the bucket's only timer to ``at`` microseconds, unless it rings before.
 
         Timers count milliseconds and ring when the watermark has reached them."""
         at = -(-at // 1000)
@@ -223,36 +255,36 @@ class InOrder(StatefulProcessor):
         self.alarm.update((at,))
 
 
-def ordered(events: DataFrame, machine: Machine, late: str = "10 minutes") -> DataFrame:
+def ordered(events: DataFrame, machine: Machine, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """session_id and what ``machine`` gives for a stream of session_id, seq, event and ts.
 
     Needs the RocksDB state store (see ``state_store``).
     """
     rows = events.where("ts is not null").select(F.col("session_id").cast("string").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("seq").cast("long").alias("seq"), "event", F.col("ts").cast("timestamp").alias("ts"))
-    keyed = rows.withWatermark("ts", late).groupBy("session_id")
+    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets))).withWatermark("ts", late).groupBy("bucket")
     got = keyed.transformWithStateInPandas(InOrder(machine), f"session_id string, {machine.out}", "Append", "EventTime")
     return got
 
 
-def lifecycle(events: DataFrame, idle: int = IDLE_SECONDS, wait: int = PAUSED_SECONDS, late: str = "10 minutes") -> DataFrame:
+def lifecycle(events: DataFrame, idle: int = IDLE_SECONDS, wait: int = PAUSED_SECONDS, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Status, acceptance and error code of each event, and an ``expire`` row for each session that expires."""
-    return ordered(events, Lifecycle(idle, wait), late)
+    return ordered(events, Lifecycle(idle, wait), late, buckets)
 
 
-def heartbeats(events: DataFrame, silence: int = 15, late: str = "10 minutes") -> DataFrame:
+def heartbeats(events: DataFrame, silence: int = 15, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """at, after (the time of the last event) and n of each heartbeat."""
-    return ordered(events, Heartbeats(silence), late)
+    return ordered(events, Heartbeats(silence), late, buckets)
 
 
-def running_turns(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+def running_turns(events: DataFrame, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Whether each request starts a turn or is dropped because one runs."""
-    return ordered(events, RunningTurn(), late)
+    return ordered(events, RunningTurn(), late, buckets)
 
 
-def questions(asks: DataFrame, answers: DataFrame, wait: int = PAUSED_SECONDS, late: str = "10 minutes") -> DataFrame:
+def questions(asks: DataFrame, answers: DataFrame, wait: int = PAUSED_SECONDS, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Outcome of each question of one stream by the answers of another (both: session_id, seq, ts)."""
     both = asks.select("session_id", "seq", "ts", F.lit("ask_user").alias("event")).unionByName(answers.select("session_id", "seq", "ts", F.lit("reply_user").alias("event")))
-    return ordered(both, Questions(wait), late)
+    return ordered(both, Questions(wait), late, buckets)
 
 
 def ticks(rows: DataFrame) -> DataFrame:
