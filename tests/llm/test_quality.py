@@ -39,6 +39,24 @@ def test_verdict_prefers_the_trusted_kind(spark):
     assert sum(got[i] for i in range(80) if i % 2) >= 38 and not any(got[i] for i in range(0, 80, 2))
 
 
+def test_every_trusted_document_counts(spark):
+    """Of 21,000 trusted documents those with the largest hashes hold a word of their own; half of them are counted like all others."""
+    ids = [r[0] for r in spark.range(21_000).selectExpr("id", "xxhash64(id) h").orderBy("h", "id").select("id").collect()]
+    rows = [(i, "common" if n < 20_000 else "rare") for n, i in enumerate(ids)]
+    marks = spark.range(21_000).selectExpr("id doc_id", "1 quality", "0 toxic")
+    got = quality.op5(spark.createDataFrame(rows, "doc_id long, text string"), marks).where(f"doc_id = {ids[-1]}").first()
+    assert abs(got.score) < 0.5
+
+
+def test_trusted_ids_by_bitmap_or_join(spark, monkeypatch):
+    ids = [-70_000, -32_768, -5, -1, 0, 1, 2, 7, 8, 9, 32_767, 32_768, 32_769, 65_536, 65_537, 2**40, None]
+    docs = spark.createDataFrame([(i, str(i)) for i in [*ids, 1]], "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in ids[::2] if i is not None], "doc_id long")
+    for most in (quality.BITMAPS, 0):
+        monkeypatch.setattr(quality, "BITMAPS", most)
+        assert sorted(r.doc_id for r in quality._marked(docs, good).collect()) == sorted(i for i in [*ids, 1] if i in ids[::2] and i is not None)
+
+
 def test_plan_is_native(hard, labels):
     plan = quality.op5(hard, labels)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

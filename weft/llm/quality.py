@@ -8,10 +8,11 @@ the whole raw corpus; a text's score is the mean log ratio of its cells. Half of
 the trusted documents are counted; the score that all but a share ``TAIL`` of the
 other half reach is the threshold, and every document is held against it.
 
-Trusted documents are those labelled with quality 1, at most ``TRUSTED`` of them
-(those whose ids have the smallest hashes), so their ids can be broadcast. The
-raw counts cover all documents. The two tables of counts have a fixed number of
-cells, so sending their ratio to every task is bounded whatever the corpus.
+Trusted documents are all that are labelled with quality 1; their texts are written
+once, so that the whole corpus meets the labels in one join only. Their ids are sent
+as bitmaps, 32 MB at most; ids that are too scattered for that are joined as they are. The raw counts
+cover all documents. The two tables of counts have a fixed number of cells, so
+sending their ratio to every task is bounded whatever the corpus.
 
 Windows are compared by 64-bit hashes within one text. Defined edge cases: a null
 text has no words and fails; without trusted rows all ratios are zero and the
@@ -25,10 +26,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialize, release
 
-BUCKETS, TRUSTED, TAIL, SMOOTH = 10_007, 20_000, 0.001, 0.5
+BUCKETS, TAIL, SMOOTH = 10_007, 0.001, 0.5
 MIN_WORDS, MOST_REPEATED = 50, 50
+#: Bitmaps of 32,768 ids (4 KB each) that may be sent to every task.
+BITMAPS = 8192
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -56,25 +59,54 @@ def _next(i: Column) -> Column:
     return F.coalesce(F.get("words", i + 1), F.lit(""))
 
 
-def ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> tuple[list[float], DataFrame]:
-    """Log ratio of every cell, and the ids of the trusted documents that were not counted."""
+def _marked(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """The documents whose ids are in ``good``; texts are not shuffled where bitmaps of the ids are small enough to be sent to all."""
+    bucket = F.bitmap_bucket_number("doc_id")
+    if good.select(bucket).distinct().count() > BITMAPS:
+        return docs.join(good, "doc_id", "left_semi")
+    bits = good.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bits"))
+    at = F.bitmap_bit_position("doc_id")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = docs.join(F.broadcast(bits), bucket == F.col("bucket"))
+    return held.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
+def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and counted (half of the ids are) of the documents labelled with quality 1."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
-    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
-    marked = F.broadcast(good.where(half == 0).select(F.col("doc_id").alias("t")))  # bounded by ``trusted``
-    good = good.where(half == 1)
-    rows = _words(docs.join(marked, docs["doc_id"] == marked["t"], "left").select("doc_id", "text", F.col("t").isNotNull().alias("good")), "good")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
+    return materialize(_marked(docs.select("doc_id", "text"), good).withColumn("counted", half), "trusted")
+
+
+def _counts(docs: DataFrame) -> list[int]:
+    """How often the words and word pairs of all texts fall into each cell."""
     pair = F.transform("words", lambda w, i: F.array(_cell(w), _cell(w, _next(i))))
-    cells = rows.where(F.size("words") > 0).select("good", F.explode(pair).alias("p"))
-    one = cells.select("good", F.explode("p").alias("cell"))
-    got = one.groupBy("cell").agg(F.count("*").alias("raw"), F.count_if("good").alias("good")).collect()  # BUCKETS rows at most
-    raw, kept = [0] * BUCKETS, [0] * BUCKETS
-    for r in got:
-        raw[r["cell"]], kept[r["cell"]] = r["raw"], r["good"]
-    a, b = sum(raw) + SMOOTH * BUCKETS, sum(kept) + SMOOTH * BUCKETS
+    cells = _words(docs).where(F.size("words") > 0).select(F.explode(pair).alias("p"))
+    counts = [0] * BUCKETS
+    for r in cells.select(F.explode("p").alias("cell")).groupBy("cell").count().collect():  # BUCKETS rows at most
+        counts[r["cell"]] = r["count"]
+    return counts
+
+
+def ratios(docs: DataFrame, good: DataFrame) -> list[float]:
+    """Log ratio of every cell: counted trusted documents against all."""
+    kept = _counts(good.where("counted"))
     if not sum(kept):
-        return [0.0] * BUCKETS, good
-    return [round(math.log((g + SMOOTH) / b) - math.log((r + SMOOTH) / a), 6) for r, g in zip(raw, kept, strict=True)], good
+        return [0.0] * BUCKETS
+    raw = _counts(docs)
+    a, b = sum(raw) + SMOOTH * BUCKETS, sum(kept) + SMOOTH * BUCKETS
+    return [round(math.log((g + SMOOTH) / b) - math.log((r + SMOOTH) / a), 6) for r, g in zip(raw, kept, strict=True)]
+
+
+def threshold(good: DataFrame, table: list[float]) -> float:
+    """The score that all but a share ``TAIL`` of the trusted documents that were not counted reach, between two scores by their distance."""
+    rows = _words(good.where("not counted")).where(F.size("words") >= MIN_WORDS)
+    n = rows.count()
+    if not n:
+        return float("-inf")
+    at = TAIL * (n - 1)
+    low = [r["s"] for r in rows.select(score(table).alias("s")).orderBy("s").limit(int(at) + 2).collect()][int(at) :]  # a share TAIL of the rows
+    return low[0] if low[0] == low[-1] else (int(at) + 1 - at) * low[0] + (at - int(at)) * low[1]
 
 
 def score(table: list[float]) -> Column:
@@ -116,10 +148,10 @@ def base(docs: DataFrame, *also: Column) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    table, good = ratios(docs, labels)
-    mark = F.broadcast(good)
-    least = _words(docs.join(mark, "doc_id", "left_semi")).where(F.size("words") >= MIN_WORDS).agg(F.percentile(score(table), TAIL)).first()[0]
-    least = float("-inf") if least is None else least
+    good = trusted(docs, labels)
+    table = ratios(docs, good)
+    least = threshold(good, table)
+    release(good)
     got = base(docs, score(table)).withColumnRenamed("also0", "score")
     return got.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
 
