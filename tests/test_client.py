@@ -32,3 +32,9 @@ def test_decks(spark):
         minidom.parseString(z.read(name))
     assert sum(n.startswith("ppt/slides/slide") for n in z.namelist()) == 3 and b"a &lt;b&gt;" in z.read("ppt/slides/slide3.xml")
     assert {r.id: (r.slides, r.title, r.section, r.content) for r in deck.slide_counts(rows, "id").collect()} == {1: (3, 1, 1, 1), 2: (1, 0, 0, 1)}
+
+
+def test_many_decks_are_made_a_few_at_once(spark, monkeypatch):
+    monkeypatch.setattr(deck, "AT_ONCE", 2)
+    rows = slide_rows(spark.createDataFrame([(i, "# a\n### page\n- one") for i in range(7)], "id long, body string").coalesce(1), "id")
+    assert sorted((r.id, r["size"] == len(r.deck) > 0) for r in deck.decks(rows, "id").collect()) == [(i, True) for i in range(7)]
