@@ -95,3 +95,14 @@ def test_prefixes(spark):
     cases = {"^file:/a/[^/]*$": "file:/a/", "^file:/ab?c$": "file:/a", "^.*$": "", "^a|b$": "", "x": "", "^cmd:(?s:ls .*)$": "cmd:", "^\\Qa\\E$": "", "^file:/a\\.b$": "file:/a"}
     df = spark.createDataFrame([(k,) for k in cases], "r string")
     assert [r.p for r in df.select(policy.literal_prefix(F.col("r")).alias("p")).collect()] == list(cases.values())
+
+
+def test_decisions_by_table_are_counted_not_sorted(spark):
+    """The smallest order is a number, so calls are aggregated by hash, and effects follow by a join."""
+    from weft.plans.security_queries import POLICIES
+
+    calls = spark.createDataFrame([(1, "u7", "view", "x"), (2, None, None, None)], "event_id long, subject string, action string, resource string")
+    got = policy.decide_join(calls, policy.compile_table(spark, POLICIES), "event_id")
+    assert {r.event_id: r.decision for r in got.collect()} == {1: "allow", 2: "need_escalation"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and "keys=[event_id#" in plan

@@ -100,8 +100,9 @@ def decide_join(calls: DataFrame, table: DataFrame, key: str) -> DataFrame:
     rows = rows.where(F.length(head) >= F.col("__n")).withColumn("__p", F.left(head, F.col("__n")))
     fits = lambda c: F.coalesce(F.expr(f"{c} rlike p_{c}"), F.col(f"p_{c}").isin("^.*$", name_regex("*")))
     hits = rows.join(known, ["__s", "__a", "__p"]).where(fits("action") & fits("resource"))
-    all_ = calls.select(key, F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("effect")).unionByName(hits.select(key, "ord", "effect"))
-    return all_.groupBy(key).agg(F.coalesce(F.min_by("effect", "ord"), F.lit(NONE)).alias("decision"))
+    first = calls.select(key, F.lit(None).cast("int").alias("ord")).unionByName(hits.select(key, "ord")).groupBy(key).agg(F.min("ord").alias("__first"))
+    effects = table.groupBy(F.col("ord").alias("__first")).agg(F.first("effect").alias("effect"))
+    return first.join(effects, "__first", "left").select(key, F.coalesce("effect", F.lit(NONE)).alias("decision"))
 
 
 def shadowed(policies: list[Policy]) -> list[tuple[int, int]]:
