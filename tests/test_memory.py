@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from weft import catalog
-from weft.functions.text import char_jaccard, days_since, memory_keywords, task_keywords
+from weft.functions.text import char_jaccard, days_since, keyword_match, memory_keywords, task_keywords
 from weft.operators import memory
 
 AS_OF = "2024-12-31T00:00:00Z"
@@ -86,3 +86,19 @@ def test_profile_merge_query_takes_whole_texts_and_categories(spark, sf):
 def test_profile_block_query_has_one_block_a_user(spark, sf):
     users = [r.user for r in catalog.QUERIES["wn04_profile_block"](spark, sf).collect()]
     assert sorted(users) == sorted(r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect())
+
+
+def test_search_scores_a_text_once_and_as_its_keywords_say(spark):
+    """The plan holds the patterns once; a title that only begins the text's first word counts as a word of its own."""
+    rnd = random.Random(4)
+    some = lambda: "".join(rnd.choice(["the", "thing", "nat", "ion", "hat", "x", "T", " ", " ", "\n", "_", "是", "国家"]) for _ in range(rnd.randrange(8)))
+    rows = [("s", i, t, x, "2024-12-30T00:00:00Z") for i in range(150) for x in [some()] for t in [rnd.choice([some(), x[:3], x.split("\n")[0], x])]]
+    rows += [("s", 150, "nat", "nationx", "2024-12-30T00:00:00Z"), ("s", 151, None, "nat", "2024-12-30T00:00:00Z"), ("s", 152, "nat", None, "2024-12-30T00:00:00Z")]
+    entries = spark.createDataFrame(rows, "slug string, pos long, title string, text string, date string")
+    topics = spark.createDataFrame([("s", 0, "s", [])], "slug string, topic_pos long, title string, keywords array<string>")
+    for query in ("the thing nation", "国家 that"):
+        got = memory.search(topics, entries, query, AS_OF, 1000)
+        words = memory_keywords(F.concat_ws(" ", "title", "text"))
+        want = entries.select("pos", keyword_match(memory_keywords(F.lit(query)), words).alias("m")).where("m > 0")
+        assert {r.pos: round(r.raw, 9) for r in got.collect()} == {r.pos: round(0.7 * r.m * 0.5 ** (1 / 30), 9) for r in want.collect()}
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("thin|" if "thing" in query else "hat|") == 1

@@ -62,13 +62,15 @@ def text_match(query: str, text) -> Column:
     if not found:
         return F.lit(0.0)
 
-    def pattern(word: str) -> str:
+    def hit(word: str) -> Column:
         kind, least = ("[a-z]", 3) if word.isascii() else (HAN, 2)
-        parts = {word[i:j] for i in range(len(word)) for j in range(i + least, len(word) + 1)}
-        return f"{word}|(?<!{kind})(?:{'|'.join(sorted(parts, key=lambda p: (-len(p), p)))})(?!{kind})"
+        parts = {word[i:j] for i in range(len(word)) for j in range(i + least, len(word) + 1)} - {word}
+        whole = low.contains(word)  # a plain search, so that most texts need no pattern
+        return whole | low.rlike(f"(?<!{kind})(?:{'|'.join(sorted(parts, key=lambda p: (-len(p), p)))})(?!{kind})") if parts else whole
 
-    hits = [low.rlike(pattern(w)).cast("int") for w in found]
-    return sum(hits[1:], hits[0]) / F.lit(float(len(hits)))
+    hits = [hit(w).cast("int") for w in found]
+    share = sum(hits[1:], hits[0]) / F.lit(float(len(hits)))
+    return F.coalesce(share, F.lit(0.0))  # never null: else a filter on what it goes into scores every text twice
 
 
 def overlap(keywords: Column, text) -> Column:

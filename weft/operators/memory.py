@@ -24,8 +24,9 @@ def search(topics: DataFrame, entries: DataFrame, query: str, as_of: str, k: int
     Topics without entries, and entries without a topic, drop out.
     """
     topic = topics.select("slug", "topic_pos", F.col("title").alias("topic"), keyword_match(memory_keywords(F.lit(query)), F.col("keywords")).alias("topic_match"))
-    # Entries are scored before the join, so that it moves no texts.
-    entry = text_match(query, F.concat_ws(" ", "title", "text"))
+    # Entries are scored before the join, so that it moves no texts. A title that is the text's first line is not read twice.
+    opens = (F.col("text") == F.col("title")) | F.startswith("text", F.concat("title", F.lit("\n")))
+    entry = text_match(query, F.when(opens, F.col("text")).otherwise(F.concat_ws(" ", "title", "text")))
     rows = entries.select("slug", "pos", "title", "date", entry.alias("entry_match")).join(topic, "slug")
     raw = memory_score(F.col("topic_match"), F.col("entry_match"), days_since("date", as_of))
     rows = rows.withColumn("raw", raw).where("raw > 0")

@@ -62,7 +62,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic entries: a document each, its first line the title, dated within 120 days of January 2024."""
     d = table(spark, sf_dir, "documents")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 120).cast("int"))
-    return d.select(F.col("source").alias("slug"), F.col("doc_id").alias("pos"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("date"), "lang")
+    return d.select(F.col("source").alias("slug"), F.col("doc_id").alias("pos"), F.substring_index("text", "\n", 1).alias("title"), "text", F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("date"), "lang")
 
 
 ENTRIES = """ent AS (
