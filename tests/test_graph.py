@@ -112,3 +112,13 @@ def test_random_graphs_with_cycles(spark):
                 outcome[t] = "failed" if lost or t == "3" else "unknown" if t == "7" else "completed"
         got = {r.task_id: r.status for r in graph.run_layers(df, run).collect()}
         assert got == {t: "completed" if outcome.get(t) == "completed" else "failed" for t in deps}
+
+
+def test_rounds_send_no_table_to_the_driver(spark, monkeypatch):
+    """No table of a round is made by a broadcast join; only the given links may be."""
+    plans = []
+    monkeypatch.setattr(graph, "write", lambda df, label="table", plain=graph.write: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or plain(df, label))
+    deps = {str(i): [str(i // 2)] if i else [] for i in range(40)}
+    assert {r.task_id: r.layer for r in graph.layers(frame(spark, deps)).collect()} == loop_layers(deps)
+    later = [plan for label, plan in plans if label == "links"][1:]
+    assert later and not any("BroadcastHashJoin" in plan for plan in later)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .running import step_of, sums_before
 from .stored import drop, folder, forget, write
@@ -40,39 +40,46 @@ def settle(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``nodes``: task_id, value long; ``links``: src, dst, w long, both ends being nodes.
 
-    Each round settles the nodes without open links and passes their values on. Then a
-    link from a node that itself has one open link only is moved to where that one comes
+    A node's table row says how many open links it has, and where the only one comes from. Each
+    round passes values along the links; nodes whose links all come from settled ones are settled.
+    Then a link from a node that itself has one open link only is moved to where that one comes
     from, with the sum of both weights. So ways through such nodes halve every round, and a
     chain of n nodes takes about log2(n) rounds; links never become more. Every round
-    replaces the tables of open nodes and links and appends what it settles to one folder.
+    replaces the tables of open nodes and links and adds what it settles to one folder.
+    Joins of rounds are merge joins: a broadcast would send tables to the driver each round.
     """
     spark = nodes.sparkSession
-    shape = StructType([nodes.schema["task_id"], StructField("value", LongType())])
+    name = nodes.schema["task_id"]
+    row = StructType([name, StructField("value", LongType()), StructField("n", LongType()), StructField("via", name.dataType), StructField("more", LongType()), StructField("open", BooleanType())])
     path, n = folder(spark, "settled"), 0
-    open_, links = write(nodes, "open"), write(links, "links")
-    most = open_.count()  # no way is longer; cycles would go on adding
-    while True:
-        done = open_.join(links.select(F.col("dst").alias("task_id")).distinct(), "task_id", "left_anti")
-        done.select("task_id", "value").write.parquet(f"{path}/round={n}")
-        done = spark.read.schema(shape).parquet(f"{path}/round={n}")
-        if done.isEmpty():
-            break
+
+    def noted(rows: DataFrame) -> DataFrame:
+        """The round's nodes, written: settled and open ones in folders of their own."""
+        rows.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("open", F.col("n") > 0).select(*row.names).write.partitionBy("open").parquet(f"{path}/round={n}")
+        return spark.read.schema(row).parquet(f"{path}/round={n}")
+
+    links = write(links.withColumn("told", F.lit(None).cast("long")), "links")
+    found = links.groupBy(F.col("dst").alias("task_id")).agg(F.count("*").alias("n"), F.first(F.struct("src", "w")).alias("x"))
+    now = noted(nodes.join(found.hint("merge"), "task_id", "left").select("task_id", "value", "n", F.col("x.src").alias("via"), F.col("x.w").alias("more")))
+    most = now.count()  # no way is longer; cycles would go on adding
+    while not now.where("not open").isEmpty() and not now.where("open").isEmpty():
+        ends = now.select(F.col("task_id").alias("src"), "value", "open")
+        told = F.max(F.greatest("told", F.col("value") + F.col("w"))).alias("told")
+        live = F.when(F.col("open"), F.struct("src", "w"))
+        found = links.join(ends.hint("merge"), "src").groupBy(F.col("dst").alias("task_id")).agg(told, F.count_if("open").alias("n"), F.max(live).alias("x"))
+        rest = now.where("open").select("task_id", "value").join(found.hint("merge"), "task_id", "left")
         n += 1
-        told = links.join(done.withColumnRenamed("task_id", "src"), "src").groupBy(F.col("dst").alias("task_id")).agg(F.max(F.col("value") + F.col("w")).alias("told"))
-        rest = write(links.join(done.select(F.col("task_id").alias("src")), "src", "left_anti"), "links")
-        waits = open_.join(done.select("task_id"), "task_id", "left_anti").join(told, "task_id", "left")
-        waits = write(waits.select("task_id", F.greatest("value", "told").alias("value")), "open")
-        forget(open_, links)
-        single = rest.groupBy("dst").agg(F.count("*").alias("n"), F.first("src").alias("via"), F.first("w").alias("more")).where("n = 1")
-        single = single.join(waits, F.col("dst") == F.col("task_id")).select(F.col("dst").alias("src"), "via", "more", "value")
-        moved = write(rest.join(single, "src", "left"), "moved")
-        told = moved.where("via is not null").groupBy(F.col("dst").alias("task_id")).agg(F.max(F.col("value") + F.col("w")).alias("told"))
-        open_ = write(waits.join(told, "task_id", "left").select("task_id", F.greatest("value", "told").alias("value")), "open")
-        far = F.least(F.col("w") + F.coalesce("more", F.lit(0)), F.lit(most))
-        links = write(moved.groupBy(F.coalesce("via", "src").alias("src"), "dst").agg(F.max(far).alias("w")).select("src", "dst", "w"), "links")
-        forget(rest, waits, moved)
+        now = noted(rest.select("task_id", F.greatest("value", "told").alias("value"), "n", F.col("x.src").alias("via"), F.col("x.w").alias("more")))
+        drop(spark, f"{path}/round={n - 1}/open=true")
+        ends = now.select(F.col("task_id").alias("src"), "value", "n", "via", "more")
+        moved = links.select("src", "dst", "w").join(ends.hint("merge"), "src")  # links from nodes settled before are gone
+        single = F.col("n") == 1
+        far = F.when(single, F.least(F.col("w") + F.col("more"), F.lit(most))).otherwise(F.col("w"))
+        moved = moved.groupBy(F.when(single, F.col("via")).otherwise(F.col("src")).alias("src"), "dst").agg(F.max(far).alias("w"), F.max(F.col("value") + F.col("w")).alias("told"))
+        before, links = links, write(moved, "links")
+        forget(before)
     forget(links)
-    return spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path), open_
+    return spark.read.schema(row).parquet(path).where("not open").select("task_id", "value"), now.where("open").select("task_id", "value")
 
 
 def layers(tasks: DataFrame) -> DataFrame:
