@@ -42,3 +42,15 @@ def test_nothing_to_find(spark):
     none = spark.createDataFrame([], "needle string, text string")
     assert containing(none.select("needle"), none.select("text")).count() == 0
     assert containing(spark.range(1).select(F.lit("abcd").alias("needle")), none.select("text")).count() == 0
+
+
+def test_relevant_messages_meet_keywords_as_equals(spark, monkeypatch):
+    """Parts of short runs meet keywords without n-grams; runs of more than 24 characters and many runs lose none."""
+    asked = []
+    monkeypatch.setattr(context, "containing", lambda needles, texts, by: asked.append(texts) or containing(needles, texts, by))
+    many = " ".join(f"w{i}" for i in range(600))
+    m = spark.createDataFrame([("a", 1, "user_input", "x" * 30 + "needle " + "一" * 25 + "数据"), ("a", 2, "user_input", "needles 数据"), ("a", 3, "user_input", many), ("a", 4, "user_input", "é")], "session_id string, pos int, message_type string, text string")
+    t = spark.createDataFrame([("a", "t1", "needle 数据"), ("a", "t2", "w255 w599")], "session_id string, task_id string, description string")
+    got = context.relevant(m, t)
+    assert sorted((r.task_id, r.pos) for r in got.collect()) == [("t1", 1), ("t1", 2), ("t2", 3)]
+    assert sorted(len(r.text) for r in asked[0].collect()) == [27, 36]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import HAN, estimate_tokens, task_keywords
@@ -11,6 +11,9 @@ from weft.operators.running import running_sum, step_of
 from weft.operators.stored import write
 from weft.operators.substrings import containing
 
+#: Runs of more characters are looked up by n-grams; parts are listed for so many runs at once.
+RUN, BLOCK = 24, 256
+
 
 def guard_context(messages: DataFrame, pending: DataFrame | None = None, normal: int = history.NORMAL, aggressive: int = history.AGGRESSIVE, keep_turns: int = 3, invoke=None) -> DataFrame:
     """What the reviewing agent sees: eligible, not rejected, compacted, summarized if still too long.
@@ -39,20 +42,33 @@ def planner_context(messages: DataFrame, catalog: DataFrame, memories: DataFrame
     return base.unionByName(also(intent, 1_000_000_000, "guard_intent_analysis")).unionByName(also(one, 1_000_000_001, "system_notification")).unionByName(also(remembered, 1_000_000_002, "system_memory_topic"))
 
 
+def _parts(run: Column) -> Column:
+    """The substrings of two characters or more."""
+    starts = lambda n: F.sequence(F.lit(1), F.length(run) - n + 1)
+    return F.flatten(F.transform(F.sequence(F.lit(2), F.length(run)), lambda n: F.transform(starts(n), lambda i: F.substring(run, i, n))))
+
+
 def relevant(messages: DataFrame, tasks: DataFrame, limit: int = 1000, snippet: int = 500, least: int = 2) -> DataFrame:
     """Messages that share ``least`` keywords with a task of their session, until ``limit`` tokens are used.
 
     ``tasks``: session_id, task_id, description. The message that uses the budget up still counts.
     A keyword is of one kind of characters, so a text holds it in one of its runs of that kind:
-    keywords meet a session's distinct runs by their n-grams, and messages meet tasks by the
-    keywords that they really share.
+    all parts of a message's runs of up to ``RUN`` characters meet the session's keywords as equals,
+    longer runs, of which parts would be many, by n-grams.
     """
     said = messages.where(F.col("message_type").isin("user_input", "final_answer") & (F.coalesce("text", F.lit("")) != ""))
     wanted = tasks.select("session_id", "task_id", F.explode(task_keywords("description")).alias("needle"))
     runs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z0-9_]+|{HAN}+"), F.lit(0)))
-    spoken = said.select("session_id", "pos", F.explode(runs).alias("text"))
-    shared = containing(wanted, spoken, ["session_id"])
-    met = wanted.join(shared, ["session_id", "needle"]).join(spoken, ["session_id", "text"]).select("session_id", "task_id", "pos", "needle").distinct()
+    spoken = said.select("session_id", "pos", runs.alias("runs"))
+    short = F.filter("runs", lambda r: F.length(r).between(2, RUN))
+    cuts = F.sequence(F.lit(0), F.floor(F.size(short) / BLOCK).cast("int"))
+    blocks = spoken.select("session_id", "pos", F.explode(F.transform(cuts, lambda k: F.slice(short, k * BLOCK + 1, F.lit(BLOCK)))).alias("runs"))
+    parts = blocks.select("session_id", "pos", F.explode(F.array_distinct(F.flatten(F.transform("runs", _parts)))).alias("needle"))
+    near = parts.join(wanted, ["session_id", "needle"]).select("session_id", "task_id", "pos", "needle")
+    long = spoken.select("session_id", "pos", F.explode(F.filter("runs", lambda r: F.length(r) > RUN)).alias("text"))
+    shared = containing(wanted.join(long.select("session_id").distinct(), "session_id", "left_semi"), long, ["session_id"])
+    far = wanted.join(shared, ["session_id", "needle"]).join(long, ["session_id", "text"]).select("session_id", "task_id", "pos", "needle")
+    met = near.unionByName(far).distinct()
     met = met.groupBy("session_id", "task_id", "pos").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
     line = F.concat(F.lit("["), F.col("message_type"), F.lit("]: "), F.left("text", F.lit(snippet)))
     rows = met.join(said, ["session_id", "pos"]).withColumn("line", line).withColumn("cost", estimate_tokens("line"))
