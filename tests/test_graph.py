@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,19 @@ def test_rounds_send_no_table_to_the_driver(spark, monkeypatch):
     assert {r.task_id: r.layer for r in graph.layers(frame(spark, deps)).collect()} == loop_layers(deps)
     later = [plan for label, plan in plans if label == "links"][1:]
     assert later and not any("BroadcastHashJoin" in plan for plan in later)
+
+
+def test_a_layer_reads_only_the_outcomes_that_it_names(spark):
+    """Of earlier layers, only those that a layer's dependencies and placeholders name; unknown and own ids name none."""
+    deps = {"a": [], "b": ["a"], "c": ["b"], "d": ["c"], "e": ["d", "zz"]}
+    says = {"a": "see {{a}} {{zz}}", "b": "no", "c": "see {{ a.result }}{{b}}", "d": "{{zz}}", "e": "{{d}} {{d.result}}"}
+    df = spark.createDataFrame([(t, d, None, None, says[t]) for t, d in deps.items()], DDL)
+    read = []
+
+    def run(d):
+        read.append({int(n) for path in d.inputFiles() for n in re.findall(r"weft-outcomes-[^/]*/layer=(-?\d+)", path)})
+        return d.select("task_id", F.concat("task_id", F.lit(":"), "description").alias("result"), F.lit(None).cast("string").alias("error"))
+
+    got = {r.task_id: r.result for r in graph.run_layers(df, run).collect()}
+    assert got == {"a": "a:see {{a}} {{zz}}", "b": "b:no", "c": "c:see a:see {{a}} {{zz}}b:no", "d": "d:{{zz}}", "e": "e:d:{{zz}} d:{{zz}}"}
+    assert read == [set(), {0}, {0, 1}, {2}, {3}]

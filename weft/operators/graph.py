@@ -30,8 +30,8 @@ def missing(tasks: DataFrame) -> DataFrame:
 
 def inner_edges(tasks: DataFrame) -> DataFrame:
     """Distinct (src, dst) between tasks of the batch."""
-    ids = tasks.select(F.col("task_id").alias("src")).distinct()
-    return edges(tasks).distinct().join(ids, "src", "left_semi").join(ids.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+    ids = tasks.select(F.col("task_id").alias("src"))
+    return edges(tasks).where("dst is not null").join(ids, "src", "left_semi").select("src", "dst").distinct()
 
 
 def settle(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,12 +40,13 @@ def settle(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``nodes``: task_id, value long; ``links``: src, dst, w long, both ends being nodes.
 
-    A node's table row says how many open links it has, and where the only one comes from. Each
-    round passes values along the links; nodes whose links all come from settled ones are settled.
-    Then a link from a node that itself has one open link only is moved to where that one comes
-    from, with the sum of both weights. So ways through such nodes halve every round, and a
-    chain of n nodes takes about log2(n) rounds; links never become more. Every round
-    replaces the tables of open nodes and links and adds what it settles to one folder.
+    A node's table row says how many open links it has, and where the only one comes from. In
+    a round every link meets its source once and tells its node the value along it. A link from
+    a settled node is done with; one from a node that itself has one open link only is moved to
+    where that one comes from, with the sum of both weights. Nodes left without links
+    are settled. So ways through nodes with one link halve every round, and a chain of n
+    nodes takes about log2(n) rounds; links never become more. Every round replaces the
+    tables of open nodes and links and adds what it settles to one folder.
     Joins of rounds are merge joins: a broadcast would send tables to the driver each round.
     """
     spark = nodes.sparkSession
@@ -53,31 +54,30 @@ def settle(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     row = StructType([name, StructField("value", LongType()), StructField("n", LongType()), StructField("via", name.dataType), StructField("more", LongType()), StructField("open", BooleanType())])
     path, n = folder(spark, "settled"), 0
 
-    def noted(rows: DataFrame) -> DataFrame:
-        """The round's nodes, written: settled and open ones in folders of their own."""
-        rows.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("open", F.col("n") > 0).select(*row.names).write.partitionBy("open").parquet(f"{path}/round={n}")
+    def noted(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The round's nodes after what its links tell, written: settled and open ones in folders of their own."""
+        live = F.when(F.col("src").isNotNull(), F.struct("src", "w"))
+        found = links.groupBy(F.col("dst").alias("task_id")).agg(F.max("told").alias("told"), F.count("src").alias("n"), F.max(live).alias("x"))
+        rows = rows.select("task_id", "value").join(found.hint("merge"), "task_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        rows = rows.select("task_id", F.greatest("value", "told").alias("value"), "n", F.col("x.src").alias("via"), F.col("x.w").alias("more"), (F.col("n") > 0).alias("open"))
+        rows.write.partitionBy("open").parquet(f"{path}/round={n}")
         return spark.read.schema(row).parquet(f"{path}/round={n}")
 
     links = write(links.withColumn("told", F.lit(None).cast("long")), "links")
-    found = links.groupBy(F.col("dst").alias("task_id")).agg(F.count("*").alias("n"), F.first(F.struct("src", "w")).alias("x"))
-    now = noted(nodes.join(found.hint("merge"), "task_id", "left").select("task_id", "value", "n", F.col("x.src").alias("via"), F.col("x.w").alias("more")))
+    now = noted(nodes, links)
     most = now.count()  # no way is longer; cycles would go on adding
     while not now.where("not open").isEmpty() and not now.where("open").isEmpty():
-        ends = now.select(F.col("task_id").alias("src"), "value", "open")
-        told = F.max(F.greatest("told", F.col("value") + F.col("w"))).alias("told")
-        live = F.when(F.col("open"), F.struct("src", "w"))
-        found = links.join(ends.hint("merge"), "src").groupBy(F.col("dst").alias("task_id")).agg(told, F.count_if("open").alias("n"), F.max(live).alias("x"))
-        rest = now.where("open").select("task_id", "value").join(found.hint("merge"), "task_id", "left")
-        n += 1
-        now = noted(rest.select("task_id", F.greatest("value", "told").alias("value"), "n", F.col("x.src").alias("via"), F.col("x.w").alias("more")))
-        drop(spark, f"{path}/round={n - 1}/open=true")
-        ends = now.select(F.col("task_id").alias("src"), "value", "n", "via", "more")
-        moved = links.select("src", "dst", "w").join(ends.hint("merge"), "src")  # links from nodes settled before are gone
+        ends = spark.read.schema(row).parquet(path).withColumnRenamed("task_id", "src")  # the settled of all rounds, the open of the last
+        met = links.select("src", "dst", "w").join(ends.hint("merge"), "src")
         single = F.col("n") == 1
         far = F.when(single, F.least(F.col("w") + F.col("more"), F.lit(most))).otherwise(F.col("w"))
-        moved = moved.groupBy(F.when(single, F.col("via")).otherwise(F.col("src")).alias("src"), "dst").agg(F.max(far).alias("w"), F.max(F.col("value") + F.col("w")).alias("told"))
+        start = F.when(single, F.col("via")).when(F.col("open"), F.col("src"))  # null: the source is settled
+        moved = met.groupBy(start.alias("src"), "dst").agg(F.max(far).alias("w"), F.max(F.col("value") + F.col("w")).alias("told"))
         before, links = links, write(moved, "links")
         forget(before)
+        n += 1
+        now = noted(now.where("open"), links)
+        drop(spark, f"{path}/round={n - 1}/open=true")
     forget(links)
     return spark.read.schema(row).parquet(path).where("not open").select("task_id", "value"), now.where("open").select("task_id", "value")
 
@@ -85,7 +85,7 @@ def settle(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def layers(tasks: DataFrame) -> DataFrame:
     """(task_id, layer): 0 for tasks without a dependency inside the batch, else one more
     than the deepest of them. Tasks in or behind a cycle have no row."""
-    nodes = tasks.select("task_id", F.lit(0).cast("long").alias("value")).distinct()
+    nodes = tasks.select("task_id").distinct().withColumn("value", F.lit(0).cast("long"))
     done, _ = settle(nodes, inner_edges(tasks).withColumn("w", F.lit(1).cast("long")))
     return done.select("task_id", F.col("value").cast("int").alias("layer"))
 
@@ -147,24 +147,42 @@ def ready(tasks: DataFrame) -> DataFrame:
     return tasks.where("status = 'pending'").join(waits, "task_id", "left_anti")
 
 
+def _pieces(column: str | Column) -> Column:
+    """A text cut at its placeholders; those begin with \\u0002."""
+    return F.split(F.regexp_replace(column, HOLE, "\u0001\u0002$1\u0001"), "\u0001")
+
+
+def _named(piece: Column) -> Column:
+    return F.regexp_replace(F.trim(F.substring(piece, 2, 2**31 - 1)), r"\.result$", "")
+
+
+def holes(column: str | Column) -> Column:
+    """The distinct ids that a text's placeholders name."""
+    return F.array_distinct(F.transform(F.filter(_pieces(column), lambda p: p.startswith("\u0002")), _named))
+
+
+def filled(column: str | Column, said: str) -> Column:
+    """A text with its placeholders replaced by what ``said``, an array of (ref, result), has for them."""
+
+    def text(piece: Column) -> Column:
+        name, kept = _named(piece), F.concat(F.lit("{{"), F.substring(piece, 2, 2**31 - 1), F.lit("}}"))
+        known = F.get(F.filter(said, lambda x: x["ref"] == name), F.lit(0))["result"]
+        return F.when(piece.startswith("\u0002"), F.coalesce(known, kept)).otherwise(piece)
+
+    return F.array_join(F.transform(_pieces(column), text), "")
+
+
 def resolve(texts: DataFrame, results: DataFrame, key: str = "task_id", column: str = "description") -> DataFrame:
     """Replace ``{{id}}`` and ``{{id.result}}`` by results, in one pass; unknown ones stay.
 
-    ``results``: task_id, result. A text is cut at its placeholders, each is looked
-    up by a join, and the pieces go together again, so what a result contains is
-    not resolved again. Adds resolved.
+    ``results``: task_id, result. The distinct ids that a text names are looked up by a
+    join, and what is found goes back to it, so what a result contains is not resolved
+    again; the rest of the text is not moved for it. Adds resolved.
     """
-    cut = F.split(F.regexp_replace(column, HOLE, "\u0001\u0002$1\u0001"), "\u0001")
-    parts = texts.select(key, F.posexplode(cut).alias("__i", "__part"))
-    hole = F.col("__part").startswith("\u0002")
-    name = F.trim(F.substring("__part", 2, 2**31 - 1))
-    ref = F.when(hole, F.regexp_replace(name, r"\.result$", ""))
-    parts = parts.withColumn("__ref", ref)
-    known = results.select(F.col("task_id").alias("__ref"), F.col("result").alias("__result"))
-    parts = parts.join(known, "__ref", "left")
-    said = F.when(hole, F.coalesce("__result", F.concat(F.lit("{{"), F.substring("__part", 2, 2**31 - 1), F.lit("}}")))).otherwise(F.col("__part"))
-    whole = parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", said.alias("s")))), lambda x: x["s"]), "").alias("resolved"))
-    return texts.join(whole, key, "left")
+    asked = texts.select(key, F.explode(holes(column)).alias("ref"))
+    found = asked.join(results.select(F.col("task_id").alias("ref"), "result"), "ref")
+    said = found.groupBy(key).agg(F.collect_list(F.struct("ref", "result")).alias("__said"))
+    return texts.join(said, key, "left").withColumn("resolved", filled(column, "__said")).drop("__said")
 
 
 def all_terminal(status: Column) -> Column:
@@ -180,30 +198,44 @@ def run_layers(tasks: DataFrame, execute) -> DataFrame:
 
     ``execute(DataFrame of ready tasks) -> DataFrame(task_id, result, error)`` is
     injected. Failures cascade, placeholders resolve from the results so far, and
-    tasks that no layer reaches, or that ``execute`` says nothing of, fail. Tasks are
-    written once, by layer; a layer reads its own and appends its outcomes to one folder.
+    tasks that no layer reaches, or that ``execute`` says nothing of, fail. Tasks, and
+    what each needs of which earlier layer, are written once, by layer; a layer reads its
+    own and the outcomes of the layers that it names, and writes its outcomes.
     """
     spark = tasks.sparkSession
-    by_layer = folder(spark, "by-layer")
-    tasks.join(layers(tasks), "task_id").write.partitionBy("layer").parquet(by_layer)
+    placed = write(layers(tasks), "layers")
+    by_layer, needs, path = folder(spark, "by-layer"), folder(spark, "needs"), folder(spark, "outcomes")
+    name, none = tasks.schema["task_id"], F.array().cast("array<string>")
+    tasks.join(placed, "task_id").write.partitionBy("layer").parquet(by_layer)
     order = spark.read.schema(StructType([*tasks.schema.fields, StructField("layer", IntegerType())])).parquet(by_layer)
-    last = order.agg(F.max("layer")).first()[0]
-    shape = StructType([tasks.schema["task_id"], StructField("__status", StringType()), StructField("__result", StringType())])
-    path = folder(spark, "outcomes")
-    spark.createDataFrame([], shape).write.parquet(f"{path}/layer=-1")
-    for layer in range(-1 if last is None else last + 1):
-        done = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
-        due = order.where(F.col("layer") == layer).drop("layer")
-        # all dependencies are settled by now, so a failure only has to pass on one step
-        bad = done.where("__status = 'failed'").select(F.col("task_id").alias("src"))
-        lost = edges(due).join(bad, "src", "left_semi").select(F.col("dst").alias("task_id")).distinct()
-        now = due.join(lost, "task_id", "left_anti").withColumns({"status": F.lit("pending"), "result": F.lit(None).cast("string")})
-        known = done.where("__status = 'completed'").select("task_id", F.col("__result").alias("result"))
-        ready_ = resolve(now, known).drop("description").withColumnRenamed("resolved", "description")
-        got = execute(ready_).select("task_id", F.when(F.col("error").isNotNull(), "failed").otherwise("completed").alias("__status"), F.coalesce("result", F.lit("")).alias("__result"))
-        got.unionByName(lost.select("task_id", F.lit("failed").alias("__status"), F.lit("").alias("__result"))).write.parquet(f"{path}/layer={layer}")
+    asks = order.select("task_id", "layer", F.coalesce("dependencies", none).alias("deps"), F.coalesce(holes("description"), none).alias("holes"))
+    asks = asks.withColumn("ref", F.explode(F.array_union("deps", "holes")))
+    earlier = placed.select(F.col("task_id").alias("ref"), F.col("layer").alias("of"))
+    in_ = lambda c: F.exists(c, lambda x: x.eqNullSafe(F.col("ref"))).alias(c)
+    asks.select("task_id", "layer", "ref", in_("deps"), in_("holes")).join(earlier, "ref").where("of < layer").write.partitionBy("layer").parquet(needs)
+    need = spark.read.schema(StructType([name, StructField("ref", name.dataType), StructField("deps", BooleanType()), StructField("holes", BooleanType()), StructField("of", IntegerType()), StructField("layer", IntegerType())])).parquet(needs)
+    last = placed.agg(F.max("layer")).first()[0]
+    named = dict(need.groupBy("layer").agg(F.collect_set("of")).collect())  # numbers of layers
+    shape = StructType([name, StructField("__status", StringType()), StructField("__result", StringType())])
+    for layer in range(0 if last is None else last + 1):
+        now = spark.read.schema(tasks.schema).parquet(f"{by_layer}/layer={layer}").withColumns({"status": F.lit("pending"), "result": F.lit(None).cast("string")})
+        lost = None
+        if layer in named:
+            done = spark.read.schema(shape).parquet(*(f"{path}/layer={n}" for n in sorted(named[layer]))).withColumnRenamed("task_id", "ref")
+            own = need.where(F.col("layer") == layer)
+            # all dependencies are settled by now, so a failure only has to pass on one step
+            lost = own.where("deps").join(done.where("__status = 'failed'"), "ref", "left_semi").select("task_id").distinct()
+            said = own.where("holes").select("task_id", "ref").join(done.where("__status = 'completed'"), "ref")
+            said = said.groupBy("task_id").agg(F.collect_list(F.struct("ref", F.col("__result").alias("result"))).alias("__said"))
+            now = now.join(lost, "task_id", "left_anti").join(said, "task_id", "left").withColumn("description", filled("description", "__said")).drop("__said")
+        got = execute(now).select("task_id", F.when(F.col("error").isNotNull(), "failed").otherwise("completed").alias("__status"), F.coalesce("result", F.lit("")).alias("__result"))
+        if lost is not None:
+            got = got.unionByName(lost.select("task_id", F.lit("failed").alias("__status"), F.lit("").alias("__result")))
+        got.write.parquet(f"{path}/layer={layer}")
     drop(spark, by_layer)
-    done = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
+    drop(spark, needs)
+    forget(placed)
+    done = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path) if last is not None else spark.createDataFrame([], shape)
     rows = tasks.drop("status", "result").join(done, "task_id", "left")
     return rows.withColumns({"status": F.coalesce("__status", F.lit("failed")), "result": F.coalesce("__result", F.lit(""))}).select(*dict.fromkeys([*tasks.columns, "status", "result"]))
 
