@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -102,3 +103,30 @@ def test_search_scores_a_text_once_and_as_its_keywords_say(spark):
         want = entries.select("pos", keyword_match(memory_keywords(F.lit(query)), words).alias("m")).where("m > 0")
         assert {r.pos: round(r.raw, 9) for r in got.collect()} == {r.pos: round(0.7 * r.m * 0.5 ** (1 / 30), 9) for r in want.collect()}
         assert got._jdf.queryExecution().optimizedPlan().toString().count("thin|" if "thing" in query else "hat|") == 1
+
+
+def test_related_equals_all_pairs(monkeypatch):
+    """In blocks of any size: pieces of each other, near copies, repeated letters, wide characters, empty and null."""
+    for seed in range(60):
+        rnd = random.Random(seed)
+        monkeypatch.setattr(memory, "BLOCK_CHARS", rnd.choice([7, 64, 1000, 1 << 20]))
+        monkeypatch.setattr(memory, "MOST_AT_ONCE", rnd.choice([1, 5, 1 << 22]))
+        letters = rnd.choice(["a", "ab", "abc😀是", "abcdefgh "])
+        base = ["".join(rnd.choice(letters) for _ in range(rnd.choice([1, 5, 90, 300]))) for _ in range(4)]
+        cut = lambda x: x[rnd.randrange(len(x)) :][: rnd.randrange(len(x) + 1)]
+        texts = list(dict.fromkeys([None, ""][seed % 3 :] + [cut(rnd.choice(base)) + rnd.choice(["", "", "a", "b"]) for _ in range(40)]))
+        starts, others = memory.related(texts)
+        for i, x in enumerate(texts):
+            want = {j for j, y in enumerate(texts) if x is not None and y is not None and (x in y or y in x)}
+            assert set(others[starts[i] : starts[i + 1]].tolist()) == want
+
+
+def test_related_takes_little_time_a_character():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rnd.choices(words, k=720)) for _ in range(3000)]  # twelve million characters
+    texts += [x[5:n] for x, n in zip(texts, (9, 20, 40, 80, 500), strict=False)]
+    began = time.process_time()
+    starts, others = memory.related(texts)
+    assert time.process_time() - began < 8
+    assert all(3000 + i in others[starts[i] : starts[i + 1]] for i in range(5))

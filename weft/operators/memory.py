@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,32 +47,94 @@ def mark_stale(preferences: DataFrame, as_of: str, days: int = EXPIRY_DAYS) -> D
     return preferences.withColumns({"stale": F.when(old, True).otherwise(F.col("stale")), "confidence": F.when(old, 0.5).otherwise(F.col("confidence"))})
 
 
-def related(texts: list[str]) -> list[set[int]]:
-    """For each of distinct texts, the numbers of those that it contains or that contain it, itself too.
+BLOCK_CHARS, MOST_AT_ONCE = 1 << 20, 1 << 22
 
-    A text is looked up by its first characters, as many as the largest power of
-    two up to 64 that it has, at every place of the others. Null is related to none.
+
+def _blocks(texts: list[str]) -> list[list[int]]:
+    """The numbers of all texts that are neither null nor empty, longest first, in blocks of ``BLOCK_CHARS``."""
+    blocks, room = [], 0
+    for i in sorted((i for i, x in enumerate(texts) if x), key=lambda i: -len(texts[i])):
+        if room < len(texts[i]):
+            blocks.append([])
+            room = max(BLOCK_CHARS, len(texts[i]))
+        blocks[-1].append(i)
+        room -= len(texts[i])
+    return blocks
+
+
+def _hashes(block: list[int], texts: list[str], size: np.ndarray):
+    """(n, start, h) for n = 1, 2, 4 ...: the hash of the n characters at each place of the joined texts, as far
+    as texts have n. ``start``: where these texts begin. A hash comes from two of half the length."""
+    h = (np.frombuffer("".join(texts[i] for i in block).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    lengths, n, by = size[block], 1, 0xD6E8FEB86659FD93
+    while len(lengths):
+        yield n, np.cumsum(lengths) - lengths, h
+        lengths = lengths[lengths >= 2 * n]  # the longest come first
+        h = h[: lengths.sum()]
+        h = h[:-n] * np.uint64(by) + h[n:] if len(h) else h
+        n, by = 2 * n, (by * 0xBF58476D1CE4E5B9 + 0x94D049BB133111EA) % 2**64 | 1
+
+
+def related(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, others): others[starts[i] : starts[i + 1]] are the numbers of those of the distinct texts
+    that text i contains or that contain it, itself too.
+
+    With n the largest power of two that a text is long, it is its first n and its last n
+    characters. It is looked up in the others by the hashes of both, at their distance, for all
+    places of a block of texts at once; what is found is verified. Null is related to none.
     """
-    near: list[set[int]] = [{i} if x is not None else set() for i, x in enumerate(texts)]
-    heads: dict[int, dict[str, list[int]]] = {}
-    for i, x in enumerate(texts):
-        if x:
-            n = min(64, 1 << (len(x).bit_length() - 1))
-            heads.setdefault(n, {}).setdefault(x[:n], []).append(i)
-    blank = [i for i, x in enumerate(texts) if x == ""]
-    for j, y in enumerate(texts):
-        if y is None:
-            continue
-        inside = set(blank)
-        for n, head in heads.items():
-            for at in range(len(y) - n + 1):
-                for i in head.get(y[at : at + n], ()):
-                    if y.startswith(texts[i], at):
-                        inside.add(i)
-        near[j] |= inside
-        for i in inside:
-            near[i].add(j)
-    return near
+    size = np.array([len(x) if x else 0 for x in texts], np.int64)
+    level = np.array([1 << (k.bit_length() - 1) if k else 0 for k in size.tolist()], np.int64)
+    head, tail = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+    blocks = _blocks(texts)
+    for block in blocks:
+        for n, start, h in _hashes(block, texts, size):
+            at = np.flatnonzero(level[block[: len(start)]] == n)
+            mine = np.array(block, np.int64)[at]
+            head[mine], tail[mine] = h[start[at]], h[start[at] + size[mine] - n]
+    index = {}
+    for n in np.unique(level[level > 0]).tolist():
+        mine = np.flatnonzero(level == n)
+        mine = mine[np.argsort(head[mine], kind="stable")]
+        heads, first, count = np.unique(head[mine], return_index=True, return_counts=True)
+        bits = max(12, (64 * len(heads)).bit_length())
+        seen = np.zeros(1 << bits, bool)
+        seen[heads >> np.uint64(64 - bits)] = True
+        index[n] = mine, heads, first, count, seen, np.uint64(64 - bits)
+    inner, outer = [], []
+    for block in blocks:
+        numbers = np.array(block, np.int64)
+        for n, start, h in _hashes(block, texts, size):
+            if n not in index:
+                continue
+            mine, heads, first, count, seen, shift = index[n]
+            at = np.flatnonzero(seen[h >> shift])
+            group = np.minimum(np.searchsorted(heads, h[at]), len(heads) - 1)
+            same = heads[group] == h[at]
+            at, group = at[same], group[same]
+            total = np.cumsum(count[group])
+            cuts = [*np.unique(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, MOST_AT_ONCE))).tolist(), len(at)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                many = count[group[lo:hi]]
+                place = np.repeat(at[lo:hi], many)
+                a = mine[np.repeat(first[group[lo:hi]] - np.cumsum(many) + many, many) + np.arange(len(place))]
+                b = np.searchsorted(start, place, "right") - 1
+                end = place + size[a]
+                fits = (end <= start[b] + size[numbers[b]]) & (a != numbers[b])
+                place, a, b, end = place[fits], a[fits], b[fits], end[fits]
+                fits = h[end - n] == tail[a]
+                place, a, b = place[fits], a[fits], b[fits]
+                _, once = np.unique(a * len(texts) + b, return_index=True)
+                for x, y, k in zip(a[once].tolist(), numbers[b[once]].tolist(), (place - start[b])[once].tolist(), strict=True):
+                    if texts[y].startswith(texts[x], k) or texts[x] in texts[y]:
+                        inner.append(x)
+                        outer.append(y)
+    known = np.array([i for i, x in enumerate(texts) if x is not None], np.int64)
+    blank = [np.full(len(known), i) for i, x in enumerate(texts) if x == ""]
+    a, b = np.concatenate([np.array(inner, np.int64), *blank]), np.concatenate([np.array(outer, np.int64), *[known] * len(blank)])
+    pairs = np.unique(np.concatenate([a * len(texts) + b, b * len(texts) + a, known * len(texts) + known]))
+    return np.searchsorted(pairs, np.arange(len(texts) + 1) * len(texts)), pairs % max(len(texts), 1)
 
 
 def merge_profile(items: DataFrame, increments: DataFrame, as_of: str) -> DataFrame:
@@ -82,7 +145,7 @@ def merge_profile(items: DataFrame, increments: DataFrame, as_of: str) -> DataFr
     contains it or is contained in it, and is appended otherwise; empty ones are
     skipped, and a missing category is "other". The fold is sequential by
     definition, so a category is one group and must fit one task's memory; which
-    texts contain each other is looked up beforehand, not by comparing all pairs.
+    texts contain each other is looked up beforehand by hashes, not by comparing all pairs.
     """
     old = items.select("category", F.lit(0).alias("kind"), F.col("pos").cast("long").alias("seq"), "content", "updated_at", "stale")
     new = increments.where(F.coalesce("content", F.lit("")) != "").select(F.coalesce("category", F.lit(OTHER)).alias("category"), F.lit(1).alias("kind"), F.col("seq").cast("long"), "content", F.lit(as_of).alias("updated_at"), F.lit(False).alias("stale"))
@@ -90,23 +153,26 @@ def merge_profile(items: DataFrame, increments: DataFrame, as_of: str) -> DataFr
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["kind", "seq"], kind="stable")
         number = {x: i for i, x in enumerate(dict.fromkeys(part["content"]))}
-        near = related(list(number))
+        starts, others = related(list(number))
+        lead = np.full(len(number), len(part))  # the first place that holds a text now
         holds: list[list[int]] = [[] for _ in number]  # a heap of places for each text; a place may hold another by now
         kept: list[list] = []
         for row in part.itertuples(index=False):
             me, hit = number[row.content], len(kept)
-            for i in near[me] if row.kind else ():
-                while holds[i] and kept[holds[i][0]][3] != i:
-                    heapq.heappop(holds[i])
-                if holds[i]:
-                    hit = min(hit, holds[i][0])
+            if row.kind:
+                hit = min(hit, int(lead[others[starts[me] : starts[me + 1]]].min()))
             if hit == len(kept):
                 kept.append([row.content, row.updated_at, bool(row.stale), me])
                 heapq.heappush(holds[me], hit)
             else:
-                if kept[hit][3] != me:
-                    heapq.heappush(holds[me], hit)
+                was = kept[hit][3]
                 kept[hit] = [row.content, row.updated_at, False, me]
+                if was != me:
+                    heapq.heappush(holds[me], hit)
+                    while holds[was] and kept[holds[was][0]][3] != was:
+                        heapq.heappop(holds[was])
+                    lead[was] = holds[was][0] if holds[was] else len(part)
+            lead[me] = min(lead[me], hit)
         return pd.DataFrame({"category": part["category"].iloc[0], "pos": range(len(kept)), "content": [k[0] for k in kept], "updated_at": [k[1] for k in kept], "stale": [k[2] for k in kept]})
 
     return old.unionByName(new).groupBy("category").applyInPandas(fold, "category string, pos long, content string, updated_at string, stale boolean")
