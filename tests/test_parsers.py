@@ -1,12 +1,14 @@
 import math
 import time
 
+import duckdb
 import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weft import catalog
 from weft.functions import calc, html, markdown
 from weft.functions.prose_json import balanced, from_prose
 
@@ -47,6 +49,16 @@ def test_references_without_a_semicolon_are_text():
     assert next(html.tree(page).all("a")).attrs == {"href": "?a=1&copy=2"}
 
 
+def test_long_pages_keep_their_whole_text(spark, tmp_path):
+    pages = [(1, "<p>" + "ab &amp; c" * 1000 + "</p><p>end</p>"), (2, "<p>x</p>" * 2001), (3, "<p>é</p>" * 2000), (4, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in catalog.QUERIES["pa07_text"](spark, str(tmp_path)).collect()}
+    assert got == {1: "ab & c" * 1000 + "end", 2: "x" * 2001, 3: "é" * 2000, 4: ""}
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(con.sql(catalog.ORACLE["pa07_text"]).fetchall())
+
+
 def test_slides(spark):
     df = spark.createDataFrame([(1, "# T\n## sub\n\n## Sec\n- a\n\t- b\n1. one\n> q\n![x](p.png)\ntext\n---\nloose\n### Page\n# later")], "id int, body string")
     deck = sorted((tuple(r)[1:] for r in markdown.slide_rows(df, "id").collect()), key=repr)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions.calc import calculate
-from weft.functions.html import first_chars, html_links, html_text
+from weft.functions.html import html_links, html_text
 from weft.functions.text import normalize_skill, params_block
 from weft.operators import graph, messages, registry, sessions
 from weft.sources import repositories
@@ -171,9 +171,9 @@ def _unescaped(x: str) -> str:
     return x
 
 
-@query(f"""SELECT page_id, left(array_to_string(list_transform(string_split_regex({CLEAN}, '<[^>]*>'), lambda x: trim({_unescaped('x')}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), ''), 2000) AS text FROM pages""")
+@query(f"""SELECT page_id, array_to_string(list_transform(string_split_regex({CLEAN}, '<[^>]*>'), lambda x: trim({_unescaped('x')}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), '') AS text FROM pages""")
 def pa07_text(spark, sf_dir):
-    return views.table(spark, sf_dir, "pages").select("page_id", first_chars(html_text("html")).alias("text"))
+    return views.table(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
 
 
 @query("""SELECT page_id, replace(replace(array_to_string(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)[1:5], '|'), '&amp;', '&'), '&lt;', '<') AS links FROM pages""")
